@@ -74,6 +74,11 @@ def running_sum(value: Column) -> Scan:
     return Scan("sum", value)
 
 
+def running_max(value: Column) -> Scan:
+    """Largest value from the first row up to and including this one."""
+    return Scan("runmax", value)
+
+
 def index() -> Scan:
     """1-based position in the group."""
     return Scan("sum", F.lit(1).cast("bigint"))
@@ -229,6 +234,8 @@ class Ordered:
                 ups[local] = F.lead(v, s.k).over(up)
             elif s.kind == "sum":
                 ups[local] = F.sum(v).over(up.rowsBetween(start, 0))
+            elif s.kind == "runmax":
+                ups[local] = F.max(v).over(up.rowsBetween(start, 0))
             elif s.kind == "last":
                 stop = 0 if s.current else -1
                 ups[local] = F.last(v, True).over(up.rowsBetween(start, stop))
@@ -264,7 +271,7 @@ class Ordered:
             elif s.kind == "first":
                 aggs.append(F.min_by(v, known).alias(f"_s{i}"))
             else:
-                agg = _GROUP_WIDE.get(s.kind, F.sum)
+                agg = {"sum": F.sum, "runmax": F.max, **_GROUP_WIDE}[s.kind]
                 aggs.append(agg(v).alias(f"_s{i}"))
         summary = df.groupBy(*self.parts).agg(*aggs)
         base = Window.partitionBy(*[F.col(k) for k in self.keys])
@@ -284,6 +291,8 @@ class Ordered:
                 value = F.last(c, True).over(after)
             elif s.kind == "sum":
                 value = F.sum(c).over(before)
+            elif s.kind == "runmax":
+                value = F.max(c).over(before)
             else:
                 value = _GROUP_WIDE[s.kind](c).over(base)
             carried.append(value.alias(f"_c{i}"))
@@ -303,6 +312,8 @@ class Ordered:
             return F.when(
                 local.isNull() & carry.isNull(), F.lit(None)
             ).otherwise(F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0)))
+        if s.kind == "runmax":
+            return F.greatest(local, carry)
         if s.kind in ("last", "first"):
             return F.coalesce(local, carry)
         return carry
