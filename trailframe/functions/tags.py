@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trailframe.functions import records as R
 from trailframe.functions import timeparse as P
-from trailframe.functions.binding import let
+from trailframe.functions.binding import let, with_computed
 
 TAG_MAP = "map<string,array<string>>"
 
@@ -303,7 +303,7 @@ def assemble_captures(df: DataFrame, props: dict[str, Column], position_later: b
 
     With ``position_later`` (a GPS log will supply it) a missing position is (0, 0).
     """
-    out = df.withColumns(props)
+    out = with_computed(df, **props)
     no_place = F.col("lon").isNull() | F.col("lat").isNull()
     place_error = R.error(R.GEOTAGGING, "Unable to extract GPS Longitude or GPS Latitude from the image")
     time_error = R.error(R.GEOTAGGING, "Unable to extract timestamp from the image")

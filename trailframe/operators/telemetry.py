@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailframe.functions import nmea
 from trailframe.functions import records as R
 from trailframe.functions import timeparse as P
+from trailframe.functions.binding import let, with_computed
 from trailframe.operators import ordered as O
 from trailframe.operators.ordered import Ordered
 
@@ -30,11 +31,13 @@ def sentence_rank(type_: Column) -> Column:
 
 def read_log(lines: DataFrame, line: str = "line") -> DataFrame:
     """Dash-cam lines to ``epoch_s`` and parsed sentence ``s``; other lines are skipped."""
-    stamped = lines.withColumn("_l", nmea.split_log_line(F.col(line))).filter("_l IS NOT NULL")
-    parsed = stamped.withColumns(
-        {"epoch_s": F.col("_l.epoch_s"), "s": nmea.parse_sentence(F.col("_l.sentence"))}
+    split = let(
+        nmea.split_log_line(F.col(line)),
+        lambda p: F.struct(p["epoch_s"].alias("epoch_s"), nmea.parse_sentence(p["sentence"]).alias("s")),
     )
-    return parsed.filter("s IS NOT NULL").drop("_l", line)
+    parsed = with_computed(lines, _l=split).drop(line)
+    rest = [c for c in parsed.columns if c != "_l"]
+    return parsed.filter("_l.s IS NOT NULL").select(*rest, "_l.*")
 
 
 def clock_offsets(log: DataFrame, key: str) -> DataFrame:
@@ -84,7 +87,7 @@ def nmea_track(lines: DataFrame, keys: list[str], max_rows: int | None = None) -
     Lines before the first dated sentence take its day. Logs without one turn
     into error rows (``time`` null).
     """
-    parsed = lines.withColumn("s", nmea.parse_sentence(F.col("line")))
+    parsed = with_computed(lines, s=nmea.parse_sentence(F.col("line")))
     useful = parsed.filter("s IS NOT NULL AND (line LIKE '%GPRMC%' OR line LIKE '%$GPGGA%')")
     day = F.when(F.col("line").contains("GPRMC"), F.col("s.day"))
     rows = Ordered.of(useful, keys, ["ord"], max_rows)
@@ -150,7 +153,7 @@ def align_lists(
     texts = lambda tag: F.coalesce(F.try_element_at(F.col("tags"), F.lit(tag)), F.array().cast("array<string>"))
     numbers = lambda tag: F.transform(texts(tag), lambda x: F.trim(x).try_cast("double"))
     stamps = lambda tag: F.transform(texts(tag), lambda x: P.as_unix_time(P.parse_gps_datetime(x)))
-    df = tags.withColumns({"_lon": numbers(lon), "_lat": numbers(lat)})
+    df = with_computed(tags, _lon=numbers(lon), _lat=numbers(lat))
     size = F.size("_lat")
     ok = F.size("_lon") == size
     nulls = F.array_repeat(F.lit(None).cast("double"), size)
