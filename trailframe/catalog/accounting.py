@@ -46,16 +46,16 @@ def a10(spark, sf_dir):
     return B.upload_counts(stats(spark, sf_dir), failed)
 
 
-UPLOADS = f"""{CAP}, ue AS (SELECT track_id, ord, time AS at, CASE WHEN row_number() OVER w = 1 AND track_id % 4 <> 0 THEN 'upload_start'
+UPLOADS = f"""{CAP}, ue AS (SELECT track_id, ord, time AS tm, CASE WHEN row_number() OVER w = 1 AND track_id % 4 <> 0 THEN 'upload_start'
     WHEN row_number() OVER r = 1 THEN 'upload_end' WHEN ord % 3 = 0 THEN 'upload_fetch_offset' WHEN ord % 3 = 1 THEN 'upload_progress' ELSE 'upload_retrying' END AS event,
     ord % 1000 + 5 AS "offset" FROM cap WINDOW w AS (PARTITION BY track_id ORDER BY time, ord), r AS (PARTITION BY track_id ORDER BY time DESC, ord DESC))"""
 
 
 @query(
     "a11_upload_timing",
-    f"""WITH {UPLOADS}, l AS (SELECT *, last_value(CASE WHEN event IN ('upload_start', 'upload_fetch_offset', 'upload_retrying') THEN struct_pack(o := event <> 'upload_retrying', t := at) END IGNORE NULLS)
-        OVER (PARTITION BY track_id ORDER BY at, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ue)
-      SELECT track_id, round(coalesce(sum(CASE WHEN event IN ('upload_retrying', 'upload_end') AND p.o THEN at - p.t END), 0), 3) AS upload_total_time,
+    f"""WITH {UPLOADS}, l AS (SELECT *, last_value(CASE WHEN event IN ('upload_start', 'upload_fetch_offset', 'upload_retrying') THEN struct_pack(o := event <> 'upload_retrying', t := tm) END IGNORE NULLS)
+        OVER (PARTITION BY track_id ORDER BY tm, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ue)
+      SELECT track_id, round(coalesce(sum(CASE WHEN event IN ('upload_retrying', 'upload_end') AND p.o THEN tm - p.t END), 0), 3) AS upload_total_time,
         CASE WHEN bool_or(event = 'upload_start') THEN 0 ELSE min(CASE WHEN event = 'upload_fetch_offset' THEN "offset" END) END AS upload_first_offset FROM l GROUP BY track_id""",
 )
 def a11(spark, sf_dir):

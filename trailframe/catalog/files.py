@@ -188,7 +188,10 @@ def s9(spark, sf_dir):
         (n % 7).cast("string"), F.lit("</IFD0:Make>"), altitude, F.lit("</rdf:Description>"),
     )
     df = table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), n.alias("ord"), value.alias("value"))
-    path = per_user_files(df, spark, "xml")
+    users = df.select("track_id").distinct()
+    head = users.select("track_id", F.lit(-1).alias("ord"), F.lit("<rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#'>").alias("value"))
+    tail = users.select("track_id", F.lit(2**62).alias("ord"), F.lit("</rdf:RDF>").alias("value"))
+    path = per_user_files(head.unionByName(df).unionByName(tail), spark, "xml")
     return readers.read_descriptions(spark, path).select("path", "tag", "text")
 
 

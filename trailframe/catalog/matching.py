@@ -255,9 +255,9 @@ def x1(spark, sf_dir):
     return both.select("ord", "track_id", F.col("error.type").alias("error_type"))
 
 
-@query("x2_paths_not_yet_handled", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("x2_paths_not_yet_handled", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def x2(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey").join(done, "c_custkey", "left_anti")
 
 

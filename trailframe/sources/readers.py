@@ -131,27 +131,36 @@ def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("time IS NOT NULL")
 
 
-_ELEMENT = r"(?s)^\s*<([A-Za-z0-9_.:-]+)[^>]*>(.*)</"
-_EMPTY = r"^\s*<[^>]*/>"
+_DESCRIPTION_END = "</rdf:Description>"
+_DESCRIPTION = r"(?s)<rdf:Description\b([^>]*)>(.*)$"
+_ABOUT = r"(?s)rdf:about\s*=\s*(['\"])(.*?)\1"
+# A child element: its name, then its text unless it is empty.
+_ELEMENT = r"(?s)<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^>]*?)?(?:/>|>(.*?)</\1\s*>)"
 
 
 def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
     """Elements of tool XML files: ``source, path, ord, tag, text`` per described file.
 
-    Of several descriptions of one path the last counts.
+    The files are split at the end of each description, so one file may be read
+    by many tasks. Of several descriptions of one path the last counts; elements
+    without text of their own have none.
     """
-    reader = spark.read.format("xml").option("rowTag", "rdf:Description").option("wildcardColName", "any")
-    rows = reader.option("recursiveFileLookup", "true").schema("`_rdf:about` string, any array<string>").load(path)
-    found = rows.filter("`_rdf:about` IS NOT NULL").select(
+    reader = spark.read.option("lineSep", _DESCRIPTION_END).option("recursiveFileLookup", "true")
+    chunks = reader.text(path).filter(F.col("value").rlike(_DESCRIPTION))
+    part = lambda i: F.regexp_extract("value", _DESCRIPTION, i)
+    found = chunks.select(
         F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("source"),
-        paths.resolve(F.col("`_rdf:about`")).alias("path"),
-        F.monotonically_increasing_id().alias("place"),
-        "any",
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        _unescape(F.regexp_extract(part(1), _ABOUT, 2)).alias("about"),
+        part(2).alias("body"),
     )
-    last = found.groupBy("path").agg(F.max_by(F.struct("source", "any"), F.struct("source", "place")).alias("_r"))
-    items = last.select("path", "_r.source", F.posexplode("_r.any").alias("ord", "_x"))
-    text = F.when(~F.col("_x").rlike(_EMPTY), _unescape(F.regexp_extract("_x", _ELEMENT, 2)))
-    return items.select("source", "path", "ord", F.regexp_extract("_x", _ELEMENT, 1).alias("tag"), text.alias("text"))
+    placed = found.filter("about <> ''").withColumn("path", paths.resolve(F.col("about")))
+    last = placed.groupBy("path").agg(F.max_by(F.struct("source", "body"), F.struct("source", "place")).alias("_r"))
+    group = lambda i: F.regexp_extract_all(F.col("_r.body"), F.lit(_ELEMENT), F.lit(i))
+    pairs = F.posexplode(F.arrays_zip(group(1).alias("tag"), group(2).alias("text"))).alias("ord", "_e")
+    items = last.select("path", "_r.source", pairs)
+    own = F.when(~F.col("_e.text").contains("<") & (F.col("_e.text") != ""), _unescape(F.col("_e.text")))
+    return items.select("source", "path", "ord", F.col("_e.tag").alias("tag"), own.alias("text"))
 
 
 # The named entities of XML.
