@@ -214,8 +214,8 @@ def w3(spark, sf_dir):
             total, run = 0, run + 1 if run >= 0 else 0
         return (total, max(run, 0)), {"run": max(run, 0)}
 
-    state_type = T.StructType().add("total", "long").add("run", "int")
-    out = fold_any(value, ["track_id"], ORDER, (0, -1), state_type, T.StructType().add("run", "int"), python_step)
+    state_type = T.StructType().add("total", "long").add("run", "integer")
+    out = fold_any(value, ["track_id"], ORDER, (0, -1), state_type, T.StructType().add("run", "integer"), python_step)
     return out.select("ord", "run")
 
 

@@ -106,8 +106,8 @@ def split_by_distance_gap(captures: Ordered, cutoff: float, name: str = "run") -
 
 def with_step_distance(captures: Ordered, name: str) -> Ordered:
     """Chord distance from the previous row (null on the first)."""
-    paired = captures.add(_xyz=geo.ecef(F.col("lat"), F.col("lon"))).scan(_p=O.prev(F.col("_xyz")))
-    return paired.add(**{name: geo.chord(F.col("_p"), F.col("_xyz"))}).drop("_xyz", "_p")
+    paired = captures.add(at_xyz=geo.ecef(F.col("lat"), F.col("lon"))).scan(_p=O.prev(F.col("at_xyz")))
+    return paired.add(**{name: geo.chord(F.col("_p"), F.col("at_xyz"))}).drop("at_xyz", "_p")
 
 
 def split_by_total(
@@ -120,17 +120,17 @@ def split_by_total(
     max_rows: int | None = None,
 ) -> DataFrame:
     """Split where the running total passes ``limit``; it restarts at each split."""
-    valued = df.withColumn("_amount", amount.cast("bigint"))
+    valued = df.withColumn("step_amount", amount.cast("bigint"))
     bound = max_rows if max_rows is not None else O.largest_group(df, keys)
     if bound <= MAX_ARRAY_ROWS:
 
         def step(state: Column, row: Column) -> tuple[Column, Column]:
-            total = state["total"] + row["_amount"]
+            total = state["total"] + row["step_amount"]
             over = total > limit
             part = state["part"] + F.when(over & state["any"], 1).otherwise(0)
             return (
                 F.struct(
-                    F.when(over, row["_amount"]).otherwise(total).alias("total"),
+                    F.when(over, row["step_amount"]).otherwise(total).alias("total"),
                     part.alias("part"),
                     F.lit(True).alias("any"),
                 ),
@@ -140,19 +140,19 @@ def split_by_total(
         init = F.struct(F.lit(0).alias("total"), F.lit(0).alias("part"), F.lit(False).alias("any"))
         state = "struct<total:bigint,part:int,any:boolean>"
         out = fold_bounded(valued, keys, order, init, state, f"struct<{name}:int>", step)
-        return out.drop("_amount")
+        return out.drop("step_amount")
 
     def python_step(state, row):
         total, part, started = state
-        total += row._amount
+        total += row.step_amount
         if total > limit:
-            total, part = row._amount, part + (1 if started else 0)
+            total, part = row.step_amount, part + (1 if started else 0)
         return (total, part, True), {name: part}
 
-    state_type = T.StructType().add("total", "long").add("part", "int").add("started", "boolean")
-    out_type = T.StructType().add(name, "int")
+    state_type = T.StructType().add("total", "long").add("part", "integer").add("started", "boolean")
+    out_type = T.StructType().add(name, "integer")
     folded = fold_any(valued, keys, order, (0, 0, False), state_type, out_type, python_step)
-    return folded.drop("_amount")
+    return folded.drop("step_amount")
 
 
 def pixels() -> Column:
@@ -216,24 +216,24 @@ def mark_duplicates(
     max_rows: int | None = None,
 ) -> DataFrame:
     """Compare every row with the last kept one; adds ``duplicate``, ``distance``, ``angle_diff``."""
-    located = df.withColumn("_xyz", geo.ecef(F.col("lat"), F.col("lon")))
+    located = df.withColumn("at_xyz", geo.ecef(F.col("lat"), F.col("lon")))
     bound = max_rows if max_rows is not None else O.largest_group(df, keys)
     out_ddl = "struct<duplicate:boolean,distance:double,angle_diff:double>"
     if bound <= MAX_ARRAY_ROWS:
 
         def step(state: Column, row: Column) -> tuple[Column, Column]:
             verdict = _duplicate_of(state["xyz"], state["angle"], row, max_distance, max_angle)
-            kept = F.struct(row["_xyz"].alias("xyz"), row["angle"].alias("angle"))
+            kept = F.struct(row["at_xyz"].alias("xyz"), row["angle"].alias("angle"))
             return F.when(verdict["duplicate"], state).otherwise(kept), verdict
 
         xyz = "struct<x:double,y:double,z:double>"
         init = F.struct(F.lit(None).cast(xyz).alias("xyz"), F.lit(None).cast("double").alias("angle"))
         state = f"struct<xyz:{xyz},angle:double>"
-        return fold_bounded(located, keys, order, init, state, out_ddl, step).drop("_xyz")
+        return fold_bounded(located, keys, order, init, state, out_ddl, step).drop("at_xyz")
 
     def python_step(state, row):
         x, y, z, angle = state
-        here = row._xyz
+        here = row.at_xyz
         distance = diff = None
         duplicate = False
         if x is not None:
@@ -253,13 +253,13 @@ def mark_duplicates(
         T.StructType().add("duplicate", "boolean").add("distance", "double").add("angle_diff", "double")
     )
     none = (None, None, None, None)
-    return fold_any(located, keys, order, none, state_type, out_type, python_step).drop("_xyz")
+    return fold_any(located, keys, order, none, state_type, out_type, python_step).drop("at_xyz")
 
 
 def _duplicate_of(
     kept_xyz: Column, kept_angle: Column, row: Column, max_distance: float, max_angle: float
 ) -> Column:
-    distance = geo.chord(kept_xyz, row["_xyz"])
+    distance = geo.chord(kept_xyz, row["at_xyz"])
     diff = geo.diff_bearing(kept_angle, row["angle"])
     close = F.coalesce(distance <= max_distance, F.lit(False))
     aligned = kept_angle.isNull() | row["angle"].isNull() | (diff <= max_angle)
@@ -287,12 +287,12 @@ def mark_zigzag(captures: Ordered, limits: Limits, name: str = "zigzag") -> Orde
     ``_depth`` says how many rows before this one are outliers seen from here.
     """
     window = limits.zigzag_window
-    located = captures.add(_xyz=geo.ecef(F.col("lat"), F.col("lon")))
+    located = captures.add(at_xyz=geo.ecef(F.col("lat"), F.col("lon")))
     looked = located.scan(
         _count=O.group_total(F.lit(1)),
-        **{f"_b{k}": O.prev(F.col("_xyz"), k) for k in range(1, window + 1)},
+        **{f"_b{k}": O.prev(F.col("at_xyz"), k) for k in range(1, window + 1)},
     )
-    ref, here = F.col(f"_b{window}"), F.col("_xyz")
+    ref, here = F.col(f"_b{window}"), F.col("at_xyz")
     back = geo.chord(here, ref)
 
     def away(k: int) -> Column:
@@ -314,7 +314,7 @@ def mark_zigzag(captures: Ordered, limits: Limits, name: str = "zigzag") -> Orde
     flagged = ahead.add(_hit=(hit & (F.col("_count") > window)).cast("int"))
     counted = flagged.scan(_hits=O.group_total(F.col("_hit")))
     verdict = (F.col("_hit") == 1) & (F.col("_hits") >= limits.zigzag_min_count)
-    temps = ["_xyz", "_count", "_depth", "_hit", "_hits"]
+    temps = ["at_xyz", "_count", "_depth", "_hit", "_hits"]
     temps += [f"_b{k}" for k in range(1, window + 1)] + [f"_a{k}" for k in range(1, window)]
     return counted.add(**{name: verdict}).drop(*temps)
 
@@ -412,7 +412,7 @@ def _check_runs(df: DataFrame, keys: list[str], order: list[str], limits: Limits
     """One fold per count/time run: byte and pixel splits, null island, duplicates."""
     prepared = df.withColumns(
         {
-            "_xyz": geo.ecef(F.col("lat"), F.col("lon")),
+            "at_xyz": geo.ecef(F.col("lat"), F.col("lon")),
             "_bytes": F.coalesce(F.col("filesize"), F.lit(0)).cast("bigint"),
             "_px": pixels(),
         }
@@ -443,7 +443,7 @@ def _check_runs(df: DataFrame, keys: list[str], order: list[str], limits: Limits
             sub.alias("sub"),
             F.when(by_bytes, row["_bytes"]).otherwise(total_bytes).alias("bytes"),
             F.when(split, row["_px"]).otherwise(total_px).alias("px"),
-            F.when(dropped, kept_xyz).otherwise(row["_xyz"]).alias("xyz"),
+            F.when(dropped, kept_xyz).otherwise(row["at_xyz"]).alias("xyz"),
             F.when(dropped, kept_angle).otherwise(row["angle"]).alias("angle"),
         )
         issue = F.when(island, R.NULL_ISLAND).when(verdict["duplicate"], R.DUPLICATION)
@@ -463,7 +463,7 @@ def _check_runs(df: DataFrame, keys: list[str], order: list[str], limits: Limits
         F.lit(None).cast("double").alias("angle"),
     )
     folded = fold_bounded(prepared, keys, order, init, state_type, out_type, step)
-    return folded.drop("_xyz", "_bytes", "_px")
+    return folded.drop("at_xyz", "_bytes", "_px")
 
 
 def _check_runs_unbounded(

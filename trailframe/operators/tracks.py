@@ -329,14 +329,14 @@ def sample_by_distance(
     df: DataFrame, keys: list[str], order: list[str], min_distance: float, max_rows: int | None = None
 ) -> DataFrame:
     """Keep the first row, then each row farther than ``min_distance`` from the last kept."""
-    located = df.withColumn("_xyz", geo.ecef(F.col("lat"), F.col("lon")))
+    located = df.withColumn("at_xyz", geo.ecef(F.col("lat"), F.col("lon")))
     bound = max_rows if max_rows is not None else O.largest_group(df, keys)
     if bound <= MAX_ARRAY_ROWS:
         xyz = "struct<x:double,y:double,z:double>"
 
         def step(state: Column, row: Column) -> tuple[Column, Column]:
-            keep = F.coalesce(geo.chord(state["xyz"], row["_xyz"]) > min_distance, state["xyz"].isNull())
-            here = F.struct(row["_xyz"].alias("xyz"))
+            keep = F.coalesce(geo.chord(state["xyz"], row["at_xyz"]) > min_distance, state["xyz"].isNull())
+            here = F.struct(row["at_xyz"].alias("xyz"))
             return F.when(keep, here).otherwise(state), F.struct(keep.alias("_keep"))
 
         init = F.struct(F.lit(None).cast(xyz).alias("xyz"))
@@ -347,7 +347,7 @@ def sample_by_distance(
 
         def python_step(state, row):
             x, y, z = state
-            p = row._xyz
+            p = row.at_xyz
             keep = x is None or (
                 ((x - p["x"]) ** 2 + (y - p["y"]) ** 2 + (z - p["z"]) ** 2) ** 0.5 > min_distance
             )
@@ -356,7 +356,7 @@ def sample_by_distance(
         state_type = T.StructType([T.StructField(n, T.DoubleType()) for n in "xyz"])
         out_type = T.StructType().add("_keep", "boolean")
         folded = fold_any(located, keys, order, (None, None, None), state_type, out_type, python_step)
-    return folded.filter("_keep").drop("_keep", "_xyz")
+    return folded.filter("_keep").drop("_keep", "at_xyz")
 
 
 def sample_frames(
