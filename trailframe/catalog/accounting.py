@@ -8,7 +8,6 @@ from trailframe.catalog.base import CAP, captures, query, table
 from trailframe.functions import records as R
 from trailframe.operators import accounting as B
 
-o = F.col("ord")
 
 STATS = """st AS (SELECT l_orderkey, CASE WHEN l_linenumber % 3 = 0 THEN 'image' WHEN l_linenumber % 3 = 1 THEN 'camm' END AS file_type,
     CASE WHEN l_linenumber % 3 = 0 THEN l_partkey % 50 END AS sequence_image_count, (l_extendedprice * 100)::BIGINT AS entity_size,
@@ -59,6 +58,7 @@ UPLOADS = f"""{CAP}, ue AS (SELECT track_id, ord, time AS tm, CASE WHEN row_numb
         CASE WHEN bool_or(event = 'upload_start') THEN 0 ELSE min(CASE WHEN event = 'upload_fetch_offset' THEN "offset" END) END AS upload_first_offset FROM l GROUP BY track_id""",
 )
 def a11(spark, sf_dir):
+    o = F.col("ord")
     from trailframe.operators import ordered as O
 
     cap = captures(spark, sf_dir).select("track_id", "ord", "time")
@@ -79,6 +79,7 @@ def a11(spark, sf_dir):
       SELECT seq, file, ord, row_number() OVER (PARTITION BY seq ORDER BY time, file) AS position FROM d JOIN (SELECT ord, time FROM cap) USING (ord)""",
 )
 def a2(spark, sf_dir):
+    o = F.col("ord")
     from trailframe.operators import ordered as O
 
     df = captures(spark, sf_dir).select(
@@ -106,6 +107,7 @@ def a13(spark, sf_dir):
       FROM cap GROUP BY track_id""",
 )
 def a14(spark, sf_dir):
+    o = F.col("ord")
     df = captures(spark, sf_dir).withColumn("handle", F.concat(F.lit("h"), o.cast("string")))
     return B.manifests(df, "track_id", ["time", "basename"]).select("track_id", "manifest")
 
@@ -113,6 +115,7 @@ def a14(spark, sf_dir):
 @query("a14_manifest_rows",
     f"WITH {CAP} SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY time, basename) - 1 AS position, 'h' || ord AS handle FROM cap")
 def a14_rows(spark, sf_dir):
+    o = F.col("ord")
     df = captures(spark, sf_dir).withColumn("handle", F.concat(F.lit("h"), o.cast("string")))
     return B.manifest_rows(df, "track_id", ["time", "basename"])
 
@@ -122,6 +125,7 @@ SUMMARY = f"""{CAP}, r AS (SELECT CASE ord % 4 WHEN 0 THEN 'video' WHEN 1 THEN '
 
 
 def summarised(spark, sf_dir):
+    o = F.col("ord")
     err = F.when(o % 10 == 3, R.error(R.DUPLICATION, "x")).when(o % 10 == 7, R.error(R.ZIGZAG, "x"))
     kind = F.when(o % 4 == 0, "video").when(o % 4 == 1, "gopro").otherwise("image")
     return captures(spark, sf_dir).select(kind.alias("filetype"), "filesize", err.alias("error"))
@@ -148,6 +152,7 @@ def f11(spark, sf_dir):
 
 def flawed(spark, sf_dir):
     """Captures with a few broken records."""
+    o = F.col("ord")
     cap = captures(spark, sf_dir)
     seq = F.when(o % 29 == 5, "!!").otherwise(F.concat(F.lit("s"), F.col("track_id").cast("string")))
     return cap.withColumns(
@@ -168,6 +173,7 @@ def flawed(spark, sf_dir):
         WHEN event_id % 7 = 2 THEN 'No such file /cap/' || user_id || '/' || lpad(event_id::VARCHAR, 9, '0') || '.jpg' END AS message FROM events""",
 )
 def f9(spark, sf_dir):
+    o = F.col("ord")
     files = captures(spark, sf_dir).filter(o % 7 != 2).select(F.col("filename").alias("path"))
     out = B.require_files(B.validate(flawed(spark, sf_dir)), files)
     return out.select("ord", F.col("error.type").alias("error_type"), "error.message")
@@ -175,6 +181,7 @@ def f9(spark, sf_dir):
 
 @query("f15_fill_sequence_id", "SELECT event_id AS ord, CASE WHEN event_id % 3 = 0 THEN 'run-1' ELSE user_id::VARCHAR END AS sequence_id FROM events")
 def f15(spark, sf_dir):
+    o = F.col("ord")
     df = captures(spark, sf_dir).select("ord", F.when(o % 3 != 0, F.col("track_id")).alias("sequence_id"))
     return B.fill_sequence_id(df, "run-1")
 

@@ -14,8 +14,6 @@ from trailframe.operators import telemetry as M
 from trailframe.runtime import scratch_path
 from trailframe.sources import readers, writers
 
-o = F.col("ord")
-
 
 def per_user_files(df, spark, label):
     """One text file per user from ``(track_id, ord, value)`` rows, lines in order."""
@@ -30,6 +28,7 @@ def user_of(column: str = "file"):
 
 
 def user_lines(spark, sf_dir):
+    o = F.col("ord")
     return captures(spark, sf_dir).select("track_id", "ord", F.concat(F.lit("line "), o.cast("string")).alias("value"))
 
 
@@ -65,6 +64,7 @@ RECORDS = f"""{CAP}, rec AS (SELECT *, ord % 9 = 4 AS bad FROM cap)"""
 
 
 def with_errors(spark, sf_dir):
+    o = F.col("ord")
     cap = captures(spark, sf_dir)
     return cap.withColumns(
         {"sequence_id": F.col("track_id"), "error": F.when(o % 9 == 4, R.error(R.ZIGZAG, "jumps", k=o))}
@@ -107,6 +107,7 @@ def s4(spark, sf_dir):
 
 
 def gpx_points(spark, sf_dir):
+    o = F.col("ord")
     return captures(spark, sf_dir).select(
         F.col("track_id").cast("string").alias("track"), "ord", "time", "lat", "lon", "alt", F.col("basename").alias("name"),
         F.when(o % 4 == 0, F.col("time") + 60).alias("gps_epoch"),

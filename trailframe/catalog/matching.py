@@ -11,7 +11,6 @@ from trailframe.operators import matching as X
 from trailframe.operators import ordered as O
 from trailframe.operators.ordered import Ordered
 
-o = F.col("ord")
 text = lambda c: c.cast("string")
 
 # A listing: frames of user videos, stills, and other files, from the events.
@@ -74,6 +73,7 @@ def f2(spark, sf_dir):
 @query("f3_source_filter_split",
     f"WITH {LISTING} SELECT ord, CASE ord % 5 WHEN 3 THEN false WHEN 4 THEN ord % 2 = 0 OR ord % 3 = 0 ELSE ord % 3 <> 0 OR ord % 2 = 0 END AS taken FROM li")
 def f3(spark, sf_dir):
+    o = F.col("ord")
     allowed = F.when(o % 2 == 0, F.lit(None)).when(o % 3 == 0, F.array(F.lit("gopro"))).otherwise(F.array(F.lit("image")))
     return listing(spark, sf_dir).select("ord", paths.passes_filter(paths.media_kind(F.col("path")), allowed).alias("taken"))
 
@@ -115,6 +115,7 @@ def j9(spark, sf_dir):
 )
 def j10(spark, sf_dir):
     """Frames are every fifth event of a user; the other events are the video's GPS."""
+    o = F.col("ord")
     cap = captures(spark, sf_dir)
     u = text(F.col("track_id"))
     video = F.concat(F.lit("/m/v"), u, F.lit(".MP4"))
@@ -190,6 +191,7 @@ def j12_pattern(spark, sf_dir):
 )
 def j13(spark, sf_dir):
     # Two events may name one frame file; keep files unique by their event.
+    o = F.col("ord")
     images = listing(spark, sf_dir).filter(paths.media_kind(F.col("path")) == "image")
     unique = images.withColumn("path", F.regexp_replace("path", r"\.(\w+)$", F.concat(F.lit("-"), text(o), F.lit(".$1"))))
     frames = X.match_frames(unique.select("ord", "path"), videos(spark, sf_dir)).withColumn("origin", F.lit("frame"))
@@ -209,6 +211,7 @@ CASCADE = f"""{CAP}, a AS (SELECT ord, CASE ord % 4 WHEN 0 THEN NULL WHEN 1 THEN
       WHERE n = 2 OR e IS NULL OR e = 'GPSNoiseError' GROUP BY ord""",
 )
 def j14(spark, sf_dir):
+    o = F.col("ord")
     cap = captures(spark, sf_dir)
     err = lambda t: R.error(t, "no position")
     a = cap.filter(o % 5 != 4).select(
@@ -224,6 +227,7 @@ def j14(spark, sf_dir):
 
 @query("f14_retryable_errors", "SELECT event_id AS ord, event_id % 4 IN (0, 1) AS retryable FROM events")
 def f14(spark, sf_dir):
+    o = F.col("ord")
     err = (
         F.when(o % 4 == 0, R.error(R.GEOTAGGING, "x")).when(o % 4 == 1, R.error(R.TOOL_NOT_FOUND, "x"))
         .when(o % 4 == 2, R.error(R.DUPLICATION, "x"))
@@ -233,6 +237,7 @@ def f14(spark, sf_dir):
 
 @query("j17_records_with_files", "SELECT event_id AS ord FROM events WHERE event_id % 3 <> 0")
 def j17(spark, sf_dir):
+    o = F.col("ord")
     cap = captures(spark, sf_dir).select("ord", "filename")
     dotted = cap.withColumn("filename", F.regexp_replace("filename", "^/cap/", "/cap/./"))
     files = cap.filter(o % 3 != 0).select(F.col("filename").alias("path"))
@@ -241,6 +246,7 @@ def j17(spark, sf_dir):
 
 @query("f4_good_and_error_rows", "SELECT event_id % 3 = 0 AS bad, count(*) AS n FROM events GROUP BY ALL")
 def f4(spark, sf_dir):
+    o = F.col("ord")
     cap = captures(spark, sf_dir).withColumn("error", F.when(o % 3 == 0, R.error(R.ZIGZAG, "x")))
     count = lambda df, bad: df.groupBy(F.lit(bad).alias("bad")).agg(F.count(F.lit(1)).alias("n"))
     return count(X.good_rows(cap), False).unionByName(count(X.error_rows(cap), True))
@@ -248,6 +254,7 @@ def f4(spark, sf_dir):
 
 @query("x1_results_and_errors_union", "SELECT event_id AS ord, CASE WHEN event_id % 3 <> 0 THEN user_id END AS track_id, CASE WHEN event_id % 3 = 0 THEN 'ZigZagError' END AS error_type FROM events")
 def x1(spark, sf_dir):
+    o = F.col("ord")
     cap = captures(spark, sf_dir)
     good = cap.filter(o % 3 != 0).select("ord", "track_id")
     bad = cap.filter(o % 3 == 0).select("ord", R.error(R.ZIGZAG, "x").alias("error"))

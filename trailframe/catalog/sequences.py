@@ -459,10 +459,11 @@ def w30_numbered(spark, sf_dir):
 )
 def a25(spark, sf_dir):
     """Rows in = rows in sequences + error rows, each exactly once."""
-    raw = captures(spark, sf_dir).agg(F.count(F.lit(1)).alias("captures_in"))
+    raw = captures(spark, sf_dir).select("ord", F.lit(1).alias("_in"), F.lit(0).alias("_out"))
     cleaned = S.clean_captures(flagship_input(spark, sf_dir), LIMITS)
-    per_row = cleaned.groupBy("ord").agg(
-        F.sum(F.when(F.col("seq").isNotNull() != F.col("issue").isNotNull(), 1).otherwise(0)).alias("hits")
+    placed = F.when(F.col("seq").isNotNull() != F.col("issue").isNotNull(), 1).otherwise(0)
+    both = raw.unionByName(cleaned.select("ord", F.lit(0).alias("_in"), placed.alias("_out")))
+    per_row = both.groupBy("ord").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
+    return per_row.agg(
+        F.sum("_in").alias("captures_in"), F.sum("_out").alias("accounted"), F.count(F.lit(1)).alias("distinct_rows")
     )
-    out = per_row.agg(F.sum("hits").alias("accounted"), F.count(F.lit(1)).alias("distinct_rows"))
-    return raw.join(F.broadcast(out))

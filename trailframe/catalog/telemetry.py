@@ -11,14 +11,13 @@ from trailframe.functions import tags as G
 from trailframe.functions import telemetry as Y
 from trailframe.operators import telemetry as M
 
-eid = F.col("event_id")
-
 
 def dashcam_lines(spark, sf_dir):
     """One dash-cam line per event: camera clock behind by an hour, some junk.
 
     Users differ in the sentence types they log; every seventh line is damaged.
     """
+    eid = F.col("event_id")
     df = events(spark, sf_dir)
     user = F.col("user_id")
     day = F.concat(F.substring("t_day", 9, 2), F.substring("t_day", 6, 2), F.substring("t_day", 3, 2))
@@ -76,13 +75,15 @@ def a16(spark, sf_dir):
         CASE WHEN kind = 1 THEN ord % 90 + 0.5e0 END AS alt, CASE WHEN kind = 1 THEN 3 END AS fix FROM v JOIN off USING (file) WHERE kind = mk""",
 )
 def c28(spark, sf_dir):
-    points = M.log_points(M.read_log(dashcam_lines(spark, sf_dir)), "file")
+    lines = dashcam_lines(spark, sf_dir)
+    points = M.log_points(M.read_log(lines), "file", sized_by=[lines])
     return points.select(
         "file", "ord", "time", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "alt", "fix"
     )
 
 
 def raw_points(spark, sf_dir):
+    eid = F.col("event_id")
     df = events(spark, sf_dir)
     return df.withColumns(
         {
@@ -109,6 +110,7 @@ def c30(spark, sf_dir):
     """SELECT event_id, 946684800 + (event_id % 9000) * 86400 + (event_id % 86400000) / 1e3 AS epoch_time, round((event_id % 900) / 1e2 * 100, 6) AS precision, [0, 2, 3][event_id % 3 + 1]::BIGINT AS fix FROM events""",
 )
 def c31(spark, sf_dir):
+    eid = F.col("event_id")
     fix = F.when(eid % 3 == 0, 0).when(eid % 3 == 1, 2).otherwise(3)
     raw = F.array(eid, eid, eid, eid, eid, eid % 9000, eid % 86400000, eid % 900, fix.cast("bigint"))
     scales = F.array(*[F.lit(x) for x in (10000000, 10000000, 1000, 1000, 100, 1, 1000, 100, 1)])
@@ -123,6 +125,7 @@ def c31(spark, sf_dir):
       FROM (SELECT event_id, event_id % 100 AS x, event_id % 70 AS y, event_id % 30 AS z FROM events)""",
 )
 def c32(spark, sf_dir):
+    eid = F.col("event_id")
     values = F.array(eid % 100, eid % 70, eid % 30)
     real = F.array(*[F.lit(v) for v in (0.5, 0.25, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)])
     swap = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 1.0)])
@@ -148,6 +151,7 @@ def c33(spark, sf_dir):
 @query("c34_edit_list_units",
     "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE event_id / 90000e0 END AS media_time, (event_id % 1000) / 600e0 AS duration FROM events")
 def c34(spark, sf_dir):
+    eid = F.col("event_id")
     ticks = F.when(eid % 5 == 0, -1).otherwise(eid)
     seg = Y.edit_to_seconds(ticks, eid % 1000, F.lit(90000), F.lit(600))
     return events(spark, sf_dir).select("event_id", seg.alias("s")).select("event_id", "s.*")
@@ -155,6 +159,7 @@ def c34(spark, sf_dir):
 
 def element_stream(spark, sf_dir):
     """Per user: sample time markers, sometimes a duration, then two readings."""
+    eid = F.col("event_id")
     df = events(spark, sf_dir)
     marker = eid % 4 == 0
     item = lambda i, tag, text, when: F.struct(
@@ -219,6 +224,7 @@ NAMES = "CASE event_id % 9 WHEN 0 THEN 'Hero' || (event_id % 12) || ' Black' WHE
       FROM (SELECT user_id, {NAMES} AS name FROM events WHERE event_id % 200 < 10) GROUP BY user_id""",
 )
 def a19(spark, sf_dir):
+    eid = F.col("event_id")
     i = eid % 9
     name = (
         F.when(i == 0, F.concat(F.lit("Hero"), (eid % 12).cast("string"), F.lit(" Black")))
@@ -237,6 +243,7 @@ def a19(spark, sf_dir):
       SELECT o.file, ord FROM o JOIN b USING (file, sample) WHERE (stream, CASE WHEN vals = 9 THEN 0 ELSE 1 END) = best""",
 )
 def a20(spark, sf_dir):
+    eid = F.col("event_id")
     df = events(spark, sf_dir).select(
         F.col("user_id").alias("file"), eid.alias("ord"), F.floor(eid / 100).alias("sample"),
         (eid % 3).alias("device"), (eid % 3).alias("device_no"), (eid % 2).alias("stream"),
@@ -285,6 +292,7 @@ def a22(spark, sf_dir):
       SELECT file, ord, source FROM (SELECT *, min(source) OVER (PARTITION BY file) AS b FROM p) WHERE source = b""",
 )
 def a23(spark, sf_dir):
+    eid = F.col("event_id")
     u = F.col("user_id")
     source = F.when(u % 4 == 0, 2 + eid % 2).when(u % 4 == 1, eid % 3).otherwise(1 + eid % 4)
     df = events(spark, sf_dir).select(u.alias("file"), eid.alias("ord"), source.alias("source"))
@@ -297,6 +305,7 @@ def a23(spark, sf_dir):
       max(CASE WHEN event_id % 3 = 1 THEN 'f' || event_id END) AS "1" FROM events GROUP BY ALL""",
 )
 def o6(spark, sf_dir):
+    eid = F.col("event_id")
     stream = F.when(eid % 3 == 0, "v").when(eid % 3 == 1, "1").otherwise("2")
     df = events(spark, sf_dir).select(
         F.col("user_id").alias("file"), F.floor(eid / 3).alias("frame_idx"), stream.alias("stream"),

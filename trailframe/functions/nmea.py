@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.functions import timeparse as P
-from trailframe.functions.binding import let
+from trailframe.functions.binding import with_computed
 
 _SENTENCE = r"(?i)^\s*\$?(\w{2}(\w{3}),([^*]*))(?:\*([A-F0-9]{2}))?\s*$"
 _DEGREES = r"^(\d+)(\d\d\.\d+)$"
@@ -50,47 +50,44 @@ def _day(text: Column) -> Column:
     return P._days(year.cast("string"), part(2), part(1))
 
 
-def parse_sentence(line: Column) -> Column:
-    """``struct<type, valid, lat, lon, alt, quality, clock_us, day>``, null if malformed.
+def with_sentence(df: DataFrame, line: str, name: str = "s") -> DataFrame:
+    """Add ``struct<type, valid, lat, lon, alt, quality, clock_us, day>`` of a sentence.
 
-    ``type`` is null for sentences without a position; a wrong checksum makes
-    the whole sentence null.
+    The struct is null for a malformed sentence or a wrong checksum; its ``type``
+    is null where the sentence carries no position.
     """
-    return let(line, _parse_sentence)
-
-
-def _parse_sentence(line: Column) -> Column:
-    part = lambda i: F.regexp_extract(line, _SENTENCE, i)
-    given = F.upper(part(4))
-    expected = F.lpad(F.hex(checksum(part(1)).cast("bigint")), 2, "0")
-    intact = line.rlike(_SENTENCE) & ((given == "") | (expected == given))
-    pieces = F.struct(F.upper(part(2)).alias("kind"), F.split(part(3), ",").alias("data"))
-
-    def read(p: Column) -> Column:
-        kind, data = p["kind"], p["data"]
-
-        def field(name: str) -> Column:
-            out = None
-            for type_, places in FIELDS.items():
-                if name in places:
-                    value = F.get(data, F.lit(places[name]))
-                    out = F.when(kind == type_, value) if out is None else out.when(kind == type_, value)
-            return out
-
-        quality = field("quality").try_cast("int")
-        valid = F.when(kind == "GGA", quality.between(1, 5)).otherwise(field("status") == "A")
-        return F.struct(
-            F.when(kind.isin(list(FIELDS)), kind).alias("type"),
-            F.coalesce(valid, F.lit(False)).alias("valid"),
-            _degrees(field("lat"), field("ns"), "N", "S").alias("lat"),
-            _degrees(field("lon"), field("ew"), "E", "W").alias("lon"),
-            field("alt").try_cast("double").alias("alt"),
-            quality.alias("quality"),
-            _clock_us(field("clock")).alias("clock_us"),
-            _day(field("day")).alias("day"),
-        )
-
-    return F.when(intact, let(pieces, read))
+    part = lambda i: F.regexp_extract(F.col(line), _SENTENCE, i)
+    cut = with_computed(
+        df, _kind=F.upper(part(2)), _data=F.split(part(3), ","), _given=F.upper(part(4)), _body=part(1)
+    )
+    kind, data = F.col("_kind"), F.col("_data")
+    expected = F.lpad(F.hex(checksum(F.col("_body")).cast("bigint")), 2, "0")
+    intact = (F.col("_body") != "") & ((F.col("_given") == "") | (expected == F.col("_given")))
+
+    def field(name: str) -> Column:
+        out = None
+        for type_, places in FIELDS.items():
+            if name in places:
+                value = F.get(data, F.lit(places[name]))
+                out = F.when(kind == type_, value) if out is None else out.when(kind == type_, value)
+        return out
+
+    names = ("clock", "lat", "ns", "lon", "ew", "status", "day", "quality", "alt")
+    split = with_computed(cut, _intact=intact, **{f"_{n}": field(n) for n in names})
+    quality = F.col("_quality").try_cast("int")
+    valid = F.when(kind == "GGA", quality.between(1, 5)).otherwise(F.col("_status") == "A")
+    parsed = F.struct(
+        F.when(kind.isin(list(FIELDS)), kind).alias("type"),
+        F.coalesce(valid, F.lit(False)).alias("valid"),
+        _degrees(F.col("_lat"), F.col("_ns"), "N", "S").alias("lat"),
+        _degrees(F.col("_lon"), F.col("_ew"), "E", "W").alias("lon"),
+        F.col("_alt").try_cast("double").alias("alt"),
+        quality.alias("quality"),
+        _clock_us(F.col("_clock")).alias("clock_us"),
+        _day(F.col("_day")).alias("day"),
+    )
+    out = with_computed(split, **{name: F.when(F.col("_intact"), parsed)})
+    return out.drop("_kind", "_data", "_given", "_body", "_intact", *[f"_{n}" for n in names])
 
 
 def split_log_line(line: Column) -> Column:

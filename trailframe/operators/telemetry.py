@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailframe.functions import nmea
 from trailframe.functions import records as R
 from trailframe.functions import timeparse as P
-from trailframe.functions.binding import let, with_computed
+from trailframe.functions.binding import with_computed
 from trailframe.operators import ordered as O
 from trailframe.operators.ordered import Ordered
 
@@ -31,21 +31,14 @@ def sentence_rank(type_: Column) -> Column:
 
 def read_log(lines: DataFrame, line: str = "line") -> DataFrame:
     """Dash-cam lines to ``epoch_s`` and parsed sentence ``s``; other lines are skipped."""
-    split = let(
-        nmea.split_log_line(F.col(line)),
-        lambda p: F.struct(p["epoch_s"].alias("epoch_s"), nmea.parse_sentence(p["sentence"]).alias("s")),
-    )
-    parsed = with_computed(lines, _l=split).drop(line)
-    rest = [c for c in parsed.columns if c != "_l"]
-    return parsed.filter("_l.s IS NOT NULL").select(*rest, "_l.*")
+    stamped = with_computed(lines, _l=nmea.split_log_line(F.col(line))).filter("_l IS NOT NULL")
+    rest = [c for c in lines.columns if c != line]
+    parsed = nmea.with_sentence(stamped.select(*rest, "_l.*"), "sentence")
+    return parsed.filter("s IS NOT NULL").drop("sentence")
 
 
-def clock_offsets(log: DataFrame, key: str) -> DataFrame:
-    """Seconds to add to the camera clock of each file.
-
-    The first valid dated sentence decides; else the first valid undated one,
-    trusting the camera's day unless the clocks are over 12 hours apart; else 0.
-    """
+def _clock_offset() -> Column:
+    """Ranked offset of one sentence: ``struct<rank, ord, offset>``, null if unusable."""
     dated = (F.col("s.type") == "RMC") & F.col("s.day").isNotNull() & F.col("s.clock_us").isNotNull()
     undated = F.col("s.type").isin("GGA", "GLL")
     gps = (F.col("s.day") * 86_400_000_000 + F.col("s.clock_us")) / F.lit(1e6)
@@ -56,17 +49,33 @@ def clock_offsets(log: DataFrame, key: str) -> DataFrame:
     same_day = ((camera_day + turn) * 86_400_000_000 + F.col("s.clock_us")) / F.lit(1e6)
     offset = F.round(F.when(F.col("s.type") == "RMC", gps).otherwise(same_day) - F.col("epoch_s"), 3)
     rank = F.when(F.col("s.valid") & dated, 0).when(F.col("s.valid") & undated, 1)
-    at = F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("ord")))
-    found = log.groupBy(key).agg(F.min_by(F.struct(offset.alias("o")), at).alias("_o"))
-    return found.select(key, F.coalesce("_o.o", F.lit(0.0)).alias("clock_offset"))
+    return F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("ord"), offset.alias("offset")))
+
+
+def clock_offsets(log: DataFrame, key: str) -> DataFrame:
+    """Seconds to add to the camera clock of each file.
 
+    The first valid dated sentence decides; else the first valid undated one,
+    trusting the camera's day unless the clocks are over 12 hours apart; else 0.
+    """
+    found = log.groupBy(key).agg(F.min(_clock_offset()).alias("_o"))
+    return found.select(key, F.coalesce("_o.offset", F.lit(0.0)).alias("clock_offset"))
 
-def log_points(log: DataFrame, key: str) -> DataFrame:
-    """GPS points of each file on the corrected clock, from its preferred sentence type."""
-    corrected = log.join(clock_offsets(log, key), key)
-    epoch = F.round(F.col("epoch_s") + F.col("clock_offset"), 3)
-    valid = corrected.filter("s.valid AND s.type IS NOT NULL")
-    best = preferred(valid, [key], sentence_rank(F.col("s.type")))
+
+def log_points(
+    log: DataFrame, key: str, sized_by: list[DataFrame] | None = None, max_rows: int | None = None
+) -> DataFrame:
+    """GPS points of each file on the corrected clock, from its preferred sentence type.
+
+    Offset and preferred type are group-wide minima over one pass of the log.
+    ``sized_by`` may name the unparsed lines, which are cheaper to count.
+    """
+    usable = F.col("s.valid") & F.col("s.type").isNotNull()
+    rank = F.when(usable, sentence_rank(F.col("s.type")))
+    rows = Ordered.of(log.withColumn("_rank", rank), [key], ["epoch_s", "ord"], max_rows, sized_by)
+    judged = rows.scan(_o=O.group_min(_clock_offset()), _best=O.group_min(F.col("_rank")))
+    best = judged.rows().filter("_rank = _best")
+    epoch = F.round(F.col("epoch_s") + F.coalesce("_o.offset", F.lit(0.0)), 3)
     is_gga = F.col("s.type") == "GGA"
     return best.select(
         key,
@@ -87,7 +96,7 @@ def nmea_track(lines: DataFrame, keys: list[str], max_rows: int | None = None) -
     Lines before the first dated sentence take its day. Logs without one turn
     into error rows (``time`` null).
     """
-    parsed = with_computed(lines, s=nmea.parse_sentence(F.col("line")))
+    parsed = nmea.with_sentence(lines, "line")
     useful = parsed.filter("s IS NOT NULL AND (line LIKE '%GPRMC%' OR line LIKE '%$GPGGA%')")
     day = F.when(F.col("line").contains("GPRMC"), F.col("s.day"))
     rows = Ordered.of(useful, keys, ["ord"], max_rows)
