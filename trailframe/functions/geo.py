@@ -37,6 +37,12 @@ def chord(a: Column, b: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy + dz * dz)
 
 
+def chord_sql(a: str, b: str) -> str:
+    """``chord`` as SQL text over two struct column names, for long generated rules."""
+    gap = lambda axis: f"({a}.{axis} - {b}.{axis})"
+    return "sqrt(" + " + ".join(f"{gap(axis)} * {gap(axis)}" for axis in "xyz") + ")"
+
+
 def gps_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Chord distance in metres (through the ellipsoid, not along it)."""
     return chord(ecef(lat1, lon1), ecef(lat2, lon2))

@@ -196,15 +196,13 @@ class Ordered:
 
     def scan(self, **scans: Scan) -> Ordered:
         """Add one column per scan; scans of one call share the sort and the join."""
-        df, locals_ = self._local(scans)
         if not self.tiled:
-            out = df.withColumns({n: F.col(l) for n, l in locals_.items()})
-            return self.with_df(out.drop(*self._temps(scans)))
+            return self._scan_whole(scans)
+        df = self._scan_tiles(scans)
         carried = self._carry(df, scans)
         joined = join_keys(df, carried, self.parts)
         final = {n: self._combine(i, s) for i, (n, s) in enumerate(scans.items())}
-        out = joined.withColumns(final)
-        return self.with_df(out.drop(*self._temps(scans)))
+        return self.with_df(joined.withColumns(final).drop(*self._temps(scans)))
 
     def _temps(self, scans: dict[str, Scan]) -> list[str]:
         names = [f"_{p}{i}" for i in range(len(scans)) for p in ("v", "l", "c")]
@@ -216,42 +214,51 @@ class Ordered:
         down = base.orderBy(*[F.col(o).desc() for o in self.order])
         return base, up, down
 
-    def _local(self, scans: dict[str, Scan]) -> tuple[DataFrame, dict[str, str]]:
+    def _window_columns(self, scans: dict[str, Scan]) -> tuple[dict, dict]:
+        """Window columns per scan, split by the sort they need."""
         base, up, down = self._windows()
         start = Window.unboundedPreceding
-        df = self.df.withColumns(
-            {f"_v{i}": s.value for i, s in enumerate(scans.values())}
-        )
         ups: dict[str, Column] = {}
         downs: dict[str, Column] = {}
-        names = {}
-        for i, (name, s) in enumerate(scans.items()):
-            v, local = F.col(f"_v{i}"), f"_l{i}"
-            names[name] = local
+        for name, s in scans.items():
+            v, stop = s.value, 0 if s.current else -1
             if s.kind == "prev":
-                ups[local] = F.lag(v, s.k).over(up)
+                ups[name] = F.lag(v, s.k).over(up)
             elif s.kind == "next":
-                ups[local] = F.lead(v, s.k).over(up)
+                ups[name] = F.lead(v, s.k).over(up)
             elif s.kind == "sum":
-                ups[local] = F.sum(v).over(up.rowsBetween(start, 0))
+                ups[name] = F.sum(v).over(up.rowsBetween(start, 0))
             elif s.kind == "runmax":
-                ups[local] = F.max(v).over(up.rowsBetween(start, 0))
+                ups[name] = F.max(v).over(up.rowsBetween(start, 0))
             elif s.kind == "last":
-                stop = 0 if s.current else -1
-                ups[local] = F.last(v, True).over(up.rowsBetween(start, stop))
+                ups[name] = F.last(v, True).over(up.rowsBetween(start, stop))
             elif s.kind == "first":
                 # Read backwards: a frame that ends at the current row is linear.
-                stop = 0 if s.current else -1
-                downs[local] = F.last(v, True).over(down.rowsBetween(start, stop))
-            elif not self.tiled:
-                ups[local] = _GROUP_WIDE[s.kind](v).over(base)
-        if self.tiled:
-            ups["_up"] = F.row_number().over(up)
-            downs["_down"] = F.row_number().over(down)
-        for columns in (ups, downs):
+                downs[name] = F.last(v, True).over(down.rowsBetween(start, stop))
+            else:
+                ups[name] = _GROUP_WIDE[s.kind](v).over(base)
+        return ups, downs
+
+    def _scan_whole(self, scans: dict[str, Scan]) -> Ordered:
+        df = self.df
+        for columns in self._window_columns(scans):
             if columns:
                 df = df.withColumns(columns)
-        return df, names
+        return self.with_df(df)
+
+    def _scan_tiles(self, scans: dict[str, Scan]) -> DataFrame:
+        """Scan values ``_v``, results within the tile ``_l``, places from both ends."""
+        df = self.df.withColumns({f"_v{i}": s.value for i, s in enumerate(scans.values())})
+        inner = {
+            f"_l{i}": Scan(s.kind, F.col(f"_v{i}"), s.k, s.current)
+            for i, s in enumerate(scans.values())
+            if s.kind not in _GROUP_WIDE
+        }
+        ups, downs = self._window_columns(inner)
+        _, up, down = self._windows()
+        ups["_up"] = F.row_number().over(up)
+        downs["_down"] = F.row_number().over(down)
+        return df.withColumns(ups).withColumns(downs)
 
     def _carry(self, df: DataFrame, scans: dict[str, Scan]) -> DataFrame:
         """One row per tile with the value every scan brings into that tile."""
@@ -299,7 +306,10 @@ class Ordered:
         return summary.select(*self.parts, *carried)
 
     def _combine(self, i: int, s: Scan) -> Column:
-        local, carry = F.col(f"_l{i}"), F.col(f"_c{i}")
+        carry = F.col(f"_c{i}")
+        if s.kind in _GROUP_WIDE:
+            return carry
+        local = F.col(f"_l{i}")
         if s.kind == "prev":
             back = F.least(F.col("_up") - s.k - 1, F.lit(-1))
             far = F.try_element_at(carry, back.cast("int"))["v"]
@@ -314,9 +324,7 @@ class Ordered:
             ).otherwise(F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0)))
         if s.kind == "runmax":
             return F.greatest(local, carry)
-        if s.kind in ("last", "first"):
-            return F.coalesce(local, carry)
-        return carry
+        return F.coalesce(local, carry)
 
 
 def number_globally(

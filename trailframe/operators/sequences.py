@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,7 +106,7 @@ def split_by_distance_gap(captures: Ordered, cutoff: float, name: str = "run") -
 def with_step_distance(captures: Ordered, name: str) -> Ordered:
     """Chord distance from the previous row (null on the first)."""
     paired = captures.add(at_xyz=geo.ecef(F.col("lat"), F.col("lon"))).scan(_p=O.prev(F.col("at_xyz")))
-    return paired.add(**{name: geo.chord(F.col("_p"), F.col("at_xyz"))}).drop("at_xyz", "_p")
+    return paired.add(**{name: F.expr(geo.chord_sql("_p", "at_xyz"))}).drop("at_xyz", "_p")
 
 
 def split_by_total(
@@ -292,25 +291,16 @@ def mark_zigzag(captures: Ordered, limits: Limits, name: str = "zigzag") -> Orde
         _count=O.group_total(F.lit(1)),
         **{f"_b{k}": O.prev(F.col("at_xyz"), k) for k in range(1, window + 1)},
     )
-    ref, here = F.col(f"_b{window}"), F.col("at_xyz")
-    back = geo.chord(here, ref)
-
-    def away(k: int) -> Column:
-        point = F.col(f"_b{k}")
-        jumped = geo.chord(point, here) > limits.zigzag_jump
-        nearer = back < geo.chord(point, ref) * limits.zigzag_ratio
-        return F.coalesce(jumped & nearer, F.lit(False))
-
-    depth = F.lit(0)
+    ref = f"_b{window}"
+    back = geo.chord_sql("at_xyz", ref)
+    depth = "0"
     for k in reversed(range(1, window)):
-        depth = F.when(away(k), 1 + depth).otherwise(0)
-    deep = looked.add(_depth=depth)
+        jumped = f"{geo.chord_sql(f'_b{k}', 'at_xyz')} > {limits.zigzag_jump!r}D"
+        nearer = f"{back} < {geo.chord_sql(f'_b{k}', ref)} * {limits.zigzag_ratio!r}D"
+        depth = f"CASE WHEN coalesce({jumped} AND {nearer}, false) THEN 1 + {depth} ELSE 0 END"
+    deep = looked.add(_depth=F.expr(depth))
     ahead = deep.scan(**{f"_a{k}": O.nxt(F.col("_depth"), k) for k in range(1, window)})
-    hit = reduce(
-        lambda acc, k: acc | F.coalesce(F.col(f"_a{k}") >= k, F.lit(False)),
-        range(1, window),
-        F.lit(False),
-    )
+    hit = F.expr(" OR ".join(f"coalesce(_a{k} >= {k}, false)" for k in range(1, window)))
     flagged = ahead.add(_hit=(hit & (F.col("_count") > window)).cast("int"))
     counted = flagged.scan(_hits=O.group_total(F.col("_hit")))
     verdict = (F.col("_hit") == 1) & (F.col("_hits") >= limits.zigzag_min_count)
