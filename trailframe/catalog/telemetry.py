@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailframe.catalog.base import CAP, captures, query, sql_bearing, table  # noqa: F401
+from trailframe.catalog.base import query, table
 from trailframe.catalog.text import SEC, US, clock, events
 from trailframe.functions import nmea
-from trailframe.functions import tags as G
 from trailframe.functions import telemetry as Y
+from trailframe.operators import ordered as O
 from trailframe.operators import telemetry as M
 
 
@@ -200,8 +200,6 @@ def a24(spark, sf_dir):
     """A file per customer: too few longitudes in every fifth, one epoch in every third."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("ord"))
     v = (F.col("ord") % 90).cast("string")
-    from trailframe.operators import ordered as O
-
     ranked = O.Ordered.of(o, ["file"], ["ord"]).scan(_i=O.index(), _n=O.group_total(F.lit(1))).rows()
     items = F.array(
         F.struct(F.lit("Lat").alias("tag"), v.alias("text")),
@@ -210,8 +208,7 @@ def a24(spark, sf_dir):
         F.struct(F.lit("Epoch").alias("tag"), F.when((F.col("file") % 3 == 0) & (F.col("_i") == 1), "2023-11-14T22:13:20Z").alias("text")),
     )
     rows = ranked.select("file", "ord", F.explode(items).alias("e")).select("file", "ord", "e.*")
-    tags = G.collect_tags(rows, ["file"])
-    out = M.align_lists(tags, ["file"], "Lon", "Lat", {"alt": "Alt"}, epoch="Epoch")
+    out = M.align_lists(rows, ["file"], "Lon", "Lat", {"alt": "Alt"}, epoch="Epoch")
     return out.select("file", "ord", "lat", "alt", "epoch_time")
 
 

@@ -144,51 +144,58 @@ def group_samples(
 
 
 def align_lists(
-    tags: DataFrame,
+    elements: DataFrame,
     keys: list[str],
     lon: str,
     lat: str,
     optional: dict[str, str] | None = None,
     time: str | None = None,
     epoch: str | None = None,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Parallel tag lists to point rows (``ord`` is the place in the lists).
+    """Parallel tag lists in an element stream to point rows (``ord`` is the place).
 
-    Coordinates must have equal counts, as must times; a single epoch serves
-    every point, another count than the coordinates' drops the epochs; short
-    optional lists end in nulls.
+    The n-th text of each tag belongs to the n-th point. Coordinates must have
+    equal counts, as must times; a single epoch serves every point, another
+    count than the coordinates' drops the epochs; short optional lists end in
+    nulls. Texts meet by (key, place), so no list is ever gathered.
     """
-    optional = optional or {}
-    texts = lambda tag: F.coalesce(F.try_element_at(F.col("tags"), F.lit(tag)), F.array().cast("array<string>"))
-    numbers = lambda tag: F.transform(texts(tag), lambda x: F.trim(x).try_cast("double"))
-    stamps = lambda tag: F.transform(texts(tag), lambda x: P.as_unix_time(P.parse_gps_datetime(x)))
-    df = with_computed(tags, _lon=numbers(lon), _lat=numbers(lat))
-    size = F.size("_lat")
-    ok = F.size("_lon") == size
-    nulls = F.array_repeat(F.lit(None).cast("double"), size)
+    tags = {"lon": lon, "lat": lat, **(optional or {})}
     if time:
-        df = df.withColumn("_time", stamps(time))
-        ok = ok & (F.size("_time") == size)
-    else:
-        df = df.withColumn("_time", F.array_repeat(F.lit(0.0), size))
+        tags["time"] = time
     if epoch:
-        read = stamps(epoch)
-        spread = F.when((F.size(read) == 1) & (size > 1), F.array_repeat(F.get(read, F.lit(0)), size))
-        df = df.withColumn("_epoch", spread.when(F.size(read) == size, read).otherwise(nulls))
-    elif time:
-        df = df.withColumn("_epoch", F.col("_time"))
-    else:
-        df = df.withColumn("_epoch", nulls)
-    df = df.filter(ok)
-    columns = {"time": "_time", "lon": "_lon", "lat": "_lat", "epoch_time": "_epoch"}
-    for name, tag in optional.items():
-        df = df.withColumn(f"_{name}", numbers(tag))
-        columns[name] = f"_{name}"
-    zipped = F.posexplode(F.arrays_zip(*columns.values()))
-    rows = df.select(*keys, zipped.alias("ord", "_p"))
-    out = rows.select(
-        *keys, F.col("ord").cast("bigint").alias("ord"), *[F.col(f"_p.{c}").alias(n) for n, c in columns.items()]
+        tags["epoch"] = epoch
+    # Two columns may read one tag.
+    names = {tag: f"_t{i}" for i, tag in enumerate(dict.fromkeys(tags.values()))}
+    column = {name: names[tag] for name, tag in tags.items()}
+    useful = elements.filter(F.col("tag").isin(list(names)) & F.col("text").isNotNull())
+    counted = useful.groupBy(*keys).agg(
+        *[F.count(F.when(F.col("tag") == tag, 1)).alias(f"{c}_n") for tag, c in names.items()],
+        *[F.min_by("text", F.when(F.col("tag") == tag, F.col("ord"))).alias(f"{c}_0") for tag, c in names.items()],
     )
+    size = lambda name: F.col(f"{column[name]}_n")
+    fits = size("lon") == size("lat")
+    if time:
+        fits = fits & (size("time") == size("lat"))
+    numbered = Ordered.of(useful, [*keys, "tag"], ["ord"], max_rows).scan(_place=O.index()).rows()
+    wide = numbered.groupBy(*keys, "_place").agg(
+        *[F.max(F.when(F.col("tag") == tag, F.col("text"))).alias(c) for tag, c in names.items()]
+    )
+    joined = O.join_keys(wide, counted.filter(fits), keys, "inner")
+    rows = joined.filter(F.col("_place") <= size("lat"))
+    number = lambda name: F.trim(F.col(column[name])).try_cast("double")
+    stamp = lambda text: P.as_unix_time(P.parse_gps_datetime(text))
+    read = {"time": stamp(F.col(column["time"])) if time else F.lit(0.0), "lon": number("lon"), "lat": number("lat")}
+    if epoch:
+        own = F.when(size("epoch") == size("lat"), F.col(column["epoch"]))
+        text = F.when(size("epoch") == 1, F.col(f"{column['epoch']}_0")).otherwise(own)
+        read["epoch_time"] = stamp(text)
+    for name in optional or {}:
+        read[name] = number(name)
+    out = with_computed(rows, **read)
+    if not epoch:
+        out = out.withColumn("epoch_time", F.col("time") if time else F.lit(None).cast("double"))
+    out = out.select(*keys, (F.col("_place") - 1).alias("ord"), "time", "lon", "lat", "epoch_time", *(optional or {}))
     return out.filter("time IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL")
 
 
