@@ -10,6 +10,7 @@ from trailframe.functions import nmea
 from trailframe.functions import telemetry as Y
 from trailframe.operators import ordered as O
 from trailframe.operators import telemetry as M
+from trailframe.operators.ordered import Ordered
 
 
 def dashcam_lines(spark, sf_dir):
@@ -309,3 +310,40 @@ def o6(spark, sf_dir):
         F.concat(F.lit("f"), eid.cast("string")).alias("path"),
     )
     return M.group_frames(df, ["file"], ["v", "1"])
+
+
+@query(
+    "a23_tool_xml_tracks",
+    f"""WITH e AS (SELECT user_id AS file, event_id AS ord, epoch_us(ts) AS us, event_id % 180 AS lon, event_id % 90 AS lat FROM events),
+      a AS (SELECT file, ord, us / 1e6 - min(us) OVER (PARTITION BY file) / 1e6 AS time, lon, lat FROM e WHERE file % 3 = 0),
+      m AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY file) AS n FROM e WHERE file % 3 <> 0),
+      d AS (SELECT *, i // 3 AS s, lag(lon * 1000 + lat) OVER (PARTITION BY file, i // 3 ORDER BY ord) AS p FROM m),
+      b AS (SELECT file, ord, s, lon, lat, count(*) OVER (PARTITION BY file, s) AS k, row_number() OVER (PARTITION BY file, s ORDER BY ord) - 1 AS j
+        FROM d WHERE p IS DISTINCT FROM lon * 1000 + lat)
+      SELECT file, round(time, 4) AS time, lon::DOUBLE AS lon, lat::DOUBLE AS lat, NULL::BIGINT AS fix, 0::BIGINT AS source_no FROM a
+      UNION ALL SELECT file, round(s * 10 + j * (6e0 / k), 4), lon, lat, 3, 2 FROM b""",
+)
+def a23_tracks(spark, sf_dir):
+    """Every third user's video lists its track; the others give samples of three points."""
+    ev = events(spark, sf_dir)
+    u, e = F.col("user_id"), F.col("event_id")
+    text = lambda c: c.cast("string")
+    rows = Ordered.of(ev, ["user_id"], ["event_id"]).scan(_i=O.index()).rows()
+    listed = u % 3 == 0
+    opens = ~listed & ((F.col("_i") - 1) % 3 == 0)
+    ns = F.when(listed, "QuickTime:").otherwise("Track1:")
+    item = lambda i, tag, value, when: F.struct(
+        (e * 10 + i).alias("ord"), F.concat(ns, F.lit(tag)).alias("tag"), F.when(when, value).alias("text")
+    )
+    stamp = F.concat("t_day", F.lit("T"), clock(), F.lit("Z"))
+    items = F.array(
+        item(0, "SampleTime", text((F.col("_i") - 1) / 3 * 10.0), opens),
+        item(1, "SampleDuration", F.lit("6"), opens),
+        item(2, "GPSMeasureMode", F.lit("3"), opens),
+        item(3, "GPSDateTime", stamp, listed),
+        item(4, "GPSLongitude", text(e % 180), F.lit(True)),
+        item(5, "GPSLatitude", text(e % 90), F.lit(True)),
+    )
+    elements = rows.select(u.alias("file"), F.explode(items).alias("x")).select("file", "x.*").filter("text IS NOT NULL")
+    out = M.tool_video_tracks(elements, "file", max_tracks=2)
+    return out.select("file", F.round("time", 4).alias("time"), "lon", "lat", F.col("fix").cast("bigint").alias("fix"), F.col("source_no").cast("bigint").alias("source_no"))

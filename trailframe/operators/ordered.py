@@ -142,15 +142,19 @@ class Ordered:
         order: list[str],
         max_rows: int | None = None,
         sized_by: list[DataFrame] | None = None,
+        known: int | None = None,
     ) -> Ordered:
         """Measure the groups and tile those above ``max_rows``.
 
         ``order`` should end in a unique column so that equal times can be split.
         ``sized_by`` names cheaper inputs whose group sizes add up to at least
-        the groups of ``df``; they are counted instead of ``df`` itself.
+        the groups of ``df``; they are counted instead of ``df`` itself. ``known``
+        is such a bound measured before.
         """
         limit = max_rows or MAX_ROWS_PER_TASK
-        largest = sum(largest_group(part, keys) for part in sized_by or [df])
+        if known is None:
+            known = sum(largest_group(part, keys) for part in sized_by or [df])
+        largest = known
         if largest <= limit:
             return cls(df, keys, order, largest=largest)
         if not keys:

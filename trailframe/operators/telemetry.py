@@ -10,6 +10,7 @@ from trailframe.functions import records as R
 from trailframe.functions import timeparse as P
 from trailframe.functions.binding import with_computed
 from trailframe.operators import ordered as O
+from trailframe.operators import tracks as K
 from trailframe.operators.ordered import Ordered
 
 # Which sentence type supplies a file's points.
@@ -119,7 +120,7 @@ def nmea_track(lines: DataFrame, keys: list[str], max_rows: int | None = None) -
 
 
 def group_samples(
-    elements: DataFrame, key: str, time_tag: str, duration_tag: str, max_rows: int | None = None
+    elements: DataFrame, key: str, time_tag: str, duration_tag: str, max_rows: int | None = None, known: int | None = None
 ) -> DataFrame:
     """Cut an element stream at its sample markers.
 
@@ -127,7 +128,7 @@ def group_samples(
     elements of samples without a readable time or duration go.
     """
     is_time, is_duration = F.col("tag") == time_tag, F.col("tag") == duration_tag
-    rows = Ordered.of(elements, [key], ["ord"], max_rows)
+    rows = Ordered.of(elements, [key], ["ord"], max_rows, known=known)
     number = lambda flag: F.when(flag, F.struct(F.col("text").try_cast("double").alias("v")))
     marked = rows.scan(
         sample=O.running_sum(F.when(is_time, 1).otherwise(0)),
@@ -152,6 +153,7 @@ def align_lists(
     time: str | None = None,
     epoch: str | None = None,
     max_rows: int | None = None,
+    known: int | None = None,
 ) -> DataFrame:
     """Parallel tag lists in an element stream to point rows (``ord`` is the place).
 
@@ -177,7 +179,7 @@ def align_lists(
     fits = size("lon") == size("lat")
     if time:
         fits = fits & (size("time") == size("lat"))
-    numbered = Ordered.of(useful, [*keys, "tag"], ["ord"], max_rows).scan(_place=O.index()).rows()
+    numbered = Ordered.of(useful, [*keys, "tag"], ["ord"], max_rows, known=known).scan(_place=O.index()).rows()
     wide = numbered.groupBy(*keys, "_place").agg(
         *[F.max(F.when(F.col("tag") == tag, F.col("text"))).alias(c) for tag, c in names.items()]
     )
@@ -252,3 +254,77 @@ def first_source_with_data(points: DataFrame, keys: list[str], rank: Column) ->
 def group_frames(frames: DataFrame, keys: list[str], streams: list[str]) -> DataFrame:
     """One row per frame index with one path column per selected stream."""
     return frames.groupBy(*keys, "frame_idx").pivot("stream", streams).agg(F.max("path"))
+
+
+# -- tracks in tool XML ---------------------------------------------------------------------
+
+# Namespaces that list a whole track, and how many numbered tracks may follow.
+TRACK_NAMESPACES = ["QuickTime", "Insta360"]
+MAX_TRACKS = 10
+
+
+def _has_tags(elements: DataFrame, key: str, tags: list[str]) -> DataFrame:
+    """Keys whose elements include every one of the tags."""
+    found = elements.filter(F.col("tag").isin(tags) & F.col("text").isNotNull())
+    counted = found.groupBy(key).agg(F.countDistinct("tag").alias("_n"))
+    return counted.filter(F.col("_n") == len(tags)).select(key)
+
+
+def listed_track(elements: DataFrame, key: str, namespace: str, max_rows: int | None = None, known: int | None = None) -> DataFrame:
+    """Track given as whole lists: de-duplicated, sorted, and starting at 0."""
+    tag = lambda name: f"{namespace}:{name}"
+    needed = [tag("GPSDateTime"), tag("GPSLongitude"), tag("GPSLatitude")]
+    own = elements.join(_has_tags(elements, key, needed), key, "left_semi")
+    points = align_lists(
+        own, [key], tag("GPSLongitude"), tag("GPSLatitude"),
+        {"alt": tag("GPSAltitude"), "angle": tag("GPSTrack")}, time=tag("GPSDateTime"), epoch=tag("GPSDateTime"),
+        max_rows=max_rows, known=known,
+    )
+    once = K.drop_repeated_points(Ordered.of(points, [key], ["ord"], max_rows, known=known)).rows()
+    again = K.drop_repeated_points(Ordered.of(once, [key], ["time", "ord"], max_rows, known=known)).rows()
+    rebased = K.rebase_times(again, [key])
+    nothing = {"fix": "int", "precision": "double", "ground_speed": "double"}
+    return rebased.withColumns({n: F.lit(None).cast(t) for n, t in nothing.items()})
+
+
+def sampled_track(elements: DataFrame, key: str, namespace: str, max_rows: int | None = None, known: int | None = None) -> DataFrame:
+    """Track given sample by sample: points are spread over their sample's duration.
+
+    Fix and precision (metres to hundredths) hold for the whole sample.
+    """
+    tag = lambda name: f"{namespace}:{name}"
+    needed = [tag(n) for n in ("SampleTime", "SampleDuration", "GPSLongitude", "GPSLatitude")]
+    own = elements.join(_has_tags(elements, key, needed), key, "left_semi")
+    samples = group_samples(own, key, tag("SampleTime"), tag("SampleDuration"), max_rows, known)
+    keys = [key, "sample"]
+    points = align_lists(
+        samples, keys, tag("GPSLongitude"), tag("GPSLatitude"),
+        {"alt": tag("GPSAltitude"), "angle": tag("GPSTrack"), "ground_speed": tag("GPSSpeed")},
+        epoch=tag("GPSDateTime"), max_rows=max_rows, known=known,
+    )
+    fresh = K.drop_repeated_points(Ordered.of(points, keys, ["ord"], max_rows, known=known)).rows()
+    first = lambda name: F.min_by("text", F.when(F.col("tag") == tag(name), F.col("ord")))
+    about = samples.groupBy(*keys).agg(
+        F.first("sample_time").alias("sample_time"),
+        F.first("duration").alias("duration"),
+        first("GPSMeasureMode").try_cast("int").alias("_fix"),
+        (F.trim(first("GPSHPositioningError")).try_cast("double") * 100).alias("precision"),
+    )
+    joined = O.join_keys(fresh, about, keys)
+    spread = K.spread_in_sample(Ordered.of(joined, keys, ["ord"], max_rows, known=known), "sample_time", "duration")
+    fix = F.when(F.col("_fix").isin(0, 2, 3), F.col("_fix"))
+    return spread.rows().withColumn("fix", fix).drop("_fix", "sample_time", "duration", "sample")
+
+
+def tool_video_tracks(elements: DataFrame, key: str, max_tracks: int = MAX_TRACKS, max_rows: int | None = None) -> DataFrame:
+    """GPS track per video from its tool XML elements: the first source with points."""
+    columns = [key, "ord", "time", "lon", "lat", "alt", "angle", "epoch_time", "fix", "precision", "ground_speed"]
+    # Every step below works on parts of these groups, so one count bounds them all.
+    known = O.largest_group(elements, [key])
+    tracks = [listed_track(elements, key, ns, max_rows, known) for ns in TRACK_NAMESPACES]
+    tracks += [sampled_track(elements, key, f"Track{i}", max_rows, known) for i in range(1, max_tracks + 1)]
+    merged = None
+    for rank, track in enumerate(tracks):
+        ranked = track.select(*columns).withColumn("source_no", F.lit(rank))
+        merged = ranked if merged is None else merged.unionByName(ranked)
+    return first_source_with_data(merged, [key], F.col("source_no"))
