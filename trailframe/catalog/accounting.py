@@ -27,7 +27,7 @@ def stats(spark, sf_dir):
 
 @query(
     "a9_upload_summary",
-    f"""WITH {STATS} SELECT sum(coalesce(sequence_image_count, 0)) AS images, count(*) AS sequences, round(sum(entity_size) / 1048576e0, 4) AS size,
+    f"""WITH {STATS} SELECT sum(coalesce(sequence_image_count, 0))::BIGINT AS images, count(*) AS sequences, round(sum(entity_size) / 1048576e0, 4) AS size,
       round(sum(entity_size - coalesce(upload_first_offset, 0)) / 1048576e0, 4) AS uploaded_size,
       round(sum(entity_size - coalesce(upload_first_offset, 0)) / 1048576e0 / sum(upload_total_time), 4) AS speed, round(sum(upload_total_time), 4) AS time FROM st""",
 )
@@ -96,7 +96,7 @@ def a12(spark, sf_dir):
     return B.fingerprints(captures(spark, sf_dir), "track_id", ["time", "basename"])
 
 
-@query("a13_payload_size", f"WITH {CAP} SELECT track_id, count(*) AS sequence_image_count, sum(coalesce(filesize, 0)) AS entity_size FROM cap GROUP BY track_id")
+@query("a13_payload_size", f"WITH {CAP} SELECT track_id, count(*) AS sequence_image_count, sum(coalesce(filesize, 0))::BIGINT AS entity_size FROM cap GROUP BY track_id")
 def a13(spark, sf_dir):
     return B.payloads(captures(spark, sf_dir), "track_id")
 
@@ -133,13 +133,13 @@ def summarised(spark, sf_dir):
 
 @query(
     "a7_process_summary",
-    f"WITH {SUMMARY} SELECT filetype, count(*) AS n, count(*) FILTER (error_type = 'ok') AS n_good, sum(b) AS bytes FROM r GROUP BY filetype",
+    f"WITH {SUMMARY} SELECT filetype, count(*) AS n, count(*) FILTER (error_type = 'ok') AS n_good, sum(b)::BIGINT AS bytes FROM r GROUP BY filetype",
 )
 def a7(spark, sf_dir):
     return B.process_summary(summarised(spark, sf_dir)).filter("level = 1").drop("level", "error_type")
 
 
-@query("a8_error_summary", f"WITH {SUMMARY} SELECT filetype, error_type, count(*) AS n, sum(b) AS bytes FROM r WHERE error_type <> 'ok' GROUP BY ALL")
+@query("a8_error_summary", f"WITH {SUMMARY} SELECT filetype, error_type, count(*) AS n, sum(b)::BIGINT AS bytes FROM r WHERE error_type <> 'ok' GROUP BY ALL")
 def a8(spark, sf_dir):
     out = B.process_summary(summarised(spark, sf_dir)).filter("level = 0 AND error_type <> 'ok'")
     return out.drop("level", "n_good")

@@ -34,7 +34,7 @@ def user_lines(spark, sf_dir):
 
 @query(
     "s1_media_listing",
-    f"WITH {CAP} SELECT track_id, 1 AS n_files, sum(length('line ' || ord) + 1)::BIGINT AS bytes FROM cap GROUP BY track_id",
+    f"WITH {CAP} SELECT track_id, 1::BIGINT AS n_files, sum(length('line ' || ord) + 1)::BIGINT AS bytes FROM cap GROUP BY track_id",
 )
 def s1(spark, sf_dir):
     path = per_user_files(user_lines(spark, sf_dir), spark, "listing")
@@ -129,7 +129,7 @@ def gpx_round_trip(spark, sf_dir):
     writers.write_gpx(lines, path)
     points = readers.read_gpx(spark, path)
     return points.select(
-        "name", F.col("ord").alias("position"), "time", F.round("lat", 6).alias("lat"), "alt", F.col("gps_fix_type").alias("fix")
+        "name", F.col("ord").cast("bigint").alias("position"), "time", F.round("lat", 6).alias("lat"), "alt", F.col("gps_fix_type").alias("fix")
     )
 
 

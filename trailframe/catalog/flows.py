@@ -55,7 +55,7 @@ def q2(spark, sf_dir):
     f"""WITH {CAP}, r AS (SELECT *, CASE WHEN track_id % 9 = 0 THEN 'run' ELSE track_id::VARCHAR END AS sequence_id FROM cap WHERE ord % 6 <> 1 AND ord % 5 <> 2),
       s AS (SELECT sequence_id, md5(string_agg(md5sum, '' ORDER BY time, basename)) AS sequence_md5sum, count(*) AS sequence_image_count, sum(coalesce(filesize, 0)) AS entity_size,
         count(*) FILTER (ord % 4 = 0) AS n_cached, min(track_id) AS t FROM r GROUP BY sequence_id)
-      SELECT sequence_id, sequence_md5sum, sequence_image_count, entity_size, n_cached FROM s WHERE t % 2 = 1 OR sequence_id = 'run'""",
+      SELECT sequence_id, sequence_md5sum, sequence_image_count, entity_size::BIGINT AS entity_size, n_cached FROM s WHERE t % 2 = 1 OR sequence_id = 'run'""",
 )
 def q3(spark, sf_dir):
     """Sequences to upload with how many of their handles are cached."""

@@ -42,7 +42,7 @@ def tracks(spark, sf_dir, *drop) -> Ordered:
 
 @query(
     "a1_group_by_folder_and_camera",
-    f"""WITH {CAP} SELECT folder, camera_uuid, make, model, width, height, count(*) AS n,
+    f"""WITH {CAP} SELECT folder, camera_uuid, make, model, width, height::BIGINT AS height, count(*) AS n,
       min(time) AS first_time FROM cap GROUP BY ALL""",
 )
 def a1(spark, sf_dir):
@@ -225,13 +225,13 @@ def w4(spark, sf_dir):
 
 
 @query("w5_split_by_time_gap",
-    f"""WITH {STEPS} SELECT ord, sum(CASE WHEN i = 1 OR time - ptime > 43200 THEN 1 ELSE 0 END) OVER {W} AS run FROM steps""")
+    f"""WITH {STEPS} SELECT ord, (sum(CASE WHEN i = 1 OR time - ptime > 43200 THEN 1 ELSE 0 END) OVER {W})::BIGINT AS run FROM steps""")
 def w5(spark, sf_dir):
     return S.split_by_time_gap(tracks(spark, sf_dir), 43200.0).rows().select("ord", "run")
 
 
 @query("w6_split_by_distance_gap",
-    f"""WITH {STEPS} SELECT ord, sum(CASE WHEN i = 1 OR step > 1000 THEN 1 ELSE 0 END) OVER {W} AS run FROM steps""")
+    f"""WITH {STEPS} SELECT ord, (sum(CASE WHEN i = 1 OR step > 1000 THEN 1 ELSE 0 END) OVER {W})::BIGINT AS run FROM steps""")
 def w6(spark, sf_dir):
     return S.split_by_distance_gap(tracks(spark, sf_dir), 1000.0).rows().select("ord", "run")
 
@@ -270,7 +270,7 @@ def w8(spark, sf_dir):
           CASE WHEN sb OR np > 30000000 THEN piece + 1 ELSE piece END
         FROM (SELECT r.*, f.piece, f.tb + r.b AS nb, f.tp + r.px AS np, r.brk OR f.tb + r.b > 700 AS sb
           FROM f JOIN r ON r.track_id = f.track_id AND r.i = f.i + 1))
-      SELECT ord, piece FROM f""",
+      SELECT ord, piece::BIGINT AS piece FROM f""",
 )
 def w9(spark, sf_dir):
     split = S.split_by_limits(tracks(spark, sf_dir), LIMITS, by_distance=True)
@@ -334,7 +334,7 @@ def w12(spark, sf_dir):
 
 @query(
     "w17_split_on_predicate",
-    f"""WITH {STEPS} SELECT ord, sum(CASE WHEN i = 1 OR step > 800 THEN 1 ELSE 0 END) OVER {W} AS run FROM steps""",
+    f"""WITH {STEPS} SELECT ord, (sum(CASE WHEN i = 1 OR step > 800 THEN 1 ELSE 0 END) OVER {W})::BIGINT AS run FROM steps""",
 )
 def w17(spark, sf_dir):
     far = lambda p, c: geo.farther_than(
@@ -414,7 +414,7 @@ CLEAN_SQL = f"""{CAP.replace('cap AS', 'cap0 AS', 1)},
     "w30_process_sequences",
     f"""WITH RECURSIVE {CLEAN_SQL}
       SELECT i2.ord, round(i2.time, 4) AS time, CASE WHEN i2.issue IS NULL THEN round(i2.heading, 4) END AS angle,
-        i2.issue AS error_type, kept.seq AS seq_in_group,
+        i2.issue AS error_type, kept.seq::BIGINT AS seq_in_group,
         count(*) FILTER (kept.seq IS NOT NULL) OVER (PARTITION BY i2.gk, kept.seq) AS n_in_sequence
       FROM i2 LEFT JOIN kept USING (ord)""",
 )

@@ -182,7 +182,7 @@ def element_stream(spark, sf_dir):
       s AS (SELECT *, sum(marker::INT) OVER w AS sample, last_value(CASE WHEN marker THEN event_id // 4 END IGNORE NULLS) OVER w AS st,
         last_value(CASE WHEN dur THEN event_id % 16 + 1 END IGNORE NULLS) OVER w AS d FROM m WINDOW w AS (PARTITION BY file ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
       l AS (SELECT file, sample, arg_max(struct_pack(d := d), event_id).d AS d FROM s GROUP BY file, sample)
-      SELECT s.file, s.sample, st::DOUBLE AS sample_time, l.d::DOUBLE AS duration, 2 * count(*) AS n FROM s JOIN l USING (file, sample)
+      SELECT s.file, s.sample::BIGINT AS sample, st::DOUBLE AS sample_time, l.d::DOUBLE AS duration, 2 * count(*) AS n FROM s JOIN l USING (file, sample)
       WHERE st IS NOT NULL AND l.d IS NOT NULL GROUP BY ALL""",
 )
 def s11(spark, sf_dir):

@@ -414,7 +414,7 @@ def w27(spark, sf_dir):
 @query(
     "w28_run_length_compression",
     f"""WITH {CAP}, l AS (SELECT *, CASE WHEN lag(kind) OVER w IS DISTINCT FROM kind THEN 1 ELSE 0 END AS ch FROM cap WINDOW w AS {W}),
-      r AS (SELECT *, sum(ch) OVER {W} AS run FROM l) SELECT track_id, run, kind, count(*) AS count FROM r GROUP BY ALL""",
+      r AS (SELECT *, sum(ch) OVER {W} AS run FROM l) SELECT track_id, run::BIGINT AS run, kind, count(*) AS count FROM r GROUP BY ALL""",
 )
 def w28(spark, sf_dir):
     rows = Ordered.of(captures(spark, sf_dir).select("track_id", "time", "ord", "kind"), KEYS, ORDER)
