@@ -102,7 +102,7 @@ def test_last_kept_fold_on_hot_group(spark, monkeypatch, max_rows):
 
 
 def test_bounded_and_python_folds_agree(spark, monkeypatch):
-    rows = hot_rows(5, hot=150)
+    rows = hot_rows(5, hot=70, cold=3)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("filesize", F.col("v"))
     size = F.coalesce(F.col("filesize"), F.lit(0))
     a = {r.ord: r.part for r in S.split_by_total(df, ["k"], ["time", "ord"], size, 90).collect()}
@@ -255,7 +255,7 @@ def test_whole_flow_without_count_limit(spark, monkeypatch):
     """The unbounded folds agree with the in-array ones where no run reaches the limit."""
     from dataclasses import replace
 
-    df = capture_rows(spark, 13)
+    df = capture_rows(spark, 13, n=140)
     roomy = replace(LIMITS, max_images=1000)
     unlimited = replace(LIMITS, max_images=None)
     keep = ["ord", "issue", "time", "seq"]
