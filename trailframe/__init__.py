@@ -1,0 +1,8 @@
+"""Trajectory and capture-sequence analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value: a worker needs no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a session without that
-    setting (local tests) gets a temporary folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session without
+    that setting (tests) gets a temporary folder of its own; a cluster without
+    it is an error, as executors would not see each other's files.
     """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if folder is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
         folder = sc.getCheckpointDir()
     return folder
