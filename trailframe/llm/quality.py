@@ -110,10 +110,11 @@ def host_verdicts(counted: DataFrame, host: str, max_rate: float = 0.75, least:
         "mean",
         F.least(F.greatest(F.col("mean") * (1 - F.col("mean")) / F.col("spread") - 1, F.lit(2.0)), F.lit(1e4)).alias("weight"),
     )
-    # One row of prior: a join on a constant, one side of exactly one row.
-    joined = hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior.withColumn("one", F.lit(1))), "one")
-    shrunk = (F.col("host_failed") + F.col("mean") * F.col("weight")) / (F.col("host_docs") + F.col("weight"))
-    return joined.select(
+    # Two numbers for the whole corpus.
+    fit = prior.first()
+    mean, weight = (F.lit(float(x if x is not None else 0.0)) for x in (fit["mean"], fit["weight"]))
+    shrunk = (F.col("host_failed") + mean * weight) / (F.col("host_docs") + weight)
+    return hosts.select(
         host, "host_docs", "host_failed", shrunk.alias("host_rate"),
         ((shrunk > max_rate) & (F.col("host_docs") >= least)).alias("host_rejected"),
     )
