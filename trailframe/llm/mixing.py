@@ -181,7 +181,8 @@ def mix_sources(
         F.col("size").cast("double").alias("a"),
     ).withColumnRenamed("chance", "key")
     rounded = pivotal_round(open_rows, seed)
-    return planned.join(rounded.withColumnRenamed("row", "key"), "key", "left").select(
+    # As many rows as documents: never broadcast, however small the files look.
+    return planned.join(rounded.withColumnRenamed("row", "key").hint("merge"), "key", "left").select(
         "key", "id", "source", "size", "source_size", "target",
         (F.col("whole") + F.coalesce("up", F.lit(0))).cast("int").alias("copies"),
     )
