@@ -142,8 +142,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     rows = with_key(pick(df, id=id_col, text=text_col), "key")
     named = materialize(identities(rows.select("key", "text"), block), "identities")
     owned = named.join(rows.select("key", "id"), "key")
-    groups = owned.groupBy("level", "name").agg(
-        F.max(F.struct("id", "key")).alias("best"), F.count("*").alias("group_size")
+    # Written, so that the join's own exchange carries the rows and a hot group's can be split.
+    groups = materialize(
+        owned.groupBy("level", "name").agg(F.max(F.struct("id", "key")).alias("best"), F.count("*").alias("group_size")), "groups"
     )
     # Groups of one need no partner; only the rest meet in the join.
     return owned.join(groups, ["level", "name"]).select(
