@@ -444,11 +444,12 @@ def ngram_links(sets: DataFrame, percent: int) -> DataFrame:
 def ngram_jaccard(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
-    """``key, id, n_shingles, component_id`` for every row.
+    """``key, id, n_shingles, component_id, kept`` for every row.
 
     ``key`` is the row key of ``rows.with_key``, for joining back. Two rows link
     when ``100 * intersection >= percent * union`` of their sets of ``words``
-    lower-cased words; a component is named by its smallest id. Null and empty
+    lower-cased words; a component is named by its smallest id, and one row with
+    that id is ``kept``. Null and empty
     texts, and texts without words, have an empty set, link with nothing and are
     components of their own; equal sets always link; null ids are passed over
     in a component's name (a component of null ids only has a null name);
@@ -468,12 +469,12 @@ def ngram_jaccard(
     )
     # Names are counted before they are joined: a class of any size stays spread.
     names = materialize(
-        owned.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("name"), F.min("key").alias("first")), "class-names"
+        owned.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")), "class-names"
     )
     return owned.join(names, "root", "left").select(
         "key", "id", F.col("n").alias("n_shingles"),
-        F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("name")).alias("component_id"),
-        (F.col("root").isNull() | (F.col("first") == F.col("key"))).alias("first_of_class"),
+        F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("component_id"),
+        (F.col("root").isNull() | (F.col("best.key") == F.col("key"))).alias("kept"),
     )
 
 
