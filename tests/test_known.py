@@ -218,3 +218,46 @@ def test_errors_stop_the_job(spark):
     B.raise_on_errors(worse, skip_all=True)
     with pytest.raises(RuntimeError):
         B.raise_on_errors(worse)
+
+
+def test_history_keeps_numeric_prefixes(spark, tmp_path):
+    """Prefixes that look like numbers stay text."""
+    from trailframe.sources import writers
+
+    digests = ["07" + "a" * 30, "12" + "b" * 30, "00" + "c" * 30]
+    stored = spark.createDataFrame([(d, i) for i, d in enumerate(digests)], "sequence_md5sum string, n int")
+    writers.append_history(stored, str(tmp_path / "h"))
+    found = writers.lookup_history(spark, str(tmp_path / "h"), stored.select("sequence_md5sum"))
+    assert {r.sequence_md5sum for r in found.collect()} == set(digests)
+
+
+def test_large_files_hash_as_small_ones(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from trailframe.sources import readers
+
+    for i, size in enumerate((1, 10, 100_000)):
+        (tmp_path / f"f{i}").write_bytes(bytes(range(256)) * size)
+    want = {str(tmp_path / f"f{i}"): hashlib.md5(bytes(range(256)) * size).hexdigest() for i, size in enumerate((1, 10, 100_000))}
+    monkeypatch.setattr(readers, "WHOLE_FILE", 2000)
+    assert {r.path: r.md5sum for r in readers.hash_files(spark, [str(tmp_path)]).collect()} == want
+
+
+def test_fingerprints_without_some_digests(spark):
+    """A member without a digest adds nothing on either way, for long and usual sequences side by side."""
+    from trailframe.operators import accounting
+
+    rows = [("long", i, f"{i:032x}" if i % 4 else None) for i in range(50)] + [("short", i, "ab" if i else None) for i in range(3)] + [(None, 0, "cd")]
+    df = spark.createDataFrame(rows, "k string, ord long, md5sum string")
+    one, two = ({r.k: r.sequence_md5sum for r in accounting.fingerprints(df, "k", ["ord"], max_rows=n).collect()} for n in (1000, 10))
+    assert one == two and len(one) == 3
+
+
+def test_manifest_of_any_length(spark):
+    import json
+
+    from trailframe.operators import accounting
+
+    df = spark.range(30_000).selectExpr("1 AS k", "id AS ord", "concat('h', id) AS handle")
+    row = accounting.manifests(df, "k", ["ord"]).first()
+    assert json.loads(row.manifest)["image_handles"] == [f"h{i}" for i in range(30_000)] and row.n_images == 30_000

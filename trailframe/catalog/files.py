@@ -133,6 +133,35 @@ def gpx_round_trip(spark, sf_dir):
     )
 
 
+@query(
+    "s5_tracks_of_one_file",
+    f"""WITH {CAP}, t AS (SELECT *, ord % 3 AS leg FROM cap),
+      n AS (SELECT track_id, leg, dense_rank() OVER (PARTITION BY track_id ORDER BY leg) - 1 AS track_no FROM (SELECT DISTINCT track_id, leg FROM t))
+      SELECT track_id, track_no, CASE WHEN leg = 1 THEN 'named' END AS name, count(*) AS n, min((epoch_us(ts) // 1000) / 1e3) AS t0, max((epoch_us(ts) // 1000) / 1e3) AS t1
+      FROM t JOIN n USING (track_id, leg) JOIN events ON event_id = ord GROUP BY track_id, track_no, leg""",
+)
+def s5_tracks(spark, sf_dir):
+    """One file per user with up to three tracks, of which one has a name."""
+    cap = captures(spark, sf_dir).withColumn("leg", F.col("ord") % 3)
+    stamp = F.concat(F.date_format(F.timestamp_micros((F.col("time") * 1e6).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    point = F.concat(F.lit('<trkpt lat="1" lon="2"><time>'), stamp, F.lit("</time></trkpt>"))
+    body = cap.select("track_id", F.struct("leg", F.lit(1).alias("p"), F.col("ord").alias("o")).alias("ord"), point.alias("value"))
+    legs = cap.select("track_id", "leg").distinct()
+    at = lambda p: F.struct("leg", F.lit(p).alias("p"), F.lit(0).cast("bigint").alias("o")).alias("ord")
+    name = F.when(F.col("leg") == 1, "<name>named</name>").otherwise("")
+    opened = legs.select("track_id", at(0), F.concat(F.lit("<trk>"), name, F.lit("<trkseg>")).alias("value"))
+    closed = legs.select("track_id", at(2), F.lit("</trkseg></trk>").alias("value"))
+    users = cap.select("track_id").distinct()
+    edge = lambda leg, text: users.select(
+        "track_id", F.struct(F.lit(leg).cast("bigint").alias("leg"), F.lit(0).alias("p"), F.lit(0).cast("bigint").alias("o")).alias("ord"), F.lit(text).alias("value")
+    )
+    lines = edge(-1, "<gpx>").unionByName(opened).unionByName(body).unionByName(closed).unionByName(edge(9, "</gpx>"))
+    points = readers.read_gpx(spark, per_user_files(lines, spark, "gpx-tracks"))
+    return points.groupBy(user_of(), "track_no", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("time").alias("t0"), F.max("time").alias("t1")
+    ).withColumn("track_no", F.col("track_no").cast("bigint"))
+
+
 @query(
     "s6_gpx_writer",
     f"""WITH {CAP} SELECT track_id::VARCHAR AS track, count(*) AS n_points, count(alt) AS n_elevations, min(basename) AS first_name FROM cap GROUP BY track_id""",

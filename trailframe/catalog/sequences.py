@@ -147,7 +147,7 @@ def f16(spark, sf_dir):
     f"""WITH {CAP} SELECT ord, CASE WHEN track_id % 17 = 3 AND ord % 5 = 0 THEN 'NullIslandError' END AS error_type FROM cap""")
 def f5(spark, sf_dir):
     bad = S.on_null_island(F.col("lat"), F.col("lon"))
-    err = F.when(bad, R.error(R.NULL_ISLAND, "GPS coordinates in Null Island (0, 0)"))
+    err = F.when(bad, R.error(R.NULL_ISLAND, "position is latitude 0, longitude 0"))
     return video_points(spark, sf_dir).select("ord", err["type"].alias("error_type"))
 
 

@@ -139,8 +139,8 @@ def c25(spark, sf_dir):
     "c11_capture_record_assembly",
     f"""SELECT event_id AS file, CASE WHEN event_id % 3 <> 0 AND event_id % 5 = 0 THEN 'GeoTaggingError'
       WHEN event_id % 8 = 7 THEN 'GeoTaggingError' END AS error_type,
-      CASE WHEN event_id % 3 <> 0 AND event_id % 5 = 0 THEN 'Unable to extract GPS Longitude or GPS Latitude from the image'
-      WHEN event_id % 8 = 7 THEN 'Unable to extract timestamp from the image' END AS message FROM events""",
+      CASE WHEN event_id % 3 <> 0 AND event_id % 5 = 0 THEN 'no position in the tags'
+      WHEN event_id % 8 = 7 THEN 'no capture time in the tags' END AS message FROM events""",
 )
 def c11(spark, sf_dir):
     df = G.assemble_captures(tool_tags(spark, sf_dir), G.properties(F.col("tags"), G.TOOL_TAGS))

@@ -219,7 +219,7 @@ NAMES = "CASE event_id % 9 WHEN 0 THEN 'Hero' || (event_id % 12) || ' Black' WHE
 @query(
     "a19_preferred_device_name",
     f"""SELECT user_id AS file, trim(arg_min(name, (CASE WHEN lower(name) LIKE '%hero%' THEN 0 WHEN lower(name) LIKE '%gopro%' THEN 1 ELSE 2 END, name))) AS name
-      FROM (SELECT user_id, {NAMES} AS name FROM events WHERE event_id % 200 < 10) GROUP BY user_id""",
+      FROM (SELECT user_id, {NAMES} AS name FROM events) GROUP BY user_id""",
 )
 def a19(spark, sf_dir):
     eid = F.col("event_id")
@@ -228,7 +228,7 @@ def a19(spark, sf_dir):
         F.when(i == 0, F.concat(F.lit("Hero"), (eid % 12).cast("string"), F.lit(" Black")))
         .when(i == 1, "GoPro Max").otherwise(F.concat(F.lit("Camera "), (eid % 50).cast("string")))
     )
-    df = events(spark, sf_dir).filter("event_id % 200 < 10").select(F.col("user_id").alias("file"), name.alias("name"))
+    df = events(spark, sf_dir).select(F.col("user_id").alias("file"), name.alias("name"))
     return M.preferred_device(df, "file")
 
 
@@ -345,5 +345,5 @@ def a23_tracks(spark, sf_dir):
         item(5, "GPSLatitude", text(e % 90), F.lit(True)),
     )
     elements = rows.select(u.alias("file"), F.explode(items).alias("x")).select("file", "x.*").filter("text IS NOT NULL")
-    out = M.tool_video_tracks(elements, "file", max_tracks=2)
+    out = M.tool_video_tracks(elements, "file")
     return out.select("file", F.round("time", 4).alias("time"), "lon", "lat", F.col("fix").cast("bigint").alias("fix"), F.col("source_no").cast("bigint").alias("source_no"))

@@ -441,14 +441,18 @@ def x4(spark, sf_dir):
     )
 
 
+# The event kinds, taken as sensors.
+SENSORS = ("click", "error", "purchase", "signup", "view")
+
+
 @query(
     "x5_multiplex_sensors",
-    f"""WITH {CAP}, m AS (SELECT track_id, ord, kind AS sensor, time - 1705000000 AS t FROM cap WHERE kind IN ('click', 'view'))
+    f"""WITH {CAP}, m AS (SELECT track_id, ord, kind AS sensor, time - 1705000000 AS t FROM cap)
       SELECT ord, sensor, row_number() OVER (PARTITION BY track_id ORDER BY t, ord) AS position FROM m WHERE t >= 0""",
 )
 def x5(spark, sf_dir):
     df = captures(spark, sf_dir).withColumn("time", F.col("time") - 1705000000)
-    streams = {k: df.filter(F.col("kind") == k).select("track_id", "ord", "time") for k in ("click", "view")}
+    streams = {k: df.filter(F.col("kind") == k).select("track_id", "ord", "time") for k in SENSORS}
     merged = Ordered.of(K.multiplex(streams), KEYS, ORDER).scan(position=O.index())
     return merged.rows().select("ord", "sensor", "position")
 

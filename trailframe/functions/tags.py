@@ -305,8 +305,8 @@ def assemble_captures(df: DataFrame, props: dict[str, Column], position_later: b
     """
     out = with_computed(df, **props)
     no_place = F.col("lon").isNull() | F.col("lat").isNull()
-    place_error = R.error(R.GEOTAGGING, "Unable to extract GPS Longitude or GPS Latitude from the image")
-    time_error = R.error(R.GEOTAGGING, "Unable to extract timestamp from the image")
+    place_error = R.error(R.GEOTAGGING, "no position in the tags")
+    time_error = R.error(R.GEOTAGGING, "no capture time in the tags")
     checks = F.when(F.lit(not position_later) & no_place, place_error).when(F.col("time").isNull(), time_error)
     out = out.withColumn("error", checks)
     if position_later:

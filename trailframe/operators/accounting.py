@@ -13,6 +13,7 @@ from trailframe.functions import records as R
 from trailframe.operators import ordered as O
 from trailframe.operators.fold import stream_sorted
 from trailframe.operators.ordered import Ordered
+from trailframe.runtime import freeze
 
 # Rows of one sequence gathered into a single value (text of a few hundred kilobytes).
 MAX_GATHERED = 20_000
@@ -183,7 +184,8 @@ def _digest(key: str, digests: str):
                     if state is not None:
                         yield pd.DataFrame({key: [current], "sequence_md5sum": [state.hexdigest()]})
                     current, state = k, hashlib.md5()
-                state.update(text.encode())
+                if text is not None:
+                    state.update(text.encode())
         if state is not None:
             yield pd.DataFrame({key: [current], "sequence_md5sum": [state.hexdigest()]})
 
@@ -191,20 +193,29 @@ def _digest(key: str, digests: str):
 
 
 def fingerprints(images: DataFrame, key: str, order: list[str], max_rows: int | None = None) -> DataFrame:
-    """MD5 over the members' digests in order.
+    """MD5 over the members' digests in order; members without a digest add nothing.
 
-    Sequences of usual length are joined and hashed in one expression. Longer
-    ones stream through a running digest, which holds no more than its state:
-    a digest can only be taken in order.
+    Sequences of usual length are joined and hashed in one expression. Each
+    longer one streams through a running digest, which holds no more than its
+    state: a digest can only be taken in order. Both ways give equal results.
     """
     limit = max_rows or MAX_GATHERED
-    if O.largest_group(images, [key]) <= limit:
-        ordered = F.sort_array(F.collect_list(F.struct(*order, "md5sum")))
-        text = F.array_join(F.transform(ordered, lambda r: r["md5sum"]), "")
-        return images.groupBy(key).agg(F.md5(text.cast("binary")).alias("sequence_md5sum"))
     slim = images.select(key, *order, "md5sum")
+    sizes = slim.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    long_keys = freeze(sizes.filter(F.col("_n") > limit).select(key))
+    if long_keys.isEmpty():
+        return _gathered_digests(slim, key, order)
+    usual = O.join_keys(slim, long_keys, [key], "left_anti")
+    long = O.join_keys(slim, long_keys, [key], "left_semi")
     key_type = images.schema[key].dataType.simpleString()
-    return stream_sorted(slim, [key], order, _digest(key, "md5sum"), f"`{key}` {key_type}, sequence_md5sum string")
+    streamed = stream_sorted(long, [key], order, _digest(key, "md5sum"), f"`{key}` {key_type}, sequence_md5sum string")
+    return _gathered_digests(usual, key, order).unionByName(streamed)
+
+
+def _gathered_digests(slim: DataFrame, key: str, order: list[str]) -> DataFrame:
+    ordered = F.sort_array(F.collect_list(F.struct(*order, "md5sum")))
+    text = F.array_join(F.transform(ordered, lambda r: r["md5sum"]), "")
+    return slim.groupBy(key).agg(F.md5(text.cast("binary")).alias("sequence_md5sum"))
 
 
 def manifest_rows(images: DataFrame, key: str, order: list[str], max_rows: int | None = None) -> DataFrame:
@@ -213,22 +224,17 @@ def manifest_rows(images: DataFrame, key: str, order: list[str], max_rows: int |
     return rows.rows().select(key, (F.col("position") - 1).alias("position"), "handle")
 
 
-def manifests(images: DataFrame, key: str, order: list[str], max_images: int = MAX_GATHERED) -> DataFrame:
-    """One JSON manifest per sequence.
+def manifests(images: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One JSON manifest per sequence, whatever its length.
 
-    A manifest is a single text; sequences too long for one get a null manifest
-    and an error, and are listed in full by ``manifest_rows``.
+    A manifest is one text by definition, so its handles meet in one value;
+    ``manifest_rows`` lists them without gathering.
     """
-    sizes = images.groupBy(key).agg(F.count(F.lit(1)).alias("n_images"))
-    fits = images.join(sizes.filter(F.col("n_images") <= max_images).select(key), key, "left_semi")
     handles = F.transform(F.sort_array(F.collect_list(F.struct(*order, "handle"))), lambda r: r["handle"])
     body = F.struct(
         handles.alias("image_handles"), F.lit("images").alias("upload_type"), F.lit("1").alias("version")
     )
-    made = fits.groupBy(key).agg(F.to_json(body).alias("manifest"))
-    joined = sizes.join(made, key, "left")
-    too_long = R.error(R.FILE_TOO_LARGE, "Too many images for one manifest")
-    return joined.withColumn("error", F.when(F.col("manifest").isNull(), too_long))
+    return images.groupBy(key).agg(F.count(F.lit(1)).alias("n_images"), F.to_json(body).alias("manifest"))
 
 
 def not_uploaded(sequences: DataFrame, history: DataFrame, reupload: bool = False) -> DataFrame:

@@ -384,12 +384,12 @@ def check_videos(
     large = F.lit(False) if limits.max_bytes is None else F.col("filesize") > limits.max_bytes
     fast = (F.col("n") >= 2) & (kmh > limits.max_speed_kmh)
     speed_text = F.format_string(
-        "Capture speed %.3f km/h exceeds max allowed %.3f km/h", kmh, F.lit(limits.max_speed_kmh)
+        "moves at %.3f km/h where %.3f km/h are allowed", kmh, F.lit(limits.max_speed_kmh)
     )
     verdict = (
-        F.when(still, R.error(R.STATIONARY_VIDEO, "Stationary video"))
-        .when(large, R.error(R.FILE_TOO_LARGE, "Video file size exceeds max allowed"))
-        .when(F.col("null_island"), R.error(R.NULL_ISLAND, "GPS coordinates in Null Island (0, 0)"))
+        F.when(still, R.error(R.STATIONARY_VIDEO, "track stays within the stationary radius"))
+        .when(large, R.error(R.FILE_TOO_LARGE, "file is larger than allowed"))
+        .when(F.col("null_island"), R.error(R.NULL_ISLAND, "position is latitude 0, longitude 0"))
         .when(fast, R.error(R.TOO_FAST, speed_text))
     )
     return joined.withColumn("error", verdict)
@@ -542,20 +542,19 @@ def number_sequences(cleaned: DataFrame, max_rows: int | None = None) -> DataFra
 def issue_to_error(issue: Column, limits: Limits) -> Column:
     """Error struct for the issue names produced by ``clean_captures``."""
     duplicate = (
-        f"Duplicate of its previous image in terms of distance <= {limits.duplicate_distance}"
-        f" and angle <= {limits.duplicate_angle}"
+        f"within {limits.duplicate_distance} m and {limits.duplicate_angle} degrees of the capture kept before it"
     )
     return (
-        F.when(issue == R.NULL_ISLAND, R.error(R.NULL_ISLAND, "GPS coordinates in Null Island (0, 0)"))
+        F.when(issue == R.NULL_ISLAND, R.error(R.NULL_ISLAND, "position is latitude 0, longitude 0"))
         .when(
             issue == R.DUPLICATION,
             R.error(R.DUPLICATION, duplicate, distance=F.col("distance"), angle_diff=F.col("angle_diff")),
         )
         .when(
             issue == R.TOO_FAST,
-            R.error(R.TOO_FAST, f"Capture speed exceeds max allowed {limits.max_speed_kmh:.3f} km/h"),
+            R.error(R.TOO_FAST, f"moves faster than {limits.max_speed_kmh:.3f} km/h"),
         )
-        .when(issue == R.ZIGZAG, R.error(R.ZIGZAG, "GPS zig-zag deviation detected"))
+        .when(issue == R.ZIGZAG, R.error(R.ZIGZAG, "track turns back and forth"))
     )
 
 

@@ -258,9 +258,8 @@ def group_frames(frames: DataFrame, keys: list[str], streams: list[str]) -> Data
 
 # -- tracks in tool XML ---------------------------------------------------------------------
 
-# Namespaces that list a whole track, and how many numbered tracks may follow.
+# Namespaces that list a whole track, best first; numbered tracks (``Track1``, ...) follow.
 TRACK_NAMESPACES = ["QuickTime", "Insta360"]
-MAX_TRACKS = 10
 
 
 def _has_tags(elements: DataFrame, key: str, tags: list[str]) -> DataFrame:
@@ -316,15 +315,25 @@ def sampled_track(elements: DataFrame, key: str, namespace: str, max_rows: int |
     return spread.rows().withColumn("fix", fix).drop("_fix", "sample_time", "duration", "sample")
 
 
-def tool_video_tracks(elements: DataFrame, key: str, max_tracks: int = MAX_TRACKS, max_rows: int | None = None) -> DataFrame:
-    """GPS track per video from its tool XML elements: the first source with points."""
-    columns = [key, "ord", "time", "lon", "lat", "alt", "angle", "epoch_time", "fix", "precision", "ground_speed"]
+def tool_video_tracks(elements: DataFrame, key: str, max_rows: int | None = None) -> DataFrame:
+    """GPS track per video from its tool XML elements: the first source with points.
+
+    The source is read off the tag's namespace, so all listed tracks go one way
+    together and all numbered tracks, however many, another.
+    """
+    columns = ["ord", "time", "lon", "lat", "alt", "angle", "epoch_time", "fix", "precision", "ground_speed"]
     # Every step below works on parts of these groups, so one count bounds them all.
     known = O.largest_group(elements, [key])
-    tracks = [listed_track(elements, key, ns, max_rows, known) for ns in TRACK_NAMESPACES]
-    tracks += [sampled_track(elements, key, f"Track{i}", max_rows, known) for i in range(1, max_tracks + 1)]
-    merged = None
-    for rank, track in enumerate(tracks):
-        ranked = track.select(*columns).withColumn("source_no", F.lit(rank))
-        merged = ranked if merged is None else merged.unionByName(ranked)
-    return first_source_with_data(merged, [key], F.col("source_no"))
+    namespace, name = (F.regexp_extract("tag", r"^([^:]*):(.*)$", i) for i in (1, 2))
+    number = F.regexp_extract(namespace, r"^Track([1-9][0-9]{0,8})$", 1).try_cast("int")
+    listed_no = F.array_position(F.array(*[F.lit(n) for n in TRACK_NAMESPACES]), namespace).cast("int") - 1
+    source = F.when(listed_no >= 0, listed_no).otherwise(number + len(TRACK_NAMESPACES) - 1)
+    sourced = elements.select(
+        F.struct(F.col(key).alias("key"), source.alias("source_no")).alias("_source"),
+        (listed_no >= 0).alias("_listed"), "ord", F.concat(F.lit("own:"), name).alias("tag"), "text",
+    ).filter("_source.source_no IS NOT NULL")
+    listed = listed_track(sourced.filter("_listed").drop("_listed"), "_source", "own", max_rows, known)
+    sampled = sampled_track(sourced.filter("NOT _listed").drop("_listed"), "_source", "own", max_rows, known)
+    merged = listed.select("_source", *columns).unionByName(sampled.select("_source", *columns))
+    flat = merged.select(F.col("_source.key").alias(key), *columns, F.col("_source.source_no").alias("source_no"))
+    return first_source_with_data(flat, [key], F.col("source_no"))

@@ -133,8 +133,8 @@ def outside_track_error(time: Column, start: Column, end: Column) -> Column:
     text = lambda lead, delta, tail: F.concat(
         F.lit(lead), F.round(delta, 3).cast("string"), F.lit(tail)
     )
-    behind = text("The image date time is ", early, " seconds behind the GPX start point")
-    beyond = text("The image time is ", late, " seconds beyond the GPX end point")
+    behind = text("taken ", early, " s before the track begins")
+    beyond = text("taken ", late, " s after the track ends")
     return F.when(
         early > EDGE_TOLERANCE_S, R.error(R.OUTSIDE_TRACK, behind, **variables)
     ).when(late > EDGE_TOLERANCE_S, R.error(R.OUTSIDE_TRACK, beyond, **variables))

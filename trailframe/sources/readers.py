@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions import paths
@@ -29,12 +35,38 @@ def find_media(spark: SparkSession, roots: list[str], kind: str, recursive: bool
 
 
 def hash_files(spark: SparkSession, roots: list[str], recursive: bool = True) -> DataFrame:
-    """MD5 of each file's bytes."""
+    """MD5 of each file's bytes.
+
+    Files up to ``WHOLE_FILE`` bytes are hashed as one value. Longer ones are
+    read block by block in the task of their row, which holds one block at a
+    time: no size is too large, and bytes are never a Spark value.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    hashed = reader.load(roots).select("path", "length", F.md5("content").alias("md5sum"))
+    files = reader.load(roots)
+    small = files.filter(F.col("length") <= WHOLE_FILE).select("path", "length", F.md5("content").alias("md5sum"))
+    large = files.filter(F.col("length") > WHOLE_FILE).select("path", "length")
+    hashed = small.unionByName(large.mapInPandas(_stream_digests, "path string, length bigint, md5sum string"))
     return hashed.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
 
 
+# Bytes of a file that may be one value; Spark's own limit is 2 GB.
+WHOLE_FILE = 64 << 20
+
+
+def _stream_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        digests = []
+        for path in batch["path"]:
+            local = re.sub("^file:/+", "/", path)
+            store, where = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+            state = hashlib.md5()
+            with store.open_input_stream(where, compression=None) as f:
+                while block := f.read(8 << 20):
+                    state.update(block)
+            digests.append(state.hexdigest())
+        yield batch[["path", "length"]].assign(md5sum=digests)
+
+
 def read_lines(spark: SparkSession, roots: list[str] | str) -> DataFrame:
     """``file, ord, line`` of text files.
 
@@ -109,21 +141,30 @@ GPX_SCHEMA = """
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     """Points of GPX files; those without a time are left out.
 
-    ``segment_id`` numbers the segments of each track. A point with an elevation
-    has a three-dimensional fix.
+    ``track_no`` numbers the tracks of each file in the file's order, named or
+    not, and ``segment_id`` the segments of each track. A point with an
+    elevation has a three-dimensional fix.
     """
     tracks = (
         spark.read.format("xml").option("rowTag", "trk").option("recursiveFileLookup", "true")
         .schema(GPX_SCHEMA).load(path)
     )
     located = tracks.select(
-        F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("file"), "name", "trkseg"
+        F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("file"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place")
+        ).alias("_at"),
+        "name", "trkseg",
+    )
+    by_file = Window.partitionBy("file").orderBy("_at")
+    numbered = located.withColumn("track_no", F.row_number().over(by_file) - 1)
+    segments = numbered.select("file", "track_no", "name", F.posexplode("trkseg").alias("segment_id", "_s"))
+    points = segments.select(
+        "file", "track_no", "name", "segment_id", F.posexplode("_s.trkpt").alias("ord", "_p")
     )
-    segments = located.select("file", "name", F.posexplode("trkseg").alias("segment_id", "_s"))
-    points = segments.select("file", "name", "segment_id", F.posexplode("_s.trkpt").alias("ord", "_p"))
     time = P.as_unix_time(P.parse_iso(F.col("_p.time")))
     out = points.select(
-        "file", "name", "segment_id", "ord", time.alias("time"),
+        "file", "track_no", "name", "segment_id", "ord", time.alias("time"),
         F.col("_p._lat").alias("lat"), F.col("_p._lon").alias("lon"), F.col("_p.ele").alias("alt"),
         time.alias("time_gps_epoch"),
         F.when(F.col("_p.ele").isNotNull(), 3).otherwise(2).alias("gps_fix_type"),

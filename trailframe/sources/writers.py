@@ -108,22 +108,29 @@ def write_gpx(lines: DataFrame, path: str) -> None:
 # -- tables kept between runs ----------------------------------------------------------------
 
 
-def append_history(records: DataFrame, path: str) -> None:
-    """Append to the history, filed by the first two digits of the fingerprint."""
+def append_history(records: DataFrame, path: str, per_file: int = 1_000_000) -> None:
+    """Append to the history, filed by the first two digits of the fingerprint.
+
+    A prefix is written by as many tasks as its share of ``spark.sql.shuffle.partitions``
+    allows, in files of at most ``per_file`` rows.
+    """
     valid = records.filter(R.is_hex_digest(F.col("sequence_md5sum")))
     filed = valid.withColumn("prefix", F.substring("sequence_md5sum", 1, 2))
-    filed.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+    writers = -(-int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 256)
+    dealt = filed.repartition("prefix", F.pmod(F.xxhash64("sequence_md5sum"), F.lit(writers)))
+    dealt.write.mode("append").option("maxRecordsPerFile", per_file).partitionBy("prefix").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+    """The history; prefixes are text, whatever their digits look like."""
+    found = spark.read.option("basePath", path).parquet(path).drop("prefix").schema
+    return spark.read.schema(found.add("prefix", "string")).option("basePath", path).parquet(path)
 
 
 def lookup_history(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """History rows of the wanted fingerprints; only their partitions are read."""
     keyed = wanted.withColumn("prefix", F.substring("sequence_md5sum", 1, 2))
-    schema_on_read = read_history(spark, path).withColumn("prefix", F.col("prefix").cast("string"))
-    return schema_on_read.join(keyed.select("prefix", "sequence_md5sum"), ["prefix", "sequence_md5sum"], "left_semi")
+    return read_history(spark, path).join(keyed.select("prefix", "sequence_md5sum"), ["prefix", "sequence_md5sum"], "left_semi")
 
 
 def write_cache(cache: DataFrame, path: str) -> None:
