@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 
 from trailframe.operators import accounting as B
 from trailframe.operators import filters as N
-from trailframe.operators import fold
 from trailframe.operators import ordered as O
 from trailframe.operators import sequences as S
 from trailframe.operators import tracks as K
@@ -96,18 +96,71 @@ def test_last_kept_fold_on_hot_group(spark, monkeypatch, max_rows):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("angle", F.lit(None).cast("double"))
     monkeypatch.setattr(S, "MAX_ARRAY_ROWS", 10)
     if max_rows:
-        monkeypatch.setattr(fold, "MAX_FOLD_ROWS", max_rows)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", max_rows)
     got = S.mark_duplicates(df, ["k"], ["time", "ord"], 700.0, 5.0)
-    assert {r.ord: r.duplicate for r in got.collect()} == brute_duplicates(rows, 700.0)
-
-
-def test_bounded_and_python_folds_agree(spark, monkeypatch):
+    try:
+        assert {r.ord: r.duplicate for r in got.collect()} == brute_duplicates(rows, 700.0)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def holes(rows, spark):
+    """Rows with null and NaN positions and headings, and a nullable integer beside them."""
+    nan = float("nan")
+    bad = [(None, 1.0), (1.0, None), (nan, 1.0), (1.0, nan)]
+    out = []
+    for i, (k, o, t, v, lat, lon) in enumerate(rows):
+        lat, lon = bad[i // 7 % 4] if i % 7 == 3 else (lat, lon)
+        angle = None if i % 5 == 1 else nan if i % 5 == 2 else float(i * 37 % 360)
+        out.append((k, o, t, None if v is None else int(v), lat, lon, angle, None if i % 3 else 2**60 + i, nan))
+    return spark.createDataFrame(out, "k string, ord long, time double, v long, lat double, lon double, angle double, big long, other double")
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_both_fold_routes_agree_on_holes(spark, monkeypatch, batch):
+    df = holes(hot_rows(21, hot=150), spark)
+    text = lambda d: sorted(str(tuple(r)) for r in d.select(*sorted(d.columns)).collect())
+    runs = lambda: (
+        text(S.mark_duplicates(df, ["k"], ["time", "ord"], 700.0, 60.0)),
+        text(S.split_by_total(df, ["k"], ["time", "ord"], F.col("v"), 90)),
+        text(K.sample_by_distance(df, ["k"], ["time", "ord"], 500.0)),
+    )
+    bounded = runs()
+    monkeypatch.setattr(S, "MAX_ARRAY_ROWS", 1)
+    monkeypatch.setattr(K, "MAX_ARRAY_ROWS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        streamed = runs()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    close = lambda rows: [re.sub(r"(\d+\.\d{6})\d*", r"\1", r) for r in rows]
+    for a, b in zip(bounded, streamed):
+        assert close(a) == close(b)
+
+
+def test_long_groups_stream(spark, monkeypatch):
+    """A group's length costs time in proportion: 40,000 rows of one key in a few seconds."""
+    import time
+
+    df = spark.range(40_000).selectExpr("'a' AS k", "id AS ord", "id % 17 AS v")
+    monkeypatch.setattr(S, "MAX_ARRAY_ROWS", 1)
+    began = time.time()
+    got = {r.ord: r.part for r in S.split_by_total(df, ["k"], ["ord"], F.col("v"), 90).collect()}
+    assert time.time() - began < 20
+    total = part = 0
+    for i in range(40_000):
+        total += i % 17
+        if total > 90:
+            total, part = i % 17, part + 1
+        assert got[i] == part
+
+
+def test_bounded_and_streamed_folds_agree(spark, monkeypatch):
     rows = hot_rows(5, hot=70, cold=3)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("filesize", F.col("v"))
     size = F.coalesce(F.col("filesize"), F.lit(0))
     a = {r.ord: r.part for r in S.split_by_total(df, ["k"], ["time", "ord"], size, 90).collect()}
     monkeypatch.setattr(S, "MAX_ARRAY_ROWS", 5)
-    monkeypatch.setattr(fold, "MAX_FOLD_ROWS", 20)
     b = {r.ord: r.part for r in S.split_by_total(df, ["k"], ["time", "ord"], size, 90).collect()}
     assert a == b
     k1 = {r.ord for r in K.sample_by_distance(df, ["k"], ["time", "ord"], 500.0, max_rows=500).collect()}
@@ -261,7 +314,6 @@ def test_whole_flow_without_count_limit(spark, monkeypatch):
     keep = ["ord", "issue", "time", "seq"]
     a = as_map(S.clean_captures(df, roomy).select(keep))
     monkeypatch.setattr(S, "MAX_ARRAY_ROWS", 5)
-    monkeypatch.setattr(fold, "MAX_FOLD_ROWS", 30)
     b = as_map(S.clean_captures(df, unlimited).select(keep))
     assert a == b
 

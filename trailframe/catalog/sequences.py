@@ -9,7 +9,7 @@ from trailframe.functions import geo
 from trailframe.functions import records as R
 from trailframe.operators import ordered as O
 from trailframe.operators import sequences as S
-from trailframe.operators.fold import split_runs
+from trailframe.operators.fold import running_total_walk, split_runs, stream_fold
 from trailframe.operators.ordered import Ordered
 
 # Parameters fit for the sparse synthetic tracks (hours and hundreds of metres apart).
@@ -204,18 +204,10 @@ def w3(spark, sf_dir):
     )
     if ordered.largest <= 2000:
         return split_runs(value, ["track_id"], ORDER, F.lit(0), "bigint", step).select("ord", "run")
-    from pyspark.sql import types as T
-
-    from trailframe.operators.fold import fold_any
-
-    def python_step(state, row):
-        total, run = state[0] + row.v, state[1]
-        if total > 150:
-            total, run = 0, run + 1 if run >= 0 else 0
-        return (total, max(run, 0)), {"run": max(run, 0)}
-
-    state_type = T.StructType().add("total", "long").add("run", "integer")
-    out = fold_any(value, ["track_id"], ORDER, (0, -1), state_type, T.StructType().add("run", "integer"), python_step)
+    out = stream_fold(
+        value.withColumn("v", F.col("v").cast("bigint")), ["track_id"], ORDER, ["v"], T.StructType().add("run", "integer"),
+        running_total_walk(150, "v", "run", carry=False),
+    )
     return out.select("ord", "run")
 
 

@@ -1,16 +1,14 @@
-"""Order-dependent folds: ``(state, row) -> (state, output)``.
+"""Order-dependent folds: what a row gets depends on the rows before it in its group.
 
 Two routes with one meaning:
 
-* ``fold_bounded`` runs the step as Column expressions inside ``aggregate`` over
-  a sorted array, for groups whose size is bounded (a run of at most a thousand
-  captures, or a group that was just measured to be small);
-* ``fold_any`` takes a Python step and groups of any size. Groups over the limit
-  are cut into tiles that fold in parallel from a guessed starting state; tiles
-  whose real starting state turns out different fold again until nothing
-  changes. The first tile is right after one round, the second after two, and so
-  on, so the result is exactly the sequential one; folds that forget their
-  starting state quickly settle in a few rounds.
+* ``fold_bounded`` runs a step as Column expressions inside ``aggregate`` over a
+  sorted array, for groups of bounded size (a run of at most a thousand
+  captures, or groups that were just measured to be small);
+* ``stream_fold`` takes groups of any size. Rows flow through in order, an Arrow
+  batch at a time, and a walk over numpy arrays carries the state: it holds one
+  batch, never a group, and jumps from one change of state to the next instead
+  of looking at every row. Columns that the walk doesn't read pass untouched.
 """
 
 from __future__ import annotations
@@ -18,21 +16,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailframe.operators.ordered import TILE, Ordered, join_keys
-from trailframe.runtime import freeze
-
 # Arrays folded inside one expression stay below this many rows.
 MAX_ARRAY_ROWS = 2_000
-# Rows of one group handed to a Python step at once.
-MAX_FOLD_ROWS = 200_000
+# Outputs gathered at once inside a fold; appending copies them.
+CHUNK = 48
 
 ColumnStep = Callable[[Column, Column], tuple[Column, Column]]
-PythonStep = Callable[[Any, Any], tuple[Any, dict]]
+Walk = Callable[[Any, dict[str, np.ndarray]], tuple[Any, dict[str, np.ndarray]]]
 
 
 def fold_bounded(
@@ -60,118 +57,159 @@ def fold_bounded(
             F.concat(acc["out"], F.array(out.cast(out_type))).alias("out"),
         )
 
+    start = lambda state: F.struct(
+        state.cast(state_type).alias("state"), F.array().cast(f"array<{out_type}>").alias("out")
+    )
+
+    def chunk(acc: Column, items: Column) -> Column:
+        # A lambda over a one-element array binds the chunk's fold once.
+        folded = F.array(F.aggregate(items, start(acc["state"]), merge))
+        return F.transform(
+            folded,
+            lambda x: F.struct(x["state"].alias("state"), F.concat(acc["outs"], F.array(x["out"])).alias("outs")),
+        )[0]
+
     zero = F.struct(
-        init.cast(state_type).alias("state"),
-        F.array().cast(f"array<{out_type}>").alias("out"),
+        init.cast(state_type).alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("outs")
+    )
+    chunks = F.transform(
+        F.sequence(F.lit(1), F.size("_rows"), F.lit(CHUNK)), lambda i: F.slice("_rows", i, F.lit(CHUNK))
     )
     folded = grouped.select(
-        *keys, "_rows", F.aggregate("_rows", zero, merge, lambda acc: acc["out"]).alias("_outs")
+        *keys, "_rows", F.aggregate(chunks, zero, chunk, lambda acc: F.flatten(acc["outs"])).alias("_outs")
     )
     pairs = F.explode(F.arrays_zip("_rows", "_outs")).alias("_pair")
     return folded.select(*keys, pairs).select(*keys, "_pair._rows.*", "_pair._outs.*")
 
 
-def _fold_group(
-    pdf: pd.DataFrame, order: list[str], step: PythonStep, state: Any
-) -> tuple[Any, list[dict]]:
-    outs = []
-    for row in pdf.sort_values(order, kind="stable").itertuples(index=False):
-        state, out = step(state, row)
-        outs.append(out)
-    return state, outs
-
-
-def fold_any(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    init: tuple,
-    state_type: T.StructType,
-    out_type: T.StructType,
-    step: PythonStep,
-    max_rows: int | None = None,
+def stream_fold(
+    df: DataFrame, keys: list[str], order: list[str], inputs: list[str], out_type: T.StructType, walk: Walk
 ) -> DataFrame:
-    """Fold groups of any size with a Python step over Arrow batches.
+    """Add ``out_type``'s columns by a walk over each group's rows in order.
 
-    ``init`` and every state are plain tuples laid out as ``state_type``.
+    ``walk(state, arrays)`` gets the next rows' inputs (doubles, null as NaN)
+    and the state after the rows before, None at a group's first rows. A null
+    output is NaN for doubles. A group is walked by one task, in order.
+    """
+    gid = "_gid"
+    marked = df.withColumn(gid, F.xxhash64(*[F.col(k) for k in keys]))
+    arranged = marked.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    plain = {"boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}
+    kinds = {f.name: plain[f.dataType.simpleString()] for f in out_type}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column(gid).to_numpy(zero_copy_only=False)
+            arrays = {
+                n: np.asarray(batch.column(n).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False), dtype=np.float64)
+                for n in inputs
+            }
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            parts: dict[str, list[np.ndarray]] = {n: [] for n in kinds}
+            for a, b in zip(cuts, cuts[1:]):
+                state = state if last is not None and group[a] == last else None
+                state, outs = walk(state, {n: v[a:b] for n, v in arrays.items()})
+                last = group[a]
+                for n in kinds:
+                    parts[n].append(outs[n])
+            columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != gid]
+            names = [n for n in batch.schema.names if n != gid]
+            for n, kind in kinds.items():
+                columns.append(pa.array(np.concatenate(parts[n]), kind, from_pandas=True))
+            yield pa.RecordBatch.from_arrays(columns, [*names, *kinds])
+
+    return arranged.mapInArrow(run, T.StructType([*df.schema.fields, *out_type.fields]))
+
+
+def running_total_walk(limit: int, amount: str, name: str, carry: bool = True) -> Walk:
+    """Part numbers that rise where the running total passes ``limit``.
+
+    The total restarts at the row that passed it, with its amount (``carry``) or
+    with nothing. Amounts are not negative.
     """
-    ordered = Ordered.of(df, keys, order, max_rows or MAX_FOLD_ROWS)
-    data = ordered.df
-    columns = data.columns
-    full = T.StructType([*data.schema.fields, *out_type.fields])
-    state_names = state_type.fieldNames()
-    out_names = out_type.fieldNames()
-
-    def emit(pdf: pd.DataFrame, state: tuple) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        _, outs = _fold_group(pdf, order, step, state)
-        result = pdf[columns].reset_index(drop=True)
-        for name in out_names:
-            result[name] = pd.Series([o[name] for o in outs], dtype="object")
-        return result
-
-    if not ordered.tiled:
-        folded = data.groupBy(*keys).applyInPandas(lambda pdf: emit(pdf, init), full)
-        return folded.drop(TILE)
-
-    # Only the columns the step reads matter here, but it is free to read any.
-    starts = _settle(ordered, init, state_type, step)
-    prefixed = [f"_s_{n}" for n in state_names]
-    ready = join_keys(data, starts, ordered.parts)
-
-    def emit_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        return emit(pdf, _state_of(pdf, prefixed, init))
-
-    return ready.groupBy(*ordered.parts).applyInPandas(emit_tile, full).drop(TILE)
-
-
-def _state_of(pdf: pd.DataFrame, prefixed: list[str], init: tuple) -> tuple:
-    if not bool(pdf["_s_set"].iloc[0]):
-        return init
-    values = (pdf[name].iloc[0] for name in prefixed)
-    return tuple(None if pd.isna(v) else v for v in values)
 
+    def walk(state: tuple | None, arrays: dict[str, np.ndarray]) -> tuple[tuple, dict[str, np.ndarray]]:
+        total, part, started = state or (0.0, 0, False)
+        amounts = arrays[amount]
+        sums = np.concatenate([[0.0], np.cumsum(amounts)])
+        out, at, n = np.empty(len(amounts), np.int32), 0, len(amounts)
+        while at < n:
+            over = max(int(np.searchsorted(sums, limit - total + sums[at], "right")), at + 1)
+            if over > n:
+                out[at:] = part
+                total += sums[n] - sums[at]
+                started = True
+                break
+            row = over - 1
+            out[at:row] = part
+            part += 1 if started or row > at else 0
+            out[row] = part
+            total, started, at = float(amounts[row]) if carry else 0.0, True, row + 1
+        return (total, part, started), {name: out}
+
+    return walk
+
+
+def last_kept_walk(judge: Callable[..., tuple[np.ndarray, dict[str, np.ndarray]]], names: list[str], known: str) -> Walk:
+    """Compare every row with the last kept one before it.
+
+    ``judge(kept, rows)`` tells which of the rows are kept, given one kept row
+    for all or one each, and what they output; with no kept row yet it is given
+    None. Rows whose input ``known`` is NaN have nothing to compare, and are
+    never kept. While rows are kept one after the other, each one's predecessor
+    is its kept row, so whole stretches are judged at once.
+    """
 
-def _settle(
-    ordered: Ordered, init: tuple, state_type: T.StructType, step: PythonStep
-) -> DataFrame:
-    """Starting state of every tile, iterated until no tile's start changes."""
-    parts, order = ordered.parts, ordered.order
-    names = state_type.fieldNames()
-    prefixed = [f"_s_{n}" for n in names]
-    key_fields = [ordered.df.schema[k] for k in parts]
-    end_type = T.StructType([*key_fields, *[T.StructField(f"_e_{f.name}", f.dataType) for f in state_type]])
-
-    def end_state(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, _ = _fold_group(pdf, order, step, _state_of(pdf, prefixed, init))
-        row = {k: pdf[k].iloc[0] for k in parts}
-        row.update({f"_e_{n}": [v] for n, v in zip(names, state)})
-        return pd.DataFrame(row)
-
-    unset = [F.lit(None).cast(f.dataType).alias(f"_s_{f.name}") for f in state_type]
-    starts = ordered.df.select(*parts).distinct().select(*parts, F.lit(False).alias("_s_set"), *unset)
-    starts = freeze(starts)
-    ends, todo = None, starts
-    by_group = Window.partitionBy(*[F.col(k) for k in ordered.keys]).orderBy(TILE)
-    while True:
-        rows = join_keys(ordered.df, todo, parts, "inner")
-        fresh = freeze(rows.groupBy(*parts).applyInPandas(end_state, end_type))
-        if ends is not None:
-            kept = join_keys(ends, fresh.select(*parts, F.lit(1).alias("_new")), parts)
-            fresh = kept.filter("_new IS NULL").drop("_new").unionByName(fresh)
-        ends = freeze(fresh)
-        carried = ends.select(
-            *parts,
-            (F.row_number().over(by_group) > 1).alias("_s_set"),
-            *[F.lag(f"_e_{n}").over(by_group).alias(f"_s_{n}") for n in names],
-        )
-        old = starts.select(*parts, F.struct("_s_set", *prefixed).alias("_old"))
-        compared = freeze(join_keys(carried, old, parts))
-        differs = ~F.struct("_s_set", *prefixed).eqNullSafe(F.col("_old"))
-        todo = freeze(compared.filter(differs).drop("_old"))
-        starts = compared.drop("_old")
-        if todo.isEmpty():
-            return starts
+    def walk(state: dict | None, arrays: dict[str, np.ndarray]) -> tuple[dict | None, dict[str, np.ndarray]]:
+        n = len(arrays[known])
+        outs = {k: v for k, v in judge(None, arrays)[1].items()}
+        real = np.flatnonzero(~np.isnan(arrays[known]))
+        if not len(real):
+            return state, outs
+        rows = {k: v[real] for k, v in arrays.items()}
+        m = len(real)
+        found = {k: v[real].copy() for k, v in outs.items()}
+
+        def put(a: int, b: int, values: dict[str, np.ndarray], offset: int) -> None:
+            for k in names:
+                found[k][a:b] = values[k][a - offset : b - offset]
+
+        before = {k: v[:-1] for k, v in rows.items()}
+        steps, beside = judge(before, {k: v[1:] for k, v in rows.items()}) if m > 1 else (np.zeros(0, bool), None)
+        at = 0
+        if state is None:
+            state, at = {k: v[0] for k, v in rows.items()}, 1
+        chained = at == 1
+        while at < m:
+            if chained:
+                # Row at - 1 is kept: go on while steps are.
+                stop = at - 1 + int(np.argmin(steps[at - 1 :])) if not steps[at - 1 :].all() else m - 1
+                if stop > at - 1:
+                    put(at, stop + 1, beside, 1)
+                    at = stop + 1
+                    state = {k: v[at - 1] for k, v in rows.items()}
+                if at >= m:
+                    break
+            width, chained = 16, False
+            while at < m:
+                end = min(m, at + width)
+                kept, values = judge(state, {k: v[at:end] for k, v in rows.items()})
+                hit = int(np.argmax(kept)) if kept.any() else end - at
+                stop = min(end, at + hit + 1)
+                put(at, stop, values, at)
+                at, width = stop, width * 2
+                if kept.any():
+                    state = {k: v[at - 1] for k, v in rows.items()}
+                    chained = True
+                    break
+        for k in names:
+            outs[k][real] = found[k]
+        return state, outs
+
+    return walk
 
 
 def split_runs(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from trailframe.functions import geo
 from trailframe.functions import records as R
 from trailframe.operators import ordered as O
-from trailframe.operators.fold import MAX_ARRAY_ROWS, fold_any, fold_bounded
+from trailframe.operators.fold import MAX_ARRAY_ROWS, fold_bounded, last_kept_walk, running_total_walk, stream_fold
 from trailframe.operators.ordered import Ordered
 from trailframe.runtime import materialize
 
@@ -118,8 +119,11 @@ def split_by_total(
     name: str = "part",
     max_rows: int | None = None,
 ) -> DataFrame:
-    """Split where the running total passes ``limit``; it restarts at each split."""
-    valued = df.withColumn("step_amount", amount.cast("bigint"))
+    """Split where the running total passes ``limit``; it restarts at each split.
+
+    A missing amount counts as nothing.
+    """
+    valued = df.withColumn("step_amount", F.coalesce(amount.cast("bigint"), F.lit(0)))
     bound = max_rows if max_rows is not None else O.largest_group(df, keys)
     if bound <= MAX_ARRAY_ROWS:
 
@@ -141,17 +145,9 @@ def split_by_total(
         out = fold_bounded(valued, keys, order, init, state, f"struct<{name}:int>", step)
         return out.drop("step_amount")
 
-    def python_step(state, row):
-        total, part, started = state
-        total += row.step_amount
-        if total > limit:
-            total, part = row.step_amount, part + (1 if started else 0)
-        return (total, part, True), {name: part}
-
-    state_type = T.StructType().add("total", "long").add("part", "integer").add("started", "boolean")
     out_type = T.StructType().add(name, "integer")
-    folded = fold_any(valued, keys, order, (0, 0, False), state_type, out_type, python_step)
-    return folded.drop("step_amount")
+    walk = running_total_walk(limit, "step_amount", name)
+    return stream_fold(valued, keys, order, ["step_amount"], out_type, walk).drop("step_amount")
 
 
 def pixels() -> Column:
@@ -214,7 +210,11 @@ def mark_duplicates(
     max_angle: float,
     max_rows: int | None = None,
 ) -> DataFrame:
-    """Compare every row with the last kept one; adds ``duplicate``, ``distance``, ``angle_diff``."""
+    """Compare every row with the last kept one; adds ``duplicate``, ``distance``, ``angle_diff``.
+
+    A row without a position (null or not a number) is no duplicate and isn't
+    compared with; an unknown heading agrees with any.
+    """
     located = df.withColumn("at_xyz", geo.ecef(F.col("lat"), F.col("lon")))
     bound = max_rows if max_rows is not None else O.largest_group(df, keys)
     out_ddl = "struct<duplicate:boolean,distance:double,angle_diff:double>"
@@ -222,50 +222,56 @@ def mark_duplicates(
 
         def step(state: Column, row: Column) -> tuple[Column, Column]:
             verdict = _duplicate_of(state["xyz"], state["angle"], row, max_distance, max_angle)
-            kept = F.struct(row["at_xyz"].alias("xyz"), row["angle"].alias("angle"))
-            return F.when(verdict["duplicate"], state).otherwise(kept), verdict
+            kept = F.struct(row["at_xyz"].alias("xyz"), known(row["angle"]).alias("angle"))
+            return F.when(verdict["duplicate"] | ~placed(row["at_xyz"]), state).otherwise(kept), verdict
 
         xyz = "struct<x:double,y:double,z:double>"
         init = F.struct(F.lit(None).cast(xyz).alias("xyz"), F.lit(None).cast("double").alias("angle"))
         state = f"struct<xyz:{xyz},angle:double>"
         return fold_bounded(located, keys, order, init, state, out_ddl, step).drop("at_xyz")
 
-    def python_step(state, row):
-        x, y, z, angle = state
-        here = row.at_xyz
-        distance = diff = None
-        duplicate = False
-        if x is not None:
-            distance = ((x - here["x"]) ** 2 + (y - here["y"]) ** 2 + (z - here["z"]) ** 2) ** 0.5
-            if angle is not None and row.angle is not None and row.angle == row.angle:
-                gap = abs(row.angle - angle)
-                diff = 360 - gap if gap > 180 else gap
-            duplicate = distance <= max_distance and (diff is None or diff <= max_angle)
-        out = {"duplicate": duplicate, "distance": distance, "angle_diff": diff}
-        if duplicate:
-            return state, out
-        known = row.angle if row.angle is not None and row.angle == row.angle else None
-        return (here["x"], here["y"], here["z"], known), out
-
-    state_type = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "z", "angle")])
+    def judge(kept, rows):
+        n = len(rows["at_x"])
+        nothing = {"duplicate": np.zeros(n, bool), "distance": np.full(n, np.nan), "angle_diff": np.full(n, np.nan)}
+        if kept is None:
+            return np.ones(n, bool), nothing
+        distance = np.sqrt(sum((kept[c] - rows[c]) ** 2 for c in ("at_x", "at_y", "at_z")))
+        gap = np.abs(rows["angle"] - kept["angle"])
+        diff = np.where(gap > 180, 360 - gap, gap)
+        duplicate = (distance <= max_distance) & (np.isnan(diff) | (diff <= max_angle))
+        return ~duplicate, {"duplicate": duplicate, "distance": distance, "angle_diff": diff}
+
     out_type = (
         T.StructType().add("duplicate", "boolean").add("distance", "double").add("angle_diff", "double")
     )
-    none = (None, None, None, None)
-    return fold_any(located, keys, order, none, state_type, out_type, python_step).drop("at_xyz")
+    walk = last_kept_walk(judge, ["duplicate", "distance", "angle_diff"], "at_x")
+    flat = located.withColumns({f"at_{c}": F.col(f"at_xyz.{c}") for c in "xyz"}).drop("at_xyz")
+    folded = stream_fold(flat, keys, order, ["at_x", "at_y", "at_z", "angle"], out_type, walk)
+    return folded.drop("at_x", "at_y", "at_z")
+
+
+def known(value: Column) -> Column:
+    """Null where the value isn't a number."""
+    return F.when(~F.isnan(value), value)
+
+
+def placed(xyz: Column) -> Column:
+    total = xyz["x"] + xyz["y"] + xyz["z"]
+    return total.isNotNull() & ~F.isnan(total)
 
 
 def _duplicate_of(
     kept_xyz: Column, kept_angle: Column, row: Column, max_distance: float, max_angle: float
 ) -> Column:
-    distance = geo.chord(kept_xyz, row["at_xyz"])
-    diff = geo.diff_bearing(kept_angle, row["angle"])
+    here = placed(row["at_xyz"])
+    distance = F.when(here, geo.chord(kept_xyz, row["at_xyz"]))
+    diff = geo.diff_bearing(kept_angle, known(row["angle"]))
     close = F.coalesce(distance <= max_distance, F.lit(False))
-    aligned = kept_angle.isNull() | row["angle"].isNull() | (diff <= max_angle)
+    aligned = diff.isNull() | (diff <= max_angle)
     return F.struct(
         (close & aligned).alias("duplicate"),
         distance.alias("distance"),
-        F.when(kept_xyz.isNotNull(), diff).alias("angle_diff"),
+        F.when(kept_xyz.isNotNull() & here, diff).alias("angle_diff"),
     )
 
 
@@ -427,14 +433,14 @@ def _check_runs(df: DataFrame, keys: list[str], order: list[str], limits: Limits
             kept_xyz, kept_angle, row, limits.duplicate_distance, limits.duplicate_angle
         )
         island = on_null_island(row["lat"], row["lon"])
-        dropped = island | verdict["duplicate"]
+        dropped = F.coalesce(island, F.lit(False)) | verdict["duplicate"] | ~placed(row["at_xyz"])
         sub = state["sub"] + F.when(split, 1).otherwise(0)
         next_state = F.struct(
             sub.alias("sub"),
             F.when(by_bytes, row["_bytes"]).otherwise(total_bytes).alias("bytes"),
             F.when(split, row["_px"]).otherwise(total_px).alias("px"),
             F.when(dropped, kept_xyz).otherwise(row["at_xyz"]).alias("xyz"),
-            F.when(dropped, kept_angle).otherwise(row["angle"]).alias("angle"),
+            F.when(dropped, kept_angle).otherwise(known(row["angle"])).alias("angle"),
         )
         issue = F.when(island, R.NULL_ISLAND).when(verdict["duplicate"], R.DUPLICATION)
         out = F.struct(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +10,7 @@ from pyspark.sql import types as T
 from trailframe.functions import geo
 from trailframe.functions import records as R
 from trailframe.operators import ordered as O
-from trailframe.operators.fold import MAX_ARRAY_ROWS, fold_any, fold_bounded
+from trailframe.operators.fold import MAX_ARRAY_ROWS, fold_bounded, last_kept_walk, stream_fold
 from trailframe.operators.ordered import Ordered, join_keys
 
 # Captures this close to an end of the track still count as on it (seconds).
@@ -328,14 +329,18 @@ def apply_edit_list(
 def sample_by_distance(
     df: DataFrame, keys: list[str], order: list[str], min_distance: float, max_rows: int | None = None
 ) -> DataFrame:
-    """Keep the first row, then each row farther than ``min_distance`` from the last kept."""
+    """Keep the first row, then each row farther than ``min_distance`` from the last kept.
+
+    Rows without a position (null or not a number) are never kept.
+    """
     located = df.withColumn("at_xyz", geo.ecef(F.col("lat"), F.col("lon")))
     bound = max_rows if max_rows is not None else O.largest_group(df, keys)
     if bound <= MAX_ARRAY_ROWS:
         xyz = "struct<x:double,y:double,z:double>"
 
         def step(state: Column, row: Column) -> tuple[Column, Column]:
-            keep = F.coalesce(geo.chord(state["xyz"], row["at_xyz"]) > min_distance, state["xyz"].isNull())
+            total = row["at_xyz"]["x"] + row["at_xyz"]["y"] + row["at_xyz"]["z"]
+            keep = total.isNotNull() & ~F.isnan(total) & F.coalesce(geo.chord(state["xyz"], row["at_xyz"]) > min_distance, state["xyz"].isNull())
             here = F.struct(row["at_xyz"].alias("xyz"))
             return F.when(keep, here).otherwise(state), F.struct(keep.alias("_keep"))
 
@@ -345,17 +350,17 @@ def sample_by_distance(
         )
     else:
 
-        def python_step(state, row):
-            x, y, z = state
-            p = row.at_xyz
-            keep = x is None or (
-                ((x - p["x"]) ** 2 + (y - p["y"]) ** 2 + (z - p["z"]) ** 2) ** 0.5 > min_distance
-            )
-            return ((p["x"], p["y"], p["z"]) if keep else state), {"_keep": keep}
+        def judge(kept, rows):
+            n = len(rows["at_x"])
+            if kept is None:
+                return np.ones(n, bool), {"_keep": ~np.isnan(rows["at_x"])}
+            distance = np.sqrt(sum((kept[c] - rows[c]) ** 2 for c in ("at_x", "at_y", "at_z")))
+            return distance > min_distance, {"_keep": distance > min_distance}
 
-        state_type = T.StructType([T.StructField(n, T.DoubleType()) for n in "xyz"])
         out_type = T.StructType().add("_keep", "boolean")
-        folded = fold_any(located, keys, order, (None, None, None), state_type, out_type, python_step)
+        flat = located.withColumns({f"at_{c}": F.col(f"at_xyz.{c}") for c in "xyz"})
+        walk = last_kept_walk(judge, ["_keep"], "at_x")
+        folded = stream_fold(flat, keys, order, ["at_x", "at_y", "at_z"], out_type, walk).drop("at_x", "at_y", "at_z")
     return folded.filter("_keep").drop("_keep", "at_xyz")
 
 
