@@ -261,3 +261,33 @@ def test_manifest_of_any_length(spark):
     df = spark.range(30_000).selectExpr("1 AS k", "id AS ord", "concat('h', id) AS handle")
     row = accounting.manifests(df, "k", ["ord"]).first()
     assert json.loads(row.manifest)["image_handles"] == [f"h{i}" for i in range(30_000)] and row.n_images == 30_000
+
+
+def test_tool_xml_is_read_as_xml(spark, tmp_path):
+    """Entities, CDATA, comments, nested and empty elements."""
+    from trailframe.sources import readers
+
+    (tmp_path / "a.xml").write_text(
+        "<?xml version='1.0'?>\n<rdf:RDF xmlns:rdf='r'>\n"
+        "<rdf:Description rdf:about='/x/a.jpg'><A:One>Caf&#233; &amp; co</A:One><!-- <A:No>1</A:No> --><A:Two><![CDATA[<5>]]></A:Two>"
+        "<A:List><rdf:li>x</rdf:li></A:List><A:None/></rdf:Description>\n"
+        "<!-- <rdf:Description rdf:about='/x/b.jpg'><A:One>no</A:One></rdf:Description> -->\n"
+        "<rdf:Description rdf:about='/x/c.jpg'><A:One>c</A:One></rdf:Description>\n</rdf:RDF>"
+    )
+    rows = {(r.path, r.tag): r.text for r in readers.read_descriptions(spark, str(tmp_path)).collect()}
+    assert rows == {
+        ("/x/a.jpg", "A:One"): "Café & co", ("/x/a.jpg", "A:Two"): "<5>", ("/x/a.jpg", "A:List"): None,
+        ("/x/a.jpg", "A:None"): None, ("/x/c.jpg", "A:One"): "c",
+    }
+
+
+def test_video_rules(spark):
+    from trailframe.functions import records as R
+    from trailframe.operators import accounting
+    from pyspark.sql import functions as F
+
+    good = [1.0, 2.0, 3.0, None, None]
+    rows = [("a", "gopro", [good]), ("b", "image", [good]), ("c", "video", None), ("d", "video", [[1.0, 2.0]]), ("e", "camm", [[1.0, None, 3.0, 1.0, 1.0]]), ("f", "video", [[1.0, 200.0, 3.0, 1.0, 1.0, 5.0]]), ("g", "video", [])]
+    df = spark.createDataFrame(rows, "filename string, filetype string, track array<array<double>>").withColumn("error", R.no_error())
+    got = {r.filename: r.e for r in accounting.validate_videos(df).select("filename", F.col("error.message").alias("e")).collect()}
+    assert got["a"] is None and got["g"] is None and all(got[k] for k in "bcdef") and len({got[k] for k in "bcdef"}) == 5

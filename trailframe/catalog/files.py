@@ -106,6 +106,37 @@ def s4(spark, sf_dir):
     )
 
 
+@query(
+    "s4_video_records",
+    f"""WITH {CAP} SELECT track_id, row_number() OVER {W} - 1 AS position, (round(time * 1e6)::BIGINT // 1000) / 1e3 AS time, round(lat, 6) AS lat, round(lon, 6) AS lon, alt, angle,
+      CASE WHEN ord % 4 = 0 THEN time + 60 END AS gps_epoch FROM cap WHERE track_id % 7 <> 2""",
+)
+def s4_videos(spark, sf_dir):
+    """A video a user with its whole track; every seventh without one, which the rules refuse."""
+    o = F.col("ord")
+    epoch = F.when(o % 4 == 0, F.col("time") + 60)
+    point = F.struct(o, "time", "lon", "lat", "alt", "angle", epoch.alias("epoch"))
+    point = F.struct("time", o.alias("o"), point.alias("p"))
+    videos = captures(spark, sf_dir).groupBy("track_id").agg(
+        F.transform(F.sort_array(F.collect_list(point)), lambda x: x["p"]).alias("points"), F.first("make").alias("make"), F.first("model").alias("model")
+    )
+    videos = videos.withColumns(
+        {
+            "points": F.when(F.col("track_id") % 7 != 2, F.col("points")), "filename": F.concat(F.lit("/v/"), F.col("track_id").cast("string")),
+            "filetype": F.lit("gopro"), "filesize": F.col("track_id"), "md5sum": F.lit("ab"), "camera_uuid": F.lit("c"), "error": R.no_error(),
+        }
+    )
+    path = scratch_path(spark, "videos")
+    writers.write_video_records(videos, path)
+    records = readers.read_records(spark, path)
+    good = readers.video_records(records).filter("error IS NULL").select("filename")
+    points = readers.video_points(records).join(good, "filename", "left_semi")
+    return points.select(
+        F.regexp_extract("filename", r"(\d+)$", 1).cast("bigint").alias("track_id"), F.col("ord").cast("bigint").alias("position"),
+        F.round("time", 3).alias("time"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "alt", "angle", "gps_epoch",
+    )
+
+
 def gpx_points(spark, sf_dir):
     o = F.col("ord")
     return captures(spark, sf_dir).select(

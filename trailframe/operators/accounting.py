@@ -61,6 +61,33 @@ def validate(df: DataFrame) -> DataFrame:
     return df.withColumn("error", F.coalesce(F.col("error"), failed))
 
 
+VIDEO_TYPES = ("video", "camm", "gopro", "blackvue")
+
+
+def validate_videos(df: DataFrame) -> DataFrame:
+    """First broken rule per video as its error; earlier errors stay.
+
+    ``track`` holds packed points: time, longitude and latitude must be there,
+    then altitude, heading and epoch, where any may be null.
+    """
+    short = F.exists("track", lambda p: F.coalesce(F.size(p) < 5, F.lit(True)) | (F.size(p) > 6))
+    bare = F.exists("track", lambda p: F.exists(F.slice(p, 1, 3), lambda v: v.isNull() | F.isnan(v)))
+    off = F.exists(
+        "track", lambda p: (F.abs(F.get(p, F.lit(1))) > 180) | (F.abs(F.get(p, F.lit(2))) > 90)
+    )
+    rules = [
+        (F.col("filename").isNull(), "'filename' is a required property"),
+        (~F.col("filetype").isin(*VIDEO_TYPES) | F.col("filetype").isNull(), "filetype is not one of the video types"),
+        (F.col("track").isNull(), "'MAPGPSTrack' is a required property"),
+        (short, "MAPGPSTrack has a point without five or six values"),
+        (bare, "MAPGPSTrack has a point without time or place"),
+        (off, "MAPGPSTrack has a point off the globe"),
+    ]
+    broken = F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), text) for bad, text in rules])
+    failed = F.when(broken.isNotNull(), R.error(R.VALIDATION, broken))
+    return df.withColumn("error", F.coalesce(F.col("error"), failed))
+
+
 def require_files(df: DataFrame, listing: DataFrame) -> DataFrame:
     """Records without an existing file become error rows."""
     here = listing.select(F.col("path").alias("filename"), F.lit(True).alias("_here")).distinct()

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions import paths
@@ -114,13 +116,25 @@ def image_records(records: DataFrame) -> DataFrame:
         F.col("MAPDeviceMake").alias("make"),
         F.col("MAPDeviceModel").alias("model"),
         F.col("MAPCameraUUID").alias("camera_uuid"),
+        F.col("MAPGPSAccuracyMeters").alias("accuracy"),
         F.col("MAPOrientation").alias("orientation"),
+        F.col("MAPFilename").alias("map_filename"),
         F.col("MAPSequenceUUID").alias("sequence_id"),
         R.no_error().alias("error"),
     )
     return accounting.validate(images)
 
 
+def video_records(records: DataFrame) -> DataFrame:
+    """Records of videos; those that break a rule become error rows."""
+    videos = records.filter("filetype <> 'image'").select(
+        "filename", "md5sum", "filesize", "filetype",
+        F.col("MAPDeviceMake").alias("make"), F.col("MAPDeviceModel").alias("model"),
+        F.col("MAPCameraUUID").alias("camera_uuid"), F.col("MAPGPSTrack").alias("track"), R.no_error().alias("error"),
+    )
+    return accounting.validate_videos(videos)
+
+
 def video_points(records: DataFrame) -> DataFrame:
     """Points of the video records, one row each."""
     videos = records.filter("filetype <> 'image'")
@@ -173,42 +187,78 @@ def read_gpx(spark: SparkSession, path: str) -> DataFrame:
 
 
 _DESCRIPTION_END = "</rdf:Description>"
-_DESCRIPTION = r"(?s)<rdf:Description\b([^>]*)>(.*)$"
-_ABOUT = r"(?s)rdf:about\s*=\s*(['\"])(.*?)\1"
-# A child element: its name, then its text unless it is empty.
-_ELEMENT = r"(?s)<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^>]*?)?(?:/>|>(.*?)</\1\s*>)"
 
 
 def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
     """Elements of tool XML files: ``source, path, ord, tag, text`` per described file.
 
     The files are split at the end of each description, so one file may be read
-    by many tasks. Of several descriptions of one path the last counts; elements
-    without text of their own have none.
+    by many tasks; a description is read by an XML parser. Of several
+    descriptions of one path the last counts; elements without text of their
+    own have none.
     """
     reader = spark.read.option("lineSep", _DESCRIPTION_END).option("recursiveFileLookup", "true")
-    chunks = reader.text(path).filter(F.col("value").rlike(_DESCRIPTION))
-    part = lambda i: F.regexp_extract("value", _DESCRIPTION, i)
-    found = chunks.select(
+    chunks = reader.text(path).filter(F.col("value").contains("<rdf:Description"))
+    placed = chunks.select(
         F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("source"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
-        _unescape(F.regexp_extract(part(1), _ABOUT, 2)).alias("about"),
-        part(2).alias("body"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")
+        ).alias("place"),
+        "value",
     )
-    placed = found.filter("about <> ''").withColumn("path", paths.resolve(F.col("about")))
-    last = placed.groupBy("path").agg(F.max_by(F.struct("source", "body"), F.struct("source", "place")).alias("_r"))
-    group = lambda i: F.regexp_extract_all(F.col("_r.body"), F.lit(_ELEMENT), F.lit(i))
-    pairs = F.posexplode(F.arrays_zip(group(1).alias("tag"), group(2).alias("text"))).alias("ord", "_e")
-    items = last.select("path", "_r.source", pairs)
-    own = F.when(~F.col("_e.text").contains("<") & (F.col("_e.text") != ""), _unescape(F.col("_e.text")))
-    return items.select("source", "path", "ord", F.col("_e.tag").alias("tag"), own.alias("text"))
+    items = "array<struct<tag:string,text:string>>"
+    found = placed.mapInArrow(
+        _parse_descriptions, f"source string, place struct<split:bigint,row:bigint>, about string, items {items}"
+    )
+    resolved = found.filter("about <> ''").withColumn("path", paths.resolve(F.col("about")))
+    last = resolved.groupBy("path").agg(F.max_by(F.struct("source", "items"), F.struct("source", "place")).alias("_r"))
+    elements = last.select("path", "_r.source", F.posexplode("_r.items").alias("ord", "_e"))
+    return elements.select("source", "path", "ord", F.col("_e.tag").alias("tag"), F.col("_e.text").alias("text"))
+
 
+def _parse_descriptions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    items = pa.list_(pa.struct([("tag", pa.string()), ("text", pa.string())]))
+    for batch in batches:
+        parsed = [_description(text) for text in batch.column("value").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("source"), batch.column("place"), pa.array([p[0] for p in parsed], pa.string()), pa.array([p[1] for p in parsed], items)],
+            ["source", "place", "about", "items"],
+        )
 
-# The named entities of XML.
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 
+def _description(chunk: str) -> tuple[str | None, list[dict]]:
+    """What a chunk's description is about, and its elements with their own text.
 
-def _unescape(text: Column) -> Column:
-    for mark, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(mark), F.lit(char))
-    return text
+    The chunk may open elements that it doesn't close, or close a comment that
+    it didn't open; a chunk without a description gives None.
+    """
+    about: list[str | None] = [None]
+    found: list[dict] = []
+    open_tags: list[str] = []
+    inside = [0]
+
+    def start(name: str, attributes: dict) -> None:
+        open_tags.append(name)
+        if name == "rdf:Description" and not inside[0]:
+            about[0], inside[0] = attributes.get("rdf:about"), len(open_tags)
+            found.clear()
+        elif inside[0] and len(open_tags) == inside[0] + 1:
+            found.append({"tag": name, "text": ""})
+        elif inside[0] and found:
+            found[-1]["text"] = None  # it holds elements
+
+    def end(name: str) -> None:
+        open_tags.pop()
+
+    def text(data: str) -> None:
+        if inside[0] and len(open_tags) == inside[0] + 1 and found[-1]["text"] is not None:
+            found[-1]["text"] += data
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
+    body = chunk.partition("-->")[2] if "-->" in chunk.partition("<!--")[0] else chunk
+    try:
+        parser.Parse(body.lstrip() + _DESCRIPTION_END, False)
+    except expat.ExpatError:
+        return None, []
+    return about[0], [{"tag": e["tag"], "text": e["text"] or None} for e in found]

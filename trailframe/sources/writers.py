@@ -15,7 +15,11 @@ GPX_TAIL = "</gpx>"
 
 
 def image_record(df: DataFrame) -> Column:
-    """JSON text of a capture or error row, keys sorted, absent values left out."""
+    """JSON text of a capture or error row, keys sorted, absent values left out.
+
+    ``accuracy`` (metres), ``orientation`` and ``map_filename`` are written where
+    the table has them.
+    """
     heading = F.round("angle", R.ANGLE_DIGITS)
     compass = F.struct(heading.alias("MagneticHeading"), heading.alias("TrueHeading"))
     good = F.col("error").isNull()
@@ -36,9 +40,40 @@ def image_record(df: DataFrame) -> Column:
         "filetype": F.lit("image"),
         "md5sum": when_good(F.col("md5sum")),
     }
+    optional = {"MAPFilename": "map_filename", "MAPGPSAccuracyMeters": "accuracy", "MAPOrientation": "orientation"}
+    columns.update({n: when_good(F.col(c)) for n, c in optional.items() if c in df.columns})
+    return F.to_json(F.struct(*[columns[n].alias(n) for n in sorted(columns)]))
+
+
+def video_record(df: DataFrame) -> Column:
+    """JSON text of a video or error row, keys sorted, absent values left out.
+
+    ``points`` holds the track: ``array<struct<time,lon,lat,alt,angle,epoch>>``.
+    """
+    good = F.col("error").isNull()
+    when_good = lambda c: F.when(good, c)
+    packed = F.transform(
+        "points", lambda p: R.pack_point(p["time"], p["lon"], p["lat"], p["alt"], p["angle"], p["epoch"])
+    )
+    columns = {
+        "MAPCameraUUID": when_good(F.col("camera_uuid")),
+        "MAPDeviceMake": when_good(F.col("make")),
+        "MAPDeviceModel": when_good(F.col("model")),
+        "MAPGPSTrack": when_good(packed),
+        "error": F.col("error"),
+        "filename": F.col("filename"),
+        "filesize": when_good(F.col("filesize")),
+        "filetype": F.col("filetype"),
+        "md5sum": when_good(F.col("md5sum")),
+    }
     return F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]))
 
 
+def write_video_records(df: DataFrame, path: str) -> None:
+    """One JSON record per line."""
+    df.select(video_record(df).alias("value")).write.text(path)
+
+
 def write_image_records(df: DataFrame, path: str) -> None:
     """One JSON record per line."""
     df.select(image_record(df).alias("value")).write.text(path)
