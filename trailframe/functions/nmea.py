@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.functions import timeparse as P
-from trailframe.functions.binding import with_computed
+from trailframe.functions.binding import let, with_computed
 
 _SENTENCE = r"(?i)^\s*\$?(\w{2}(\w{3}),([^*]*))(?:\*([A-F0-9]{2}))?\s*$"
 _DEGREES = r"^(\d+)(\d\d\.\d+)$"
@@ -24,24 +24,56 @@ FIELDS = {
 }
 
 
+def _chars_xor(body: Column) -> Column:
+    return F.aggregate(F.split(body, ""), F.lit(0), lambda acc, c: acc.bitwiseXOR(F.ascii(c))).cast("bigint")
+
+
+def _packed_xor(body: Column) -> Column:
+    """Exclusive or of the characters of an ASCII text of up to ``8 * WORDS``.
+
+    Eight characters at a time make one number; the numbers are combined, and
+    the bytes of the result folded.
+    """
+    hexed = F.rpad(F.hex(body), 16 * WORDS, "0")
+    words = [F.conv(F.substring(hexed, 1 + 16 * i, 16), 16, 10).cast("bigint") for i in range(WORDS)]
+    total = words[0]
+    for word in words[1:]:
+        total = total.bitwiseXOR(word)
+    return let(
+        total,
+        lambda x: let(
+            x.bitwiseXOR(F.shiftrightunsigned(x, 32)),
+            lambda y: let(
+                y.bitwiseXOR(F.shiftrightunsigned(y, 16)), lambda z: z.bitwiseXOR(F.shiftrightunsigned(z, 8)).bitwiseAND(F.lit(255))
+            ),
+        ),
+    )
+
+
+# Numbers of eight characters that hold a sentence of usual length (82 characters).
+WORDS = 11
+
+
 def checksum(body: Column) -> Column:
     """Exclusive or of all characters."""
-    return F.aggregate(F.split(body, ""), F.lit(0), lambda acc, c: acc.bitwiseXOR(F.ascii(c)))
+    usual = (F.octet_length(body) <= 8 * WORDS) & (F.octet_length(body) == F.char_length(body))
+    return F.when(usual, _packed_xor(body)).otherwise(_chars_xor(body))
 
 
 def _degrees(text: Column, side: Column, plus: str, minus: str) -> Column:
-    whole = F.regexp_extract(text, _DEGREES, 1).try_cast("double")
-    minutes = F.regexp_extract(text, _DEGREES, 2).try_cast("double")
-    value = F.when(text.isin("", "0"), 0.0).otherwise(whole + minutes / 60)
+    dot = F.instr(text, ".")
+    whole = F.substring(text, F.lit(1), dot - 3).try_cast("double")
+    minutes = F.substring(text, dot - 2, F.lit(99)).try_cast("double")
+    value = F.when(text.isin("", "0"), 0.0).when(text.rlike(_DEGREES), whole + minutes / 60)
     return value * F.when(side == plus, 1).when(side == minus, -1).otherwise(0)
 
 
 def _clock_us(text: Column) -> Column:
-    part = lambda i: F.regexp_extract(text, _CLOCK, i).try_cast("bigint")
-    fraction = F.coalesce(F.regexp_extract(text, _CLOCK, 4).try_cast("double"), F.lit(0.0))
-    h, m, s = part(1), part(2), part(3)
+    part = lambda i: F.substring(text, i, 2).try_cast("bigint")
+    fraction = F.coalesce(F.substring(text, 7, 99).try_cast("double"), F.lit(0.0))
+    h, m, s = part(1), part(3), part(5)
     whole = (h * 3600 + m * 60 + s) * 1_000_000 + (fraction * 1_000_000).cast("bigint")
-    return F.when((h <= 23) & (m <= 59) & (s <= 59), whole)
+    return F.when(text.rlike(_CLOCK) & (h <= 23) & (m <= 59) & (s <= 59), whole)
 
 
 def _day(text: Column) -> Column:
@@ -56,12 +88,15 @@ def with_sentence(df: DataFrame, line: str, name: str = "s") -> DataFrame:
     The struct is null for a malformed sentence or a wrong checksum; its ``type``
     is null where the sentence carries no position.
     """
-    part = lambda i: F.regexp_extract(F.col(line), _SENTENCE, i)
+    # One match gives all groups; a text that doesn't match stays one part.
+    groups = F.split(F.regexp_replace(F.col(line), _SENTENCE, "$1\x1f$2\x1f$3\x1f$4"), "\x1f")
+    matched = with_computed(df, _groups=groups)
+    part = lambda i: F.when(F.size("_groups") == 4, F.get("_groups", F.lit(i))).otherwise("")
     cut = with_computed(
-        df, _kind=F.upper(part(2)), _data=F.split(part(3), ","), _given=F.upper(part(4)), _body=part(1)
-    )
+        matched, _kind=F.upper(part(1)), _data=F.split(part(2), ","), _given=F.upper(part(3)), _body=part(0)
+    ).drop("_groups")
     kind, data = F.col("_kind"), F.col("_data")
-    expected = F.lpad(F.hex(checksum(F.col("_body")).cast("bigint")), 2, "0")
+    expected = F.lpad(F.hex(checksum(F.col("_body"))), 2, "0")
     intact = (F.col("_body") != "") & ((F.col("_given") == "") | (expected == F.col("_given")))
 
     def field(name: str) -> Column:
@@ -92,8 +127,13 @@ def with_sentence(df: DataFrame, line: str, name: str = "s") -> DataFrame:
 
 def split_log_line(line: Column) -> Column:
     """``struct<epoch_s, sentence>`` of a dash-cam line, null when it is not one."""
-    stamp = F.regexp_extract(line, LOG_LINE, 1).try_cast("bigint")
-    parsed = F.struct(
-        F.round(stamp / F.lit(1000.0), 3).alias("epoch_s"), F.regexp_extract(line, LOG_LINE, 2).alias("sentence")
-    )
-    return F.when(line.rlike(LOG_LINE), parsed)
+    groups = F.split(F.regexp_replace(line, LOG_LINE, "$1\x1f$2"), "\x1f")
+
+    def parsed(parts: Column) -> Column:
+        stamp = F.get(parts, F.lit(0)).try_cast("bigint")
+        found = F.struct(
+            F.round(stamp / F.lit(1000.0), 3).alias("epoch_s"), F.get(parts, F.lit(1)).alias("sentence")
+        )
+        return F.when(F.size(parts) == 2, found)
+
+    return let(groups, parsed)
