@@ -365,18 +365,25 @@ def mark_too_fast(captures: Ordered, max_speed_kmh: float, name: str = "too_fast
 
 
 def video_shape(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Per video: point count, radius around the first point, null-island flag, speed."""
-    first = points.groupBy(*keys).agg(
-        F.min_by(F.struct("lat", "lon"), F.struct(*order)).alias("_first")
-    )
-    ranged = O.join_keys(points, first, keys)
+    """Per video: point count, radius around the first point, null-island flag, speed.
+
+    Every row gets its video's first position and its step in one pass over the
+    ordered rows; one grouping by the same keys follows.
+    """
+    at = F.struct(*[F.col(o) for o in order])
+    ordered = Ordered.of(points, keys, order).scan(_first=O.group_min(F.struct(at.alias("at"), "lat", "lon")))
+    stepped = with_step_distance(ordered, "_step").df
     off = geo.gps_distance(F.col("_first.lat"), F.col("_first.lon"), F.col("lat"), F.col("lon"))
-    shape = ranged.groupBy(*keys).agg(
+    shape = stepped.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum("_step"), F.lit(0.0)).alias("length"),
+        F.min_by("time", at).alias("_t0"),
+        F.max_by("time", at).alias("_t1"),
         F.max(off).alias("radius"),
         F.bool_or(on_null_island(F.col("lat"), F.col("lon"))).alias("null_island"),
     )
-    stats = path_stats(Ordered.of(points, keys, order))
-    return O.join_keys(stats, shape, keys)
+    speed = average_speed(F.col("length"), F.col("_t0"), F.col("_t1"))
+    return shape.withColumn("speed", F.when(F.col("n") < 2, 0.0).otherwise(speed)).drop("_t0", "_t1")
 
 
 def check_videos(
