@@ -291,3 +291,16 @@ def test_video_rules(spark):
     df = spark.createDataFrame(rows, "filename string, filetype string, track array<array<double>>").withColumn("error", R.no_error())
     got = {r.filename: r.e for r in accounting.validate_videos(df).select("filename", F.col("error.message").alias("e")).collect()}
     assert got["a"] is None and got["g"] is None and all(got[k] for k in "bcdef") and len({got[k] for k in "bcdef"}) == 5
+
+
+def test_find_media(spark, tmp_path):
+    """Each kind by its extension; hidden files stay out; each path comes once."""
+    from trailframe.sources import readers
+
+    for name in ("a.jpg", "b.JPG", "c.mp4", "d.xml", ".e.jpg", "f.txt", "sub/g.jpg"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = lambda kind, **kw: {r.path.rsplit("/", 1)[-1] for r in readers.find_media(spark, [str(tmp_path)], kind, **kw).collect()}
+    assert found("image") == {"a.jpg", "b.JPG", "g.jpg"}
+    assert found("image", recursive=False) == {"a.jpg", "b.JPG"}
+    assert found("video") == {"c.mp4"} and found("xml") == {"d.xml"}
