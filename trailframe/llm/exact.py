@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from trailframe.llm.base import query, table
 from trailframe.llm.rows import UPPER, pick, with_key
+from trailframe.llm.store import give_back
 from trailframe.runtime import materialize
 
 BLOCK = 4096
@@ -65,6 +66,8 @@ def _cut(size: int, slots: int):
                     weight = 0
         if held:
             yield flush()
+        held.clear()
+        give_back()
 
     return run
 

@@ -29,6 +29,7 @@ from trailframe.llm.base import query, table
 from trailframe.llm.components import components
 from trailframe.llm.rows import pick, with_key
 from trailframe.llm.shingles import Shingler, mix
+from trailframe.llm.store import give_back
 from trailframe.runtime import materialize
 
 U = np.uint64
@@ -111,6 +112,8 @@ def _chunks(words: int, slots: int):
                         seq += 1
         if docs:
             yield flush()
+        docs, numbers = [], []
+        give_back()
 
     return run
 
@@ -172,6 +175,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers = [(c, 1, g, t, p, q, None) for c, g, t, p, q in _answer(rows)]
         if answers:
             yield out(answers)
+    rows = answers = []
+    give_back()
 
 
 def _ordered_sets(percent: int):
@@ -222,6 +227,8 @@ def _ordered_sets(percent: int):
                     replies.append((grams, tiers, tops, top_tiers))
         if at is not None:
             yield from out()
+        docs, replies = None, []
+        give_back()
 
     return run
 
@@ -360,6 +367,8 @@ def _tree_links(percent: int):
                     rows.append((comp, n, digest, grams))
         if len(rows) > 1:
             yield out()
+        rows = []
+        give_back()
 
     return run
 

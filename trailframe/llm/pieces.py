@@ -19,18 +19,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.llm.base import query, table
 from trailframe.llm.rows import pick
 from trailframe.llm.shingles import mix
+from trailframe.llm.store import give_back
 from trailframe.llm.tokens import vocabulary
 
 U = np.uint64
 BLANK = "▁"  # how the vocabulary writes a blank
 # Lattice edges that a task keeps for units it has seen.
-KEPT = 5_000_000
+KEPT = 2_500_000
 
 
 class Lattices:
@@ -88,10 +90,11 @@ class Lattices:
     def clear(self) -> None:
         self.roots: dict[str, int] = {}
         self.nodes = self.held = 0
-        room = 1 << 20
-        self.first = np.zeros(room, np.int64)
-        self.piece, self.next = np.zeros(room, np.int32), np.zeros(room, np.int32)
-        self.share, self.upto = np.zeros(room), np.zeros(room)
+        # Room for what is kept and a batch more; pages that aren't used take no memory.
+        room = KEPT + (1 << 20)
+        self.first = np.empty(room, np.int64)
+        self.piece, self.next = np.empty(room, np.int32), np.empty(room, np.int32)
+        self.share, self.upto = np.empty(room), np.empty(room)
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next states, -1 where no piece goes on so."""
@@ -371,11 +374,11 @@ def sample_segmentations(
         sampler = Sampler(model, k, seed)
         for batch in batches:
             at = 0
-            sizes = [len(t) if t else 1 for t in batch.column("text").to_pylist()]
+            sizes = pa.compute.fill_null(pa.compute.utf8_length(batch.column("text")), 0).to_pylist()
             while at < len(sizes):
                 # Some texts at a time, by length.
                 to, held = at, 0
-                while to < len(sizes) and (to == at or held + sizes[to] < 1_000_000):
+                while to < len(sizes) and (to == at or held + sizes[to] < 500_000):
                     held += sizes[to]
                     to += 1
                 part = batch.slice(at, to - at)
@@ -384,6 +387,8 @@ def sample_segmentations(
                 rows_ = [[dict(zip(("ids", "n_pieces", "log_prob", "perturbed", "log_inclusion"), s)) for s in own] for own in found]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows_, SAMPLES_TYPE)], ["id", "samples"])
                 at = to
+        del sampler
+        give_back()
 
     return seeded.mapInArrow(run, f"id {kind}, samples {SAMPLES}").withColumnRenamed("id", id_col)
 
