@@ -15,6 +15,8 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -132,25 +134,39 @@ class TokenFile:
         self.file.close()
 
 
+def worker_cache() -> dict:
+    """A dictionary that lives as long as a Python worker, over all its tasks."""
+    home = sys.modules.setdefault("trailframe_worker", types.ModuleType("trailframe_worker"))
+    return home.__dict__.setdefault("kept", {})
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file, each different word encoded once.
+    """Ids of texts by a tokenizer file, each different word encoded once a worker.
 
     A byte-level BPE never joins across a blank that stands before or after a
     word, so a text is cut at such blanks and words are looked up. Texts with
     other runs of white space round a blank are encoded whole.
     """
 
-    MOST = 400_000
+    # Words that a worker keeps; common ones turn up early. Others are encoded again in every batch.
+    MOST = 700_000
     ODD = re.compile(r"\s (?=\s|\Z)")
+    BARE = re.compile(r"\S+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 0x10000 else 4
+        vocabulary_ = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary_.values(), default=0) < 0x10000 else 4
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.words: dict[str, bytes] = {}
+        # A byte-level vocabulary writes one character a byte.
+        self.sizes = np.zeros(max(vocabulary_.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary_.items():
+            self.sizes[i] = len(token)
+        # Ids of words behind a blank, and of words that open a text.
+        self.words, self.opening = worker_cache().setdefault(path, ({}, {}))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -159,27 +175,46 @@ class Encoder:
             out += [np.array(e.ids, dtype=self.type).tobytes() for e in found]
         return out
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words behind a blank: words of one run are encoded side by side and told apart by their bytes."""
+        found: dict[str, bytes] = {}
+        bare = [w for w in words if self.BARE.fullmatch(w)]
+        for i in range(0, len(bare), 4000):
+            own = bare[i : i + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, dtype=self.type)
+            ends = np.cumsum(self.sizes[ids])
+            stops = np.cumsum([len(w.encode()) + 1 for w in own])
+            last = np.searchsorted(ends, stops)
+            # Words whose bytes don't end with a token's (a special token swallowed more) go on below.
+            if len(ends) and ends[-1] == stops[-1] and (ends[last] == stops).all():
+                data, cuts = ids.tobytes(), ((last + 1) * self.width).tolist()
+                found.update(zip(own, [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._ids([" " + w for w in rest])))
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.MOST:
-            self.words = {}
-        cut: list[list[str] | None] = []
-        fresh: dict[str, None] = {}
-        for t in texts:
-            if self.ODD.search(t):
-                cut.append(None)
-                continue
-            parts = t.split(" ")
-            # All but the first stand after a blank.
-            pieces = [parts[0], *[" " + p for p in parts[1:]]] if len(parts) > 1 else parts
-            cut.append(pieces)
-            fresh.update(dict.fromkeys(p for p in pieces if p not in self.words))
-        new = list(fresh)
-        self.words.update(zip(new, self._ids(new)))
         words = self.words
-        return [
-            b"".join([words[p] for p in pieces]) if pieces is not None else self._ids([t])[0]
-            for t, pieces in zip(texts, cut)
+        cut = [None if self.ODD.search(t) else t.split(" ") for t in texts]
+        fresh: set[str] = set()
+        for parts in cut:
+            if parts is not None and len(parts) > 1:
+                fresh.update(parts[1:])
+        new = self._words([w for w in fresh if w not in words])
+        spare = [] if len(words) + len(new) <= self.MOST else list(new)
+        words.update(new)
+        first = list({p[0] for p in cut if p is not None} - self.opening.keys())
+        if len(self.opening) > self.MOST // 4:
+            self.opening.clear()
+            first = list({p[0] for p in cut if p is not None})
+        self.opening.update(zip(first, self._ids(first)))
+        out = [
+            self.opening[parts[0]] + b"".join([words[p] for p in parts[1:]]) if parts is not None else self._ids([t])[0]
+            for t, parts in zip(texts, cut)
         ]
+        for w in spare:
+            del words[w]
+        return out
 
 
 MANIFEST = "part int, seq int, file string, n_docs bigint, n_ids bigint"
