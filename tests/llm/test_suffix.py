@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,3 +99,33 @@ def test_passages(spark, tmp_path, monkeypatch, width, gram, meet, piece):
 
 def test_empty(spark, tmp_path):
     assert sd.remove_repeats(stored(spark, [], str(tmp_path / "t"))).count() == 0
+
+
+def dealt(texts):
+    """Records of each anchor that one chunk of texts deals by the anchor's hash."""
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    packed = [r for b in sd._pack(200, 64, 32)(iter([batch])) for r in b.to_pylist()]
+    grams = np.concatenate([sd.from_planes(r["anchors"])["gram"] for r in packed if r["kind"] == 1])
+    return np.unique(grams, return_counts=True)[1]
+
+
+def test_hot_anchor_is_not_one_tasks():
+    """A text in many rows, and a passage in many different texts, come to a slot a few times a chunk only."""
+    rnd = random.Random(5)
+    noise = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    text, passage = noise(2500), noise(300)
+    assert dealt([text] * 3000).max() == 1
+    assert dealt([noise(250) + passage + noise(250) for _ in range(3000)]).max() <= 64
+
+
+@pytest.mark.parametrize("meet", [8192, 3])
+def test_anchors_kept_apart(spark, tmp_path, monkeypatch, meet):
+    """Anchors that are crowded in some chunks and not in others."""
+    monkeypatch.setattr(sd, "CHUNK", 150)
+    monkeypatch.setattr(sd, "COMMON", 2)
+    plain = sd.repeated_spans
+    monkeypatch.setattr(sd, "repeated_spans", lambda rows, w, g: plain(rows, w, g, meet))
+    rows = passages(7, 200)
+    rows += [(1000 + i, *rows[i % 20][1:]) for i in range(60)]
+    df = stored(spark, rows, str(tmp_path / "t"))
+    assert result(df, 24, 8) == expected([(r[0], r[1]) for r in rows], 24)

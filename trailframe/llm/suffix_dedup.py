@@ -9,7 +9,9 @@ place, so strings need comparing only where their anchors are equal:
 1. Every text's anchors, each with the stretch of strings that elected it
    (where they start, and a hash of all their bytes), are dealt by the anchor's
    hash. An anchor that occurs once is done. Stretches that occur twice as they
-   are repeat as a whole.
+   are repeat as a whole. Equal stretches of a chunk of texts are combined: one
+   is dealt, the others are known to repeat and stay behind. An anchor with many
+   different stretches in a chunk isn't dealt; such anchors are counted apart.
 2. One of each of the other stretches of an anchor meets the others in a task.
    They are lined up at the anchor; columns on which all agree shrink to one
    symbol; a suffix array over these rows of symbols (``suffix_groups``) and its
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ U = np.uint64
 PIECE = 1 << 20
 # Anchors that a task packs before it hands them on.
 CHUNK = 400_000
+# An anchor with more different stretches in a chunk than this isn't dealt by its hash.
+COMMON = 64
 # Stretches of one anchor that meet in one suffix array.
 MEET = 8192
 
@@ -100,23 +105,47 @@ class Anchors:
         return out
 
 
+def changes(numbers: np.ndarray) -> np.ndarray:
+    """Where sorted numbers differ from the one before; the first does."""
+    return np.diff(numbers, prepend=~numbers[:1]) != 0
+
+
 def _pack(width: int, gram: int, slots: int):
-    """Task function: texts to packed anchors by slot; every text's size and digest in slot order too."""
+    """Task function: texts to packed anchors by slot, equal stretches of a chunk combined.
+
+    Kind 1 is dealt by the anchor: one record a stretch, its size negative where
+    the chunk holds the stretch again, and a record of size 0 for each anchor of
+    kind 2. Kind 0 holds the other records of such stretches, kind 2 those of
+    anchors with more than ``COMMON`` different stretches; both go to any slot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(width, gram)
+        part, seq = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             every = np.concatenate(held)
             every = every[np.lexsort((every["body"], every["gram"]))]
-            slot = (every["gram"] >> U(32)).astype(np.int64) * slots >> 32
+            new_gram = changes(every["gram"])
+            new_body = new_gram | changes(every["body"])
+            first = np.flatnonzero(new_body)
+            ones, others = every[first], every[~new_body]
+            ones["size"][np.diff(first, append=len(every)) > 1] *= -1
+            gram_no = np.cumsum(new_gram[first]) - 1
+            crowded = np.bincount(gram_no) > COMMON
+            apart = ones[crowded[gram_no]]
+            if len(apart):
+                marks = np.zeros(int(crowded.sum()), ANCHOR)
+                marks["gram"] = ones["gram"][new_gram[first]][crowded]
+                ones = np.concatenate([ones[~crowded[gram_no]], marks])
+                ones = ones[np.argsort(ones["gram"], kind="stable")]
+            slot = (ones["gram"] >> U(32)).astype(np.int64) * slots >> 32
             cuts = np.searchsorted(slot, np.arange(slots + 1))
-            rows = [(s, planes(every[cuts[s] : cuts[s + 1]])) for s in range(slots) if cuts[s + 1] > cuts[s]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([1] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
-                ["slot", "kind", "anchors"],
-            )
+            rows = [(s, 1, planes(ones[cuts[s] : cuts[s + 1]])) for s in range(slots) if cuts[s + 1] > cuts[s]]
+            rows += [((part * 31 + seq) % slots, kind, planes(records)) for kind, records in ((0, others), (2, apart)) if len(records)]
+            kinds = (pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["slot", "kind", "anchors"])
 
         for batch in batches:
             keys = batch.column("key").to_pylist()
@@ -128,13 +157,14 @@ def _pack(width: int, gram: int, slots: int):
                 if n >= CHUNK:
                     yield flush()
                     held, n = [], 0
+                    seq += 1
         if held:
             yield flush()
 
     return run
 
 
-SHARED = "key bigint, first bigint, at int, size int, gram bigint, body bigint, whole boolean, meets boolean, rows bigint"
+SHARED = "key bigint, first bigint, at int, size int, gram bigint, body bigint, whole boolean, meets boolean, apart boolean, rows bigint"
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,42 +172,67 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ``whole``: the stretch occurs elsewhere as it is. ``meets``: this row stands
     for its stretch where the anchor has several different ones, ``rows`` of them.
+    ``apart``: the anchor isn't judged here, as a chunk holds many stretches of it.
     """
 
+    def rows(e: np.ndarray, whole, meets, apart, n) -> Iterator[pa.RecordBatch]:
+        flags = [np.broadcast_to(x, len(e)) for x in (whole, meets, apart, n)]
+        for at in range(0, len(e), 50_000):
+            part = e[at : at + 50_000]
+            columns = [part["key"], part["first"], part["at"], np.abs(part["size"])]
+            columns += [np.ascontiguousarray(part[c]).view(np.int64) for c in ("gram", "body")]
+            columns += [np.ascontiguousarray(x[at : at + 50_000]) for x in flags]
+            yield pa.RecordBatch.from_pydict(dict(zip([c.split()[0] for c in SHARED.split(", ")], columns)))
+
     def out(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         every = np.concatenate(parts)
+        marks = every["size"] == 0
+        elsewhere = np.unique(every["gram"][marks])
+        every = every[~marks] if len(elsewhere) else every
         every = every[np.lexsort((every["first"], every["key"], every["body"], every["gram"]))]
-        new_gram = np.diff(every["gram"], prepend=~every["gram"][:1]) != 0
-        new_body = new_gram | (np.diff(every["body"], prepend=~every["body"][:1]) != 0)
+        new_gram = changes(every["gram"])
+        new_body = new_gram | changes(every["body"])
         gram_no, body_no = np.cumsum(new_gram) - 1, np.cumsum(new_body) - 1
-        per_gram, per_body = np.bincount(gram_no), np.bincount(body_no)
-        bodies = np.bincount(gram_no[new_body])
-        shared = per_gram[gram_no] > 1
-        meets = new_body & (bodies[gram_no] > 1)
-        for at in range(0, int(shared.sum()), 50_000):
-            i = np.flatnonzero(shared)[at : at + 50_000]
-            e = every[i]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "key": e["key"], "first": e["first"], "at": e["at"], "size": e["size"],
-                    "gram": e["gram"].view(np.int64) if e["gram"].flags.c_contiguous else np.ascontiguousarray(e["gram"]).view(np.int64),
-                    "body": np.ascontiguousarray(e["body"]).view(np.int64),
-                    "whole": per_body[body_no[i]] > 1, "meets": meets[i], "rows": bodies[gram_no[i]].astype(np.int64),
-                }
-            )
+        whole = (np.bincount(body_no)[body_no] > 1) | np.logical_or.reduceat(every["size"] < 0, np.flatnonzero(new_body))[body_no] if len(every) else marks[:0]
+        bodies = np.bincount(gram_no[new_body])[gram_no]
+        apart = np.isin(every["gram"], elsewhere) & new_body
+        meets = new_body & (bodies > 1) & ~apart
+        i = np.flatnonzero(whole | meets | apart)
+        yield from rows(every[i], whole[i], meets[i], apart[i], bodies[i].astype(np.int64))
 
     slot, parts = None, []
     for batch in batches:
-        for s, data in zip(batch.column("slot").to_pylist(), batch.column("anchors").to_pylist()):
+        for s, kind, data in zip(*(batch.column(c).to_pylist() for c in ("slot", "kind", "anchors"))):
+            found = from_planes(data)
+            if kind == 0:
+                yield from rows(found, True, False, False, np.int64(0))
+                continue
+            if kind == 2:
+                yield from rows(found, found["size"] < 0, False, True, np.int64(0))
+                continue
             if s != slot and parts:
                 yield from out(parts)
                 parts = []
             slot = s
-            parts.append(from_planes(data))
+            parts.append(found)
     if parts:
         yield from out(parts)
 
 
+def _judge(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of anchors that no task holds whole: those that repeat as they are, and one of each stretch.
+
+    Counts are combined per task and written, so that the joins can split a hot anchor.
+    """
+    bodies = apart.groupBy("gram", "body").agg(
+        F.min(F.struct("key", "first", "at", "size")).alias("one"), ((F.count("*") > 1) | F.max("whole")).alias("twice")
+    )
+    bodies = materialize(bodies, "apart-stretches")
+    grams = materialize(bodies.groupBy("gram").agg(F.count("*").alias("rows")), "apart-anchors")
+    again = materialize(bodies.filter("twice").select("gram", "body"), "apart-repeated")
+    return apart.join(again, ["gram", "body"]), bodies.join(grams, "gram").filter("rows > 1").select("gram", "one.*", "rows")
+
+
 def repeats(rows: list[bytes], ats: list[int], width: int) -> list[list[tuple[int, int]]]:
     """Where each row, lined up at its anchor, repeats in another for ``width`` bytes or more.
 
@@ -292,16 +347,23 @@ def repeated_spans(rows: DataFrame, width: int, gram: int, meet: int = MEET) ->
     slots = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = rows.mapInArrow(_pack(width, gram, slots), PACKED)
     shared = materialize(packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(_match, SHARED), "shared-anchors")
-    whole = shared.filter("whole").select("key", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop"))
+    whole, meets = shared.filter("whole AND NOT apart"), shared.filter("meets").select("gram", "key", "first", "at", "size", "rows")
+    apart = shared.filter("apart")
+    if not apart.isEmpty():
+        repeated, ones = _judge(apart)
+        whole = whole.select("key", "first", "size").unionByName(repeated.select("key", "first", "size"))
+        meets = materialize(meets.unionByName(ones), "meets")
+    whole = whole.select("key", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop"))
     # A text's own anchors are as many as its length allows; they come to it by key.
-    meeting = shared.filter("meets").groupBy("key").agg(F.collect_list(F.struct("gram", "key", "first", "at", "size", "rows")).alias("own"))
+    meeting = meets.groupBy("key").agg(F.collect_list(F.struct("gram", "key", "first", "at", "size", "rows")).alias("own"))
     bodies = rows.join(meeting, "key").select("text", "own").mapInArrow(_cut, "gram bigint, key bigint, first bigint, at int, rows bigint, body binary")
     arranged = bodies.filter(F.col("rows") <= meet).repartition("gram").sortWithinPartitions("gram", "body")
     spans = whole.unionByName(materialize(arranged.mapInArrow(_meet(width), SPANS), "met"))
-    if not shared.filter(F.col("meets") & (F.col("rows") > meet)).isEmpty():
+    if not meets.filter(F.col("rows") > meet).isEmpty():
         # Anchors with more different stretches than one array takes: their strings are counted one by one, spread over tasks.
         strings = materialize(bodies.filter(F.col("rows") > meet).mapInArrow(_strings(width), "key bigint, start bigint, name binary"), "strings")
-        twice = strings.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
+        # Written, so that the join can split a string that many stretches share.
+        twice = materialize(strings.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "repeated-strings")
         spans = spans.unionByName(strings.join(twice, "name").select("key", "start", (F.col("start") + width).alias("stop")))
     return spans
 
