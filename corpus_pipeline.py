@@ -16,17 +16,18 @@ from trailframe.llm.exact import exact_dedup
 from trailframe.llm.mixing import mix_sources
 from trailframe.llm.ngram_join import ngram_jaccard
 from trailframe.llm.pieces import sample_segmentations
-from trailframe.llm.rows import free_name, with_key
+from trailframe.llm.rows import free_name, keyed
 from trailframe.llm.tokens import vocabulary
 from trailframe.llm.toxicity import learn, toxicity_score
 from trailframe.runtime import materialize
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose key ``judged`` (key, kept) keeps."""
+def _without(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Rows of ``docs`` that ``judge`` (of rows and the name of their key, to key and kept) keeps."""
     key = free_name(docs, "row_key")
-    dropped = materialize(judged.filter("NOT kept").select(F.col("key").alias(key)), "dropped")
-    return with_key(docs, key).join(dropped, key, "left_anti").select(*docs.columns)
+    rows = keyed(docs, key)
+    dropped = materialize(judge(rows, key).filter("NOT kept").select(F.col("key").alias(key)), "dropped")
+    return rows.join(dropped, key, "left_anti").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,20 +38,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
-    return _without(docs, exact_dedup(docs))
+    return _without(docs, lambda rows, key: exact_dedup(rows, key_col=key))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five words, 0.8) the row with the smallest doc_id."""
-    return _without(docs, ngram_jaccard(docs, words=5, percent=80))
+    return _without(docs, lambda rows, key: ngram_jaccard(rows, words=5, percent=80, key_col=key))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     key, copies = free_name(docs, "row_key"), free_name(docs, "row_copies")
-    taken = mix_sources(docs).filter("copies > 0").select(F.col("key").alias(key), F.col("copies").alias(copies))
+    rows = keyed(docs, key)
+    taken = mix_sources(rows, key_col=key).filter("copies > 0").select(F.col("key").alias(key), F.col("copies").alias(copies))
     taken = materialize(taken, "taken")
-    joined = with_key(docs, key).join(taken.hint("merge"), key)
+    joined = rows.join(taken.hint("merge"), key)
     return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.llm.base import query, table
-from trailframe.llm.rows import UPPER, pick, with_key
+from trailframe.llm.rows import UPPER, keyed, pick
 from trailframe.llm.store import give_back
 from trailframe.runtime import materialize
 
@@ -129,20 +129,23 @@ def identities(rows: DataFrame, block: int = BLOCK, slots: int | None = None) ->
     return done.join(shas.select("key", "sha"), "key")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def exact_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, key_col: str | None = None
+) -> DataFrame:
     """``key, id, keep_id, group_size, kept, text_sha256`` for every row.
 
-    ``key`` is the row key of ``rows.with_key``, for joining back. Texts are
+    ``key`` is the stored row key ``key_col`` of ``rows.keyed``, for joining
+    back; without one, rows are keyed and written here. Texts are
     equal when identical after lower-casing A-Z; null counts as empty, and all
     empty texts are one group. Of a group the row with the largest id stays;
     null ids are smallest, and of rows that share the largest id one stays. A
     text of any length is a row of blocks; an empty table gives an empty
-    result. ``df`` must be repeatable (see ``with_key``).
+    result.
 
     Groups are counted before they are joined, so a group of any size is spread
     over tasks; adaptive execution splits its side of the join.
     """
-    rows = with_key(pick(df, id=id_col, text=text_col), "key")
+    rows = pick(df, key=key_col, id=id_col, text=text_col) if key_col else keyed(pick(df, id=id_col, text=text_col), "key")
     named = materialize(identities(rows.select("key", "text"), block), "identities")
     owned = named.join(rows.select("key", "id"), "key")
     # Written, so that the join's own exchange carries the rows and a hot group's can be split.

@@ -144,17 +144,20 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 7,
+    key_col: str | None = None,
 ) -> DataFrame:
     """``key, id, source, size, source_size, target, copies`` for every row.
 
-    ``key`` is the row key of ``rows.with_key``, for joining back. ``copies`` is
+    ``key`` is the stored row key ``key_col`` of ``rows.keyed``, for joining
+    back; without one, rows are numbered once, here. ``copies`` is
     what the mix takes of the document, 0 up to ``most`` rounded up. Null text
     has size 0 and gets the whole part of its source's copies; a null source is
     a source, last in order; null ids get chance from their row key, so they
     are told apart; rows that repeat an id are rounded one by one; an empty
-    table gives an empty result. ``df`` must be repeatable (see ``with_key``).
+    table gives an empty result.
     """
-    rows = with_key(pick(df, id=id_col, source=source_col, text=text_col), "key")
+    wanted = {"id": id_col, "source": source_col, "text": text_col}
+    rows = pick(df, key=key_col, **wanted) if key_col else with_key(pick(df, **wanted), "key")
     sized = materialize(
         rows.select(
             "key", "id", "source",

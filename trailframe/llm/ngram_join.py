@@ -451,11 +451,13 @@ def ngram_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def ngram_jaccard(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
+    key_col: str | None = None,
 ) -> DataFrame:
     """``key, id, n_shingles, component_id, kept`` for every row.
 
-    ``key`` is the row key of ``rows.with_key``, for joining back. Two rows link
+    ``key`` is the stored row key ``key_col`` of ``rows.keyed``, for joining
+    back; without one, rows are numbered once, here. Two rows link
     when ``100 * intersection >= percent * union`` of their sets of ``words``
     lower-cased words; a component is named by its smallest id, and one row with
     that id is ``kept``. Null and empty
@@ -463,12 +465,12 @@ def ngram_jaccard(
     components of their own; equal sets always link; null ids are passed over
     in a component's name (a component of null ids only has a null name);
     repeated rows link; an empty table gives an empty result. Ids must be
-    integers. ``df`` must be repeatable (see ``rows.with_key``).
+    integers.
 
     No partner or candidate is dropped: n-grams are compared by 48 bits within
     pairs that share a prefix, sets by 128 bits.
     """
-    rows = with_key(pick(df, id=id_col, text=text_col), "key")
+    rows = pick(df, key=key_col, id=id_col, text=text_col) if key_col else with_key(pick(df, id=id_col, text=text_col), "key")
     sets = ngram_sets(rows.select("key", F.col("id").cast("bigint").alias("id"), "text"), words, percent)
     classes = ngram_links(sets, percent).withColumnRenamed("node", "digest")
     owned = materialize(

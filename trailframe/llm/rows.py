@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailframe.runtime import materialize
+
 # Separators and words, as the contracts spell them (ASCII white space).
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,12 +36,17 @@ def free_name(df: DataFrame, name: str) -> str:
 def with_key(df: DataFrame, name: str) -> DataFrame:
     """Add a key that tells rows apart even when ids are null or repeat.
 
-    Two plans over the same input must see the same keys, so the input has to
-    be repeatable: a table, a file scan or a checkpoint.
+    Only for plans that number the rows once: how a file scan is split, and so
+    the key, depends on the cores that live when it runs. See ``keyed``.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a key as in ``with_key``, written once: every plan over it reads the same keys."""
+    return materialize(with_key(df, name), "keyed")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, UPPER.lower())

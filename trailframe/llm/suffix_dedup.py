@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.llm.base import query, table
-from trailframe.llm.rows import pick, with_key
+from trailframe.llm.rows import keyed, pick
 from trailframe.llm.shingles import mix, powers
 from trailframe.llm.suffix_groups import common_prefixes, suffix_array
 from trailframe.runtime import materialize
@@ -400,12 +400,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest, joined; cuts may fall inside a character. Repeated rows repeat each
     other and lose everything from ``width`` bytes on; shorter texts lose
     nothing; null ids are rows like others; an empty table gives an empty
-    result. ``key`` is the row key of ``rows.with_key``; ``df`` must be
-    repeatable (see there). Strings are judged on the input.
+    result. ``key`` is a row key of ``rows.keyed``. Strings are judged on the
+    input.
 
     Whole stretches are compared by 128 bits of hash, others byte by byte.
     """
-    rows = with_key(pick(df, id=id_col, text=text_col), "key")
+    rows = keyed(pick(df, id=id_col, text=text_col), "key")
     spans = repeated_spans(rows.select("key", "text"), width, gram).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     done = rows.join(spans, "key", "left")
     kind = rows.schema["id"].dataType.simpleString()

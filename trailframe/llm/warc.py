@@ -31,7 +31,7 @@ from pyspark.sql.datasource import (
 )
 
 from trailframe.llm.base import query, table
-from trailframe.llm.rows import pick, with_key
+from trailframe.llm.rows import keyed, pick
 from trailframe.llm.store import list_files, open_store
 from trailframe.runtime import materialize, scratch_path
 
@@ -356,10 +356,10 @@ def write_warc(
     to it and hold no payload. Null html is an empty payload; a null address has
     no header; null ids count as largest, and of rows that share the smallest id
     one is the response. Record ids are ``urn:x-page:ID``. An empty table writes
-    no file. ``df`` must be repeatable (see ``rows.with_key``).
+    no file.
     """
     register(df.sparkSession)
-    rows = with_key(pick(df, id=id_col, url=url_col, html=html_col), "key")
+    rows = keyed(pick(df, id=id_col, url=url_col, html=html_col), "key")
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     sums = materialize(
         rows.select("key", "id", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n")), "warc-sums"
