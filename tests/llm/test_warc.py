@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +88,24 @@ def test_other_files(spark, tmp_path):
     got = {r["record_id"]: bytes(r["payload"]) for r in warc.read_warc(spark, f"file:{tmp_path}/w").collect()}
     assert got == {f"urn:r:{10 * k + i}": b for k in (0, 1) for i, b in enumerate(bodies)}
     assert warc.read_warc(spark, str(tmp_path / "w"), payload=False).filter("record_id = 'urn:r:12'").first()["payload_bytes"] == len(bodies[2])
+
+
+def test_damaged_payload(spark, tmp_path, monkeypatch):
+    """Bytes that aren't those of the headers don't pass as what the headers say."""
+    plain = warc.write_warc
+
+    def write(df, path):
+        plain(df, path)
+        for name, _ in list_files(path, ".gz"):
+            with gzip.open(name) as f:
+                data = f.read()
+            os.remove(name)
+            with open(name.removesuffix(".gz"), "wb") as f:
+                f.write(data.replace(b"short", b"shirt"))
+
+    os.makedirs(tmp_path / "sf")
+    stored(spark, ROWS, str(tmp_path / "sf/pages.parquet"), SCHEMA)
+    monkeypatch.setattr(warc, "scratch_path", lambda spark, label: str(tmp_path / "w"))
+    monkeypatch.setattr(warc, "write_warc", write)
+    with pytest.raises(Exception, match="payload differs from its headers"):
+        warc.op3_warc(spark, str(tmp_path / "sf")).collect()

@@ -393,13 +393,27 @@ def write_warc(
     ).write.format("warc").mode("append").save(path)
 
 
+def checked(spark: SparkSession, path: str) -> DataFrame:
+    """Responses and revisits, ``payload_bytes`` and ``payload_digest`` of responses taken from the payload's bytes.
+
+    A response whose bytes aren't those of its headers is an error. Revisits hold
+    no payload: their headers are read, payloads stay packed.
+    """
+    found = read_warc(spark, path).filter(F.col("record_type") == "response")
+    size, digest = F.octet_length("payload").cast("bigint"), F.sha2("payload", 256)
+    same = size.eqNullSafe(F.col("payload_bytes")) & digest.eqNullSafe(F.col("payload_digest"))
+    damaged = F.raise_error(F.concat(F.lit("payload differs from its headers: "), F.coalesce("record_id", F.lit("")))).cast("string")
+    responses = found.withColumns({"payload_bytes": size, "payload_digest": F.when(same, digest).otherwise(damaged)})
+    revisits = read_warc(spark, path, payload=False).filter(F.col("record_type") == "revisit")
+    return responses.unionByName(revisits)
+
+
 @query("op3_warc")
 def op3_warc(spark, sf_dir):
     path = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     page = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("bigint")
-    # Types and headers answer this query: payloads stay packed.
-    return read_warc(spark, path, payload=False).filter(F.col("record_type").isin("response", "revisit")).select(
+    return checked(spark, path).select(
         page(F.col("record_id")).alias("page_id"),
         "payload_bytes",
         "payload_digest",
