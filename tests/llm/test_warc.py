@@ -90,6 +90,19 @@ def test_other_files(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "w"), payload=False).filter("record_id = 'urn:r:12'").first()["payload_bytes"] == len(bodies[2])
 
 
+def test_shared_payload_can_be_split(spark, tmp_path, monkeypatch):
+    """The join by digest takes no partitioning from an aggregate, which adaptive execution could not split."""
+    plans, plain = {}, warc.materialize
+
+    def materialize(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, label)
+
+    monkeypatch.setattr(warc, "materialize", materialize)
+    warc.write_warc(stored(spark, ROWS, str(tmp_path / "t"), SCHEMA), str(tmp_path / "w"))
+    assert "Join" in plans["warc-revisits"] and "Aggregate" not in plans["warc-revisits"]
+
+
 def test_damaged_payload(spark, tmp_path, monkeypatch):
     """Bytes that aren't those of the headers don't pass as what the headers say."""
     plain = warc.write_warc

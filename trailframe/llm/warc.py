@@ -364,13 +364,14 @@ def write_warc(
     sums = materialize(
         rows.select("key", "id", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n")), "warc-sums"
     )
-    # Groups are counted before they are joined: a payload that a third of the pages share stays spread.
-    firsts = (
+    # Written, so that the join's own exchange carries the rows and a payload that a third of the pages share can be split.
+    firsts = materialize(
         sums.filter(F.col("n") >= least)
         .groupBy("digest")
         .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"), F.count("*").alias("uses"))
         .filter("uses > 1")
-        .select("digest", "first")
+        .select("digest", "first"),
+        "warc-firsts",
     )
     revisits = materialize(
         sums.join(firsts, "digest").filter("key <> first.key").select("key", F.col("first.id").alias("of")), "warc-revisits"
