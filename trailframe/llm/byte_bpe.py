@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,9 +34,9 @@ from trailframe.llm.store import give_back
 from trailframe.llm.tokens import vocabulary, worker_cache
 
 # States a worker keeps; beyond that it begins anew.
-MOST_STATES = 60_000
-# Words a worker keeps, and characters of the longest one that it keeps.
-MOST_WORDS, LONG_WORD = 400_000, 40
+MOST_STATES = 100_000
+# Words a worker keeps (common ones turn up early), and characters of the longest one that it keeps.
+MOST_WORDS, LONG_WORD = 700_000, 40
 # Texts to a batch that a task hands on.
 ROWS = 256
 # Ids that are decoded at a time.
@@ -79,80 +80,111 @@ class Transducer:
                     self.token.append(-1)
                 node = nxt
             self.token[node] = i
-        self.inner = {k >> 8 for k in self.kids}
+        self.inner = bytearray(len(self.token))
+        for k in self.kids:
+            self.inner[k >> 8] = 1
+        self.edges_of: tuple[dict, dict] = ({}, {})
         self.pairs: dict[tuple[int, int], bool] = {}
         self.restart()
 
     def restart(self) -> None:
         """Only the first state: nothing read, every token may begin."""
-        # A state: places in order of the text, each (place before it, token that ends there, node of what follows or -1).
-        self.states: list[tuple] = [((-1, -1, 0),)]
+        # A state: the last id put out, and the open places in order of the text, each (node of what follows it, ids that wait before it).
+        self.states: list[tuple] = [(-1, ((0, ()),))]
         self.names: dict[tuple, int] = {self.states[0]: 0}
         self.edges: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
+
+    def side(self, token: int, last: bool) -> tuple[tuple[bytes, float], ...] | None:
+        """What stands at a token's last (or first) byte while it is merged, and the rank of the merge that takes it up.
+
+        None if the token doesn't come out of merging its bytes, or not in rising order of rank.
+        """
+        known = self.edges_of[last].get(token, ())
+        if known == ():
+            parts, at, found, known = [self.bytes[token][i : i + 1] for i in range(len(self.bytes[token]))], -1 if last else 0, [], None
+            floor = -1
+            while len(parts) > 1:
+                ranks = [self.ranks.get(a + b, -1) for a, b in zip(parts, parts[1:])]
+                best = min((r for r in ranks if r >= 0), default=-1)
+                if best < floor or best < 0:
+                    break
+                floor, i, edge = best, ranks.index(best), parts[at]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                if parts[at] is not edge and parts[at] != edge:
+                    found.append((edge, best))
+            else:
+                known = (*found, (self.bytes[token], float("inf")))
+            self.edges_of[last][token] = known
+        return known
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging keeps ``right`` behind ``left`` (-1: at the beginning)."""
         known = self.pairs.get((left, right))
         if known is None:
-            head = [] if left < 0 else [left]
-            known = merge(self.ranks, b"".join(self.bytes[i] for i in (*head, right))) == [*head, right]
-            if len(self.pairs) >= 20 * self.most:
+            if left < 0:
+                known = merge(self.ranks, self.bytes[right]) == [right]
+            else:
+                known = self._apart(left, right)
+            if len(self.pairs) >= 10 * self.most:
                 self.pairs.clear()
             self.pairs[left, right] = known
         return known
 
+    def _apart(self, left: int, right: int) -> bool:
+        a, b = self.side(left, True), self.side(right, False)
+        if a is None or b is None:
+            return merge(self.ranks, self.bytes[left] + self.bytes[right]) == [left, right]
+        # Both sides merge side by side in order of rank, the left one first among equals; a merge over the
+        # border comes between if it is due before what stands on either side of it is taken up.
+        i = j = 0
+        while True:
+            (x, gone), (y, over) = a[i], b[j]
+            due = self.ranks.get(x + y)
+            if due is not None and due < gone and due <= over:
+                return False
+            if i == len(a) - 1 and j == len(b) - 1:
+                return True
+            if gone <= over:
+                i += 1
+            else:
+                j += 1
+
     def edge(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the edge of a state by one byte: the next state and the ids that have become certain."""
-        places = self.states[state]
+        root, places = self.states[state]
+        kids, token, inner, fits = self.kids, self.token, self.inner, self.fits
         grown, last = [], None
-        for at, (back, token, node) in enumerate(places):
-            nxt = -1 if node < 0 else self.kids.get(node << 8 | byte, -1)
-            if nxt >= 0:
-                if last is None and self.token[nxt] >= 0 and self.fits(token, self.token[nxt]):
-                    last = (at, self.token[nxt], 0)
-                if nxt not in self.inner:
-                    nxt = -1
-            grown.append((back, token, nxt))
+        for node, wait in places:
+            nxt = kids.get(node << 8 | byte)
+            if nxt is not None:
+                if last is None and token[nxt] >= 0 and fits(wait[-1] if wait else root, token[nxt]):
+                    last = (*wait, token[nxt])
+                if inner[nxt]:
+                    grown.append((nxt, wait))
         if last is None:
             raise ValueError("the ranks lack a single byte")
-        grown.append(last)
-        # Places from which nothing can grow stay only while another one stands on them.
-        need = [node >= 0 for _, _, node in grown]
-        heirs = [0] * len(grown)
-        for at in range(len(grown) - 1, 0, -1):
-            if need[at]:
-                need[grown[at][0]] = True
-                heirs[grown[at][0]] += 1
-        out, root = [], 0
-        while grown[root][2] < 0 and heirs[root] == 1:
-            root = next(at for at in range(root + 1, len(grown)) if need[at] and grown[at][0] == root)
-            out.append(grown[root][1])
-        place = {}
-        kept = []
-        for at in range(root, len(grown)):
-            if need[at]:
-                place[at] = len(kept)
-                kept.append((place[grown[at][0]] if at != root else -1, *grown[at][1:]))
-        name = tuple(kept)
+        grown.append((0, last))
+        # Ids that all open places have before them are certain.
+        shared = 0
+        for ids in zip(*[wait for _, wait in grown]):
+            if ids.count(ids[0]) != len(ids):
+                break
+            shared += 1
+        out = last[:shared]
+        if shared:
+            root = out[-1]
+            grown = [(node, wait[shared:]) for node, wait in grown]
+        name = (root, tuple(grown))
         number = self.names.get(name)
         if number is None:
             number = self.names[name] = len(self.states)
             self.states.append(name)
-        found = self.edges[state << 8 | byte] = (number, tuple(out))
+        found = self.edges[state << 8 | byte] = (number, out)
         return found
 
     def end(self, state: int) -> tuple[int, ...]:
         """The ids that still wait when the text ends in this state."""
-        known = self.ends.get(state)
-        if known is None:
-            places, out = self.states[state], []
-            at = len(places) - 1
-            while at > 0:
-                out.append(places[at][1])
-                at = places[at][0]
-            known = self.ends[state] = tuple(reversed(out))
-        return known
+        return self.states[state][1][-1][1]
 
     def ids(self, data: bytes) -> list[int]:
         if len(self.states) > self.most:
@@ -259,7 +291,7 @@ class ByteBpe:
                 out += self.machine.ids(data)
             else:
                 out.append(rank)
-        return np.array(out, "<i4").tobytes()
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit numbers end to end."""
@@ -271,9 +303,7 @@ class ByteBpe:
             ids = words.get(word)
             if ids is None:
                 ids = self.matched(" " + word)
-                if len(word) <= LONG_WORD:
-                    if len(words) >= MOST_WORDS:
-                        words.clear()
+                if len(word) <= LONG_WORD and len(words) < MOST_WORDS:
                     words[word] = ids
             out.append(ids)
         return b"".join(out)
