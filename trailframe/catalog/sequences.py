@@ -9,7 +9,6 @@ from trailframe.functions import geo
 from trailframe.functions import records as R
 from trailframe.operators import ordered as O
 from trailframe.operators import sequences as S
-from trailframe.operators.fold import running_total_walk, split_runs, stream_fold
 from trailframe.operators.ordered import Ordered
 
 # Parameters fit for the sparse synthetic tracks (hours and hundreds of metres apart).
@@ -196,19 +195,8 @@ def w2(spark, sf_dir):
 )
 def w3(spark, sf_dir):
     """Start a run when a running total passes 150, and clear the total there."""
-    ordered = tracks(spark, sf_dir)
-    value = ordered.df.select("track_id", "time", "ord", F.coalesce("filesize", F.lit(0)).alias("v"))
-    step = lambda state, row: (
-        F.when(state + row["v"] > 150, 0).otherwise(state + row["v"]),
-        state + row["v"] > 150,
-    )
-    if ordered.largest <= 2000:
-        return split_runs(value, ["track_id"], ORDER, F.lit(0), "bigint", step).select("ord", "run")
-    out = stream_fold(
-        value.withColumn("v", F.col("v").cast("bigint")), ["track_id"], ORDER, ["v"], T.StructType().add("run", "integer"),
-        running_total_walk(150, "v", "run", carry=False),
-    )
-    return out.select("ord", "run")
+    value = captures(spark, sf_dir).select("track_id", "time", "ord", "filesize")
+    return S.split_by_total(value, ["track_id"], ORDER, F.col("filesize"), 150, "run", carry=False).select("ord", "run")
 
 
 @query("w4_split_by_image_count", f"""WITH {CAP} SELECT ord, (row_number() OVER {W} - 1) // 20 + 1 AS run FROM cap""")

@@ -1,14 +1,9 @@
 """Order-dependent folds: what a row gets depends on the rows before it in its group.
 
-Two routes with one meaning:
-
-* ``fold_bounded`` runs a step as Column expressions inside ``aggregate`` over a
-  sorted array, for groups of bounded size (a run of at most a thousand
-  captures, or groups that were just measured to be small);
-* ``stream_fold`` takes groups of any size. Rows flow through in order, an Arrow
-  batch at a time, and a walk over numpy arrays carries the state: it holds one
-  batch, never a group, and jumps from one change of state to the next instead
-  of looking at every row. Columns that the walk doesn't read pass untouched.
+``fold_bounded`` runs a step as Column expressions inside ``aggregate`` over a
+sorted array, for groups of bounded size (a run of at most a thousand captures,
+or groups that were just measured to be small). ``blocks.py`` has the way for
+larger groups; ``last_kept_walk`` is what it does inside a block.
 """
 
 from __future__ import annotations
@@ -18,7 +13,6 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,77 +76,6 @@ def fold_bounded(
     return folded.select(*keys, pairs).select(*keys, "_pair._rows.*", "_pair._outs.*")
 
 
-def stream_fold(
-    df: DataFrame, keys: list[str], order: list[str], inputs: list[str], out_type: T.StructType, walk: Walk
-) -> DataFrame:
-    """Add ``out_type``'s columns by a walk over each group's rows in order.
-
-    ``walk(state, arrays)`` gets the next rows' inputs (doubles, null as NaN)
-    and the state after the rows before, None at a group's first rows. A null
-    output is NaN for doubles. A group is walked by one task, in order.
-    """
-    gid = "_gid"
-    marked = df.withColumn(gid, F.xxhash64(*[F.col(k) for k in keys]))
-    arranged = marked.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
-    plain = {"boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}
-    kinds = {f.name: plain[f.dataType.simpleString()] for f in out_type}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = batch.column(gid).to_numpy(zero_copy_only=False)
-            arrays = {
-                n: np.asarray(batch.column(n).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False), dtype=np.float64)
-                for n in inputs
-            }
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-            parts: dict[str, list[np.ndarray]] = {n: [] for n in kinds}
-            for a, b in zip(cuts, cuts[1:]):
-                state = state if last is not None and group[a] == last else None
-                state, outs = walk(state, {n: v[a:b] for n, v in arrays.items()})
-                last = group[a]
-                for n in kinds:
-                    parts[n].append(outs[n])
-            columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != gid]
-            names = [n for n in batch.schema.names if n != gid]
-            for n, kind in kinds.items():
-                columns.append(pa.array(np.concatenate(parts[n]), kind, from_pandas=True))
-            yield pa.RecordBatch.from_arrays(columns, [*names, *kinds])
-
-    return arranged.mapInArrow(run, T.StructType([*df.schema.fields, *out_type.fields]))
-
-
-def running_total_walk(limit: int, amount: str, name: str, carry: bool = True) -> Walk:
-    """Part numbers that rise where the running total passes ``limit``.
-
-    The total restarts at the row that passed it, with its amount (``carry``) or
-    with nothing. Amounts are not negative.
-    """
-
-    def walk(state: tuple | None, arrays: dict[str, np.ndarray]) -> tuple[tuple, dict[str, np.ndarray]]:
-        total, part, started = state or (0.0, 0, False)
-        amounts = arrays[amount]
-        sums = np.concatenate([[0.0], np.cumsum(amounts)])
-        out, at, n = np.empty(len(amounts), np.int32), 0, len(amounts)
-        while at < n:
-            over = max(int(np.searchsorted(sums, limit - total + sums[at], "right")), at + 1)
-            if over > n:
-                out[at:] = part
-                total += sums[n] - sums[at]
-                started = True
-                break
-            row = over - 1
-            out[at:row] = part
-            part += 1 if started or row > at else 0
-            out[row] = part
-            total, started, at = float(amounts[row]) if carry else 0.0, True, row + 1
-        return (total, part, started), {name: out}
-
-    return walk
-
-
 def last_kept_walk(judge: Callable[..., tuple[np.ndarray, dict[str, np.ndarray]]], names: list[str], known: str) -> Walk:
     """Compare every row with the last kept one before it.
 

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from trailframe.functions import geo
 from trailframe.functions import records as R
 from trailframe.operators import ordered as O
-from trailframe.operators.fold import MAX_ARRAY_ROWS, fold_bounded, last_kept_walk, running_total_walk, stream_fold
+from trailframe.operators.blocks import by_size, last_kept, placed, total_splits
+from trailframe.operators.fold import MAX_ARRAY_ROWS, fold_bounded, split_runs
 from trailframe.operators.ordered import Ordered
 from trailframe.runtime import materialize
 
@@ -118,36 +119,29 @@ def split_by_total(
     limit: int,
     name: str = "part",
     max_rows: int | None = None,
+    carry: bool = True,
 ) -> DataFrame:
     """Split where the running total passes ``limit``; it restarts at each split.
 
-    A missing amount counts as nothing.
+    It restarts with the splitting row's amount (``carry``) or with nothing. A
+    missing amount counts as nothing; amounts are not negative.
     """
     valued = df.withColumn("step_amount", F.coalesce(amount.cast("bigint"), F.lit(0)))
-    bound = max_rows if max_rows is not None else O.largest_group(df, keys)
-    if bound <= MAX_ARRAY_ROWS:
-
-        def step(state: Column, row: Column) -> tuple[Column, Column]:
-            total = state["total"] + row["step_amount"]
-            over = total > limit
-            part = state["part"] + F.when(over & state["any"], 1).otherwise(0)
-            return (
-                F.struct(
-                    F.when(over, row["step_amount"]).otherwise(total).alias("total"),
-                    part.alias("part"),
-                    F.lit(True).alias("any"),
-                ),
-                F.struct(part.alias(name)),
-            )
-
-        init = F.struct(F.lit(0).alias("total"), F.lit(0).alias("part"), F.lit(False).alias("any"))
-        state = "struct<total:bigint,part:int,any:boolean>"
-        out = fold_bounded(valued, keys, order, init, state, f"struct<{name}:int>", step)
-        return out.drop("step_amount")
-
-    out_type = T.StructType().add(name, "integer")
-    walk = running_total_walk(limit, "step_amount", name)
-    return stream_fold(valued, keys, order, ["step_amount"], out_type, walk).drop("step_amount")
+    bounded = max_rows is not None and max_rows <= MAX_ARRAY_ROWS
+    small, large = (valued, None) if bounded else by_size(valued, keys, MAX_ARRAY_ROWS)
+
+    def step(total: Column, row: Column) -> tuple[Column, Column]:
+        over = total + row["step_amount"] > limit
+        return F.when(over, row["step_amount"] if carry else F.lit(0)).otherwise(total + row["step_amount"]), over
+
+    out = split_runs(small, keys, order, F.lit(0), "bigint", step, name)
+    if large is not None:
+        rows = placed(large, order)
+        splits = total_splits(rows, "step_amount", limit, carry).withColumn("_split", F.lit(1))
+        flagged = rows.join(splits, ["_g", "_i"], "left")
+        numbered = Ordered.of(flagged, ["_g"], ["_i"]).scan(**{name: O.running_sum(F.coalesce("_split", F.lit(0)))}).rows()
+        out = out.unionByName(numbered.withColumn(name, F.col(name).cast("int")).drop("_g", "_i", "_block", "_split"))
+    return out.drop("step_amount")
 
 
 def pixels() -> Column:
@@ -209,6 +203,7 @@ def mark_duplicates(
     max_distance: float,
     max_angle: float,
     max_rows: int | None = None,
+    report: dict | None = None,
 ) -> DataFrame:
     """Compare every row with the last kept one; adds ``duplicate``, ``distance``, ``angle_diff``.
 
@@ -216,19 +211,20 @@ def mark_duplicates(
     compared with; an unknown heading agrees with any.
     """
     located = df.withColumn("at_xyz", geo.ecef(F.col("lat"), F.col("lon")))
-    bound = max_rows if max_rows is not None else O.largest_group(df, keys)
-    out_ddl = "struct<duplicate:boolean,distance:double,angle_diff:double>"
-    if bound <= MAX_ARRAY_ROWS:
+    bounded = max_rows is not None and max_rows <= MAX_ARRAY_ROWS
+    small, large = (located, None) if bounded else by_size(located, keys, MAX_ARRAY_ROWS)
 
-        def step(state: Column, row: Column) -> tuple[Column, Column]:
-            verdict = _duplicate_of(state["xyz"], state["angle"], row, max_distance, max_angle)
-            kept = F.struct(row["at_xyz"].alias("xyz"), known(row["angle"]).alias("angle"))
-            return F.when(verdict["duplicate"] | ~placed(row["at_xyz"]), state).otherwise(kept), verdict
+    def step(state: Column, row: Column) -> tuple[Column, Column]:
+        verdict = _duplicate_of(state["xyz"], state["angle"], row, max_distance, max_angle)
+        kept = F.struct(row["at_xyz"].alias("xyz"), known(row["angle"]).alias("angle"))
+        return F.when(verdict["duplicate"] | ~placed_at(row["at_xyz"]), state).otherwise(kept), verdict
 
-        xyz = "struct<x:double,y:double,z:double>"
-        init = F.struct(F.lit(None).cast(xyz).alias("xyz"), F.lit(None).cast("double").alias("angle"))
-        state = f"struct<xyz:{xyz},angle:double>"
-        return fold_bounded(located, keys, order, init, state, out_ddl, step).drop("at_xyz")
+    xyz = "struct<x:double,y:double,z:double>"
+    init = F.struct(F.lit(None).cast(xyz).alias("xyz"), F.lit(None).cast("double").alias("angle"))
+    verdict_type = "struct<duplicate:boolean,distance:double,angle_diff:double>"
+    out = fold_bounded(small, keys, order, init, f"struct<xyz:{xyz},angle:double>", verdict_type, step)
+    if large is None:
+        return out.drop("at_xyz")
 
     def judge(kept, rows):
         n = len(rows["at_x"])
@@ -241,13 +237,10 @@ def mark_duplicates(
         duplicate = (distance <= max_distance) & (np.isnan(diff) | (diff <= max_angle))
         return ~duplicate, {"duplicate": duplicate, "distance": distance, "angle_diff": diff}
 
-    out_type = (
-        T.StructType().add("duplicate", "boolean").add("distance", "double").add("angle_diff", "double")
-    )
-    walk = last_kept_walk(judge, ["duplicate", "distance", "angle_diff"], "at_x")
-    flat = located.withColumns({f"at_{c}": F.col(f"at_xyz.{c}") for c in "xyz"}).drop("at_xyz")
-    folded = stream_fold(flat, keys, order, ["at_x", "at_y", "at_z", "angle"], out_type, walk)
-    return folded.drop("at_x", "at_y", "at_z")
+    outs = T.StructType().add("duplicate", "boolean").add("distance", "double").add("angle_diff", "double")
+    inputs = {**{f"at_{c}": F.col(f"at_xyz.{c}") for c in "xyz"}, "angle": F.col("angle")}
+    folded = last_kept(placed(large, order), inputs, "at_x", judge, outs, report)
+    return out.unionByName(folded).drop("at_xyz")
 
 
 def known(value: Column) -> Column:
@@ -255,7 +248,7 @@ def known(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def placed(xyz: Column) -> Column:
+def placed_at(xyz: Column) -> Column:
     total = xyz["x"] + xyz["y"] + xyz["z"]
     return total.isNotNull() & ~F.isnan(total)
 
@@ -263,7 +256,7 @@ def placed(xyz: Column) -> Column:
 def _duplicate_of(
     kept_xyz: Column, kept_angle: Column, row: Column, max_distance: float, max_angle: float
 ) -> Column:
-    here = placed(row["at_xyz"])
+    here = placed_at(row["at_xyz"])
     distance = F.when(here, geo.chord(kept_xyz, row["at_xyz"]))
     diff = geo.diff_bearing(kept_angle, known(row["angle"]))
     close = F.coalesce(distance <= max_distance, F.lit(False))
@@ -440,7 +433,7 @@ def _check_runs(df: DataFrame, keys: list[str], order: list[str], limits: Limits
             kept_xyz, kept_angle, row, limits.duplicate_distance, limits.duplicate_angle
         )
         island = on_null_island(row["lat"], row["lon"])
-        dropped = F.coalesce(island, F.lit(False)) | verdict["duplicate"] | ~placed(row["at_xyz"])
+        dropped = F.coalesce(island, F.lit(False)) | verdict["duplicate"] | ~placed_at(row["at_xyz"])
         sub = state["sub"] + F.when(split, 1).otherwise(0)
         next_state = F.struct(
             sub.alias("sub"),

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from trailframe.functions import geo
 from trailframe.functions import records as R
 from trailframe.operators import ordered as O
-from trailframe.operators.fold import MAX_ARRAY_ROWS, fold_bounded, last_kept_walk, stream_fold
+from trailframe.operators.blocks import by_size, last_kept, placed
+from trailframe.operators.fold import MAX_ARRAY_ROWS, fold_bounded
 from trailframe.operators.ordered import Ordered, join_keys
 
 # Captures this close to an end of the track still count as on it (seconds).
@@ -327,28 +328,26 @@ def apply_edit_list(
 
 
 def sample_by_distance(
-    df: DataFrame, keys: list[str], order: list[str], min_distance: float, max_rows: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], min_distance: float, max_rows: int | None = None, report: dict | None = None
 ) -> DataFrame:
     """Keep the first row, then each row farther than ``min_distance`` from the last kept.
 
     Rows without a position (null or not a number) are never kept.
     """
     located = df.withColumn("at_xyz", geo.ecef(F.col("lat"), F.col("lon")))
-    bound = max_rows if max_rows is not None else O.largest_group(df, keys)
-    if bound <= MAX_ARRAY_ROWS:
-        xyz = "struct<x:double,y:double,z:double>"
-
-        def step(state: Column, row: Column) -> tuple[Column, Column]:
-            total = row["at_xyz"]["x"] + row["at_xyz"]["y"] + row["at_xyz"]["z"]
-            keep = total.isNotNull() & ~F.isnan(total) & F.coalesce(geo.chord(state["xyz"], row["at_xyz"]) > min_distance, state["xyz"].isNull())
-            here = F.struct(row["at_xyz"].alias("xyz"))
-            return F.when(keep, here).otherwise(state), F.struct(keep.alias("_keep"))
-
-        init = F.struct(F.lit(None).cast(xyz).alias("xyz"))
-        folded = fold_bounded(
-            located, keys, order, init, f"struct<xyz:{xyz}>", "struct<_keep:boolean>", step
-        )
-    else:
+    bounded = max_rows is not None and max_rows <= MAX_ARRAY_ROWS
+    small, large = (located, None) if bounded else by_size(located, keys, MAX_ARRAY_ROWS)
+    xyz = "struct<x:double,y:double,z:double>"
+
+    def step(state: Column, row: Column) -> tuple[Column, Column]:
+        total = row["at_xyz"]["x"] + row["at_xyz"]["y"] + row["at_xyz"]["z"]
+        keep = total.isNotNull() & ~F.isnan(total) & F.coalesce(geo.chord(state["xyz"], row["at_xyz"]) > min_distance, state["xyz"].isNull())
+        here = F.struct(row["at_xyz"].alias("xyz"))
+        return F.when(keep, here).otherwise(state), F.struct(keep.alias("_keep"))
+
+    init = F.struct(F.lit(None).cast(xyz).alias("xyz"))
+    folded = fold_bounded(small, keys, order, init, f"struct<xyz:{xyz}>", "struct<_keep:boolean>", step)
+    if large is not None:
 
         def judge(kept, rows):
             n = len(rows["at_x"])
@@ -357,10 +356,9 @@ def sample_by_distance(
             distance = np.sqrt(sum((kept[c] - rows[c]) ** 2 for c in ("at_x", "at_y", "at_z")))
             return distance > min_distance, {"_keep": distance > min_distance}
 
-        out_type = T.StructType().add("_keep", "boolean")
-        flat = located.withColumns({f"at_{c}": F.col(f"at_xyz.{c}") for c in "xyz"})
-        walk = last_kept_walk(judge, ["_keep"], "at_x")
-        folded = stream_fold(flat, keys, order, ["at_x", "at_y", "at_z"], out_type, walk).drop("at_x", "at_y", "at_z")
+        inputs = {f"at_{c}": F.col(f"at_xyz.{c}") for c in "xyz"}
+        outs = T.StructType().add("_keep", "boolean")
+        folded = folded.unionByName(last_kept(placed(large, order), inputs, "at_x", judge, outs, report))
     return folded.filter("_keep").drop("_keep", "at_xyz")
 
 
