@@ -68,21 +68,22 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], most: int = MOST_STATES):
         self.ranks, self.most = ranks, most
         self.bytes = {i: b for b, i in ranks.items()}
-        # Prefix tree of the tokens: (node << 8 | byte) to node; the token that ends at a node.
-        self.kids: dict[int, int] = {}
+        # Prefix tree of the tokens: per byte, node to node; the token that ends at a node; whether it has further ones.
+        self.kids: list[dict[int, int]] = [{} for _ in range(256)]
         self.token = [-1]
         for data, i in ranks.items():
             node = 0
             for b in data:
-                nxt = self.kids.get(node << 8 | b)
+                nxt = self.kids[b].get(node)
                 if nxt is None:
-                    nxt = self.kids[node << 8 | b] = len(self.token)
+                    nxt = self.kids[b][node] = len(self.token)
                     self.token.append(-1)
                 node = nxt
             self.token[node] = i
         self.inner = bytearray(len(self.token))
-        for k in self.kids:
-            self.inner[k >> 8] = 1
+        for step in self.kids:
+            for node in step:
+                self.inner[node] = 1
         self.edges_of: tuple[dict, dict] = ({}, {})
         self.pairs: dict[tuple[int, int], bool] = {}
         self.restart()
@@ -152,29 +153,27 @@ class Transducer:
     def edge(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the edge of a state by one byte: the next state and the ids that have become certain."""
         root, places = self.states[state]
-        kids, token, inner, fits = self.kids, self.token, self.inner, self.fits
-        grown, last = [], None
-        for node, wait in places:
-            nxt = kids.get(node << 8 | byte)
-            if nxt is not None:
-                if last is None and token[nxt] >= 0 and fits(wait[-1] if wait else root, token[nxt]):
-                    last = (*wait, token[nxt])
-                if inner[nxt]:
-                    grown.append((nxt, wait))
+        step, token, inner = self.kids[byte], self.token, self.inner
+        grown = [(step[node], wait) for node, wait in places if node in step]
+        last = None
+        for node, wait in grown:
+            if token[node] >= 0 and self.fits(wait[-1] if wait else root, token[node]):
+                last = (*wait, token[node])
+                break
         if last is None:
             raise ValueError("the ranks lack a single byte")
+        grown = [place for place in grown if inner[place[0]]]
         grown.append((0, last))
         # Ids that all open places have before them are certain.
-        shared = 0
-        for ids in zip(*[wait for _, wait in grown]):
-            if ids.count(ids[0]) != len(ids):
-                break
+        shared, most = 0, len(grown[0][1])
+        while shared < most and all([len(wait) > shared and wait[shared] == last[shared] for _, wait in grown]):
             shared += 1
         out = last[:shared]
         if shared:
             root = out[-1]
             grown = [(node, wait[shared:]) for node, wait in grown]
-        name = (root, tuple(grown))
+        # The last certain id matters where something may follow it at once.
+        name = (root if any([not wait for _, wait in grown]) else -1, tuple(grown))
         number = self.names.get(name)
         if number is None:
             number = self.names[name] = len(self.states)
@@ -298,15 +297,15 @@ class ByteBpe:
         if self.ODD.search(text):
             return self.matched(text)
         head, *rest = text.split(" ")
-        words, out = self.words, [self.matched(head)]
-        for word in rest:
-            ids = words.get(word)
-            if ids is None:
-                ids = self.matched(" " + word)
-                if len(word) <= LONG_WORD and len(words) < MOST_WORDS:
-                    words[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        words = self.words
+        out = [words.get(word) for word in rest]
+        if None in out:
+            for at, word in enumerate(rest):
+                if out[at] is None:
+                    out[at] = ids = self.matched(" " + word)
+                    if len(word) <= LONG_WORD and len(words) < MOST_WORDS:
+                        words[word] = ids
+        return self.matched(head) + b"".join(out)
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text of ids, some at a time; ids without bytes are an error."""
