@@ -129,3 +129,16 @@ def test_anchors_kept_apart(spark, tmp_path, monkeypatch, meet):
     rows += [(1000 + i, *rows[i % 20][1:]) for i in range(60)]
     df = stored(spark, rows, str(tmp_path / "t"))
     assert result(df, 24, 8) == expected([(r[0], r[1]) for r in rows], 24)
+
+
+def test_slots_share_anchors_evenly():
+    """Anchors are elected for small hashes; the slots they are dealt to don't follow those."""
+    rnd = random.Random(12)
+    texts = pa.array(["".join(rnd.choice("abcdefgh ijklmnop") for _ in range(4000)) for _ in range(60)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), texts], ["key", "text"])
+    for slots in (32, 204):
+        sizes = [0] * slots
+        for out in sd._pack(200, 64, slots)(iter([batch])):
+            for slot, kind, data in zip(*(out.column(c).to_pylist() for c in ("slot", "kind", "anchors"))):
+                sizes[slot] += len(sd.from_planes(data)) if kind == 1 else 0
+        assert max(sizes) < 3 * sum(sizes) / slots + 20

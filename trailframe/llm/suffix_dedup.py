@@ -41,6 +41,7 @@ U = np.uint64
 PIECE = 1 << 20
 # Anchors that a task packs before it hands them on.
 CHUNK = 400_000
+DEAL = U(0x6A09E667F3BCC909)
 # An anchor with more different stretches in a chunk than this isn't dealt by its hash.
 COMMON = 64
 # Stretches of one anchor that meet in one suffix array.
@@ -140,7 +141,10 @@ def _pack(width: int, gram: int, slots: int):
                 marks["gram"] = ones["gram"][new_gram[first]][crowded]
                 ones = np.concatenate([ones[~crowded[gram_no]], marks])
                 ones = ones[np.argsort(ones["gram"], kind="stable")]
-            slot = (ones["gram"] >> U(32)).astype(np.int64) * slots >> 32
+            # An anchor is elected for its small hash: another one deals them evenly.
+            slot = (mix(ones["gram"] ^ DEAL) >> U(32)).astype(np.int64) * slots >> 32
+            order = np.argsort(slot, kind="stable")
+            ones, slot = ones[order], slot[order]
             cuts = np.searchsorted(slot, np.arange(slots + 1))
             rows = [(s, 1, planes(ones[cuts[s] : cuts[s + 1]])) for s in range(slots) if cuts[s + 1] > cuts[s]]
             rows += [((part * 31 + seq) % slots, kind, planes(records)) for kind, records in ((0, others), (2, apart)) if len(records)]
