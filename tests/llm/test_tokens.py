@@ -1,6 +1,7 @@
 """Token files: exact round trips, select, awkward rows."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -20,10 +21,25 @@ def test_elias_fano(values):
     assert made.all().tolist() == values
     for i in {0, 1, len(values) // 2, 255, 256, 257, len(values) - 1} & set(range(len(values))):
         assert made.select(i) == values[i]
+    for start, stop in {(0, 0), (0, len(values)), (1, 2), (255, 257), (256, 700), (len(values) - 3, len(values))}:
+        if 0 <= start <= stop <= len(values):
+            assert made.part(start, stop).tolist() == values[start:stop]
     if len(values) > 2000:
         assert len(tokens.EliasFano.of(np.array(values, dtype=np.uint64)).pack()) < len(values) * 8 / 2
 
 
+def test_elias_fano_of_many_sparse_values():
+    """Packing needs memory in proportion to the values, a run of them at a time."""
+    values = np.cumsum(np.random.default_rng(3).integers(0, 1 << 34, 300_000)).astype(np.uint64)
+    tracemalloc.start()
+    made = tokens.EliasFano.of(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(values)
+    assert (made.all() == values).all()
+    assert [made.select(i) for i in (0, 70_000, 299_999)] == values[[0, 70_000, 299_999]].tolist()
+
+
 def plain(texts):
     t = Tokenizer.from_file(PATH)
     return [t.encode(x, add_special_tokens=False).ids for x in texts]

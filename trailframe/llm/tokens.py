@@ -37,6 +37,10 @@ HEADER = "<4sHH6q"
 MAGIC, VERSION = b"TFEF", 1
 # Every so many ones the place of one is kept.
 SAMPLE = 256
+# Values that are packed or unpacked at a time.
+RUN = 1 << 16
+# Documents of a file that are read at a time.
+WINDOW = 4096
 # Ids a file holds at most, but for a longer document.
 FILE_IDS = 32 << 20
 
@@ -55,18 +59,43 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         low = max(0, (top // n).bit_length() - 1) if n else 0
-        shift = np.arange(low, dtype=np.uint64)
-        lows = np.packbits(((values[:, None] >> shift) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
         ones = (values >> np.uint64(low)) + np.arange(n, dtype=np.uint64)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, dtype=np.uint8)
         bits[ones.astype(np.int64)] = 1
-        return cls(n, low, lows, np.packbits(bits, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
+        return cls(n, low, cls._pack_lows(values, low), np.packbits(bits, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
+
+    @staticmethod
+    def _pack_lows(values: np.ndarray, low: int) -> np.ndarray:
+        """The low bits end to end, some values at a time (a multiple of 8, so that bytes are whole)."""
+        packed = [np.zeros(0, np.uint8)]
+        for at in range(0, len(values) if low else 0, RUN):
+            part = values[at : at + RUN]
+            bits = np.empty(len(part) * low, np.uint8)
+            for k in range(low):
+                bits[k::low] = (part >> np.uint64(k)) & np.uint64(1)
+            packed.append(np.packbits(bits, bitorder="little"))
+        return np.concatenate(packed)
+
+    def part(self, start: int, stop: int) -> np.ndarray:
+        """Values ``start`` to ``stop``, from the nearest kept place: only what lies between is decoded."""
+        if start >= stop:
+            return np.zeros(0, np.uint64)
+        first, last = start // SAMPLE, (stop - 1) // SAMPLE + 1
+        begin = int(self.samples[first])
+        end = int(self.samples[last]) if last < len(self.samples) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin // 8 : -(-end // 8)], bitorder="little")) + begin // 8 * 8
+        ones = ones[np.searchsorted(ones, begin) :][start - first * SAMPLE : stop - first * SAMPLE]
+        out = (ones - np.arange(start, stop)).astype(np.uint64) << np.uint64(self.low)
+        if self.low:
+            byte = start * self.low // 8
+            bits = np.unpackbits(self.lows[byte : -(-stop * self.low // 8)], bitorder="little")
+            bits = bits[start * self.low - 8 * byte :][: (stop - start) * self.low]
+            for k in range(self.low):
+                out |= bits[k :: self.low].astype(np.uint64) << np.uint64(k)
+        return out
 
     def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
-        high = ones - np.arange(self.n, dtype=np.uint64)
-        bits = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low).astype(np.uint64)
-        return (high << np.uint64(self.low)) | (bits << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return np.concatenate([np.zeros(0, np.uint64), *[self.part(at, min(self.n, at + RUN)) for at in range(0, self.n, RUN)]])
 
     def select(self, i: int) -> int:
         """Value ``i``, by a scan from the nearest kept one."""
@@ -116,12 +145,14 @@ class TokenFile:
         if magic != MAGIC or version != VERSION:
             raise ValueError(f"{path} is no token file")
         self.ends = EliasFano.unpack(self.file.read_at(ends, struct.calcsize(HEADER)))
-        self.names = self.file.read_at(names, struct.calcsize(HEADER) + ends)
+        self.apart = EliasFano.unpack(self.file.read_at(names, struct.calcsize(HEADER) + ends))
         self.data = struct.calcsize(HEADER) + ends + names
 
-    def doc_ids(self) -> list[int | None]:
-        apart = EliasFano.unpack(self.names).all()
-        return [None] * self.unnamed + (apart + np.uint64(self.first & 0xFFFFFFFFFFFFFFFF)).astype(np.int64).tolist()
+    def doc_ids(self, start: int = 0, stop: int | None = None) -> list[int | None]:
+        """Ids of documents ``start`` to ``stop``."""
+        stop = self.n if stop is None else stop
+        apart = self.apart.part(max(0, start - self.unnamed), max(0, stop - self.unnamed))
+        return [None] * (min(stop, self.unnamed) - min(start, self.unnamed)) + (apart + np.uint64(self.first & 0xFFFFFFFFFFFFFFFF)).astype(np.int64).tolist()
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         raw = self.file.read_at((stop - start) * self.width, self.data + start * self.width)
@@ -152,6 +183,7 @@ class Encoder:
     MOST = 700_000
     ODD = re.compile(r"\s (?=\s|\Z)")
     BARE = re.compile(r"\S+")
+    OTHER = re.compile(r"[^\S ]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -178,12 +210,18 @@ class Encoder:
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words behind a blank: words of one run are encoded side by side and told apart by their bytes."""
         found: dict[str, bytes] = {}
-        bare = [w for w in words if self.BARE.fullmatch(w)]
-        for i in range(0, len(bare), 4000):
-            own = bare[i : i + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, dtype=self.type)
+        for i in range(0, len(words), 4000):
+            own, text = words[i : i + 4000], " " + " ".join(words[i : i + 4000])
+            if "" in own or self.ODD.search(text) or self.OTHER.search(text):
+                own = [w for w in own if self.BARE.fullmatch(w)]
+                text = " " + " ".join(own)
+            if not own:
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.type)
             ends = np.cumsum(self.sizes[ids])
-            stops = np.cumsum([len(w.encode()) + 1 for w in own])
+            # Words hold no blanks: every one ends where the next blank stands.
+            blanks = np.flatnonzero(np.frombuffer(raw := text.encode(), np.uint8) == 0x20)
+            stops = np.append(blanks[1:], len(raw))
             last = np.searchsorted(ends, stops)
             # Words whose bytes don't end with a token's (a special token swallowed more) go on below.
             if len(ends) and ends[-1] == stops[-1] and (ends[last] == stops).all():
@@ -288,24 +326,25 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
                 f = TokenFile(path)
-                names, ends = f.doc_ids(), f.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
                 at = 0
                 while at < f.n:
-                    # Some documents at a time: at least one, else as many as 1 M ids hold.
-                    to = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 20), "right")))
-                    data = f.ids(int(starts[at]), int(ends[to - 1])).astype("<u4").view(np.uint8)
-                    first = int(starts[at])
-                    sums = [zlib.crc32(data[4 * (int(a) - first) : 4 * (int(b) - first)]) for a, b in zip(starts[at:to], ends[at:to])]
+                    # A window of documents: its begin by select, the ends inside it decoded, at least one
+                    # document and else as many as 1 M ids hold.
+                    first = f.ends.select(at - 1) if at else 0
+                    ends = f.ends.part(at, min(f.n, at + WINDOW)).astype(np.int64)
+                    ends = ends[: max(1, int(np.searchsorted(ends, first + (1 << 20), "right")))]
+                    starts = np.concatenate([[first], ends[:-1]])
+                    data = f.ids(first, int(ends[-1])).astype("<u4").view(np.uint8)
+                    sums = [zlib.crc32(data[4 * (a - first) : 4 * (b - first)]) for a, b in zip(starts.tolist(), ends.tolist())]
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "doc_id": pa.array(names[at:to], pa.int64()),
-                            "start": pa.array(starts[at:to] + base, pa.int64()),
-                            "n_tokens": pa.array(ends[at:to] - starts[at:to], pa.int64()),
+                            "doc_id": pa.array(f.doc_ids(at, at + len(ends)), pa.int64()),
+                            "start": pa.array(starts + base, pa.int64()),
+                            "n_tokens": pa.array(ends - starts, pa.int64()),
                             "ids_crc32": pa.array(sums, pa.int64()),
                         }
                     )
-                    at = to
+                    at += len(ends)
                 f.close()
 
     return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
