@@ -1,5 +1,6 @@
 """Sampled segmentations: round trips, distinctness, and the distribution against enumeration."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -85,6 +86,13 @@ def test_table_in_any_order(spark):
     assert check(df, rows) == check(df.repartition(7), rows)
 
 
+def test_query_decodes_its_samples(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in pieces.op4_sample_pieces(spark, SF).collect():
+        want = hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+        assert r["decoded_sha256"] == [want] * len(r["samples"]) and r["samples"]
+
+
 def test_text_without_blanks(spark, tmp_path):
     rows = [(1, "ab▁c" * 6000, "", "", 0), (2, "▁", "", "", 0), (3, " ▁ ", "", "", 0), (4, "  ", "", "", 0)]
     check(stored(spark, rows, str(tmp_path / "t")), [(r[0], r[1]) for r in rows])

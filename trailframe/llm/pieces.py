@@ -32,7 +32,7 @@ from trailframe.llm.tokens import vocabulary
 U = np.uint64
 BLANK = "▁"  # how the vocabulary writes a blank
 # Lattice edges that a task keeps for units it has seen.
-KEPT = 2_500_000
+KEPT = 1_500_000
 
 
 class Lattices:
@@ -45,7 +45,7 @@ class Lattices:
     """
 
     # Characters that most pieces use get a column each in the table of steps; the others are searched for.
-    COLUMNS = 128
+    COLUMNS = 64
 
     def __init__(self, path: str):
         import sentencepiece
@@ -91,7 +91,7 @@ class Lattices:
         self.roots: dict[str, int] = {}
         self.nodes = self.held = 0
         # Room for what is kept and a batch more; pages that aren't used take no memory.
-        room = KEPT + (1 << 20)
+        room = KEPT + (1 << 19)
         self.first = np.empty(room, np.int64)
         self.piece, self.next = np.empty(room, np.int32), np.empty(room, np.int32)
         self.share, self.upto = np.empty(room), np.empty(room)
@@ -378,7 +378,7 @@ def sample_segmentations(
             while at < len(sizes):
                 # Some texts at a time, by length.
                 to, held = at, 0
-                while to < len(sizes) and (to == at or held + sizes[to] < 500_000):
+                while to < len(sizes) and (to == at or held + sizes[to] < 200_000):
                     held += sizes[to]
                     to += 1
                 part = batch.slice(at, to - at)
@@ -422,4 +422,8 @@ def decode_ids(ids: Column, model: str) -> Column:
 
 @query("op4_sample_pieces")
 def op4_sample_pieces(spark, sf_dir):
-    return sample_segmentations(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    """The samples, and digests of what each decodes to: its document's text."""
+    model = vocabulary("piece_bpe_32k.model")
+    found = sample_segmentations(table(spark, sf_dir, "documents"), model)
+    digests = [F.sha2(decode_ids(F.get("samples", F.lit(i))["ids"], model), 256) for i in range(2)]
+    return found.withColumn("decoded_sha256", F.filter(F.array(*digests), lambda d: d.isNotNull()))
