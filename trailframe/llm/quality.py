@@ -80,13 +80,15 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def host_verdicts(counted: DataFrame, host: str, max_rate: float = 0.75, least: int = 20) -> DataFrame:
+def host_verdicts(counted: DataFrame, host: str, spreads: float = 2.0, worst: float = 0.5) -> DataFrame:
     """One row per host: documents, failures, shrunk rate, verdict.
 
     The prior is a beta distribution fitted by moments to the hosts' failure
-    rates, each host weighing its documents. A host is rejected when its shrunk
-    rate is over ``max_rate`` and it has ``least`` documents; few documents
-    leave the rate near the corpus's own. Null is a host like any other.
+    rates, each host weighing its documents. A host of any size is rejected when
+    its shrunk rate lies more than ``spreads`` standard deviations of the prior
+    above the prior's mean, and more of its documents fail than ``worst``: few
+    documents leave the rate near the mean, and a host most of whose documents
+    are sound keeps them. Null is a host like any other.
     """
     hosts = counted.groupBy(host).agg(
         F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("bigint")).alias("host_failed")
@@ -116,7 +118,7 @@ def host_verdicts(counted: DataFrame, host: str, max_rate: float = 0.75, least:
     shrunk = (F.col("host_failed") + mean * weight) / (F.col("host_docs") + weight)
     return hosts.select(
         host, "host_docs", "host_failed", shrunk.alias("host_rate"),
-        ((shrunk > max_rate) & (F.col("host_docs") >= least)).alias("host_rejected"),
+        (shrunk > F.greatest(mean + spreads * F.sqrt(mean * (1 - mean) / (weight + 1)), F.lit(worst))).alias("host_rejected"),
     )
 
 
@@ -127,8 +129,8 @@ def quality_rules(
     host_col: str = "source",
     min_words: int = 50,
     max_repeat_percent: int = 50,
-    max_rate: float = 0.75,
-    least: int = 20,
+    spreads: float = 2.0,
+    worst: float = 0.5,
 ) -> DataFrame:
     """Counts, base verdict, host verdict and ``kept`` for every row.
 
@@ -148,7 +150,7 @@ def quality_rules(
         | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
     )
     counted = materialize(counted, "quality-counts")
-    hosts = materialize(host_verdicts(counted, "host", max_rate, least), "quality-hosts").withColumnRenamed("host", "of")
+    hosts = materialize(host_verdicts(counted, "host", spreads, worst), "quality-hosts").withColumnRenamed("host", "of")
     judged = counted.join(hosts, counted["host"].eqNullSafe(hosts["of"]), "left")
     return judged.select(
         F.col("id").alias(id_col),
@@ -157,6 +159,34 @@ def quality_rules(
     )
 
 
-@query("op10_quality_rules")
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
+c AS (
+  SELECT row, doc_id, source, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols
+  FROM d),
+windows AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n
+  FROM (SELECT row, i, w[i:i + 2] AS g FROM (SELECT row, w, unnest(range(1, CAST(len(w) - 1 AS BIGINT))) AS i FROM c WHERE len(w) > 2))),
+repeated AS (
+  SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS place FROM windows WHERE n > 1) GROUP BY row),
+b AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words
+  FROM c LEFT JOIN repeated r ON r.row = c.row),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS bad FROM f GROUP BY source),
+m AS (SELECT sum(bad) / sum(n) AS mean, sum(bad * bad / n) / sum(n) AS squares, sum(n) AS docs, count(*) AS hosts FROM h),
+s AS (SELECT mean, greatest(squares - mean * mean - mean * (1 - mean) * hosts / docs, 1e-6) AS spread FROM m),
+p AS (SELECT mean, least(greatest(mean * (1 - mean) / spread - 1, 2.0), 1e4) AS weight FROM s),
+v AS (SELECT source, (bad + mean * weight) / (n + weight) > greatest(mean + 2 * sqrt(mean * (1 - mean) / (weight + 1)), 0.5) AS rejected FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM f JOIN v ON v.source IS NOT DISTINCT FROM f.source
+"""
+
+
+@query("op10_quality_rules", SQL)
 def op10_quality_rules(spark, sf_dir):
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
