@@ -1,11 +1,14 @@
 """Quality rules and mixing against plain Python."""
 
 import re
+import time
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tests.llm.cases import ROWS, awkward, stored
+from tests.llm.cases import ROWS, SCHEMA, awkward, stored
 from trailframe.llm import mixing, quality
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +57,28 @@ def test_bad_host_loses_its_documents(spark, tmp_path):
     assert got[5001]["kept"] and got[1000]["kept"]
 
 
+def test_hosts_of_any_size_are_judged(spark, tmp_path):
+    """Where many hosts are bad the prior is wide, and few documents suffice; where none is, a small host is no outlier."""
+    good = " ".join(f"word{i}" for i in range(80))
+    hosts = [(f"g{h}", n, 0) for h, n in enumerate([3, 5, 40, 300] * 4)] + [(f"b{h}", n, n) for h, n in enumerate([5, 19, 40, 300])] + [("half", 60, 24)]
+    rows = [(len(name) * 1000 + i, "short" if i < bad else f"{good} {i}", "en", name, 1) for name, n, bad in hosts for i in range(n)]
+    df = stored(spark, rows, str(tmp_path / "t"))
+    counted = quality.text_counts(df.select("source", "text"), "text").selectExpr("source", "n_words < 50 AS base_failed")
+    found = {r["source"]: r["host_rejected"] for r in quality.host_verdicts(counted, "source").collect()}
+    assert found == {name: name.startswith("b") for name, _, _ in hosts}
+    calm = [(i, "short" if i % 300 == 0 or i >= 3000 else f"{good} {i}", "en", f"g{i % 10}" if i < 3000 else "tiny", 1) for i in range(3002)]
+    kept = quality.quality_rules(stored(spark, calm, str(tmp_path / "u")))
+    assert kept.filter("NOT kept AND NOT base_failed").count() == 0
+
+
+def test_quality_sql(spark):
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{SF}/documents.parquet'")
+    got = quality.op10_quality_rules(spark, SF)
+    want = duckdb.sql(quality.SQL)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_empty_tables(spark, tmp_path):
     df = stored(spark, [], str(tmp_path / "t"))
     assert quality.quality_rules(df).count() == 0
@@ -102,6 +127,31 @@ def test_mix_table_and_rerun(spark):
     assert check_mix(df) == check_mix(df.repartition(5).sortWithinPartitions("doc_id").checkpoint())
 
 
+def test_mix_agrees_in_another_split(spark, tmp_path):
+    """Null and repeated ids, equal rows among them: chance doesn't depend on how the scan is split."""
+    rows = [(None if i % 2 else i % 50, f"w{i % 300} " * (1 + i % 5), "en", "a" if i % 3 else None, 1) for i in range(3000)]
+    spark.createDataFrame(rows, SCHEMA).repartition(12).write.parquet(str(tmp_path / "t"))
+    found = []
+    for split in ("12", "2"):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", split)
+        got = mixing.mix_sources(spark.read.schema(SCHEMA).parquet(str(tmp_path / "t")).select("doc_id", "text", "source"))
+        found.append(sorted((str(r["id"]), r["source"] or "", r["size"], r["copies"]) for r in got.collect()))
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert found[0] == found[1] and len(found[0]) == 3000
+
+
+def test_mix_one_id_on_many_rows(spark, tmp_path):
+    """Blocks split rows that share an id, equal ones too."""
+    rows = [(1, "w w w" if i % 2 else f"w {i}", "en", "a" if i % 3 else "b", 1) for i in range(30_000)]
+    df = stored(spark, rows, str(tmp_path / "t"))
+    began = time.time()
+    check_mix(df)
+    one = time.time() - began
+    began = time.time()
+    check_mix(df.withColumn("doc_id", F.monotonically_increasing_id()))
+    assert one < 3 * (time.time() - began) + 10
+
+
 def test_mix_awkward(spark, tmp_path):
     check_mix(awkward(spark, str(tmp_path / "t")))
 

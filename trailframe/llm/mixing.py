@@ -102,8 +102,8 @@ def pivotal_round(open_rows: DataFrame, seed: int = 0, block: int = BLOCK) -> Da
 
     Within every ``grp`` the sum of ``up * a`` comes within one row's ``a`` of
     the sum of ``p * a``, and a row is rounded up with probability ``p``.
-    ``key`` drives all chance: equal keys and rows give equal results, in any
-    partitioning. A block is dealt by the key's hash, so that no group of any
+    ``key`` drives all chance and tells rows apart: equal keys give equal
+    results, in any partitioning. A block is dealt by the key's hash, so that no group of any
     size lies in one task; each round of the tree is written to the shared
     folder, with a residual a block left.
     """
@@ -135,6 +135,20 @@ def pivotal_round(open_rows: DataFrame, seed: int = 0, block: int = BLOCK) -> Da
     return out
 
 
+def _numbered(rows: DataFrame, parts: int = 256) -> DataFrame:
+    """Number (``n``) the rows that share ``like``, from 0 without gaps.
+
+    Equal rows may take each other's numbers, so it doesn't matter which row has
+    which. They are counted in parts by their key, so that no task sorts all.
+    """
+    parted = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    sizes = parted.groupBy("like", "part").agg(F.count("*").alias("size_"))
+    before = Window.partitionBy("like").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(sizes.select("like", "part", F.coalesce(F.sum("size_").over(before), F.lit(0)).alias("base")), "mix-offsets")
+    place = F.row_number().over(Window.partitionBy("like", "part").orderBy("key")) - 1
+    return parted.withColumn("place", place).join(offsets.hint("merge"), ["like", "part"]).withColumn("n", F.col("base") + F.col("place"))
+
+
 def mix_sources(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -152,9 +166,10 @@ def mix_sources(
     back; without one, rows are numbered once, here. ``copies`` is
     what the mix takes of the document, 0 up to ``most`` rounded up. Null text
     has size 0 and gets the whole part of its source's copies; a null source is
-    a source, last in order; null ids get chance from their row key, so they
-    are told apart; rows that repeat an id are rounded one by one; an empty
-    table gives an empty result.
+    a source, last in order; an empty table gives an empty result. Chance comes
+    from the id (null too), the source, the text and the number among rows equal
+    in these, so rows that repeat an id are rounded one by one, and reruns agree
+    however the table is split.
     """
     wanted = {"id": id_col, "source": source_col, "text": text_col}
     rows = pick(df, key=key_col, **wanted) if key_col else with_key(pick(df, **wanted), "key")
@@ -162,6 +177,7 @@ def mix_sources(
         rows.select(
             "key", "id", "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+            F.xxhash64("id", F.col("id").isNull(), "source", F.col("source").isNull(), "text").alias("like"),
         ),
         "mix-sizes",
     )
@@ -176,9 +192,9 @@ def mix_sources(
         .withColumn("whole", F.floor(exact).cast("int"))
         .withColumn("p", exact - F.floor(exact))
     )
-    open_rows = planned.filter((F.col("p") > EPS) & (F.col("size") > 0)).select(
+    open_rows = _numbered(planned.filter((F.col("p") > EPS) & (F.col("size") > 0))).select(
         F.col("source").alias("grp"),
-        F.when(F.col("id").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("id")).alias("chance"),
+        F.xxhash64("like", "n").alias("chance"),
         F.col("key").alias("row"),
         "p",
         F.col("size").cast("double").alias("a"),
