@@ -147,7 +147,9 @@ def learn(
         return Lexicon(exceptions=exceptions)
     rate = F.when(F.col("toxic") == 1, per_class / sizes[1]).otherwise(per_class / sizes[0])
     drawn = fit.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < rate * 1_000_000)
-    texts = pick(df, doc_id=id_col, text=text_col).join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    rows = pick(df, doc_id=id_col, text=text_col).join(F.broadcast(drawn), "doc_id")
+    # One row a drawn id, however many share it: the bound holds for rows.
+    texts = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     texts = materialize(texts, "labelled")
     counted = texts.mapInArrow(_count, "f string, pos bigint, neg bigint").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
