@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_scale import brute_duplicates, hot_rows
+from tests.test_scale import brute_duplicates, chord, hot_rows
 from trailframe.operators import blocks
+from trailframe.operators import filters as N
 from trailframe.operators import sequences as S
 from trailframe.operators import tracks as K
 
@@ -77,6 +78,43 @@ def test_blocks_that_never_agree(spark, monkeypatch):
     assert report["rounds"] >= 2
 
 
+def greedy_merge(runs, speed):
+    """Every run in turn takes the first later free run that it reaches."""
+    cluster = [None] * len(runs)
+    for i, (_, (t1, x1, y1)) in enumerate(runs):
+        cluster[i] = i if cluster[i] is None else cluster[i]
+        for j in range(i + 1, len(runs)):
+            (t0, x0, y0), _ = runs[j]
+            if cluster[j] is None and abs(t0 - t1) > 0 and chord((x0, y0), (x1, y1)) / abs(t0 - t1) <= speed:
+                cluster[j] = cluster[i]
+                break
+    return cluster
+
+
+def test_runs_merge_in_blocks(spark, monkeypatch):
+    """One track's runs over many blocks: the greedy merge, whatever lies in the blocks before."""
+    monkeypatch.setattr(N, "MAX_RUNS", 30)
+    monkeypatch.setattr(blocks, "BLOCK", 20)
+    rng = random.Random(13)
+    rows, want = [], {}
+    for track, n in (("hot", 240), ("mid", 45), ("cold", 20)):
+        runs, t = [], 0.0
+        for _ in range(n):
+            # Places in two towns and on the way, some at one instant.
+            t += rng.choice([0, 1, 5, 30, 400])
+            lat = rng.choice([50.0, 50.0, 50.001, 50.4, 51.0])
+            runs.append(((t, lat, 8.0), (t + 0.5, lat + 1e-4, 8.0)))
+            t += 0.5
+        want |= {(track, i): c for i, c in enumerate(greedy_merge(runs, 30.0))}
+        rows += [(track, i, 1, 30.0, (a, b, c), (d, e, f)) for i, ((a, b, c), (d, e, f)) in enumerate(runs)]
+    place = "struct<time:double,lat:double,lon:double>"
+    df = spark.createDataFrame(rows, f"track string, run long, n long, max_speed double, head {place}, tail {place}")
+    report = {}
+    got = N.merge_runs(df, "track", report=report).collect()
+    assert {(r.track, r.run): r.cluster for r in got} == want
+    assert len({c for (t, _), c in want.items() if t == "hot"}) > 3 and report["rounds"] < 12
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, ord long, v long")
     assert S.split_by_total(df, ["k"], ["ord"], F.col("v"), 5).count() == 0

@@ -8,6 +8,8 @@ places, so that no task holds or walks a group:
   any row, is a search in the group's prefix sums. These pointers are followed
   to each block's end inside the block; from there on a few nodes are left, and
   doubling their pointers tells in log(blocks) rounds which rows are reached.
+* ``carried_states``: every block is first folded as if it began a group, and
+  again, side by side, while the state carried into it changes.
 * ``last_kept``: every block is first folded as if it began a group. With the
   true row carried in, it is folded again only up to the first row that both
   ways keep, for from there on they agree.
@@ -207,3 +209,51 @@ def last_kept(rows: DataFrame, inputs: dict[str, Column], known: str, judge: Jud
     schema = T.StructType([T.StructField("_g", T.LongType()), T.StructField("_i", T.LongType()), *outs.fields])
     found = slim.groupBy("_g", "_block").cogroup(entries.groupBy("_g", "_block")).applyInPandas(finish, schema)
     return rows.join(found, ["_g", "_i"]).drop("_g", "_i", "_block")
+
+
+Fold = Callable[[pd.DataFrame, list[float]], tuple[pd.DataFrame, list[float]]]
+
+
+def carried_states(slim: DataFrame, fold: Fold, report: dict | None = None) -> DataFrame:
+    """``_g, _block, entry``: the state that each block's fold begins with.
+
+    ``fold(rows, state)`` gets a block's rows in order and returns its outputs
+    and the state after it; a group begins with the empty state. After round r
+    the first r blocks of every group are final; where states forget what lies
+    far back, two or three rounds do.
+    """
+    ends = "_g bigint, _block bigint, entry array<double>, exit array<double>"
+
+    def row(pdf: pd.DataFrame, entry: list[float]) -> pd.DataFrame:
+        state = fold(pdf.sort_values("_i"), entry)[1]
+        return pd.DataFrame([(int(pdf["_g"].iloc[0]), int(pdf["_block"].iloc[0]), entry, state)], columns=["_g", "_block", "entry", "exit"])
+
+    def again(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(entry):
+            return pd.DataFrame(columns=["_g", "_block", "entry", "exit"])
+        return row(pdf, [float(x) for x in entry["carried"].iloc[0]])
+
+    folded = materialize(slim.groupBy("_g", "_block").applyInPandas(lambda pdf: row(pdf, []), ends), "speculated")
+    before = Window.partitionBy("_g").orderBy("_block")
+    rounds = 0
+    while True:
+        carried = folded.select("_g", "_block", "entry", F.coalesce(F.lag("exit").over(before), F.array().cast("array<double>")).alias("carried"))
+        changed = materialize(carried.filter(~F.col("entry").eqNullSafe(F.col("carried"))).select("_g", "_block", "carried"), "changed")
+        if changed.isEmpty():
+            break
+        rounds += 1
+        part = slim.join(changed.select("_g", "_block"), ["_g", "_block"], "left_semi")
+        redone = part.groupBy("_g", "_block").cogroup(changed.groupBy("_g", "_block")).applyInPandas(again, ends)
+        folded = materialize(folded.join(changed.select("_g", "_block"), ["_g", "_block"], "left_anti").unionByName(redone), f"folded-{rounds}")
+    if report is not None:
+        report["rounds"] = rounds
+    return folded.select("_g", "_block", "entry")
+
+
+def with_states(slim: DataFrame, states: DataFrame, fold: Fold, schema: str) -> DataFrame:
+    """The outputs of every block's fold from its own state."""
+
+    def run(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        return fold(pdf.sort_values("_i"), [float(x) for x in entry["entry"].iloc[0]])[0]
+
+    return slim.groupBy("_g", "_block").cogroup(states.groupBy("_g", "_block")).applyInPandas(run, schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,10 +12,11 @@ from pyspark.sql import types as T
 from trailframe.functions import geo
 from trailframe.functions import records as R
 from trailframe.operators import ordered as O
+from trailframe.operators.blocks import by_size, carried_states, placed, with_states
 from trailframe.operators.fold import stream_sorted
 from trailframe.operators.ordered import Ordered, join_keys
 from trailframe.operators.sequences import number_runs, with_step_distance
-from trailframe.runtime import freeze
+from trailframe.runtime import freeze, materialize
 
 # Fixes to trust, highest dilution of precision (x100), GPS precision in metres.
 GOOD_FIXES = (2, 3)
@@ -79,73 +79,82 @@ def run_table(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 _MERGED = ["track", "run", "n", "cluster"]
+_PLACE = ["t0", "x0", "y0", "z0", "t1", "x1", "y1", "z1"]
+# Tracks of up to so many runs are merged by one task.
+MAX_RUNS = 50_000
 
 
-class _Reader:
-    """Rows of a sorted partition, one group at a time, with look-ahead."""
-
-    def __init__(self, batches: Iterator[pd.DataFrame]):
-        self._rows = (row for batch in batches for row in batch.itertuples(index=False))
-        self._peeked = next(self._rows, None)
-
-    @property
-    def group(self):
-        return None if self._peeked is None else self._peeked.track
-
-    def take(self, group):
-        """Next row of ``group``, or None when the group is over."""
-        if self._peeked is None or self._peeked.track != group:
-            return None
-        row, self._peeked = self._peeked, next(self._rows, None)
-        return row
-
-
-def _reachable(a, b, max_speed: float) -> bool:
-    elapsed = abs(b.t0 - a.t1)
-    gap = ((b.x0 - a.x1) ** 2 + (b.y0 - a.y1) ** 2 + (b.z0 - a.z1) ** 2) ** 0.5
-    return elapsed > 0 and gap / elapsed <= max_speed
+def _take(tails: list[tuple], head: tuple, max_speed: float) -> tuple | None:
+    """Remove and return the earliest chain's tail from which a run's head can be reached."""
+    t0, x0, y0, z0 = head
+    for at, (_, t1, x1, y1, z1) in enumerate(tails):
+        elapsed = abs(t0 - t1)
+        if elapsed > 0 and ((x0 - x1) ** 2 + (y0 - y1) ** 2 + (z0 - z1) ** 2) ** 0.5 / elapsed <= max_speed:
+            return tails.pop(at)
+    return None
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each run takes the first later free run it can reach; chains share a cluster.
+    """Whole tracks in order: each run goes on the earliest chain that reaches it, or begins one.
 
-    Only the runs between the current one and the one it reaches are held. No
-    two places are farther apart than the Earth is wide, so with any positive
-    speed limit that stretch of time, and the memory, is bounded.
+    That is what comes out when each run in turn takes the first later free run
+    in its reach: either way a pair is joined unless one of both has an earlier
+    partner. Only the chains' tails are held. No two places are farther apart
+    than the Earth is wide, so a tail that old is reached by any run, and no
+    chain begins while there is one: tails are no more than the runs of that time.
     """
-    reader, out = _Reader(batches), []
-    while reader.group is not None:
-        group = reader.group
-        ahead: deque = deque()  # [run, cluster or None] still to be processed
-        while True:
-            if ahead:
-                run, cluster = ahead.popleft()
-            else:
-                run, cluster = reader.take(group), None
-            if run is None:
-                break
-            cluster = run.run if cluster is None else cluster
-            out.append((group, run.run, run.n, cluster))
-            i = 0
-            while True:
-                if i == len(ahead):
-                    later = reader.take(group)
-                    if later is None:
-                        break
-                    ahead.append([later, None])
-                if ahead[i][1] is None and _reachable(run, ahead[i][0], run.max_speed):
-                    ahead[i][1] = cluster
-                    break
-                i += 1
-            if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=_MERGED)
-                out = []
-    if out:
-        yield pd.DataFrame(out, columns=_MERGED)
-
-
-def merge_runs(runs: DataFrame, key: str, max_speed: str = "max_speed") -> DataFrame:
-    """One-dimensional density merge of a track's runs into clusters."""
+    track, tails, label = None, [], {}
+    for batch in batches:
+        clusters = []
+        columns = [batch[c].tolist() for c in ("track", "run", "max_speed", *_PLACE)]
+        for own, run, speed, *place in zip(*columns):
+            if own != track:
+                track, tails, label = own, [], {}
+            found = _take(tails, place[:4], speed)
+            cluster = run if found is None else label.pop(found[0])
+            label[run] = cluster
+            tails.append((run, *place[4:]))
+            clusters.append(cluster)
+        yield batch[["track", "run", "n"]].assign(cluster=clusters)
+
+
+def _chain(rows: pd.DataFrame, state: list[float]) -> tuple[pd.DataFrame, list[float]]:
+    """A block of a track: which chain each run is on, by its first run here or the tail it came in on (``via``)."""
+    tails = [tuple(state[i : i + 5]) for i in range(0, len(state), 5)]
+    label = {t[0]: (-1, int(t[0])) for t in tails}
+    out = []
+    for run, speed, *place in zip(*[rows[c].tolist() for c in ("run", "max_speed", *_PLACE)]):
+        found = _take(tails, place[:4], speed)
+        on = (run, -1) if found is None else label.pop(found[0])
+        label[run] = on
+        tails.append((float(run), *place[4:]))
+        out.append(on)
+    found = pd.DataFrame({"_g": rows["_g"], "run": rows["run"], "head": [h for h, _ in out], "via": [v for _, v in out]})
+    return found, [float(x) for t in tails for x in t]
+
+
+def _merge_large(flat: DataFrame, report: dict | None) -> DataFrame:
+    """``_g, run, cluster`` of tracks whose runs are dealt into blocks."""
+    slim = freeze(placed(flat, ["run"]).select("_g", "_i", "_block", "run", "max_speed", *_PLACE))
+    states = carried_states(slim, _chain, report)
+    on = materialize(with_states(slim, states, _chain, "_g bigint, run bigint, head bigint, via bigint"), "chains")
+    # Follow the tails that blocks hand on to the runs that began their chains, doubling the way in each round.
+    handed = states.select("_g", F.explode(F.filter("entry", lambda x, i: i % 5 == 0).cast("array<bigint>")).alias("run")).distinct()
+    ways = materialize(on.join(handed, ["_g", "run"]), "handed")
+    while not ways.filter("head < 0").isEmpty():
+        beyond = ways.select("_g", F.col("run").alias("via"), F.col("head").alias("_head"), F.col("via").alias("_via"))
+        joined = ways.join(beyond, ["_g", "via"], "left")
+        known = F.col("head") >= 0
+        ways = materialize(
+            joined.select("_g", "run", F.when(known, F.col("head")).otherwise(F.col("_head")).alias("head"), F.when(known, F.col("via")).otherwise(F.col("_via")).alias("via")),
+            "handed",
+        )
+    ends = ways.select("_g", F.col("run").alias("via"), F.col("head").alias("begun"))
+    return on.join(ends, ["_g", "via"], "left").select("_g", "run", F.when(F.col("head") >= 0, F.col("head")).otherwise(F.col("begun")).alias("cluster"))
+
+
+def merge_runs(runs: DataFrame, key: str, max_speed: str = "max_speed", report: dict | None = None) -> DataFrame:
+    """One-dimensional density merge of a track's runs into clusters; run numbers are not negative."""
     start = geo.ecef(F.col("head.lat"), F.col("head.lon"))
     end = geo.ecef(F.col("tail.lat"), F.col("tail.lon"))
     flat = runs.select(
@@ -153,13 +162,19 @@ def merge_runs(runs: DataFrame, key: str, max_speed: str = "max_speed") -> DataF
         F.col("head.time").alias("t0"), F.col("tail.time").alias("t1"), start.alias("a"), end.alias("b"),
     )
     flat = flat.select(
-        "track", "run", "n", "max_speed", "t0", "t1",
+        "track", F.col("run").cast("bigint").alias("run"), "n", "max_speed", "t0", "t1",
         *[F.col(f"a.{c}").alias(f"{c}0") for c in "xyz"],
         *[F.col(f"b.{c}").alias(f"{c}1") for c in "xyz"],
     )
+    small, large = by_size(flat, ["track"], MAX_RUNS)
     track = T.StructField("track", runs.schema[key].dataType)
     schema = T.StructType([track, *[T.StructField(c, T.LongType()) for c in _MERGED[1:]]])
-    return stream_sorted(flat, ["track"], ["run"], _merge, schema).withColumnRenamed("track", key)
+    out = stream_sorted(small, ["track"], ["run"], _merge, schema)
+    if large is not None:
+        large = materialize(large, "large-tracks")
+        merged = large.select("_g", "track", "run", "n").join(_merge_large(large, report), ["_g", "run"])
+        out = out.unionByName(merged.select(*_MERGED))
+    return out.withColumnRenamed("track", key)
 
 
 def mark_outliers(
