@@ -25,6 +25,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailframe.llm.alignment import planes, unplane
 from trailframe.llm.base import query, table
 from trailframe.llm.rows import UPPER, pick
 from trailframe.llm.shingles import mix, powers
@@ -35,12 +36,19 @@ from trailframe.runtime import materialize, scratch_path
 U = np.uint64
 BLANKS, CUTS = b" \t", b".,;:!?\n\v\f\r"
 # Bytes of text to a shard, to a step inside it, and to a slot of the union.
-SHARD, STEP, SLOT = 16 << 20, 4 << 20, 16 << 20
+SHARD, STEP, SLOT = 8 << 20, 4 << 20, 16 << 20
+# Rows of counted phrases that a task adds up before it hands them on.
+HELD = 1_500_000
 FILTER_BITS = 1 << 30
 # Parts that a language's candidates are ranked in before the parts' best are.
 PARTS = 64
 
-FOUND = "slot int, slack int, hashes binary, counts binary"
+FOUND = "slot int, slack int, hashes binary, several binary, counts binary"
+
+
+def slotted(hashes: np.ndarray, slots: int) -> np.ndarray:
+    """Slot (upper half) and 32 bits of the hash within it: rises with the hash."""
+    return ((hashes >> U(20)) * U(slots)) >> U(12)
 
 
 def steps(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -135,22 +143,25 @@ def _mine(support: int, longest: int, total: int, slots: int, shard: int):
         words, held, size = Words(), [], 0
 
         def flush() -> pa.RecordBatch:
-            found, counts = np.unique(np.concatenate([np.zeros(0, U), *held]), return_counts=True)
+            found, counts = np.unique(slotted(np.concatenate([np.zeros(0, U), *held]), slots), return_counts=True)
             # The shard's share of the support: shares add up to the support, so no frequent phrase is below it everywhere.
             least = max(1, -(-support * size // total))
             frequent = counts >= least
             found, counts = found[frequent], np.minimum(counts[frequent], support).astype(kind)
-            # Slots are ranges of hashes, so what is sorted by hash is sorted by slot.
-            cuts = np.searchsorted((found >> U(32)) * U(slots) >> U(32), np.arange(slots + 1).astype(U))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(slots), pa.int32()),
-                    pa.array(np.full(slots, least - 1), pa.int32()),
-                    pa.array([found[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                    pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                ],
-                ["slot", "slack", "hashes", "counts"],
-            )
+            cuts = np.searchsorted(found, np.arange(slots + 1).astype(U) << U(32)).tolist()
+            within, several = found.astype("<u4"), counts > 1
+            rows = [
+                (
+                    slot,
+                    least - 1,
+                    planes(np.diff(within[a:b], prepend=within.dtype.type(0))),
+                    np.packbits(several[a:b]).tobytes(),
+                    counts[a:b][several[a:b]].tobytes(),
+                )
+                for slot, (a, b) in enumerate(zip(cuts, cuts[1:]))
+            ]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["slot", "slack", "hashes", "several", "counts"])
 
         for langs, data, ends in steps(batches, min(STEP, shard)):
             held += [h for _, _, h in words.read(langs, data, ends).phrases(longest)]
@@ -172,22 +183,25 @@ def _unite(support: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judge(slot: int, parts: list) -> pa.RecordBatch:
-            slack = sum(s for s, _, _ in parts)
-            hashes = np.concatenate([np.frombuffer(h, U) for _, h, _ in parts])
-            # A shard that names a phrase adds its count; each other one may hold up to its slack of it.
-            counts = np.concatenate([np.frombuffer(c, kind).astype(np.int32) - s for s, _, c in parts])
-            found, known = _totals(hashes, counts)
+            slack, hashes, counts = sum(p[0] for p in parts), [], []
+            for own, h, several, c in parts:
+                hashes.append(np.cumsum(unplane(h, "<u4"), dtype=np.uint32))
+                n = np.ones(len(hashes[-1]), np.int32)
+                n[np.unpackbits(np.frombuffer(several, np.uint8), count=len(n)).astype(bool)] = np.frombuffer(c, kind)
+                # A shard that names a phrase adds its count; each other one may hold up to its slack of it.
+                counts.append(n - own)
+            found, known = _totals(np.concatenate(hashes), np.concatenate(counts))
             kept = found[known + slack >= support]
             return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([kept.tobytes()], pa.binary())], ["slot", "hashes"])
 
         last, parts = None, []
         for batch in batches:
-            for slot, slack, h, c in zip(*(batch.column(n) for n in ("slot", "slack", "hashes", "counts"))):
+            for slot, slack, *own in zip(*(batch.column(n) for n in ("slot", "slack", "hashes", "several", "counts"))):
                 if parts and slot.as_py() != last:
                     yield judge(last, parts)
                     parts = []
                 last = slot.as_py()
-                parts.append((slack.as_py(), h.as_py(), c.as_py()))
+                parts.append((slack.as_py(), *[x.as_py() for x in own]))
         if parts:
             yield judge(last, parts)
         parts.clear()
@@ -204,7 +218,7 @@ def _segments(bits: int):
             out = []
             for h in batch.column("hashes"):
                 marks = np.zeros(bits, np.uint8)
-                marks[np.frombuffer(h.as_py(), U) & U(bits - 1)] = 1
+                marks[np.frombuffer(h.as_py(), "<u4") & np.uint32(bits - 1)] = 1
                 out.append(np.packbits(marks, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array(out, pa.binary())], ["slot", "bits"])
 
@@ -230,7 +244,8 @@ class Filter:
         return kept["phrase filter"][1]
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = ((hashes >> U(32)) * U(self.slots) >> U(32)) * U(self.bits) + (hashes & U(self.bits - 1))
+        key = slotted(hashes, self.slots)
+        at = (key >> U(32)) * U(self.bits) + (key & U(self.bits - 1))
         return (self.marks[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -239,6 +254,14 @@ def _count(longest: int, path: str, slots: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, words = Filter.of(path, slots, bits), Words()
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> list[pa.RecordBatch]:
+            summed = pa.Table.from_batches(held).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("f", "sum")])
+            held.clear()
+            summed = summed.rename_columns(["lang", "size", "phrase", "f"]).combine_chunks()
+            return summed.to_batches()
+
         for langs, data, ends in steps(batches, STEP):
             words.read(langs, data, ends)
             if not len(words.word):
@@ -259,7 +282,7 @@ def _count(longest: int, path: str, slots: int, bits: int):
                 )
 
             everything = np.bincount(words.lang, minlength=len(words.langs))
-            yield rows(0, np.arange(len(everything)), pa.array([""] * len(everything), pa.string()), everything)
+            held.append(rows(0, np.arange(len(everything)), pa.array([""] * len(everything), pa.string()), everything))
             for k, at, hashes in words.phrases(longest):
                 at = at[wanted.has(hashes)]
                 # Number each phrase by number of its head and last word; numbers stay below the square of the words.
@@ -270,7 +293,11 @@ def _count(longest: int, path: str, slots: int, bits: int):
                 first = at[first]
                 parts = [coded.dictionary.take(pa.array(ids[first + i])) for i in range(k)]
                 phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
-                yield rows(k, words.lang[first], phrase.cast(pa.binary()).cast(pa.string()), n)
+                held.append(rows(k, words.lang[first], phrase.cast(pa.binary()).cast(pa.string()), n))
+            if sum(b.num_rows for b in held) >= HELD:
+                yield from flush()
+        if held:
+            yield from flush()
         give_back()
 
     return run
@@ -285,12 +312,12 @@ def frequent_phrases(docs: DataFrame, support: int, longest: int, shard: int = S
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SLOT))
     mined = docs.mapInArrow(_mine(support, longest, total, slots, shard), FOUND)
-    arranged = mined.repartition(slots, "slot").sortWithinPartitions("slot")
+    arranged = mined.repartitionById(slots, F.col("slot")).sortWithinPartitions("slot")
     candidates = materialize(arranged.mapInArrow(_unite(support), "slot int, hashes binary"), "phrase-hashes")
     n = candidates.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
     # Bits of a slot: a power of two, at least 16 a candidate while the filter is below its bound.
     bits = 64
-    while bits * slots < 2 * n and 2 * bits * slots <= FILTER_BITS:
+    while bits * slots < 4 * n and 2 * bits * slots <= FILTER_BITS:
         bits *= 2
     path = scratch_path(spark, "phrase-filter")
     candidates.mapInArrow(_segments(bits), "slot int, bits binary").write.parquet(path)
