@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trailframe.catalog.base import CAP, captures, query, sql_dist, sql_x, sql_y, sql_z, table
 from trailframe.operators import filters as N
 from trailframe.operators import sequences as S
+from trailframe.operators.native import native_tracks
 from trailframe.operators.ordered import Ordered
 
 W = "(PARTITION BY track_id ORDER BY time, ord)"
@@ -155,3 +156,56 @@ def c39(spark, sf_dir):
     )
     out = N.classify_videos(videos, points, "track_id", ["time", "ord"])
     return out.select("track_id", F.col("error.type").alias("error_type"), "filetype")
+
+
+# Videos whose formats err, lack a track or aren't asked for, in all combinations.
+NATIVE = f"""{GPS}, v AS (SELECT c_custkey AS track_id, [NULL, ['video'], ['camm'], ['blackvue', 'gopro'], ['image']][1 + c_custkey % 5] AS ft FROM customer),
+      box AS (SELECT track_id, ft, unnest([0, 1, 2]) AS r FROM v),
+      met AS (SELECT track_id, r, ft, CASE WHEN r = 0 AND track_id % 13 = 0 THEN 'moov' END AS broken FROM box
+        WHERE CASE r WHEN 0 THEN track_id % 2 = 0 OR track_id % 13 = 0 WHEN 1 THEN track_id % 3 <> 0 ELSE track_id % 7 < 4 END),
+      first AS (SELECT track_id, arg_min(r, r) AS r, arg_min(coalesce(broken, ''), r) AS broken FROM met
+        WHERE ft IS NULL OR list_contains(ft, 'video') OR list_contains(ft, ['gopro', 'camm', 'blackvue'][r + 1]) GROUP BY track_id),
+      own AS (SELECT gps.* EXCLUDE (fix), CASE WHEN track_id % 4 = 0 AND track_id % 3 = 0 THEN 0 ELSE fix END AS fix, r, ord % 2 = 0 AND r = 1 AS mini
+        FROM gps JOIN first USING (track_id) WHERE broken = '' AND ord % 3 <> r AND NOT (r = 2 AND track_id % 8 = 1)),
+      full_ AS (SELECT * FROM (SELECT *, bool_and(mini) OVER (PARTITION BY track_id) AS none FROM own) WHERE none OR NOT mini),
+      good AS (SELECT * FROM full_ WHERE r = 0 AND (fix IS NULL OR fix IN (2, 3)) AND (precision IS NULL OR precision <= 1000)),
+      {_outlier_sql('good')},
+      kept AS (SELECT ord, track_id, r FROM full_ WHERE r <> 0 UNION ALL SELECT good.ord, good.track_id, 0 FROM good LEFT JOIN fl USING (ord) WHERE NOT coalesce(outlier, false))"""
+
+
+def native(spark, sf_dir):
+    key, o = F.col("c_custkey"), F.col("ord")
+    kinds = ["gopro", "camm", "blackvue"]
+    asked = F.array(F.lit(None), F.array(F.lit("video")), F.array(F.lit("camm")), F.array(F.lit("blackvue"), F.lit("gopro")), F.array(F.lit("image")))
+    videos = table(spark, sf_dir, "customer").select(key.alias("track_id"), F.get(asked, (key % 5).cast("int")).alias("filetypes"))
+    t = F.col("track_id")
+    rows = videos.select("track_id", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("format"))
+    f = F.col("format")
+    met = rows.filter(F.when(f == "gopro", (t % 2 == 0) | (t % 13 == 0)).when(f == "camm", t % 3 != 0).otherwise(t % 7 < 4))
+    containers = met.withColumn("broken", F.when((f == "gopro") & (t % 13 == 0), "moov"))
+    points = gps_points(spark, sf_dir).select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("r"), F.lit(k).alias("format")) for i, k in enumerate(kinds)])).alias("x"))
+    points = points.select("*", "x.*").drop("x").filter((o % 3 != F.col("r")) & ~((F.col("r") == 2) & (t % 8 == 1)))
+    points = points.withColumn("fix", F.when((t % 4 == 0) & (t % 3 == 0), 0).otherwise(F.col("fix")))
+    points = points.withColumn("minimal", (o % 2 == 0) & (F.col("r") == 1)).drop("r")
+    return native_tracks(videos, containers, points, "track_id", ["time", "ord"])
+
+
+@query(
+    "a23_native_order",
+    f"WITH RECURSIVE {NATIVE} SELECT track_id, ord, ['gopro', 'camm', 'blackvue'][r + 1] AS filetype FROM kept",
+)
+def a23_native(spark, sf_dir):
+    """Points of the first format that has a track, where the file types admit it."""
+    return native(spark, sf_dir)[1].select("track_id", "ord", "filetype")
+
+
+@query(
+    "c39_native_types",
+    f"""WITH RECURSIVE {NATIVE}, raw AS (SELECT track_id, count(*) AS n FROM own GROUP BY track_id), ok AS (SELECT track_id, count(*) AS n FROM kept GROUP BY track_id)
+      SELECT v.track_id, CASE WHEN ok.n > 0 THEN ['gopro', 'camm', 'blackvue'][r + 1] END AS filetype,
+        CASE WHEN r IS NULL THEN 'VideoGPSNotFoundError' WHEN broken <> '' THEN 'InvalidVideoError' WHEN raw.n IS NULL THEN 'GPXEmptyError' WHEN ok.n IS NULL THEN 'GPSNoiseError' END AS error_type
+      FROM v LEFT JOIN first USING (track_id) LEFT JOIN raw USING (track_id) LEFT JOIN ok USING (track_id)""",
+)
+def c39_native(spark, sf_dir):
+    """File type or error of every video."""
+    return native(spark, sf_dir)[0].select("track_id", "filetype", F.col("error.type").alias("error_type"))

@@ -233,11 +233,11 @@ def classify_videos(
     raw_n = points.groupBy(key).agg(F.count(F.lit(1)).alias("_raw"))
     clean_n = clean.groupBy(key).agg(F.count(F.lit(1)).alias("_clean"))
     joined = videos.join(raw_n, key, "left").join(clean_n, key, "left")
-    not_found = R.error(R.VIDEO_GPS_NOT_FOUND, "No GPS data found from the video")
+    not_found = R.error(R.VIDEO_GPS_NOT_FOUND, "The video has no telemetry track")
     verdict = (
         F.when(~F.col("has_track"), not_found)
-        .when(F.col("_raw").isNull(), R.error(R.GPX_EMPTY, "Empty GPS data found"))
-        .when(F.col("is_gopro") & F.col("_clean").isNull(), R.error(R.GPS_NOISE, "GPS is too noisy"))
+        .when(F.col("_raw").isNull(), R.error(R.GPX_EMPTY, "The telemetry track has no points"))
+        .when(F.col("is_gopro") & F.col("_clean").isNull(), R.error(R.GPS_NOISE, "No point of the track is trusted"))
     )
     filetype = F.when(F.col("is_gopro"), "gopro").otherwise("video")
     return joined.withColumns({"error": verdict, "filetype": filetype}).drop("_raw", "_clean")

@@ -75,7 +75,7 @@ def attach_sidecars(
     wanted = files.withColumn("sidecar", paths.sidecar(F.col("path"), pattern, fixed))
     existing = listing.select(F.col("path").alias("sidecar"), F.lit(True).alias("_found")).distinct()
     joined = wanted.join(existing, "sidecar", "left")
-    missing = R.error(R.VIDEO_GPS_NOT_FOUND, "GPX file not found for video")
+    missing = R.error(R.VIDEO_GPS_NOT_FOUND, "No track file goes with the video")
     return joined.withColumn("error", F.when(F.col("_found").isNull(), missing)).drop("_found")
 
 

@@ -150,7 +150,7 @@ def geotag(captures: DataFrame, points: DataFrame, keys: list[str], capture_id:
     """Interpolate and turn captures off the track into error rows."""
     placed = interpolate(captures, points, keys, capture_id)
     off = outside_track_error(F.col("time"), F.col("track_start"), F.col("track_end"))
-    empty = R.error(R.GPX_EMPTY, "Empty GPS data found")
+    empty = R.error(R.GPX_EMPTY, "The track has no points")
     judged = placed.withColumn("error", F.when(F.col("at").isNull(), empty).otherwise(off))
     ok = F.col("error").isNull()
     updates = {c: F.when(ok, F.col(f"at.{c}")) for c in ("lat", "lon", "alt", "angle")}
@@ -255,7 +255,7 @@ def sync_to_video(
     )
     joined = gpx.join(first_gpx, key).join(first_native, key, "left")
     offset = F.coalesce(F.col("_g0") - F.col("_epoch"), F.lit(0.0)) if mode != "rebase" else F.lit(0.0)
-    missing = R.error(R.VIDEO_GPS_NOT_FOUND, "No GPS data found from the video")
+    missing = R.error(R.VIDEO_GPS_NOT_FOUND, "The video has no telemetry track")
     strict = F.lit(mode == "strict_sync") & F.col("_found").isNull()
     out = joined.withColumns(
         {"time": F.col("time") - F.col("_g0") + offset, "error": F.when(strict, missing)}
@@ -537,7 +537,7 @@ def unsorted_groups(
     """Groups whose times decrease in arrival order, as error rows."""
     looked = Ordered.of(points, keys, [arrival], max_rows).scan(_before=O.prev(F.col("time")))
     bad = looked.rows().filter("_before > time").select(*keys).distinct()
-    return bad.withColumn("error", R.error(R.VALIDATION, "Expect points to be sorted by time"))
+    return bad.withColumn("error", R.error(R.VALIDATION, "The track goes back in time"))
 
 
 def merge_segments(points: DataFrame, segment: str = "segment_id") -> DataFrame:
