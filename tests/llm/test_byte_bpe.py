@@ -58,16 +58,25 @@ def test_long_pieces(pair):
     assert "".join(coder.decode(ids_of(coder, "ab" * 200_000))) == "ab" * 200_000
 
 
+def test_words_beyond_the_bound_of_states(pair):
+    coder, lib = byte_bpe.ByteBpe(vocabulary(NAMES[0]), PATTERN, most_states=50), plain(NAMES[0])
+    rnd = random.Random(10)
+    for _ in range(3000):
+        text = "x " + "".join(rnd.choice(["ing", "tion", "é", "a", "sh", "qu", "Z", "9", "--", "the", "'s"]) for _ in range(rnd.randrange(1, 7)))
+        assert ids_of(coder, text) == lib.encode_ordinary(text)
+
+
 def test_small_ranks_follow_merging():
     """Ranks where order matters, states dropped all the time."""
     ranks = {bytes([b]): i for i, b in enumerate(b"abc")}
     for data in (b"bc", b"ab", b"aa", b"abc", b"cb", b"aab", b"bca", b"cbc", b"aaaa"):
         ranks[data] = len(ranks)
-    machine = byte_bpe.Transducer(ranks, most=3)
-    rnd = random.Random(7)
-    for _ in range(5000):
-        data = bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(0, 14)))
-        assert machine.ids(data) == byte_bpe.merge(ranks, data)
+    for most in (1, 3, 1000):
+        machine = byte_bpe.Transducer(ranks, most)
+        rnd = random.Random(7)
+        for _ in range(3000):
+            data = bytes(rnd.choice(b"abc") for _ in range(rnd.choice([2, 5, 13, 60])))
+            assert machine.ids(data) == machine.walk(data) == byte_bpe.merge(ranks, data)
 
 
 def test_neighbours_fit_as_merging_says():

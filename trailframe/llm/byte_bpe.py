@@ -9,7 +9,8 @@ have behind them in common is certain, and is put out; the rest waits, at most
 for as long as the longest token has bytes ahead.
 
 States with equal open places are one state. States and edges are made when a
-text first needs them and are dropped all together when there are too many.
+text first needs them, up to a bound. Beyond it a short piece that needs a new
+edge is walked without states, place by place; a long one begins them anew.
 
 Decoding streams: ids give bytes, and a state machine for UTF-8 holds back the
 bytes of a character that is not complete yet.
@@ -33,10 +34,10 @@ from trailframe.llm.rows import pick
 from trailframe.llm.store import give_back
 from trailframe.llm.tokens import vocabulary, worker_cache
 
-# States a worker keeps; beyond that it begins anew.
-MOST_STATES = 100_000
-# Words a worker keeps (common ones turn up early), and characters of the longest one that it keeps.
-MOST_WORDS, LONG_WORD = 700_000, 40
+# States and neighbours that a worker keeps, and bytes of a piece that is walked without states beyond that.
+MOST_STATES, MOST_PAIRS, SHORT = 60_000, 400_000, 48
+# Words and matches that a worker keeps (common ones turn up early), and characters of the longest one.
+MOST_WORDS, MOST_PIECES, LONG_WORD = 600_000, 250_000, 40
 # Texts to a batch that a task hands on.
 ROWS = 256
 # Ids that are decoded at a time.
@@ -126,9 +127,8 @@ class Transducer:
                 known = merge(self.ranks, self.bytes[right]) == [right]
             else:
                 known = self._apart(left, right)
-            if len(self.pairs) >= 10 * self.most:
-                self.pairs.clear()
-            self.pairs[left, right] = known
+            if len(self.pairs) < MOST_PAIRS:
+                self.pairs[left, right] = known
         return known
 
     def _apart(self, left: int, right: int) -> bool:
@@ -185,13 +185,39 @@ class Transducer:
         """The ids that still wait when the text ends in this state."""
         return self.states[state][1][-1][1]
 
+    def walk(self, data: bytes) -> list[int]:
+        """The ids of a short piece without states: at every place the one token that fits there, the shortest tried first."""
+        ranks, pairs, last = self.ranks, self.pairs, [-1]
+        back = [0]
+        for end in range(1, len(data) + 1):
+            for begin in range(end - 1, -1, -1):
+                token = ranks.get(data[begin:end])
+                if token is not None:
+                    fits = pairs.get((last[begin], token))
+                    if self.fits(last[begin], token) if fits is None else fits:
+                        last.append(token)
+                        back.append(begin)
+                        break
+            else:
+                raise ValueError("the ranks lack a single byte")
+        out, at = [], len(data)
+        while at:
+            out.append(last[at])
+            at = back[at]
+        out.reverse()
+        return out
+
     def ids(self, data: bytes) -> list[int]:
-        if len(self.states) > self.most:
+        full = len(self.states) >= self.most
+        if full and len(data) > SHORT:
             self.restart()
+            full = False
         state, out, edges = 0, [], self.edges
         for byte in data:
             found = edges.get(state << 8 | byte)
             if found is None:
+                if full:
+                    return self.walk(data)
                 found = self.edge(state, byte)
             state, more = found
             if more:
@@ -270,6 +296,7 @@ class ByteBpe:
         self.machine = Transducer(self.ranks, most_states)
         self.pattern = regex.compile(pattern)
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.bytes = [self.machine.bytes.get(i, b"") for i in range(max(self.ranks.values(), default=-1) + 1)]
 
     @classmethod
@@ -281,16 +308,24 @@ class ByteBpe:
         return kept[path, pattern]
 
     def matched(self, text: str) -> bytes:
-        out: list[int] = []
-        for piece in self.pattern.findall(text):
-            data = piece.encode()
-            # A piece that is a token itself is that token, even one that merging doesn't reach.
-            rank = self.ranks.get(data)
-            if rank is None:
-                out += self.machine.ids(data)
-            else:
-                out.append(rank)
-        return array("i", out).tobytes()
+        found = self.pattern.findall(text)
+        if len(found) == 1:
+            return self.piece(found[0])
+        pieces, out = self.pieces, []
+        for piece in found:
+            ids = pieces.get(piece)
+            if ids is None:
+                ids = self.piece(piece)
+                if len(piece) <= LONG_WORD and len(pieces) < MOST_PIECES:
+                    pieces[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def piece(self, piece: str) -> bytes:
+        data = piece.encode()
+        # A piece that is a token itself is that token, even one that merging doesn't reach.
+        rank = self.ranks.get(data)
+        return array("i", self.machine.ids(data) if rank is None else [rank]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit numbers end to end."""
