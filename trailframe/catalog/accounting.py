@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from trailframe.catalog.base import CAP, captures, query, table
 from trailframe.functions import records as R
 from trailframe.operators import accounting as B
+from trailframe.runtime import scratch_path
+from trailframe.sources.cache import CacheStore
 
 
 STATS = """st AS (SELECT l_orderkey, CASE WHEN l_linenumber % 3 = 0 THEN 'image' WHEN l_linenumber % 3 = 1 THEN 'camm' END AS file_type,
@@ -239,8 +241,13 @@ def s13(spark, sf_dir):
     entries = table(spark, sf_dir, "orders").select(
         (F.col("o_custkey") + 100).cast("string").alias("key"), F.concat(F.lit("n"), k.cast("string")).alias("value"), k.alias("ord")
     )
-    merged = B.cache_set(cache(spark, sf_dir), entries, now=1700.0)
-    return B.cache_clear_expired(merged, 1700.0)
+    store = CacheStore(spark, scratch_path(spark, "cache"))
+    store.append(cache(spark, sf_dir).withColumn("seq", F.lit(0)), now=0.0, ttl=None)
+    # Two writers' batches, then the store is tidied: what counts is each key's last write.
+    for half in (0, 1):
+        store.append(entries.filter(k % 2 == half).select("key", "value", F.col("ord").alias("seq")), now=1700.0)
+    store.compact(1700.0, keep_days=0)
+    return store.entries()
 
 
 @query(

@@ -11,6 +11,7 @@ from trailframe.catalog.tracks import W
 from trailframe.functions import paths
 from trailframe.functions import records as R
 from trailframe.operators import telemetry as M
+from trailframe.operators.ordered import number_globally
 from trailframe.runtime import scratch_path
 from trailframe.sources import readers, writers
 
@@ -208,6 +209,39 @@ def s6(spark, sf_dir):
     )
 
 
+@query(
+    "s6_metadata_document",
+    f"""WITH {CAP}, i AS (SELECT *, ord % 9 = 4 AS bad FROM cap WHERE track_id % 2 = 1), q AS (SELECT * FROM i WHERE NOT bad),
+      v AS (SELECT track_id, count(*) AS n, track_id % 7 = 2 AS bad FROM cap WHERE track_id % 2 = 0 GROUP BY track_id),
+      l AS (SELECT 1 AS section, filename AS track, 0 AS part, 0 AS time, '' AS name, 'ZigZagError' AS said FROM i WHERE bad
+        UNION ALL SELECT 1, '/v/' || track_id, 0, 0, '', 'ZigZagError' FROM v WHERE bad
+        UNION ALL SELECT 2, track_id::VARCHAR, 0, 0, '', arg_max_null(filesize, (time, basename))::VARCHAR FROM q GROUP BY track_id
+        UNION ALL SELECT 2, track_id::VARCHAR, 1, time, basename, basename FROM q UNION ALL SELECT DISTINCT 2, track_id::VARCHAR, 2, 0, '', NULL FROM q
+        UNION ALL SELECT 3, '/v/' || track_id, 0, 0, '', track_id::VARCHAR FROM v WHERE NOT bad UNION ALL SELECT 3, '/v/' || track_id, 2, 0, '', NULL FROM v WHERE NOT bad
+        UNION ALL SELECT 3, '/v/' || track_id, 1, time, basename, NULL FROM cap JOIN v USING (track_id) WHERE NOT bad)
+      SELECT row_number() OVER (ORDER BY section, track, part, time, name) - 1 AS line, section, track, part, said FROM l""",
+)
+def s6_document(spark, sf_dir):
+    """Errors, sequences and videos of a run as the lines of one document, in order."""
+    both = with_errors(spark, sf_dir)
+    t = F.col("track_id")
+    at = F.struct("time", "basename", F.struct("time", "lon", "lat", "alt", "angle", F.lit(None).cast("double").alias("epoch")).alias("p"))
+    videos = both.filter(t % 2 == 0).groupBy("track_id").agg(F.transform(F.sort_array(F.collect_list(at)), lambda x: x["p"]).alias("points"))
+    videos = videos.withColumns(
+        {
+            "filename": F.concat(F.lit("/v/"), t.cast("string")), "filetype": F.lit("gopro"), "filesize": t, "md5sum": F.lit("ab"), "make": F.lit("m"),
+            "model": F.lit("n"), "camera_uuid": F.lit("c"), "error": F.when(t % 7 == 2, R.error(R.ZIGZAG, "jumps")),
+        }
+    )
+    lines = writers.metadata_gpx_lines(both.filter(t % 2 == 1), videos)
+    numbered = number_globally(lines, ["section", "track", "part", "place", "value"], "line")
+    desc = F.regexp_extract("value", "<desc>(.*)</desc>", 1)
+    said = F.when(F.col("part") == 1, F.nullif(F.regexp_extract("value", "<name>(.*)</name>", 1), F.lit(""))).when(
+        F.col("part") == 0, F.coalesce(F.get_json_object(desc, "$.error.type"), F.get_json_object(desc, "$.filesize"))
+    )
+    return numbered.select("line", "section", "track", "part", said.alias("said"))
+
+
 def nmea_lines(spark, sf_dir):
     """Plain NMEA logs, one per user: position lines, a dated sentence every fourth line."""
     df = events(spark, sf_dir)

@@ -14,8 +14,8 @@ GPX_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="
 GPX_TAIL = "</gpx>"
 
 
-def image_record(df: DataFrame) -> Column:
-    """JSON text of a capture or error row, keys sorted, absent values left out.
+def image_record(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """JSON text of a capture or error row, keys sorted, absent values and those in ``without`` left out.
 
     ``accuracy`` (metres), ``orientation`` and ``map_filename`` are written where
     the table has them.
@@ -42,11 +42,11 @@ def image_record(df: DataFrame) -> Column:
     }
     optional = {"MAPFilename": "map_filename", "MAPGPSAccuracyMeters": "accuracy", "MAPOrientation": "orientation"}
     columns.update({n: when_good(F.col(c)) for n, c in optional.items() if c in df.columns})
-    return F.to_json(F.struct(*[columns[n].alias(n) for n in sorted(columns)]))
+    return F.to_json(F.struct(*[columns[n].alias(n) for n in sorted(columns) if n not in without]))
 
 
-def video_record(df: DataFrame) -> Column:
-    """JSON text of a video or error row, keys sorted, absent values left out.
+def video_record(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """JSON text of a video or error row, keys sorted, absent values and those in ``without`` left out.
 
     ``points`` holds the track: ``array<struct<time,lon,lat,alt,angle,epoch>>``.
     """
@@ -66,7 +66,7 @@ def video_record(df: DataFrame) -> Column:
         "filetype": F.col("filetype"),
         "md5sum": when_good(F.col("md5sum")),
     }
-    return F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return F.to_json(F.struct(*[c.alias(n) for n, c in columns.items() if n not in without]))
 
 
 def write_video_records(df: DataFrame, path: str) -> None:
@@ -90,6 +90,17 @@ def _iso(seconds: Column) -> Column:
     return F.regexp_replace(stamp, r"^(\d+)_(\d+)_(\d+)_(\d+)_(\d+)_(\d+)_(\d+)$", "$1-$2-$3T$4:$5:$6.$7Z")
 
 
+def _point_line(time: Column, lat: Column, lon: Column, alt: Column, name: Column, gps_epoch: Column) -> Column:
+    when = F.coalesce(F.when(gps_epoch > 0, gps_epoch), time)
+    return F.concat(
+        F.lit('<trkpt lat="'), lat.cast("string"), F.lit('" lon="'), lon.cast("string"), F.lit('">'),
+        F.coalesce(F.concat(F.lit("<ele>"), alt.cast("string"), F.lit("</ele>")), F.lit("")),
+        F.lit("<time>"), _iso(when), F.lit("</time>"),
+        F.coalesce(F.concat(F.lit("<name>"), _escaped(name), F.lit("</name>")), F.lit("")),
+        F.lit("</trkpt>"),
+    )
+
+
 def gpx_lines(points: DataFrame, track: str, order: list[str], section: Column, description: Column | None = None) -> DataFrame:
     """A GPX document as text lines keyed by (section, track, place).
 
@@ -98,15 +109,7 @@ def gpx_lines(points: DataFrame, track: str, order: list[str], section: Column,
     with a description (used for errors). Each track gets a first and last line
     of its own, so no track is ever gathered.
     """
-    number = lambda c: F.col(c).cast("string")
-    time = F.coalesce(F.when(F.col("gps_epoch") > 0, F.col("gps_epoch")), F.col("time"))
-    line = F.concat(
-        F.lit('<trkpt lat="'), number("lat"), F.lit('" lon="'), number("lon"), F.lit('">'),
-        F.coalesce(F.concat(F.lit("<ele>"), number("alt"), F.lit("</ele>")), F.lit("")),
-        F.lit("<time>"), _iso(time), F.lit("</time>"),
-        F.coalesce(F.concat(F.lit("<name>"), _escaped(F.col("name")), F.lit("</name>")), F.lit("")),
-        F.lit("</trkpt>"),
-    )
+    line = _point_line(*[F.col(c) for c in ("time", "lat", "lon", "alt", "name", "gps_epoch")])
     keyed = points.withColumn("_section", section)
     place = F.struct(*[F.col(o).cast("double").alias(f"o{i}") for i, o in enumerate(order)])
     none = F.lit(None).cast(keyed.select(place.alias("p")).schema["p"].dataType)
@@ -140,6 +143,67 @@ def write_gpx(lines: DataFrame, path: str) -> None:
     arranged.mapInPandas(_documents, "value string").write.text(path)
 
 
+# Properties that a track's name and points say already.
+SAID_BY_IMAGES = ("filename", "MAPLongitude", "MAPLatitude", "MAPCaptureTime", "MAPAltitude")
+SAID_BY_VIDEOS = ("filename", "MAPGPSTrack")
+
+
+def metadata_gpx_lines(images: DataFrame, videos: DataFrame) -> DataFrame:
+    """Lines of one GPX document that describes a run: ``section, track, part, place, value``.
+
+    Section 1 has a track without points for every row with an error, 2 one for
+    every image sequence, 3 one for every video, by name. A track's description
+    is its record as JSON without what name and points say; a sequence's is that
+    of its last image. ``images`` has the columns of ``image_record`` and
+    ``basename``, ``videos`` those of ``video_record``. A track is as many rows
+    as it has points: none is gathered.
+    """
+    none = F.lit(None).cast("struct<time:double,name:string>")
+
+    def line(section: int, track: Column, part: int, place: Column, value: Column) -> list[Column]:
+        return [F.lit(section).alias("section"), track.alias("track"), F.lit(part).alias("part"), place.alias("place"), value.alias("value")]
+
+    def opening(name: Column, description: Column) -> Column:
+        return F.concat(F.lit("<trk><name>"), _escaped(name), F.lit("</name><desc>"), _escaped(description), F.lit("</desc>"))
+
+    def failed(rows: DataFrame, record: Column) -> DataFrame:
+        whole = F.concat(opening(F.col("filename"), record), F.lit("</trk>"))
+        return rows.filter("error IS NOT NULL").select(*line(1, F.col("filename"), 0, none, whole))
+
+    def ends(section: int, tracks: DataFrame) -> list[DataFrame]:
+        first = tracks.select(*line(section, F.col("track"), 0, none, F.concat(opening(F.col("track"), F.col("description")), F.lit("<trkseg>"))))
+        return [first, tracks.select(*line(section, F.col("track"), 2, none, F.lit("</trkseg></trk>")))]
+
+    placed = images.filter("error IS NULL")
+    at = F.struct(F.col("time"), F.col("basename").alias("name"))
+    sequence = F.col("sequence_id").cast("string")
+    about = placed.groupBy(sequence.alias("track")).agg(F.max_by(image_record(placed, SAID_BY_IMAGES), at).alias("description"))
+    shots = placed.select(*line(2, sequence, 1, at, _point_line(*[F.col(c) for c in ("time", "lat", "lon", "alt", "basename")], F.lit(None).cast("double"))))
+    clips = videos.filter("error IS NULL")
+    filed = clips.select(F.col("filename").alias("track"), video_record(clips, SAID_BY_VIDEOS).alias("description"))
+    points = clips.select("filename", F.posexplode("points").alias("i", "p"))
+    place = F.struct(F.col("i").cast("double").alias("time"), F.lit(None).cast("string").alias("name"))
+    on_way = points.select(*line(3, F.col("filename"), 1, place, _point_line(*[F.col(f"p.{c}") for c in ("time", "lat", "lon", "alt")], F.lit(None).cast("string"), F.col("p.epoch"))))
+    out = failed(images, image_record(images, ("filename",)))
+    for more in (failed(videos, video_record(videos, SAID_BY_VIDEOS)), *ends(2, about), shots, *ends(3, filed), on_way):
+        out = out.unionByName(more)
+    return out
+
+
+def write_gpx_in_parts(lines: DataFrame, path: str) -> None:
+    """One document as files whose names are in the lines' order: put end to end they are the document.
+
+    Lines are dealt by ranges, so a track of any size is spread over tasks; the
+    head and the tail of the document are lines before and after all others.
+    """
+    none = F.lit(None)
+    edges = lines.sparkSession.createDataFrame([(0, GPX_HEAD), (9, GPX_TAIL)], "section int, value string")
+    edges = edges.select("section", none.cast("string").alias("track"), F.lit(0).alias("part"), none.cast(lines.schema["place"].dataType).alias("place"), "value")
+    order = ["section", "track", "part", "place", "value"]
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.unionByName(edges).repartitionByRange(n, *order).sortWithinPartitions(*order).select("value").write.text(path)
+
+
 # -- tables kept between runs ----------------------------------------------------------------
 
 
@@ -166,7 +230,3 @@ def lookup_history(spark: SparkSession, path: str, wanted: DataFrame) -> DataFra
     """History rows of the wanted fingerprints; only their partitions are read."""
     keyed = wanted.withColumn("prefix", F.substring("sequence_md5sum", 1, 2))
     return read_history(spark, path).join(keyed.select("prefix", "sequence_md5sum"), ["prefix", "sequence_md5sum"], "left_semi")
-
-
-def write_cache(cache: DataFrame, path: str) -> None:
-    cache.write.mode("overwrite").parquet(path)
