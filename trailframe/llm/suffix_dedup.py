@@ -264,7 +264,19 @@ def repeats(rows: list[bytes], ats: list[int], width: int) -> list[list[tuple[in
         column.append(np.append(mine, -1))
     flat = np.concatenate(text)
     owner, column = np.concatenate(owner), np.concatenate(column)
-    names = np.unique(flat, return_inverse=True)[1].tolist()
+    _, names, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    # Symbols that occur once, and stretches too short between such ones, repeat nowhere: each run of them is
+    # one symbol of its own, so that the array holds little but what does repeat.
+    alone = counts[names] == 1
+    edges = np.flatnonzero(np.diff(alone, prepend=True, append=True))
+    for begin_, end_ in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if bounds[column[end_ - 1] + 1] - bounds[column[begin_]] < width:
+            alone[begin_:end_] = True
+    if alone.all():
+        return [[] for _ in rows]
+    keep = np.flatnonzero(~alone | ~np.concatenate([[False], alone[:-1]]))
+    names = np.where(alone[keep], len(counts) + keep, names[keep]).tolist()
+    owner, column = owner[keep], column[keep]
     order = suffix_array(names)
     shared = common_prefixes(names, order) + [0]
     found: list[list[tuple[int, int]]] = [[] for _ in rows]
