@@ -159,7 +159,7 @@ def gpx_round_trip(spark, sf_dir):
     path = scratch_path(spark, "gpx")
     lines = writers.gpx_lines(gpx_points(spark, sf_dir), "track", ["time", "ord"], F.lit(1))
     writers.write_gpx(lines, path)
-    points = readers.read_gpx(spark, path)
+    points = readers.read_gpx_points(spark, path)
     return points.select(
         "name", F.col("ord").cast("bigint").alias("position"), "time", F.round("lat", 6).alias("lat"), "alt", F.col("gps_fix_type").alias("fix")
     )
@@ -188,7 +188,7 @@ def s5_tracks(spark, sf_dir):
         "track_id", F.struct(F.lit(leg).cast("bigint").alias("leg"), F.lit(0).alias("p"), F.lit(0).cast("bigint").alias("o")).alias("ord"), F.lit(text).alias("value")
     )
     lines = edge(-1, "<gpx>").unionByName(opened).unionByName(body).unionByName(closed).unionByName(edge(9, "</gpx>"))
-    points = readers.read_gpx(spark, per_user_files(lines, spark, "gpx-tracks"))
+    points = readers.read_gpx_points(spark, per_user_files(lines, spark, "gpx-tracks"))
     return points.groupBy(user_of(), "track_no", "name").agg(
         F.count(F.lit(1)).alias("n"), F.min("time").alias("t0"), F.max("time").alias("t1")
     ).withColumn("track_no", F.col("track_no").cast("bigint"))
