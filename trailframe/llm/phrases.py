@@ -38,7 +38,7 @@ BLANKS, CUTS = b" \t", b".,;:!?\n\v\f\r"
 # Bytes of text to a shard, to a step inside it, and to a slot of the union.
 SHARD, STEP, SLOT = 8 << 20, 4 << 20, 16 << 20
 # Rows of counted phrases that a task adds up before it hands them on.
-HELD = 1_500_000
+HELD = 300_000
 FILTER_BITS = 1 << 30
 # Parts that a language's candidates are ranked in before the parts' best are.
 PARTS = 64
