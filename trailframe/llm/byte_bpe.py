@@ -295,6 +295,8 @@ class ByteBpe:
         self.ranks = read_ranks(path)
         self.machine = Transducer(self.ranks, most_states)
         self.pattern = regex.compile(pattern)
+        # Whether it does: long and short words, of one and several alphabets.
+        self.plain = all(self.pattern.findall(f" {w}") == [f" {w}"] for w in ("a", "Xy", "straße", "日本語", "нетA", "s" * 300))
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.bytes = [self.machine.bytes.get(i, b"") for i in range(max(self.ranks.values(), default=-1) + 1)]
@@ -337,7 +339,8 @@ class ByteBpe:
         if None in out:
             for at, word in enumerate(rest):
                 if out[at] is None:
-                    out[at] = ids = self.matched(" " + word)
+                    # Letters alone are one match of any pattern that takes a blank and letters together.
+                    out[at] = ids = self.piece(" " + word) if self.plain and word.isalpha() else self.matched(" " + word)
                     if len(word) <= LONG_WORD and len(words) < MOST_WORDS:
                         words[word] = ids
         return self.matched(head) + b"".join(out)
