@@ -391,7 +391,7 @@ def decode_ids(df: DataFrame, ranks: str, pattern: str, id_col: str = "id", ids_
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                texts = ["".join(coder.decode(np.zeros(0, int) if ids.as_py() is None else ids.values.to_numpy())) for ids in part.column("ids")]
+                texts = ["".join(coder.decode(ids.values.to_numpy() if ids.is_valid else np.zeros(0, int))) for ids in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("ids"), pa.array(texts, pa.string())], ["id", "ids", "text"])
 
     rows = pick(df, id=id_col, ids=ids_col)
