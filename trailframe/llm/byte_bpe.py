@@ -10,7 +10,7 @@ for as long as the longest token has bytes ahead.
 
 States with equal open places are one state. States and edges are made when a
 text first needs them, up to a bound. Beyond it a short piece that needs a new
-edge is walked without states, place by place; a long one begins them anew.
+edge is walked on without states, token by token; a long one begins them anew.
 
 Decoding streams: ids give bytes, and a state machine for UTF-8 holds back the
 bytes of a character that is not complete yet.
@@ -185,26 +185,42 @@ class Transducer:
         """The ids that still wait when the text ends in this state."""
         return self.states[state][1][-1][1]
 
-    def walk(self, data: bytes) -> list[int]:
-        """The ids of a short piece without states: at every place the one token that fits there, the shortest tried first."""
-        ranks, pairs, last = self.ranks, self.pairs, [-1]
-        back = [0]
-        for end in range(1, len(data) + 1):
-            for begin in range(end - 1, -1, -1):
-                token = ranks.get(data[begin:end])
-                if token is not None:
-                    fits = pairs.get((last[begin], token))
-                    if self.fits(last[begin], token) if fits is None else fits:
-                        last.append(token)
-                        back.append(begin)
-                        break
+    def begins(self, data: bytes, at: int) -> list[tuple[int, int]]:
+        """The tokens that begin at a place, short ones first, each with its end."""
+        kids, token, node, found = self.kids, self.token, 0, []
+        for end in range(at, len(data)):
+            node = kids[data[end]].get(node)
+            if node is None:
+                break
+            if token[node] >= 0:
+                found.append((token[node], end + 1))
+        return found
+
+    def walk(self, data: bytes, last: int = -1) -> list[int]:
+        """The ids of a short piece behind ``last`` without states: the longest token that fits, given up for a shorter one where nothing fits behind it.
+
+        One list of tokens alone leads to a place, so that none is entered twice.
+        """
+        pairs, before, out, open_, entered = self.pairs, last, [], [], bytearray(len(data) + 1)
+        found = self.begins(data, 0)
+        entered[0] = 1
+        while not entered[-1]:
+            while found:
+                token, end = found.pop()
+                if entered[end]:
+                    continue
+                fits = pairs.get((last, token))
+                if self.fits(last, token) if fits is None else fits:
+                    entered[end] = 1
+                    out.append(token)
+                    open_.append(found)
+                    last, found = token, self.begins(data, end)
+                    break
             else:
-                raise ValueError("the ranks lack a single byte")
-        out, at = [], len(data)
-        while at:
-            out.append(last[at])
-            at = back[at]
-        out.reverse()
+                if not out:
+                    raise ValueError("the ranks lack a single byte")
+                out.pop()
+                found, last = open_.pop(), out[-1] if out else before
         return out
 
     def ids(self, data: bytes) -> list[int]:
@@ -217,7 +233,8 @@ class Transducer:
             found = edges.get(state << 8 | byte)
             if found is None:
                 if full:
-                    return self.walk(data)
+                    # What is put out is certain: only the rest is walked.
+                    return out + self.walk(data[sum([len(self.bytes[i]) for i in out]) :], out[-1]) if out else self.walk(data)
                 found = self.edge(state, byte)
             state, more = found
             if more:
