@@ -37,7 +37,7 @@ from trailframe.llm.tokens import vocabulary, worker_cache
 # States and neighbours that a worker keeps, and bytes of a piece that is walked without states beyond that.
 MOST_STATES, MOST_PAIRS, SHORT = 60_000, 400_000, 48
 # Words and matches that a worker keeps (common ones turn up early), and characters of the longest one.
-MOST_WORDS, MOST_PIECES, LONG_WORD = 600_000, 250_000, 40
+MOST_WORDS, MOST_PIECES, LONG_WORD = 400_000, 200_000, 40
 # Texts to a batch that a task hands on.
 ROWS = 256
 # Ids that are decoded at a time.
