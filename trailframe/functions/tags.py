@@ -162,13 +162,27 @@ VIDEO_LENS_SERIALS = ["UserData:LensSerialNumber", "ExifIFD:LensSerialNumber", "
 def collect_tags(elements: DataFrame, keys: list[str]) -> DataFrame:
     """Element rows ``(tag, ord, text)`` to one tag map per key, texts in order.
 
-    Elements with no text are skipped. Texts of one (key, tag) are gathered in
-    one row, which is what a record's tag value is.
+    Elements with no text are skipped. A key's elements are gathered in one row,
+    which is what a record's map is, so they are shuffled once, by key; there
+    each tag's texts are a run of the elements in order.
     """
-    texts = F.sort_array(F.collect_list(F.struct("ord", "text")))["text"]
-    per_tag = elements.filter("text IS NOT NULL").groupBy(*keys, "tag").agg(texts.alias("texts"))
-    entry = F.struct("tag", "texts")
-    return per_tag.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("tags"))
+    found = F.collect_list(F.struct("tag", "ord", "text"))
+    per_key = elements.filter("text IS NOT NULL").groupBy(*keys).agg(found.alias("found"))
+    return per_key.select(*keys, let(F.sort_array("found"), _tag_map).alias("tags"))
+
+
+def _tag_map(found: Column) -> Column:
+    """Map of sorted ``(tag, ord, text)`` elements; linear in their number."""
+    starts = F.transform(found, lambda e, i: F.when((i == 0) | ~e["tag"].eqNullSafe(F.get(found, i - 1)["tag"]), i))
+
+    def entries(starts: Column) -> Column:
+        def entry(start: Column, j: Column) -> Column:
+            own = F.slice(found, start + 1, F.coalesce(F.get(starts, j + 1), F.size(found)) - start)
+            return F.struct(F.get(found, start)["tag"], own["text"])
+
+        return F.map_from_entries(F.transform(starts, entry))
+
+    return let(F.array_compact(starts), entries)
 
 
 def first_text(tags: Column, name: str) -> Column:

@@ -97,21 +97,23 @@ def parse_iso(text: Column) -> Column:
 
 def _parse_iso(text: Column) -> Column:
     part = lambda i: F.regexp_extract(text, _ISO, i)
-    number = lambda i: F.coalesce(part(i).try_cast("bigint"), F.lit(0))
+    # Digits or nothing, as the pattern has it: nothing counts as zero.
+    digits_of = lambda c: F.concat(F.lit("0"), c).try_cast("bigint")
+    number = lambda i: digits_of(part(i))
 
     def read(p: Column) -> Column:
         micros = F.rpad(F.substring(part(7), 1, 6), 6, "0").try_cast("bigint")
         seconds = _days(part(1), part(2), part(3)) * DAY_S + p["h"] * 3600 + p["m"] * 60 + p["s"]
         digits = F.regexp_replace(p["zone"], "[^0-9]", "")
-        two = lambda i: F.coalesce(F.substring(digits, i, 2).try_cast("bigint"), F.lit(0))
+        two = lambda i: digits_of(F.substring(digits, i, 2))
         size = two(1) * 3600 + two(3) * 60 + two(5)
         sign = F.when(p["zone"].startswith("-"), -1).otherwise(1)
         offset = F.when(p["zone"] == "Z", 0).when(p["zone"] != "", sign * size)
-        fits = text.rlike(_ISO) & (p["h"] <= 23) & (p["m"] <= 59) & (p["s"] <= 59)
+        fits = (p["h"] <= 23) & (p["m"] <= 59) & (p["s"] <= 59)
         return F.when(fits, _made(seconds * 1_000_000 + F.coalesce(micros, F.lit(0)), offset))
 
     names = {"h": number(4), "m": number(5), "s": number(6), "zone": part(8)}
-    return let(F.struct(*[c.alias(n) for n, c in names.items()]), read)
+    return F.when(text.rlike(_ISO), let(F.struct(*[c.alias(n) for n, c in names.items()]), read))
 
 
 def parse_date(text: Column) -> Column:
