@@ -100,3 +100,9 @@ def test_text_without_blanks(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert pieces.sample_segmentations(stored(spark, [], str(tmp_path / "t")), MODEL).count() == 0
+
+
+def test_all_samples_decode_in_one_worker(spark):
+    """Every Python node of a plan is one more worker beside each task."""
+    df = pieces.op4_sample_pieces(spark, SF)
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

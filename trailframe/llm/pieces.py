@@ -394,8 +394,8 @@ def sample_segmentations(
 
 
 def decoder(model: str):
-    """A vectorised function of ids to text."""
-    @F.pandas_udf("string")
+    """A vectorised function of arrays of ids to arrays of texts: any number of samples in one worker."""
+    @F.pandas_udf("array<string>")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import sentencepiece
 
@@ -406,18 +406,24 @@ def decoder(model: str):
             for i in range(size)
         ]
         kind = "<u2" if size <= 0x10000 else "<u4"
-        for ids in batches:
-            yield pd.Series(
-                [None if x is None else b"".join([raw[i] for i in np.frombuffer(x, kind).tolist()])[1:].decode("utf-8", "surrogatepass") for x in ids],
-                dtype="object",
-            )
+
+        def text(ids: bytes | None) -> str | None:
+            return None if ids is None else b"".join([raw[i] for i in np.frombuffer(ids, kind).tolist()])[1:].decode("utf-8", "surrogatepass")
+
+        for batch in batches:
+            yield pd.Series([None if own is None else [text(x) for x in own] for own in batch], dtype="object")
 
     return decode
 
 
 def decode_ids(ids: Column, model: str) -> Column:
     """The text that ids spell: exactly the one that was segmented. Null gives null, no ids the empty text."""
-    return decoder(model)(ids)
+    return F.get(decoder(model)(F.array(ids)), F.lit(0))
+
+
+def decode_samples(samples: Column, model: str) -> Column:
+    """The texts of all samples, in their order."""
+    return decoder(model)(samples["ids"])
 
 
 @query("op4_sample_pieces")
@@ -425,5 +431,4 @@ def op4_sample_pieces(spark, sf_dir):
     """The samples, and digests of what each decodes to: its document's text."""
     model = vocabulary("piece_bpe_32k.model")
     found = sample_segmentations(table(spark, sf_dir, "documents"), model)
-    digests = [F.sha2(decode_ids(F.get("samples", F.lit(i))["ids"], model), 256) for i in range(2)]
-    return found.withColumn("decoded_sha256", F.filter(F.array(*digests), lambda d: d.isNotNull()))
+    return found.withColumn("decoded_sha256", F.transform(decode_samples(F.col("samples"), model), lambda text: F.sha2(text, 256)))
