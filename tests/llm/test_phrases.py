@@ -85,3 +85,42 @@ def test_table_and_sql(spark):
 def test_empty(spark, tmp_path):
     assert phrases.collocations(stored(spark, [], str(tmp_path / "t"))).count() == 0
     assert phrases.collocations(stored(spark, [(1, None, None, None, 0), (2, "", "en", "a", 0), (3, " . \t", "en", "a", 0)], str(tmp_path / "u"))).count() == 0
+
+
+def test_counting_holds_little_at_a_time(monkeypatch):
+    """Eight megabytes of text in one task: what is held follows the step, not the text."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    class All:
+        def has(self, hashes):
+            return np.ones(len(hashes), bool)
+
+    monkeypatch.setattr(phrases.Filter, "of", classmethod(lambda cls, *a: All()))
+    monkeypatch.setattr(phrases, "give_back", lambda: None)
+    text = " ".join(f"w{i % 5000}" for i in range(20_000))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 64, "text": [text] * 64})
+    tracemalloc.start()
+    out = [b for b in phrases._count(3, "", 1, 64)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20, peak >> 20
+    words = sum(b.column("f")[i].as_py() for b in out for i in range(b.num_rows) if b.column("size")[i].as_py() == 0)
+    assert words == 64 * 20_000 and max(b.num_rows for b in out) <= 20_000
+
+
+def test_mining_holds_little_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "give_back", lambda: None)
+    text = " ".join(f"w{i % 5000}" for i in range(20_000))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 64, "text": [text] * 64})
+    tracemalloc.start()
+    n = sum(b.num_rows for b in phrases._mine(10, 3, 64 * len(text), 8, phrases.SHARD)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n and peak < 150 << 20, peak >> 20

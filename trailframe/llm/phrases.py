@@ -35,8 +35,9 @@ from trailframe.runtime import materialize, scratch_path
 
 U = np.uint64
 BLANKS, CUTS = b" \t", b".,;:!?\n\v\f\r"
-# Bytes of text to a shard, to a step inside it, and to a slot of the union.
-SHARD, STEP, SLOT = 8 << 20, 4 << 20, 16 << 20
+# Bytes of text to a shard, to a step inside it or of the last count, and to a slot of the union.
+# A byte takes some fifty bytes while its step is read.
+SHARD, STEP, SLOT = 8 << 20, 1 << 20, 16 << 20
 # Rows of counted phrases that a task adds up before it hands them on.
 HELD = 300_000
 FILTER_BITS = 1 << 30
@@ -140,6 +141,8 @@ def _mine(support: int, longest: int, total: int, slots: int, shard: int):
     kind = np.dtype("<u1" if support < 256 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A filter that an earlier run left in this worker.
+        worker_cache().pop("phrase filter", None)
         words, held, size = Words(), [], 0
 
         def flush() -> pa.RecordBatch:
@@ -254,13 +257,15 @@ def _count(longest: int, path: str, slots: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, words = Filter.of(path, slots, bits), Words()
+        # Parts of the sums on their way to the JVM are views of one table.
+        part = 20_000
         held: list[pa.RecordBatch] = []
 
         def flush() -> list[pa.RecordBatch]:
             summed = pa.Table.from_batches(held).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("f", "sum")])
             held.clear()
             summed = summed.rename_columns(["lang", "size", "phrase", "f"]).combine_chunks()
-            return summed.to_batches()
+            return summed.to_batches(max_chunksize=part)
 
         for langs, data, ends in steps(batches, STEP):
             words.read(langs, data, ends)
