@@ -19,13 +19,13 @@ from trailframe.sources import readers, writers
 def per_user_files(df, spark, label):
     """One text file per user from ``(track_id, ord, value)`` rows, lines in order."""
     path = scratch_path(spark, label)
-    arranged = df.repartition("track_id").sortWithinPartitions("track_id", "ord")
-    arranged.select("track_id", "value").write.partitionBy("track_id").text(path)
+    name = F.concat(F.lit("track_id="), F.coalesce(F.col("track_id").cast("string"), F.lit("none")), F.lit(".txt"))
+    writers.write_named_files(df, path, name, ["ord"])
     return path
 
 
 def user_of(column: str = "file"):
-    return F.regexp_extract(column, r"track_id=(\d+)", 1).cast("bigint").alias("track_id")
+    return F.regexp_extract(column, r"track_id=(-?\w+)", 1).try_cast("bigint").alias("track_id")
 
 
 def user_lines(spark, sf_dir):

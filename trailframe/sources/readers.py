@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from trailframe.functions import timeparse as P
 from trailframe.operators import accounting
 from trailframe.operators import ordered as O
 from trailframe.operators.ordered import Ordered
-from trailframe.runtime import materialize
+from trailframe.runtime import materialize, open_store
 
 
 def list_files(spark: SparkSession, roots: list[str], recursive: bool = True) -> DataFrame:
@@ -62,8 +60,7 @@ def _stream_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for path in batch["path"]:
-            local = re.sub("^file:/+", "/", path)
-            store, where = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+            store, where = open_store(path)
             state = hashlib.md5()
             with store.open_input_stream(where, compression=None) as f:
                 while block := f.read(8 << 20):

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from trailframe.functions import records as R
+from trailframe.runtime import open_store
 
 GPX_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="trailframe">'
 GPX_TAIL = "</gpx>"
@@ -79,6 +85,87 @@ def write_image_records(df: DataFrame, path: str) -> None:
     df.select(image_record(df).alias("value")).write.text(path)
 
 
+# -- files by name ---------------------------------------------------------------------------
+
+
+@dataclass
+class Folder(WriterCommitMessage):
+    name: str | None
+
+
+class NamedTextWriter(DataSourceArrowWriter):
+    """Rows ``name, value``, sorted by name: the lines of each file, one file open at a time."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"].rstrip("/")
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        """A task's folder has a hidden name; only the driver's commit shows it, so a lost task leaves nothing behind to read."""
+        store, where = open_store(self.path)
+        folder, name, out = None, None, None
+        for batch in batches:
+            names, values = (batch.column(c).to_pylist() for c in ("name", "value"))
+            held = np.array(names, object)
+            starts = [0, *(np.flatnonzero(held[1:] != held[:-1]) + 1).tolist()] if len(names) else []
+            for start, end in zip(starts, [*starts[1:], len(names)]):
+                if names[start] != name:
+                    if out is not None:
+                        out.close()
+                    name = names[start]
+                    if not name or "/" in name or name[0] in "._":
+                        raise ValueError(f"not the name of a visible file: {name!r}")
+                    if folder is None:
+                        folder = uuid.uuid4().hex
+                        store.create_dir(f"{where}/.{folder}", recursive=True)
+                    out = store.open_output_stream(f"{where}/.{folder}/{name}", compression=None)
+                out.write("".join(f"{v or ''}\n" for v in values[start:end]).encode())
+        if out is not None:
+            out.close()
+        return Folder(folder)
+
+    def _folders(self, messages: list) -> list[str]:
+        return [m.name for m in messages if m is not None and m.name is not None]
+
+    def commit(self, messages: list) -> None:
+        store, where = open_store(self.path)
+        store.create_dir(where, recursive=True)
+        for folder in self._folders(messages):
+            store.move(f"{where}/.{folder}", f"{where}/{folder}")
+
+    def abort(self, messages: list) -> None:
+        store, where = open_store(self.path)
+        for folder in self._folders(messages):
+            store.delete_dir(f"{where}/.{folder}")
+
+
+class NamedTextSource(DataSource):
+    """``df.write.format("named_text")``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "named_text"
+
+    def schema(self) -> str:
+        return "name string, value string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return NamedTextWriter(self.options)
+
+
+def write_named_files(lines: DataFrame, path: str, name: Column, order: list[str]) -> None:
+    """Write ``value`` as text files named by row, lines by ``order``.
+
+    A task puts all its files in one folder, shown by one renaming: the costs of
+    a commit and of a listing are by task, and a file's own is its bytes. Files
+    are streamed, never held. Names may not hold a slash or start with a dot or
+    an underscore, which Spark hides.
+    """
+    lines.sparkSession.dataSource.register(NamedTextSource)
+    named = lines.withColumn("name", name)
+    arranged = named.repartition("name").sortWithinPartitions("name", *order)
+    arranged.select("name", "value").write.format("named_text").mode("append").save(path)
+
+
 def _escaped(text: Column) -> Column:
     for char, mark in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(char), F.lit(mark))
