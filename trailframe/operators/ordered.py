@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from trailframe.runtime import freeze
 
 MAX_ROWS_PER_TASK = 5_000_000
+# Rows a task of a long chain of scans should get: every scan's sort holds them once more.
+SPREAD_ROWS = 100_000
 TILE = "_tile"
 
 
@@ -109,9 +111,23 @@ def group_max(value: Column) -> Scan:
 _GROUP_WIDE = {"total": F.sum, "min": F.min, "max": F.max}
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the largest group, and of all."""
     counted = df.groupBy(*[F.col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    return counted.agg(F.max("n")).head()[0] or 0
+    largest, total = counted.agg(F.max("n"), F.sum("n")).head()
+    return largest or 0, total or 0
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    return group_sizes(df, keys)[0]
+
+
+def spread_by(df: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Deal the groups to as many tasks as ``total`` rows need, where the session's number is too small."""
+    tasks = math.ceil(total / SPREAD_ROWS)
+    if not keys or tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(tasks, *[F.col(k) for k in keys])
 
 
 def _tile(df: DataFrame, by: list[str], rows: int, limit: int) -> DataFrame:
@@ -143,20 +159,25 @@ class Ordered:
         max_rows: int | None = None,
         sized_by: list[DataFrame] | None = None,
         known: int | None = None,
+        spread: bool = False,
     ) -> Ordered:
         """Measure the groups and tile those above ``max_rows``.
 
         ``order`` should end in a unique column so that equal times can be split.
         ``sized_by`` names cheaper inputs whose group sizes add up to at least
         the groups of ``df``; they are counted instead of ``df`` itself. ``known``
-        is such a bound measured before.
+        is such a bound measured before. ``spread`` makes the number of tasks
+        follow the number of rows, so that a task's memory does not grow with
+        the table.
         """
         limit = max_rows or MAX_ROWS_PER_TASK
+        total = 0
         if known is None:
-            known = sum(largest_group(part, keys) for part in sized_by or [df])
+            sizes = [group_sizes(part, keys) for part in sized_by or [df]]
+            known, total = sum(s[0] for s in sizes), sum(s[1] for s in sizes)
         largest = known
         if largest <= limit:
-            return cls(df, keys, order, largest=largest)
+            return cls(spread_by(df, keys, total) if spread else df, keys, order, largest=largest)
         if not keys:
             return cls(_tile(df, order, largest, limit), keys, order, True, largest)
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -497,7 +497,7 @@ def clean_captures(
     with the first check it failed. A sequence is ``(group_key, seq)``.
     """
     keyed = captures.withColumns({"group_key": group_key(), "_sort": F.col("time")})
-    grouped = Ordered.of(keyed, ["group_key"], ["_sort", "basename"], max_rows, sized_by=[keyed])
+    grouped = Ordered.of(keyed, ["group_key"], ["_sort", "basename"], max_rows, sized_by=[keyed], spread=True)
     order = grouped.order
     runs = _count_and_time_runs(repair_subseconds(grouped), limits)
     bounded = limits.max_images is not None and limits.max_images <= MAX_ARRAY_ROWS

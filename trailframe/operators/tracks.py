@@ -76,7 +76,7 @@ def interpolate(
     )
     # At equal times captures come first, so "strictly before" is a plain scan.
     rows = Ordered.of(
-        left.unionByName(right), keys, ["_t", "_k", "_po", "_o"], max_rows, sized_by=[captures, points]
+        left.unionByName(right), keys, ["_t", "_k", "_po", "_o"], max_rows, sized_by=[captures, points], spread=True
     )
     near = rows.scan(
         _lk=O.last_known(F.col("_pt"), current=False), _nk=O.next_known(F.col("_pt"), current=False)
