@@ -31,3 +31,17 @@ def test_first_format_that_has_a_track_decides(spark):
     assert {k: sorted(v) for k, v in found.items()} == {
         ("both", "gopro"): [0, 1, 2, 3], ("camm only", "camm"): [0, 1, 2, 3], ("falls through", "blackvue"): [0, 1, 2, 3], ("full first", "camm"): [1, 3],
     }
+
+
+def test_inputs_are_read_for_one_table_each(spark, tmp_path):
+    """The verdicts and points come from stored tables, not from the inputs once more in every step."""
+    spark.createDataFrame(VIDEOS, "file string, filetypes array<string>").write.parquet(f"{tmp_path}/videos")
+    videos = spark.read.parquet(f"{tmp_path}/videos")
+    containers = spark.createDataFrame(CONTAINERS, "file string, format string, broken string")
+    points = spark.range(4).selectExpr(
+        "'both' AS file", "'gopro' AS format", "false AS minimal", "id AS ord", "double(id) AS time", "50D AS lat", "8D AS lon", "3 AS fix", "100D AS precision", "0D AS ground_speed"
+    )
+    verdicts, kept = native_tracks(videos, containers, points, "file", ["time", "ord"])
+    for out in (verdicts, kept):
+        assert out.inputFiles() and not any(str(tmp_path) in f for f in out.inputFiles())
+    assert kept.count() == 4

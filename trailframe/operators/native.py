@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailframe.functions import records as R
 from trailframe.operators.filters import GPS_PRECISION_M, remove_noisy_points
 from trailframe.operators.ordered import join_keys
+from trailframe.runtime import materialize
 
 # Formats in the order they are tried; a file type of the same name admits each, and "video" admits all.
 FORMATS = ["gopro", "camm", "blackvue"]
@@ -54,11 +55,14 @@ def native_tracks(
     deciding format's errors end the search: no points, or none left by the
     noise filter of ``gopro``.
     """
-    decided = first_telemetry(videos, containers, key)
+    # Both are written once: the noise filter reads the points, and so the deciding, in many steps.
+    decided = materialize(first_telemetry(videos, containers, key), "native-decided")
     open_ = decided.filter("error IS NULL").select(key, F.col("format").alias("_format"))
     own = points.join(open_, (points[key] == open_[key]) & (points["format"] == open_["_format"])).drop(open_[key], "_format")
+    own = materialize(own, "native-own")
     full = own.groupBy(key).agg(F.count_if(~F.coalesce("minimal", F.lit(False))).alias("_full"), F.count(F.lit(1)).alias("_raw"))
     chosen = own.join(full, key).filter((F.col("_full") == 0) | ~F.coalesce("minimal", F.lit(False))).drop("_full", "_raw")
+    chosen = materialize(chosen, "native-points")
     columns = [c for c in points.columns if c != "minimal"]
     noisy = chosen.filter(F.col("format") == FILTERED).select(*columns)
     clean = remove_noisy_points(noisy, key, order, precision).select(*columns)
