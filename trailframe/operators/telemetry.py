@@ -12,6 +12,7 @@ from trailframe.functions.binding import with_computed
 from trailframe.operators import ordered as O
 from trailframe.operators import tracks as K
 from trailframe.operators.ordered import Ordered
+from trailframe.runtime import materialize
 
 # Which sentence type supplies a file's points.
 SENTENCE_RANK = {"RMC": 0, "GGA": 1, "GLL": 2}
@@ -281,6 +282,7 @@ def listed_track(elements: DataFrame, key: str, namespace: str, max_rows: int |
     )
     once = K.drop_repeated_points(Ordered.of(points, [key], ["ord"], max_rows, known=known)).rows()
     again = K.drop_repeated_points(Ordered.of(once, [key], ["time", "ord"], max_rows, known=known)).rows()
+    again = materialize(again, "listed-points")
     rebased = K.rebase_times(again, [key])
     nothing = {"fix": "int", "precision": "double", "ground_speed": "double"}
     return rebased.withColumns({n: F.lit(None).cast(t) for n, t in nothing.items()})
@@ -294,7 +296,7 @@ def sampled_track(elements: DataFrame, key: str, namespace: str, max_rows: int |
     tag = lambda name: f"{namespace}:{name}"
     needed = [tag(n) for n in ("SampleTime", "SampleDuration", "GPSLongitude", "GPSLatitude")]
     own = elements.join(_has_tags(elements, key, needed), key, "left_semi")
-    samples = group_samples(own, key, tag("SampleTime"), tag("SampleDuration"), max_rows, known)
+    samples = materialize(group_samples(own, key, tag("SampleTime"), tag("SampleDuration"), max_rows, known), "samples")
     keys = [key, "sample"]
     points = align_lists(
         samples, keys, tag("GPSLongitude"), tag("GPSLatitude"),
@@ -332,8 +334,10 @@ def tool_video_tracks(elements: DataFrame, key: str, max_rows: int | None = None
         F.struct(F.col(key).alias("key"), source.alias("source_no")).alias("_source"),
         (listed_no >= 0).alias("_listed"), "ord", F.concat(F.lit("own:"), name).alias("tag"), "text",
     ).filter("_source.source_no IS NOT NULL")
+    # Tables that several steps read are written once: their cost would double with each step.
+    sourced = materialize(sourced, "sourced-elements")
     listed = listed_track(sourced.filter("_listed").drop("_listed"), "_source", "own", max_rows, known)
     sampled = sampled_track(sourced.filter("NOT _listed").drop("_listed"), "_source", "own", max_rows, known)
     merged = listed.select("_source", *columns).unionByName(sampled.select("_source", *columns))
     flat = merged.select(F.col("_source.key").alias(key), *columns, F.col("_source.source_no").alias("source_no"))
-    return first_source_with_data(flat, [key], F.col("source_no"))
+    return first_source_with_data(materialize(flat, "tool-points"), [key], F.col("source_no"))
