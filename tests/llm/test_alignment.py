@@ -140,3 +140,14 @@ def test_empty(spark, tmp_path):
     assert alignment.align_tokenizers(stored(spark, [], str(tmp_path / "t")), A, B).count() == 0
     got = alignment.align_tokenizers(stored(spark, [(1, None, None, None, 0), (2, "", "en", "a", 0)], str(tmp_path / "u")), A, B, digest=True)
     same(got.collect(), [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")])
+
+
+def test_a_word_is_encoded_once_whatever_signs_follow(libs):
+    own = alignment.Pair(A, B)
+    texts = ["stone stone, stone. stone!!\nstone %%% été:", "stone?\nété;\nStone", "a\tstone, 3.5, x1, it's, été,", "stone▁, x", "<s>. </s>,\nstone"]
+    for text, coded in zip(texts, own.encode(texts)):
+        a, b, _, _ = groups_of(libs, text)
+        assert (coded is None) == (not a)
+        assert coded is None or [np.frombuffer(x, "<u4").tolist() for x in coded] == [a, b]
+    assert not {"stone,", "stone.", "stone?"} & own.words.keys() and {"stone", "été"} <= own.words.keys() | own.lines.keys()
+    assert own.encode(texts) == own.encode(texts)

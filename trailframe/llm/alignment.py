@@ -17,10 +17,12 @@ blank (``Pair`` checks that of B's), so its tokens are those of the whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +63,17 @@ class Pair:
 
     A worker keeps the ids of words that stand between two blanks with no other
     white space next to them; equal words have equal ids wherever they stand.
+    Words kept have numbers, by which the ids of many texts are gathered at once.
+    A word's signs behind its letters, and what follows a line's end in it, are
+    looked up apart: no token of either vocabulary reaches over these places.
     """
 
+    # Blanks with other white space beside them.
+    ODD = re.compile(r" \s"), re.compile(r"[^\S ] ")
     CUT = re.compile(r"(?<=\S) (?=\S)")
     BARE = re.compile(r"\S(.*\S)?", re.S)
+    LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and (c.isascii() or c >= "\u00c0"))
+    SIGNS = ".,;:!?#*$%&|<>"
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,7 +96,20 @@ class Pair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a = np.array([len(b) for b in self.bytes_a], np.int64)
         self.size_b = np.array([len(b) for b in self.bytes_b], np.int64)
-        self.words: dict[str, tuple[bytes, bytes] | None] = {}
+        letters, signs = (re.escape("".join(sorted(x))) for x in (self.LETTERS, self.SIGNS))
+        over = re.compile(f"[{letters}][{signs}]")
+        spoken = [p for i, p in enumerate(pieces) if not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i))]
+        self.apart = not any("\n" in p or over.search(p) for p in spoken)
+        self.clear()
+
+    def clear(self) -> None:
+        # Numbers of words behind a blank, of words behind a line's end (with it) and of signs. Number 0: bytes that aren't given back.
+        self.words: dict[str, int] = {}
+        self.lines: dict[str, int] = {}
+        self.signs: dict[str, int] = {}
+        # Of each vocabulary the ids of all numbers, and where a number's begin.
+        self.ids = [np.zeros(0, "<u4"), np.zeros(0, "<u4")]
+        self.begin = [np.zeros(2, np.int64), np.zeros(2, np.int64)]
 
     @classmethod
     def of(cls, a_path: str, b_path: str) -> Pair:
@@ -102,59 +124,193 @@ class Pair:
         found_b = self.b.encode(texts, num_threads=1)
         return [(np.array(a.ids, "<u4"), np.array(b, "<u4")) for a, b in zip(found_a, found_b)]
 
-    def learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """Ids of words behind a blank; None where they don't give the word's bytes back. Many are encoded side by side."""
-        found: dict[str, tuple[bytes, bytes] | None] = {}
-        bare = [w for w in words if len(w) <= LONG_WORD and self.BARE.fullmatch(w)]
-        for at in range(0, len(bare), 4000):
-            own = bare[at : at + 4000]
-            a, b = self.whole([" ".join(own)])[0]
-            raw = [b" " + w.encode() for w in own]
+    def keep(self, ids: list[np.ndarray], ends: list[np.ndarray]) -> range:
+        """The next numbers, for ids whose stretches end at ``ends``."""
+        first = len(self.begin[0]) - 1
+        for side in (0, 1):
+            self.begin[side] = np.concatenate([self.begin[side], ends[side] + len(self.ids[side])])
+            self.ids[side] = np.concatenate([self.ids[side], ids[side]])
+        return range(first, first + len(ends[0]))
+
+    def drop(self, numbers: int) -> None:
+        """Forget all numbers from ``numbers`` on."""
+        for side in (0, 1):
+            self.begin[side] = self.begin[side][: numbers + 1]
+            self.ids[side] = self.ids[side][: self.begin[side][-1]]
+
+    def gather(self, numbers: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vocabulary the ids of these numbers, end to end, and where each number's end."""
+        out = []
+        for ids, begin in zip(self.ids, self.begin):
+            low = begin[numbers]
+            n = begin[numbers + 1] - low
+            ends = np.cumsum(n)
+            out.append((ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(low - ends + n, n)], ends))
+        return out
+
+    def spells(self, a: np.ndarray, b: np.ndarray, data: bytes) -> bool:
+        return all(b"".join(map(of.__getitem__, ids.tolist())) == data for of, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+
+    def beside(self, words: list[str], mark: str, known: dict[str, int], bare: bool = False) -> None:
+        """Number words behind ``mark`` (a blank or a line's end), encoded side by side; ``bare`` ones without it.
+
+        Words of a run that doesn't give its bytes back, or in which a token reaches over a word's end, are passed over.
+        """
+        opening = "" if mark == " " else "a"
+        for at in range(0, len(words), 4000):
+            own = words[at : at + 4000]
+            text = mark.join([opening, *own]) if opening else mark.join(own)
+            a, b = self.whole([text])[0]
+            raw = [(mark + w).encode() for w in own]
+            if opening:
+                raw.insert(0, b" " + opening.encode())
             stops = np.cumsum([len(r) for r in raw])
-            ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-            if not (len(ends_a) and len(ends_b) and ends_a[-1] == ends_b[-1] == stops[-1]):
+            found = [(a, np.cumsum(self.size_a[a])), (b, np.cumsum(self.size_b[b]))]
+            if not all(len(e) and e[-1] == stops[-1] for _, e in found):
                 continue
-            last_a, last_b = np.searchsorted(ends_a, stops) + 1, np.searchsorted(ends_b, stops) + 1
-            if (ends_a[last_a - 1] != stops).any() or (ends_b[last_b - 1] != stops).any():
+            last = [np.searchsorted(e, stops) for _, e in found]
+            if any((e[x] != stops).any() for (_, e), x in zip(found, last)) or not self.spells(a, b, b"".join(raw)):
                 continue
-            data = b"".join(raw)
-            if b"".join([self.bytes_a[i] for i in a.tolist()]) != data or b"".join([self.bytes_b[i] for i in b.tolist()]) != data:
+            ids, ends = [a, b], [x + 1 for x in last]
+            if opening:
+                ids, ends = [i[e[0] :] for i, e in zip(ids, ends)], [e[1:] - e[0] for e in ends]
+            if bare:
+                # The mark is the first token of each.
+                first = [np.concatenate([[0], e[:-1]]) for e in ends]
+                if any((size[i[f]] != len(mark)).any() for size, i, f in zip((self.size_a, self.size_b), ids, first)):
+                    continue
+                ids, ends = [np.delete(i, f) for i, f in zip(ids, first)], [e - np.arange(1, len(e) + 1) for e in ends]
+            known.update(zip(own, self.keep(ids, ends)))
+
+    def parts(self, word: str) -> list[str] | None:
+        """Stem and signs of every line of a word; None where a line isn't letters and then signs."""
+        found = []
+        for line in word.split("\n"):
+            stem = line.rstrip(self.SIGNS)
+            if not stem.isalpha() or stem[-1] not in self.LETTERS:
+                return None
+            found += (stem, line[len(stem) :])
+        return found
+
+    def learn(self, words: list[str]) -> dict[str, int]:
+        """Numbers of new words. Composed and long ones, and those encoded alone, are numbered behind ``kept``."""
+        composed: list[tuple[str, list[str]]] = []
+        plain: dict[str, None] = {}
+        lines: set[str] = set()
+        signs: set[str] = set()
+        ends, stems = [], []
+        for w in words:
+            if w.isalpha():
+                plain[w] = None
                 continue
-            a, b = a.tobytes(), b.tobytes()
-            cuts_a, cuts_b = [0, *(4 * last_a).tolist()], [0, *(4 * last_b).tolist()]
-            for i, w in enumerate(own):
-                found[w] = (a[cuts_a[i] : cuts_a[i + 1]], b[cuts_b[i] : cuts_b[i + 1]])
+            stem = w.rstrip(self.SIGNS) if self.apart else ""
+            if stem.isalpha() and stem[-1] in self.LETTERS:
+                # Most are one stem and its signs.
+                ends.append(w)
+                stems.append(stem)
+                continue
+            parts = self.parts(w) if self.apart and "\n" in w else None
+            if parts is not None:
+                composed.append((w, parts))
+                plain[parts[0]] = None
+                signs.update(parts[1::2])
+                lines.update(parts[2::2])
+            elif self.BARE.fullmatch(w):
+                plain[w] = None
+        plain.update(dict.fromkeys(stems))
+        tails = [w[len(stem) :] for w, stem in zip(ends, stems)]
+        signs.update(tails)
+        signs.discard("")
+        for new, mark, known in ((plain, " ", self.words), (lines, "\n", self.lines), (signs, "\n", self.signs)):
+            self.beside([w for w in new if w not in known and len(w) <= LONG_WORD], mark, known, known is self.signs)
+        passing: dict[str, int] = {}
+        whole, numbers, count = [], [], []
+        for w, stem, tail in zip(ends, map(self.words.get, stems), map(self.signs.get, tails)):
+            if stem is not None and tail is not None:
+                whole.append(w)
+                numbers += (stem, tail)
+        count += [2] * len(whole)
+        for w, parts in composed:
+            own = [self.words.get(parts[0])]
+            own += map(self.lines.get, parts[2::2])
+            own = [n for pair in zip(own, [self.signs.get(x) if x else -1 for x in parts[1::2]]) for n in pair if n != -1]
+            if None not in own:
+                whole.append(w)
+                numbers += own
+                count.append(len(own))
+        self.kept = len(self.begin[0]) - 1
+        if whole:
+            last = np.cumsum(count) - 1
+            (a, ends_a), (b, ends_b) = self.gather(np.array(numbers))
+            passing.update(zip(whole, self.keep([a, b], [ends_a[last], ends_b[last]])))
         # Alone: long ones, ones with white space at an end, and runs that don't give their bytes back.
-        rest = [w for w in words if w not in found]
-        for w, (a, b) in zip(rest, self.whole(rest) if rest else []):
-            data = b" " + w.encode()
-            same = b"".join([self.bytes_a[i] for i in a.tolist()]) == data and b"".join([self.bytes_b[i] for i in b.tolist()]) == data
-            found[w] = (a.tobytes(), b.tobytes()) if same else None
-        return found
+        rest = [w for w in words if w not in passing and w not in self.words]
+        coded = [c if self.spells(*c, b" " + w.encode()) else None for w, c in zip(rest, self.whole(rest))] if rest else []
+        good = [(w, c) for w, c in zip(rest, coded) if c is not None]
+        passing.update([(w, 0) for w, c in zip(rest, coded) if c is None])
+        if good:
+            sides = list(zip(*(c for _, c in good)))
+            passing.update(zip([w for w, _ in good], self.keep([np.concatenate(x) for x in sides], [np.cumsum([len(i) for i in x]) for x in sides])))
+        return {w: passing[w] if w in passing else self.words[w] for w in words}
+
+    def cut(self, text: str) -> list[str]:
+        """Words between blanks that have no other white space beside them."""
+        if text[:1] != " " and text[-1:] != " " and not any(odd.search(text) for odd in self.ODD):
+            return text.split(" ")
+        return self.CUT.split(text)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Per text the ids of blank + text, None where a vocabulary doesn't give these bytes back."""
-        cut = [self.CUT.split(t) for t in texts]
-        fresh = list({w for parts in cut for w in parts if w not in self.words})
-        new = self.learn(fresh)
-        if len(self.words) + len(new) > MOST_WORDS:
-            self.words.clear()
-            new = self.learn(list({w for parts in cut for w in parts}))
-        self.words.update(new)
-        out: list[tuple[bytes, bytes] | None] = []
-        for parts in cut:
-            ids = [self.words[w] for w in parts]
-            out.append(None if None in ids else (b"".join([i[0] for i in ids]), b"".join([i[1] for i in ids])))
-        for w in new:
-            if len(w) > LONG_WORD:
-                del self.words[w]
-        return out
+        if not texts:
+            return []
+        cut = [self.cut(t) for t in texts]
+        flat = list(chain.from_iterable(cut))
+        numbers = list(map(self.words.get, flat))
+        places = [i for i, n in enumerate(numbers) if n is None]
+        fresh = list(dict.fromkeys([flat[i] for i in places]))
+        if len(self.begin[0]) + len(fresh) > MOST_WORDS:
+            self.clear()
+            places, fresh = range(len(flat)), list(dict.fromkeys(flat))
+        if fresh:
+            learnt = self.learn(fresh)
+            for i in places:
+                numbers[i] = learnt[flat[i]]
+        all_numbers = np.array(numbers, np.int64)
+        last = np.cumsum([len(parts) for parts in cut])
+        bad = np.logical_or.reduceat(all_numbers == 0, np.concatenate([[0], last[:-1]]))
+        sides = []
+        for ids, ends in self.gather(all_numbers):
+            stops = [0, *ends[last - 1].tolist()]
+            sides.append([ids[x:y].tobytes() for x, y in zip(stops, stops[1:])])
+        if fresh:
+            self.drop(self.kept)
+        return [None if x else (a, b) for x, a, b in zip(bad.tolist(), *sides)]
+
+
+@functools.cache
+def _decimals() -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 100,000: their digits, with room for a mark behind them, and how many."""
+    digits = np.zeros((100_000, 6), np.uint8)
+    width = np.ones(100_000, np.uint8)
+    for n in range(1, 5):
+        width[10**n :] += 1
+    at = np.arange(100_000)
+    for n in range(1, 6):
+        some = at[width == n]
+        for digit in range(n):
+            digits[some, n - 1 - digit] = 48 + some // 10**digit % 10
+    return digits, width
 
 
 def _spelled(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers in decimal, each with its mark behind it, and where each ends."""
+    digits, widths = _decimals()
+    if not len(ids) or int(ids.max()) < len(widths):
+        out, width = digits[ids], widths[ids]
+        out[np.arange(len(ids)), width] = marks
+        return out[np.arange(6, dtype=np.uint8) <= width[:, None]], np.cumsum(width.astype(np.int64) + 1)
     width, power = np.ones(len(ids), np.int64), 10
-    while len(ids) and power <= int(ids.max()):
+    while power <= int(ids.max()):
         width += ids >= power
         power *= 10
     ends = np.cumsum(width + 1)
@@ -190,10 +346,12 @@ class Aligned:
         left = np.repeat(np.arange(len(a)), n)
         right = np.arange(total) - np.repeat(ends - n - begin, n)
         self.pairs = a[left].astype(U) << U(32) | b[right].astype(U)
-        self.run = np.searchsorted(self.last_a, left, "right")
+        self.run = np.repeat(np.repeat(np.arange(self.runs), self.n_a), n)
         self.n_links = np.bincount(self.run, minlength=self.runs)
         # Spelling: a group's A tokens, then its B tokens.
-        group_a, group_b = np.searchsorted(cut_a, np.arange(len(a))), np.searchsorted(cut_b, np.arange(len(b)))
+        cut_of_b = np.zeros(len(b), bool)
+        cut_of_b[cut_b] = True
+        group_a, group_b = np.cumsum(cut) - cut, np.cumsum(cut_of_b) - cut_of_b
         ids, marks = np.empty(len(a) + len(b), np.uint32), np.empty(len(a) + len(b), np.uint8)
         place_a = np.arange(len(a)) + np.concatenate([[0], cut_b + 1])[group_a] if len(a) else np.zeros(0, int)
         place_b = np.arange(len(b)) + cut_a[group_b] + 1 if len(b) else np.zeros(0, int)
