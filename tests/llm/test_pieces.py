@@ -106,3 +106,11 @@ def test_all_samples_decode_in_one_worker(spark):
     """Every Python node of a plan is one more worker beside each task."""
     df = pieces.op4_sample_pieces(spark, SF)
     assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_lattices_are_found_by_word():
+    sampler = pieces.Sampler(pieces.vocabulary("piece_bpe_32k.model"), 2, 1)
+    texts, seeds = ["stone  on stone", "", "stone é"], np.arange(3).astype(np.uint64)
+    found = sampler.sample(texts, seeds)
+    assert set(sampler.lattices.roots) == {"stone", "", "on", "é"}
+    assert found == sampler.sample(texts, seeds) and found[2] == sampler.sample(texts[2:], seeds[2:])[0]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -137,10 +138,10 @@ class Lattices:
         order = np.argsort(pos * 4096 + (4095 - np.minimum(length, 4095)), kind="stable")
         return pos[order], (pos + length)[order], piece[order], weight[order]
 
-    def add(self, units: list[str]) -> None:
-        """Lattices of new units, all of them at once."""
-        sizes = np.array([len(u) for u in units], np.int64)
-        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    def add(self, words: list[str]) -> None:
+        """Lattices of new units, a blank and a word each, all of them at once."""
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        chars = np.frombuffer((" " + " ".join(words)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         ends = np.cumsum(sizes)
         end = np.repeat(ends, sizes)
         pos, to, piece, weight = self.edges(chars, end)
@@ -173,7 +174,7 @@ class Lattices:
             setattr(self, name, grown)
         self.first[base : base + n + 1] = first + held
         self.nodes, self.held = base + n, held + m
-        self.roots.update(zip(units, (ends - sizes + base).tolist()))
+        self.roots.update(zip(words, (ends - sizes + base).tolist()))
 
     @staticmethod
     def _room(values: np.ndarray, n: int) -> np.ndarray:
@@ -241,11 +242,14 @@ class Sampler:
         lat = self.lattices
         if lat.held > KEPT:
             lat.clear()
-        units = [[" " + w for w in t.split(" ")] if t else [] for t in texts]
-        fresh = list(dict.fromkeys(u for own in units for u in own if u not in lat.roots))
+        words = [t.split(" ") if t else [] for t in texts]
+        flat = list(chain.from_iterable(words))
+        found = list(map(lat.roots.get, flat))
+        fresh = list(dict.fromkeys(w for w, root in zip(flat, found) if root is None))
         if fresh:
             lat.add(fresh)
-        roots = [np.array([lat.roots[u] for u in own], dtype=np.int64) for own in units]
+            found = list(map(lat.roots.__getitem__, flat))
+        roots = np.split(np.array(found, np.int64), np.cumsum([len(own) for own in words])[:-1])
         return self._sample(lat.arrays(), roots, mix(seeds + U(self.seed)))
 
     def _sample(self, views: tuple, roots: list[np.ndarray], seeds: np.ndarray) -> list[list[tuple]]:
@@ -408,7 +412,7 @@ def decoder(model: str):
         kind = "<u2" if size <= 0x10000 else "<u4"
 
         def text(ids: bytes | None) -> str | None:
-            return None if ids is None else b"".join([raw[i] for i in np.frombuffer(ids, kind).tolist()])[1:].decode("utf-8", "surrogatepass")
+            return None if ids is None else b"".join(map(raw.__getitem__, np.frombuffer(ids, kind).tolist()))[1:].decode("utf-8", "surrogatepass")
 
         for batch in batches:
             yield pd.Series([None if own is None else [text(x) for x in own] for own in batch], dtype="object")
