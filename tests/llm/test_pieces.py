@@ -114,3 +114,48 @@ def test_lattices_are_found_by_word():
     found = sampler.sample(texts, seeds)
     assert set(sampler.lattices.roots) == {"stone", "", "on", "é"}
     assert found == sampler.sample(texts, seeds) and found[2] == sampler.sample(texts[2:], seeds[2:])[0]
+
+
+def test_common_words_outlive_the_room(monkeypatch):
+    """Full room once cost every word its lattice; now it's only those of one batch."""
+    monkeypatch.setattr(pieces, "KEPT", 4_000)
+    sampler, plain = pieces.Sampler(MODEL, 2, 1), pieces.Sampler(MODEL, 2, 1)
+    added = []
+    sampler.lattices.add = lambda words: (added.extend(words), pieces.Lattices.add(sampler.lattices, words))[1]
+    for i in range(60):
+        texts, seeds = [f"stone on stones {' '.join(f'w{i}x{j}' for j in range(60))} 🙂 é"], np.array([i], np.uint64)
+        got = sampler.sample(texts, seeds)
+        plain.lattices.clear()
+        assert got == plain.sample(texts, seeds)
+        assert sampler.lattices.held < 8_000
+    assert Counter(added)["stone"] == 1 == Counter(added)["🙂"] and len(added) == 60 * 60 + 5
+
+
+def test_units_of_rare_characters():
+    """Long and rare words, whose sums no number holds without logarithms, have the same shares by both ways."""
+    lat = pieces.Lattices(MODEL)
+    words = ["stone", "🙂" * 40, "a" * 61, "é", "𝒳" * 59 + "a", "", "z" * 300, "on"]
+    lat.add(words)
+    for number, word in enumerate(words):
+        alone = pieces.Lattices(MODEL)
+        alone.start = alone.size = alone.hits = np.zeros(1, np.int64)
+        alone._add([word], np.zeros(1, np.int64), True)
+        first = lat.first[lat.start[number] : lat.start[number] + lat.size[number] + 1]
+        assert np.array_equal(first - first[0], alone.first[: alone.nodes + 1]) and lat.size[number] == len(word) + 1
+        own = slice(first[0], first[-1])
+        assert np.array_equal(lat.piece[own], alone.piece[: alone.held])
+        assert np.allclose(lat.share[own], alone.share[: alone.held], rtol=1e-9, atol=0)
+        assert np.allclose(np.add.reduceat(lat.share[own], first[:-1] - first[0]), 1)
+
+
+def test_more_samples_than_two():
+    """Paths kept over several rounds have the probabilities that enumeration gives, and values descend."""
+    sampler = pieces.Sampler(MODEL, 9, 3)
+    texts = ["stone on stones", "a", "", "qx z é", "stones on"]
+    for text, own in zip(texts, sampler.sample(texts, np.arange(5).astype(np.uint64))):
+        truth = [1.0]
+        for word in text.split(" ") if text else []:
+            truth = [p * q for p in truth for q in paths(sampler.lattices, " " + word).values()]
+        assert len({s[0] for s in own}) == len(own) == min(9, len(truth))
+        assert [s[3] for s in own] == sorted((s[3] for s in own), reverse=True)
+        assert all(np.isclose(math.exp(s[2]), truth, rtol=1e-6, atol=0).any() for s in own)

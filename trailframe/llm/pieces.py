@@ -14,13 +14,14 @@ to the end of the text, leaving new regions beside it.
 from __future__ import annotations
 
 import math
+from bisect import bisect
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain, compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,22 @@ from trailframe.llm.tokens import vocabulary
 U = np.uint64
 BLANK = "▁"  # how the vocabulary writes a blank
 # Lattice edges that a task keeps for units it has seen.
-KEPT = 1_500_000
+KEPT = 2_000_000
+# Units up to this long are summed without logarithms, each character weighing 2**SCALE; sums beyond LEAST and its inverse are left to logarithms.
+SHORT, SCALE, LEAST = 60, 10, 1e-200
+
+
+class Numbers(dict):
+    """Numbers of words in the order they are first asked for; ``fresh`` are the new ones."""
+
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
 
 
 class Lattices:
@@ -89,18 +105,50 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.roots: dict[str, int] = {}
+        # Words by number; by number also their first nodes, how many nodes, and how many batches of texts had them.
+        self.roots = Numbers()
+        self.start = self.size = self.hits = np.zeros(0, np.int64)
         self.nodes = self.held = 0
         # Room for what is kept and a batch more; pages that aren't used take no memory.
         room = KEPT + (1 << 19)
-        self.first = np.empty(room, np.int64)
-        self.piece, self.next = np.empty(room, np.int32), np.empty(room, np.int32)
-        self.share, self.upto = np.empty(room), np.empty(room)
+        self.first = np.zeros(room, np.int64)
+        self.piece, self.next, self.share = np.empty(room, np.int32), np.empty(room, np.int32), np.empty(room)
+
+    def prune(self) -> None:
+        """Keep the words that most batches had, in half of the room at most; words of one batch go."""
+        n, m = self.nodes, self.held
+        by = np.argsort(self.start, kind="stable")
+        start, size, hits = self.start[by], self.size[by], self.hits[by]
+        degree, edges = np.diff(self.first[: n + 1]), self.first[start + size] - self.first[start]
+        order = np.argsort(-hits, kind="stable")
+        keep = np.zeros(len(order), bool)
+        keep[order[(np.cumsum(edges[order]) <= KEPT // 2) & (hits[order] > 1)]] = True
+        node, edge = np.repeat(keep, size), np.flatnonzero(np.repeat(keep, edges))
+        moved = np.append(np.cumsum(node) - 1, -1)  # -1, a unit's end, stays
+        self.nodes, self.held = int(node.sum()), len(edge)
+        self.first[1 : self.nodes + 1] = np.cumsum(degree[node])
+        self.piece[: self.held], self.share[: self.held] = self.piece[:m][edge], self.share[:m][edge]
+        self.next[: self.held] = moved[self.next[:m][edge]]
+        self.size, self.hits = size[keep], hits[keep]
+        self.start = np.cumsum(self.size) - self.size
+        words = list(self.roots)
+        self.roots = Numbers(zip(map(words.__getitem__, by[keep].tolist()), range(len(self.size))))
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """First nodes of words' lattices; those of new words are added."""
+        if self.held > KEPT:
+            self.prune()
+        number = np.fromiter(map(self.roots.__getitem__, words), np.int64, len(words))
+        if self.roots.fresh:
+            self.add(self.roots.fresh)
+            self.roots.fresh = []
+        self.hits[number] += 1  # once, however often it is there
+        return self.start.take(number)
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next states, -1 where no piece goes on so."""
-        column = self.column[char]
-        out = self.table[state, np.minimum(column, self.COLUMNS - 1)]
+        column = self.column.take(char)
+        out = self.table.take(state * np.int64(self.COLUMNS) + np.minimum(column, self.COLUMNS - 1))
         rare = np.flatnonzero(column == self.COLUMNS)
         if len(rare):
             key = (state[rare].astype(np.int64) << 21) | char[rare]
@@ -115,66 +163,121 @@ class Lattices:
         """
         at = np.arange(len(chars))
         state, live, length = np.zeros(len(chars), np.int32), at, 0
-        found, single = [], np.zeros(len(chars), bool)
+        # Edges of one length after another; ``count`` of a position's edges are shorter than the one in hand.
+        found, count = [], np.zeros(len(chars), np.int64)
         while len(live):
-            state = self.step(state, chars[live + length])
+            state = self.step(state, chars.take(live + length))
             length += 1
-            on = state >= 0
-            state, live = state[on], live[on]
-            own = self.piece_of[state]
-            has = own >= 0
-            found.append((live[has], np.full(int(has.sum()), length), own[has], self.weight_of[state[has]]))
+            on = np.flatnonzero(state >= 0)
+            state, live = state.take(on), live.take(on)
+            own = self.piece_of.take(state)
+            has = np.flatnonzero(own >= 0)
+            where = live.take(has)
             if length == 1:
-                single[live[has]] = True
-            on = live + length < end[live]
-            state, live = state[on], live[on]
-        bare = np.flatnonzero(~single)
-        if len(bare):
-            code = chars[bare]
-            size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-            spelled = np.where(code < 0x80, np.array(self.bytes)[np.minimum(code, 0x7F)], -1 - code)
-            found.append((bare, np.ones(len(bare), np.int64), spelled, self.byte_weight**size))
-        pos, length, piece, weight = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(pos * 4096 + (4095 - np.minimum(length, 4095)), kind="stable")
-        return pos[order], (pos + length)[order], piece[order], weight[order]
+                single = np.zeros(len(chars), bool)
+                single[where] = True
+                bare = np.flatnonzero(~single)
+                if len(bare):
+                    code = chars[bare]
+                    size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+                    spelled = np.where(code < 0x80, np.array(self.bytes)[np.minimum(code, 0x7F)], -1 - code)
+                    found.append((bare, 1, 0, spelled, self.byte_weight**size))
+                    count[bare] = 1
+            shorter = count.take(where)
+            found.append((where, length, shorter, own.take(has), self.weight_of.take(state.take(has))))
+            count[where] = shorter + 1
+            on = np.flatnonzero(live + length < end.take(live))
+            state, live = state.take(on), live.take(on)
+        bound = np.cumsum(count)
+        total = int(bound[-1]) if len(bound) else 0
+        to, piece, weight = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+        for where, length, shorter, own, value in found:
+            slot = bound.take(where) - 1 - shorter
+            to[slot], piece[slot], weight[slot] = where + length, own, value
+        return np.repeat(at, count), to, piece, weight
 
     def add(self, words: list[str]) -> None:
         """Lattices of new units, a blank and a word each, all of them at once."""
-        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        grown = (np.concatenate([x, np.zeros(len(words), np.int64)]) for x in (self.start, self.size, self.hits))
+        number = np.arange(len(self.start), len(self.start) + len(words))
+        self.start, self.size, self.hits = grown
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        if sizes.max() > SHORT:
+            long = sizes > SHORT
+            self._add(list(compress(words, long.tolist())), number[long], True)
+            words, number = list(compress(words, (~long).tolist())), number[~long]
+        self._add(words, number, False)
+
+    def _add(self, words: list[str], number: np.ndarray, by_logs: bool) -> None:
+        """Words of these numbers; without logarithms, those whose sums leave the range are added anew with them."""
+        if not words:
+            return
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         chars = np.frombuffer((" " + " ".join(words)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         ends = np.cumsum(sizes)
         end = np.repeat(ends, sizes)
         pos, to, piece, weight = self.edges(chars, end)
         n = len(chars)
-        first = np.searchsorted(pos, np.arange(n + 1))
-        # Log of the sum of all paths from a position to its unit's end, from the ends backwards.
-        logs, logw = np.zeros(n + 1), np.log(weight)
+        first = np.append(0, np.cumsum(np.bincount(pos, minlength=n)))
         left = end - np.arange(n)
-        by_left = np.argsort(left[pos].astype(np.uint16 if sizes.max() < 1 << 16 else np.int64), kind="stable")
-        steps = np.searchsorted(left[pos][by_left], np.arange(1, int(sizes.max()) + 2))
+        own_left = left[pos]
+        by_left = np.argsort(own_left.astype(np.uint16 if sizes.max() < 1 << 16 else np.int64), kind="stable")
+        steps = np.append(0, np.cumsum(np.bincount(own_left)[1:])).tolist()
         last = to == end[pos]
-        for r in range(len(steps) - 1):
-            e = by_left[steps[r] : steps[r + 1]]
-            if not len(e):
-                continue
-            value = logw[e] + np.where(last[e], 0.0, logs[to[e]])
-            cut = np.flatnonzero(np.diff(pos[e], prepend=-1))
-            top = np.maximum.reduceat(value, cut)
-            total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(cut, append=len(e)))), cut)
-            logs[pos[e[cut]]] = top + np.log(total)
-        share = np.exp(logw + np.where(last, 0.0, logs[to]) - logs[pos])
-        run = np.cumsum(share)
-        upto = run - np.repeat(run[first[:-1]] - share[first[:-1]], np.diff(first))
-        upto[first[1:] - 1] = 2.0
+        if by_logs:
+            share = self._by_logs(pos, to, weight, last, by_left, steps, n)
+        else:
+            share, sums = self._by_products(pos, to, weight, last, by_left, steps, n)
+            bad = ~((sums > LEAST) & (sums < 1 / LEAST))
+            if bad.any():
+                out = np.logical_or.reduceat(bad, ends - sizes)
+                self._add(list(compress(words, (~out).tolist())), number[~out], False)
+                self._add(list(compress(words, out.tolist())), number[out], True)
+                return
         base, held, m = self.nodes, self.held, len(pos)
         self.first = self._room(self.first, base + n + 1)
-        for name, values in (("piece", piece), ("next", np.where(last, -1, to + base)), ("share", share), ("upto", upto)):
+        for name, values in (("piece", piece), ("next", np.where(last, -1, to + base)), ("share", share)):
             grown = self._room(getattr(self, name), held + m)
             grown[held : held + m] = values
             setattr(self, name, grown)
         self.first[base : base + n + 1] = first + held
         self.nodes, self.held = base + n, held + m
-        self.roots.update(zip(words, (ends - sizes + base).tolist()))
+        self.start[number], self.size[number] = ends - sizes + base, sizes
+
+    @staticmethod
+    def _by_products(pos, to, weight, last, by_left, steps, n) -> tuple[np.ndarray, np.ndarray]:
+        """Edges' shares, and sums of all paths from each position to its unit's end times ``SCALE`` for each character left."""
+        sums = np.ones(n + 1)
+        value = np.empty(len(pos))
+        pos_, to_ = pos[by_left], np.where(last, n, to)[by_left]
+        # Powers of two: they change no digit.
+        weight_ = np.ldexp(weight, SCALE * (to - pos))[by_left]
+        for a, b in zip(steps, steps[1:]):
+            if a == b:
+                continue
+            own = weight_[a:b] * sums.take(to_[a:b])
+            cut = np.flatnonzero(np.diff(pos_[a:b], prepend=-1))
+            sums[pos_[a:b][cut]] = np.add.reduceat(own, cut)
+            value[a:b] = own
+        share = np.empty(len(pos))
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            share[by_left] = value / sums[pos_]
+        return share, sums[:n]
+
+    @staticmethod
+    def _by_logs(pos, to, weight, last, by_left, steps, n) -> np.ndarray:
+        """The same shares for units of any length, from the logs of the sums."""
+        logs, logw = np.zeros(n + 1), np.log(weight)
+        for a, b in zip(steps, steps[1:]):
+            e = by_left[a:b]
+            if not len(e):
+                continue
+            value = logw[e] + np.where(last[e], 0.0, logs[to[e]])
+            cut = np.flatnonzero(np.diff(pos[e], prepend=-1))
+            top = np.maximum.reduceat(value, cut)
+            total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(cut, append=len(e)))), cut)
+            logs[pos[e[cut]]] = top + np.log(total)
+        return np.exp(logw + np.where(last, 0.0, logs[to]) - logs[pos])
 
     @staticmethod
     def _room(values: np.ndarray, n: int) -> np.ndarray:
@@ -182,7 +285,7 @@ class Lattices:
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         n, m = self.nodes, self.held
-        return self.first[: n + 1], self.piece[:m], self.next[:m], self.share[:m], self.upto[:m]
+        return self.first[: n + 1], self.piece[:m], self.next[:m], self.share[:m]
 
 
 def uniform(seed: np.ndarray, counter: np.ndarray, stream: int) -> np.ndarray:
@@ -204,31 +307,45 @@ def below(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
         return -np.logaddexp(-bound, np.log(-np.log(u)) - mass)
 
 
-def draw(views: tuple, start: np.ndarray, seed: np.ndarray, counter: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draw a path down from every start node: (index of the start, node, edge), in path order."""
-    first, _, nxt, _, upto = views
-    live, node, depth = np.arange(len(start)), start.copy(), 0
-    who, nodes, edges = [], [], []
-    inside = node >= 0
-    live, node = live[inside], node[inside]
+def draw(views: tuple, start: np.ndarray, seed: np.ndarray, counter: np.ndarray, stream: int) -> tuple[np.ndarray, ...]:
+    """Draw a path down from every start node: (index of the start, node, edge, its share), in path order."""
+    first, _, nxt, share = views
+    live = np.flatnonzero(start >= 0)
+    node, depth = start[live], 0
+    steps, count = [], np.zeros(len(start), np.int64)
     while len(live):
-        u = uniform(seed[live], counter[live] + depth, stream)
-        edge = first[node]
-        more = np.flatnonzero(u > upto[edge])
+        over = uniform(seed.take(live), counter.take(live) + depth, stream)
+        edge, end = first.take(node), first.take(node + 1) - 1
+        part = share.take(edge)
+        # Past an edge by taking its share off what is left of the number; the node's last edge takes all.
+        more = np.flatnonzero((over > part) & (edge < end))
         while len(more):
+            over[more] -= part[more]
             edge[more] += 1
-            more = more[u[more] > upto[edge[more]]]
-        who.append(live)
-        nodes.append(node)
-        edges.append(edge)
-        node = nxt[edge].astype(np.int64)
-        inside = node >= 0
-        live, node = live[inside], node[inside]
+            part[more] = share[edge[more]]
+            more = more[(over[more] > part[more]) & (edge[more] < end[more])]
+        steps.append((live, node, edge, part))
+        count[live] += 1
+        node = nxt.take(edge)
+        inside = np.flatnonzero(node >= 0)
+        live, node = live.take(inside), node.take(inside).astype(np.int64)
         depth += 1
-    if not who:
-        return (np.zeros(0, np.int64),) * 3
-    order = np.argsort(np.concatenate(who), kind="stable")
-    return tuple(np.concatenate(x)[order] for x in (who, nodes, edges))
+    bound = np.cumsum(count)
+    total = int(bound[-1]) if len(bound) else 0
+    nodes, edges, parts = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+    at = bound - count
+    for depth, (live, node, edge, part) in enumerate(steps):
+        slot = at.take(live) + depth
+        nodes[slot], edges[slot], parts[slot] = node, edge, part
+    return np.repeat(np.arange(len(start)), count), nodes, edges, parts
+
+
+def _best(region: np.ndarray) -> tuple[int, float]:
+    """Where the largest value is, and that value."""
+    if not len(region):
+        return -1, -math.inf
+    j = int(region.argmax())
+    return j, float(region[j])
 
 
 class Sampler:
@@ -237,119 +354,125 @@ class Sampler:
     def __init__(self, path: str, k: int, seed: int):
         self.lattices, self.k, self.seed = Lattices(path), k, seed
 
-    def sample(self, texts: list[str], seeds: np.ndarray) -> list[list[tuple[bytes, int, float, float, float]]]:
+    def sample(self, texts: list[str | None], seeds: np.ndarray) -> list[list[tuple[bytes, int, float, float, float]]]:
         """Per text up to ``k`` of (ids, pieces, log-probability, perturbed value, log of inclusion probability)."""
-        lat = self.lattices
-        if lat.held > KEPT:
-            lat.clear()
         words = [t.split(" ") if t else [] for t in texts]
-        flat = list(chain.from_iterable(words))
-        found = list(map(lat.roots.get, flat))
-        fresh = list(dict.fromkeys(w for w, root in zip(flat, found) if root is None))
-        if fresh:
-            lat.add(fresh)
-            found = list(map(lat.roots.__getitem__, flat))
-        roots = np.split(np.array(found, np.int64), np.cumsum([len(own) for own in words])[:-1])
-        return self._sample(lat.arrays(), roots, mix(seeds + U(self.seed)))
-
-    def _sample(self, views: tuple, roots: list[np.ndarray], seeds: np.ndarray) -> list[list[tuple]]:
-        first, piece, nxt, share, _ = views
-        n = len(roots)
-        zero = np.zeros(n, np.int64)
-        tops = -np.log(-np.log(uniform(seeds, zero, 0)))
-        # Per text and sample: edges, the unit of each edge, log mass before each edge, best value of the region beside it.
+        roots = self.lattices.find(list(chain.from_iterable(words)))
+        bounds = np.cumsum([0, *map(len, words)])
+        return self._sample(self.lattices.arrays(), roots, bounds, mix(seeds + U(self.seed)))
+
+    def _sample(self, views: tuple, roots: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> list[list[tuple]]:
+        piece = views[1]
+        n = len(seeds)
+        tops = -np.log(-np.log(uniform(seeds, np.zeros(n, np.int64), 0)))
         paths: list[list[dict]] = [[] for _ in range(n)]
-        # Where to go on: text, unit, start node, kept edges, value.
-        todo = [(d, 0, None, None, float(tops[d])) for d in range(n)]
+        # Where to go on: text, unit, start node, kept edges and the log mass after them, value.
+        none = np.zeros(0, np.int64)
+        todo = [(d, 0, None, none, 0.0, value) for d, value in enumerate(tops.tolist())]
+        ends = bounds[1:].tolist()
+        bounds = bounds.tolist()
         for r in range(self.k):
             if not todo:
                 break
-            starts, units, docs = [], [], []
-            for d, unit, node, _, _ in todo:
-                own = roots[d][unit:].copy()
-                if node is not None and len(own):
-                    own[0] = node
-                starts.append(own)
-                units.append(np.arange(unit, len(roots[d])))
-                docs.append(np.full(len(own), d))
-            start, unit, doc = np.concatenate(starts), np.concatenate(units), np.concatenate(docs)
-            who, nodes, edges = draw(views, start, seeds[doc], unit << 32, 2 * r + 1)
-            cuts = np.searchsorted(doc[who] if len(who) else who, [t[0] for t in todo] + [n])
+            at = np.array([bounds[t[0]] + t[1] for t in todo], np.int64)
+            sizes = np.array([ends[t[0]] for t in todo], np.int64) - at
+            ahead = np.cumsum(sizes) - sizes
+            slot = np.arange(int(sizes.sum())) + np.repeat(at - ahead, sizes)
+            docs = np.array([t[0] for t in todo], np.int64)
+            start, doc = roots[slot], np.repeat(docs, sizes)
+            unit = slot - np.repeat(np.array(bounds)[docs], sizes)
+            inner = [i for i, t in enumerate(todo) if t[2] is not None and sizes[i]]
+            start[ahead[inner]] = [todo[i][2] for i in inner]
+            seed = seeds[doc]
+            who, nodes, edges, shares = draw(views, start, seed, unit << 32, 2 * r + 1)
             with np.errstate(divide="ignore"):
-                logs, rest = np.log(share[edges]), np.log1p(-np.minimum(share[edges], 1.0))
-            rest[first[nodes + 1] - first[nodes] == 1] = -np.inf
-            chance = uniform(seeds[doc[who]], (unit[who] << 32) + np.arange(len(who)) - np.searchsorted(who, who), 2 * r + 2)
-            following = []
-            for i, (d, at, _, kept, value) in enumerate(todo):
-                a, b = cuts[i], cuts[i + 1]
-                before = kept["mass"] if kept else 0.0
-                run = before + np.cumsum(logs[a:b])
-                prior = np.concatenate([[before], run[:-1]]) if b > a else np.zeros(0)
-                region = below(prior + rest[a:b], np.full(b - a, value), chance[a:b]) if b > a else np.zeros(0)
-                path = {
-                    "edges": np.concatenate([kept["edges"], edges[a:b]]) if kept else edges[a:b],
-                    "unit": np.concatenate([kept["unit"], unit[who[a:b]]]) if kept else unit[who[a:b]],
-                    "prior": np.concatenate([kept["prior"], prior]) if kept else prior,
-                    "region": np.concatenate([np.full(len(kept["edges"]), -np.inf), region]) if kept else region,
-                    "mass": float(run[-1]) if b > a else before,
-                    "value": value,
-                    "taken": {},
-                }
-                paths[d].append(path)
-                following.append(d)
-            todo = [x for d in sorted(following) if (x := self._open(views, paths[d], d, seeds, r)) is not None] if r + 1 < self.k else []
+                logs, rest = np.log(shares), np.log1p(-np.minimum(shares, 1.0))
+            unit = unit[who]
+            steps = np.bincount(who, minlength=len(start))
+            depth = np.arange(len(who)) - np.repeat(np.cumsum(steps) - steps, steps)
+            chance = uniform(seed[who], (unit << 32) + depth, 2 * r + 2)
+            cuts = np.append(0, np.cumsum(steps))[np.append(ahead, len(start))]
+            prior, masses = np.empty(len(who)), []
+            for a, b, t in zip(cuts.tolist(), cuts[1:].tolist(), todo):
+                # Each text by itself, so that its sums don't depend on the others.
+                run = t[4] + np.cumsum(logs[a:b])
+                prior[a : a + 1] = t[4]
+                prior[a + 1 : b] = run[:-1]
+                masses.append(float(run[-1]) if b > a else t[4])
+            region = below(prior + rest, np.repeat(np.array([t[5] for t in todo]), np.diff(cuts)), chance)
+            for a, b, t, mass in zip(cuts.tolist(), cuts[1:].tolist(), todo, masses):
+                # All edges; of those not kept from another path: unit, node, log mass before, best value of the region beside.
+                paths[t[0]].append(
+                    {
+                        "edges": np.concatenate([t[3], edges[a:b]]) if len(t[3]) else edges[a:b], "skip": len(t[3]), "unit": unit[a:b],
+                        "node": nodes[a:b], "prior": prior[a:b], "region": region[a:b], "mass": mass, "value": t[5], "taken": {},
+                        "best": _best(region[a:b]),
+                    }
+                )
+            todo = self._open(views, [(t[0], paths[t[0]]) for t in todo], seeds, r) if r + 1 < self.k else []
+        taken = [p["edges"] for own in paths for p in own]
+        ids = self._ids(piece[np.concatenate(taken)] if taken else none, [len(x) for x in taken])
         out = []
         for own in paths:
             # The best value that was not taken decides how likely each sample was to be among the k.
-            limit = max((float(p["region"].max()) for p in own if len(p["region"])), default=-math.inf)
-            out.append([(*self._ids(piece[p["edges"]]), p["mass"], p["value"], _log_inclusion(p["mass"] - limit)) for p in own])
+            limit = max((p["best"][1] for p in own), default=-math.inf)
+            out.append([(*next(ids), p["mass"], p["value"], _log_inclusion(p["mass"] - limit)) for p in own])
         return out
 
     @staticmethod
-    def _nodes(first: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        return np.searchsorted(first, edges, "right") - 1
-
-    def _open(self, views: tuple, own: list[dict], d: int, seeds: np.ndarray, r: int):
-        """Open the text's best region: keep the path up to it, take another edge there."""
-        first, _, nxt, share, _ = views
-        best = max(range(len(own)), key=lambda i: own[i]["region"].max() if len(own[i]["region"]) else -math.inf)
-        path = own[best]
-        if not len(path["region"]):
-            return None
-        j = int(path["region"].argmax())
-        value = float(path["region"][j])
-        if value == -math.inf:
-            return None
-        edge = int(path["edges"][j])
-        node = int(self._nodes(first, np.array([edge]))[0])
-        taken = path["taken"].setdefault(j, [edge])
-        free = [e for e in range(int(first[node]), int(first[node + 1])) if e not in taken]
-        shares = share[free]
-        u = uniform(seeds[d : d + 1], np.array([(int(path["unit"][j]) << 32) + j]), 40 + 2 * (r % 8))
-        pick_ = free[min(len(free) - 1, int(np.searchsorted(np.cumsum(shares), float(u[0]) * shares.sum(), "right")))]
-        taken.append(pick_)
-        left = [float(share[e]) for e in free if e != pick_]
-        if left and sum(left) > 0:
-            u = uniform(seeds[d : d + 1], np.array([(int(path["unit"][j]) << 32) + j]), 41 + 2 * (r % 8))
-            path["region"][j] = below(np.array([path["prior"][j] + math.log(sum(left))]), np.array([value]), u)[0]
-        else:
-            path["region"][j] = -math.inf
-        kept = {
-            "edges": np.append(path["edges"][:j], pick_), "unit": path["unit"][: j + 1], "prior": path["prior"][: j + 1],
-            "mass": float(path["prior"][j] + math.log(share[pick_])),
-        }
-        unit, node = int(path["unit"][j]), int(nxt[pick_])
-        # A unit that ends here goes on with the next one.
-        return (d, unit + 1, None, kept, value) if node < 0 else (d, unit, node, kept, value)
-
-    def _ids(self, found: np.ndarray) -> tuple[bytes, int]:
-        kind = "<u2" if self.lattices.width == 2 else "<u4"
-        if len(found) and found.min() < 0:
-            spelled = []
-            for p in found.tolist():
-                spelled += [p] if p >= 0 else [self.lattices.bytes[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")]
-            found = np.array(spelled)
-        return found.astype(kind).tobytes(), len(found)
+    def _open(views: tuple, texts: list[tuple[int, list[dict]]], seeds: np.ndarray, r: int) -> list[tuple]:
+        """Open each text's best region: keep the path up to it, take another edge there."""
+        first, _, nxt, share = views
+        found = [(d, max(own, key=lambda p: p["best"][1])) for d, own in texts]
+        found = [(d, path, *path["best"]) for d, path in found if path["best"][1] > -math.inf]
+        if not found:
+            return []
+        seed = seeds[[d for d, *_ in found]]
+        counter = np.array([(int(path["unit"][j]) << 32) + path["skip"] + j for _, path, j, _ in found], np.int64)
+        node = np.array([path["node"][j] for _, path, j, _ in found], np.int64)
+        lows, highs = first[node].tolist(), first[node + 1].tolist()
+        draws = uniform(seed, counter, 40 + 2 * (r % 8)).tolist()
+        picks, left = [], []
+        for (_, path, j, _), low, high, u in zip(found, lows, highs, draws):
+            taken = path["taken"].setdefault(j, [int(path["edges"][path["skip"] + j])])
+            shares = share[low:high].tolist()
+            free = [e for e in range(low, high) if e not in taken]
+            upto = list(accumulate(shares[e - low] for e in free))
+            pick_ = free[min(len(free) - 1, bisect(upto, u * upto[-1]))]
+            taken.append(pick_)
+            picks.append(pick_)
+            left.append(sum(shares[e - low] for e in free if e != pick_))
+        prior = np.array([path["prior"][j] for _, path, j, _ in found])
+        with np.errstate(divide="ignore"):
+            mass = prior + np.log(left)
+            values = below(mass, np.array([value for *_, value in found]), uniform(seed, counter, 41 + 2 * (r % 8)))
+        masses = (prior + np.log(share[picks])).tolist()
+        todo = []
+        for (d, path, j, value), pick_, rest, mass, node in zip(found, picks, np.where(np.array(left) > 0, values, -np.inf).tolist(), masses, nxt[picks].tolist()):
+            path["region"][j] = rest
+            path["best"] = _best(path["region"])
+            kept = np.append(path["edges"][: path["skip"] + j], pick_)
+            unit = int(path["unit"][j])
+            # A unit that ends here goes on with the next one.
+            todo.append((d, unit + 1, None, kept, mass, value) if node < 0 else (d, unit, node, kept, mass, value))
+        return todo
+
+    def _ids(self, found: np.ndarray, sizes: list[int]) -> Iterator[tuple[bytes, int]]:
+        """The ids of paths that lie end to end, as bytes, and how many."""
+        width = self.lattices.width
+        kind = f"<u{width}"
+        spelled, at = bool(len(found)) and found.min() < 0, 0
+        flat = b"" if spelled else found.astype(kind).tobytes()
+        for size in sizes:
+            own = found[at : at + size]
+            if spelled and size and own.min() < 0:
+                ids = []
+                for p in own.tolist():
+                    ids += [p] if p >= 0 else [self.lattices.bytes[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")]
+                yield np.array(ids).astype(kind).tobytes(), len(ids)
+            else:
+                yield own.astype(kind).tobytes() if spelled else flat[width * at : width * (at + size)], size
+            at += size
 
 
 SAMPLES = "array<struct<ids:binary,n_pieces:bigint,log_prob:double,perturbed:double,log_inclusion:double>>"
@@ -378,7 +501,7 @@ def sample_segmentations(
         sampler = Sampler(model, k, seed)
         for batch in batches:
             at = 0
-            sizes = pa.compute.fill_null(pa.compute.utf8_length(batch.column("text")), 0).to_pylist()
+            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
             while at < len(sizes):
                 # Some texts at a time, by length.
                 to, held = at, 0
@@ -387,7 +510,7 @@ def sample_segmentations(
                     to += 1
                 part = batch.slice(at, to - at)
                 seeds = part.column("seed").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-                found = sampler.sample([t or "" for t in part.column("text").to_pylist()], seeds)
+                found = sampler.sample(part.column("text").to_pylist(), seeds)
                 rows_ = [[dict(zip(("ids", "n_pieces", "log_prob", "perturbed", "log_inclusion"), s)) for s in own] for own in found]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows_, SAMPLES_TYPE)], ["id", "samples"])
                 at = to
