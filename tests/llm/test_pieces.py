@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from tests.llm.cases import ROWS, awkward, stored
+from tests.llm.cases import LONG, ROWS, awkward, stored
 from trailframe.llm import pieces
 
 SF = "/root/testdata/sf0.001"
@@ -159,3 +159,13 @@ def test_more_samples_than_two():
         assert len({s[0] for s in own}) == len(own) == min(9, len(truth))
         assert [s[3] for s in own] == sorted((s[3] for s in own), reverse=True)
         assert all(np.isclose(math.exp(s[2]), truth, rtol=1e-6, atol=0).any() for s in own)
+
+
+def test_samples_are_decoded_together(spark):
+    """Null and empty samples between others, more than one step takes, are spelled each by itself."""
+    sampler = pieces.Sampler(MODEL, 2, 1)
+    texts = ["stone 🙂", "", " a  b ", LONG, "é"] * 3
+    rows = [(i, [s[0] for s in own] + [None, b""]) for i, own in enumerate(sampler.sample(texts, np.arange(len(texts)).astype(np.uint64)))]
+    df = spark.createDataFrame([*rows, (-1, None), (-2, [])], "i int, ids array<binary>").coalesce(1)
+    got = {r["i"]: r["t"] for r in df.select("i", pieces.decoder(MODEL)("ids").alias("t")).collect()}
+    assert got == {**{i: [texts[i]] * (len(ids) - 2) + [None, ""] for i, ids in rows}, -1: None, -2: []}

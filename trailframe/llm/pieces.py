@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from bisect import bisect
 from collections.abc import Iterator
-from itertools import accumulate, chain, compress
+from itertools import accumulate, chain, compress, islice
 
 import numpy as np
 import pandas as pd
@@ -532,13 +532,34 @@ def decoder(model: str):
             bytes([int(vocabulary_.id_to_piece(i)[3:5], 16)]) if vocabulary_.is_byte(i) else vocabulary_.id_to_piece(i).replace(BLANK, " ").encode()
             for i in range(size)
         ]
-        kind = "<u2" if size <= 0x10000 else "<u4"
-
-        def text(ids: bytes | None) -> str | None:
-            return None if ids is None else b"".join(map(raw.__getitem__, np.frombuffer(ids, kind).tolist()))[1:].decode("utf-8", "surrogatepass")
+        kind, width = ("<u2", 2) if size <= 0x10000 else ("<u4", 4)
+        spelled = pa.array(raw, pa.large_binary())
+
+        def texts(found: list[bytes]) -> list[str]:
+            """The texts of several samples, put together from pieces at once."""
+            sizes = [len(x) // width for x in found]
+            made = spelled.take(pa.array(np.frombuffer(b"".join(found), kind)))
+            if not len(made):
+                return [""] * len(found)
+            bounds = np.frombuffer(made.buffers()[1], np.int64).take(np.cumsum([0, *sizes])).tolist()
+            whole = memoryview(made.buffers()[2])
+            # Without the first unit's blank, which the text lacks.
+            return [str(whole[a + 1 : z], "utf-8", "surrogatepass") for a, z in zip(bounds, bounds[1:])]
 
         for batch in batches:
-            yield pd.Series([None if own is None else [text(x) for x in own] for own in batch], dtype="object")
+            flat = [x for own in batch if own is not None for x in own]
+            out, at = [], 0
+            while at < len(flat):
+                # Some samples at a time, by length.
+                to, held = at, 0
+                while to < len(flat) and (to == at or held < 1_000_000):
+                    held += len(flat[to] or b"")
+                    to += 1
+                part = texts([x or b"" for x in flat[at:to]])
+                out += [None if x is None else text for x, text in zip(flat[at:to], part)]
+                at = to
+            rest = iter(out)
+            yield pd.Series([None if own is None else list(islice(rest, len(own))) for own in batch], dtype="object")
 
     return decode
 
