@@ -218,16 +218,17 @@ class Lattices:
         end = np.repeat(ends, sizes)
         pos, to, piece, weight = self.edges(chars, end)
         n = len(chars)
-        first = np.append(0, np.cumsum(np.bincount(pos, minlength=n)))
+        degree = np.bincount(pos, minlength=n)
+        first = np.append(0, np.cumsum(degree))
+        # From the units' ends backwards: positions, their numbers of edges, and those edges.
         left = end - np.arange(n)
-        own_left = left[pos]
-        by_left = np.argsort(own_left.astype(np.uint16 if sizes.max() < 1 << 16 else np.int64), kind="stable")
-        steps = np.append(0, np.cumsum(np.bincount(own_left)[1:])).tolist()
-        last = to == end[pos]
+        by_left = np.argsort(left.astype(np.uint16 if sizes.max() < 1 << 16 else np.int64), kind="stable")
+        steps = np.append(0, np.cumsum(np.bincount(left)[1:]))
+        last = to == end.take(pos)
         if by_logs:
-            share = self._by_logs(pos, to, weight, last, by_left, steps, n)
+            share = self._by_logs(pos, to, weight, last, by_left, steps, first)
         else:
-            share, sums = self._by_products(pos, to, weight, last, by_left, steps, n)
+            share, sums = self._by_products(pos, to, weight, last, by_left, steps, first)
             bad = ~((sums > LEAST) & (sums < 1 / LEAST))
             if bad.any():
                 out = np.logical_or.reduceat(bad, ends - sizes)
@@ -245,38 +246,33 @@ class Lattices:
         self.start[number], self.size[number] = ends - sizes + base, sizes
 
     @staticmethod
-    def _by_products(pos, to, weight, last, by_left, steps, n) -> tuple[np.ndarray, np.ndarray]:
-        """Edges' shares, and sums of all paths from each position to its unit's end times ``SCALE`` for each character left."""
+    def _by_products(pos, to, weight, last, by_left, steps, first) -> tuple[np.ndarray, np.ndarray]:
+        """Edges' shares, and sums of all paths from each position to its unit's end times 2**SCALE for each character left."""
+        n = len(first) - 1
         sums = np.ones(n + 1)
-        value = np.empty(len(pos))
-        pos_, to_ = pos[by_left], np.where(last, n, to)[by_left]
+        cuts, edge = _ranges(first.take(by_left), np.diff(first).take(by_left))
         # Powers of two: they change no digit.
-        weight_ = np.ldexp(weight, SCALE * (to - pos))[by_left]
-        for a, b in zip(steps, steps[1:]):
-            if a == b:
-                continue
-            own = weight_[a:b] * sums.take(to_[a:b])
-            cut = np.flatnonzero(np.diff(pos_[a:b], prepend=-1))
-            sums[pos_[a:b][cut]] = np.add.reduceat(own, cut)
-            value[a:b] = own
+        value = np.ldexp(weight, SCALE * (to - pos)).take(edge)
+        to = np.where(last, n, to).take(edge)
+        for i, j, a, b in zip(steps.tolist(), steps[1:].tolist(), cuts[steps].tolist(), cuts[steps[1:]].tolist()):
+            value[a:b] *= sums.take(to[a:b])
+            sums[by_left[i:j]] = np.add.reduceat(value[a:b], cuts[i:j] - a)
         share = np.empty(len(pos))
         with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-            share[by_left] = value / sums[pos_]
+            share[edge] = value / np.repeat(sums.take(by_left), np.diff(cuts))
         return share, sums[:n]
 
     @staticmethod
-    def _by_logs(pos, to, weight, last, by_left, steps, n) -> np.ndarray:
+    def _by_logs(pos, to, weight, last, by_left, steps, first) -> np.ndarray:
         """The same shares for units of any length, from the logs of the sums."""
-        logs, logw = np.zeros(n + 1), np.log(weight)
-        for a, b in zip(steps, steps[1:]):
-            e = by_left[a:b]
-            if not len(e):
-                continue
+        logs, logw = np.zeros(len(first)), np.log(weight)
+        cuts, edge = _ranges(first.take(by_left), np.diff(first).take(by_left))
+        for i, j, a, b in zip(steps.tolist(), steps[1:].tolist(), cuts[steps].tolist(), cuts[steps[1:]].tolist()):
+            e, cut = edge[a:b], cuts[i:j] - a
             value = logw[e] + np.where(last[e], 0.0, logs[to[e]])
-            cut = np.flatnonzero(np.diff(pos[e], prepend=-1))
             top = np.maximum.reduceat(value, cut)
             total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(cut, append=len(e)))), cut)
-            logs[pos[e[cut]]] = top + np.log(total)
+            logs[by_left[i:j]] = top + np.log(total)
         return np.exp(logw + np.where(last, 0.0, logs[to]) - logs[pos])
 
     @staticmethod
@@ -288,6 +284,12 @@ class Lattices:
         return self.first[: n + 1], self.piece[:m], self.next[:m], self.share[:m]
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each range begins (and the last one ends) when they lie end to end, and the numbers in them."""
+    cuts = np.append(0, np.cumsum(size))
+    return cuts, np.arange(int(cuts[-1])) + np.repeat(start - cuts[:-1], size)
+
+
 def uniform(seed: np.ndarray, counter: np.ndarray, stream: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on these values alone."""
     x = mix(seed + mix(counter.astype(U) * U(64) + U(stream)))
@@ -340,12 +342,15 @@ def draw(views: tuple, start: np.ndarray, seed: np.ndarray, counter: np.ndarray,
     return np.repeat(np.arange(len(start)), count), nodes, edges, parts
 
 
-def _best(region: np.ndarray) -> tuple[int, float]:
-    """Where the largest value is, and that value."""
+def _best(region: np.ndarray, bound: float, opened: dict[int, float]) -> tuple[int, float]:
+    """Which of a path's regions has the largest value, and that value; the opened ones have theirs already."""
     if not len(region):
         return -1, -math.inf
     j = int(region.argmax())
-    return j, float(region[j])
+    found = float(region[j])
+    # As in ``below``, of one number.
+    value = -float(np.logaddexp(-bound, -found)) if found > -math.inf else found
+    return max([(j, value), *opened.items()], key=lambda x: x[1])
 
 
 class Sampler:
@@ -399,14 +404,16 @@ class Sampler:
                 prior[a : a + 1] = t[4]
                 prior[a + 1 : b] = run[:-1]
                 masses.append(float(run[-1]) if b > a else t[4])
-            region = below(prior + rest, np.repeat(np.array([t[5] for t in todo]), np.diff(cuts)), chance)
+            # Before the bound, which leaves the order of a path's regions as it is.
+            with np.errstate(divide="ignore"):
+                region = prior + rest - np.log(-np.log(chance))
             for a, b, t, mass in zip(cuts.tolist(), cuts[1:].tolist(), todo, masses):
-                # All edges; of those not kept from another path: unit, node, log mass before, best value of the region beside.
+                # All edges; of those not kept from another path: unit, node, log mass before, the region beside.
                 paths[t[0]].append(
                     {
                         "edges": np.concatenate([t[3], edges[a:b]]) if len(t[3]) else edges[a:b], "skip": len(t[3]), "unit": unit[a:b],
-                        "node": nodes[a:b], "prior": prior[a:b], "region": region[a:b], "mass": mass, "value": t[5], "taken": {},
-                        "best": _best(region[a:b]),
+                        "node": nodes[a:b], "prior": prior[a:b], "region": region[a:b], "mass": mass, "value": t[5],
+                        "taken": {}, "opened": {}, "best": _best(region[a:b], t[5], {}),
                     }
                 )
             todo = self._open(views, [(t[0], paths[t[0]]) for t in todo], seeds, r) if r + 1 < self.k else []
@@ -449,8 +456,8 @@ class Sampler:
         masses = (prior + np.log(share[picks])).tolist()
         todo = []
         for (d, path, j, value), pick_, rest, mass, node in zip(found, picks, np.where(np.array(left) > 0, values, -np.inf).tolist(), masses, nxt[picks].tolist()):
-            path["region"][j] = rest
-            path["best"] = _best(path["region"])
+            path["region"][j], path["opened"][j] = -math.inf, rest
+            path["best"] = _best(path["region"], path["value"], path["opened"])
             kept = np.append(path["edges"][: path["skip"] + j], pick_)
             unit = int(path["unit"][j])
             # A unit that ends here goes on with the next one.
